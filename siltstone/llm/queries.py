@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact
+from . import bpe, chat, contamination, exact
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.fold_events(log)))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -29,7 +33,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE_SQL = {
     "op1_chat_format": r"""
@@ -46,6 +50,16 @@ ORACLE_SQL = {
                sum(chars)::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id
     """,
+    "op2_decontaminate": r"""
+        WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+             iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+             ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+             qs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+             n AS (SELECT item_id, count(*) AS n_shingles FROM qs GROUP BY item_id),
+             m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN qs USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n_shared, n_shingles, round(n_shared / n_shingles, 6) AS containment
+        FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
