@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: a batch of long texts must fit beside others in a Python worker.
@@ -51,3 +51,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def crc_bucket(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % n
+
+
+def labelled_sample(rows: DataFrame, label: str, per_class: int, max_classes: int, max_chars: int) -> list[tuple[str, str]]:
+    """(text, label) of at most ``per_class`` whole texts for each of the ``max_classes`` commonest labels.
+
+    ``rows`` has doc_id, text and the label.  Texts over ``max_chars`` are not
+    candidates.  The choice is by a hash of the id, so it does not depend on
+    partitions; only ids are ranked, and the chosen ones (a bounded number)
+    fetch their texts.
+    """
+    usable = rows.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    ids = usable.select("doc_id", F.col(label).alias("__label"), F.xxhash64("doc_id", F.lit(17)).alias("__order"))
+    common = [r[0] for r in ids.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(max_classes).collect()]
+    if not common:
+        return []
+    rank = F.row_number().over(Window.partitionBy("__label").orderBy("__order", "doc_id"))
+    chosen = ids.filter(F.col("__label").isin(common)).distinct().withColumn("__rank", rank).filter(F.col("__rank") <= per_class).select("doc_id", "__label")
+    found = usable.select("doc_id", "text", F.col(label).alias("__label")).join(F.broadcast(chosen), ["doc_id", "__label"], "left_semi")
+    return sorted({(r["text"], r["__label"]) for r in found.select("text", "__label").collect()})

@@ -74,25 +74,24 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
     hits = texts.select("doc_id", F.explode(shingle_hashes(F.col("__w"))).alias("h")).join(minima, "h", "left_semi")
     hit = materialise(hits.groupBy("doc_id").agg(F.collect_set("h").alias("__hits")), "contamination-hits")
 
-    # Around each hit, does the window's i-th minimum equal the item's?
-    near = texts.join(hit, "doc_id").select("doc_id", shingle_hashes(F.col("__w")).alias("__h"), "__hits")
+    # The texts with a hit, once; then, around each hit, does the window's i-th minimum equal the item's?
+    near = materialise(texts.join(hit.hint("merge"), "doc_id"), "contamination-texts")
     at = F.filter(F.transform("__h", lambda h, p: F.struct(p.alias("p"), h.alias("h"))), lambda x: F.array_contains("__hits", x["h"]))
-    places = materialise(near.select("doc_id", F.explode(at).alias("__x")).select("doc_id", "__x.p", "__x.h"), "contamination-places")
+    hashed = near.select("doc_id", "__hits", shingle_hashes(F.col("__w")).alias("__h"))
+    places = hashed.select("doc_id", F.explode(at).alias("__x")).select("doc_id", "__x.p", "__x.h")
     step = F.call_function("shiftleft", F.lit(1), F.col("k") + 2)
     last = F.floor(F.col("p") / step).cast("int")
-    asked = places.join(signatures, "h").select("doc_id", "item_id", "k", "i", "low", F.explode(F.array_distinct(F.array(F.greatest(last - 1, F.lit(0)), last))).alias("w")).distinct()
+    asked = places.join(signatures, "h").select("doc_id", "item_id", "k", "i", "low", F.explode(F.array_distinct(F.array(F.greatest(last - 1, F.lit(0)), last))).alias("w"))
     per_doc = asked.groupBy("doc_id", "k", "w").agg(F.collect_set(F.struct("item_id", "i", "low")).alias("__asked"))
-    windows = texts.join(hit.select("doc_id"), "doc_id", "left_semi").select("doc_id", shingle_hashes(F.col("__w")).alias("__h")).dropDuplicates(["doc_id", "__h"]).join(per_doc, "doc_id")
     window = F.array_distinct(F.slice("__h", F.col("w") * step + 1, step * 2))
     agree = F.filter("__asked", lambda a: F.array_min(F.transform("__win", lambda h: _minhash(h, a["i"]))) == a["low"])
-    candidates = materialise(
-        windows.select("doc_id", "__asked", window.alias("__win")).select("doc_id", F.explode(F.array_distinct(F.transform(agree, lambda a: a["item_id"]))).alias("item_id")).distinct(), "contamination-candidates"
-    )
+    windows = hashed.join(per_doc.hint("merge"), "doc_id").select("doc_id", "__asked", window.alias("__win"))
+    candidates = materialise(windows.select("doc_id", F.explode(F.array_distinct(F.transform(agree, lambda a: a["item_id"]))).alias("item_id")).distinct(), "contamination-candidates")
 
     # Exact containment of shingle texts.
     items_of = queries.select("item_id", F.array_distinct(shingle_texts(F.col("__w"))).alias("__q")).groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("__q"))).alias("__q"))
-    docs_of = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct(shingle_texts(F.col("__w"))).alias("__d"))
-    both = candidates.join(items_of, "item_id").join(docs_of, "doc_id")
+    docs_of = near.select("doc_id", F.array_distinct(shingle_texts(F.col("__w"))).alias("__d"))
+    both = candidates.join(items_of, "item_id").join(docs_of.hint("merge"), "doc_id")
     shared = F.size(F.array_intersect("__q", "__d")).cast("long")
     counted = both.select("doc_id", "item_id", shared.alias("n_shared"), F.size("__q").cast("long").alias("n_shingles")).groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
     return counted.withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6)).filter(F.col("n_shared") >= threshold * F.col("n_shingles")).select("doc_id", "item_id", "n_shared", "n_shingles", "containment")

@@ -126,7 +126,7 @@ def _chunks(members: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
 
-    Only digests are grouped, with partial sums before the shuffle.  Joins that
+    Joins with texts are sort-merge joins at every size.  Only digests are grouped, with partial sums before the shuffle.  Joins that
     bring a group's figures back to its members have one row a group on one
     side, so that a group of a third of all rows is split by the engine's skew
     handling.  A member whose chunks differ from the group's first document
@@ -135,8 +135,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     key = ["h1", "h2", "n_bytes"]
     all_digests = materialise(digests(docs), "exact-digests")
     shared = all_digests.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min("doc_id").alias("rep")).filter("__n > 1 and rep is not null").drop("__n")
-    members = materialise(all_digests.join(shared, key).filter("doc_id is not null").select("doc_id", "rep", *key).distinct(), "exact-members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id")
+    members = materialise(all_digests.join(shared.hint("merge"), key).filter("doc_id is not null").select("doc_id", "rep", *key).distinct(), "exact-members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("merge"), "doc_id")
     chunks = materialise(_chunks(texts), "exact-chunks")
     first = chunks.filter("doc_id = rep").select("rep", *key, "k", F.col("part").alias("rep_part")).dropDuplicates(["rep", *key, "k"])
     unequal = materialise(chunks.filter("doc_id <> rep").join(first, ["rep", *key, "k"], "left").filter("not (part <=> rep_part)").select("doc_id", *key, F.lit(True).alias("__apart")).distinct(), "exact-unequal")

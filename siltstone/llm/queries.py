@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, exact, substring
+from . import bpe, chat, contamination, exact, language, substring
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.strip_repeats(table(spark, sf_dir, "documents")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -37,7 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE_SQL = {
     "op1_chat_format": r"""

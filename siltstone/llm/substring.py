@@ -153,15 +153,15 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = ["k1", "k2"]
     first = level1.groupBy(*key).agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last"), F.count(F.lit(1)).alias("__n"))
     copies = materialise(level1.select("doc_id", *key).join(first.filter("__first < __last"), key).filter("doc_id > __first").select("doc_id", *key).distinct(), "substring-copies")
-    standing = level1.filter("doc_id is not null").join(copies, ["doc_id", *key], "left_anti")
+    standing = level1.filter("doc_id is not null").join(copies.hint("merge"), ["doc_id", *key], "left_anti")
 
     seen = standing.select("doc_id", F.explode("anchors").alias("h"))
     repeated = materialise(seen.groupBy("h").agg(F.min("doc_id").alias("__a"), F.max("doc_id").alias("__b")).filter("__a < __b").select("h"), "substring-repeated")
-    alive = standing.select("doc_id", *key, F.explode("anchors").alias("h")).join(repeated, "h").groupBy("doc_id", *key).agg(F.collect_set("h").alias("__alive"))
-    windows = materialise(_rows(docs).join(alive, "doc_id").select("doc_id", "text", *key, "__alive").mapInArrow(_second_level, "doc_id long, w1 long, w2 long, start long"), "substring-level2")
+    alive = standing.select("doc_id", *key, F.explode("anchors").alias("h")).join(repeated.hint("merge"), "h").groupBy("doc_id", *key).agg(F.collect_set("h").alias("__alive"))
+    windows = materialise(_rows(docs).join(alive.hint("merge"), "doc_id").select("doc_id", "text", *key, "__alive").mapInArrow(_second_level, "doc_id long, w1 long, w2 long, start long"), "substring-level2")
 
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("__a"), F.max("doc_id").alias("__b")).filter("__a < __b")
-    later = windows.join(least, ["w1", "w2"]).filter("doc_id > __a").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    later = windows.join(least.hint("merge"), ["w1", "w2"]).filter("doc_id > __a").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     return materialise(later, "substring-covered"), copies
 
 
@@ -200,7 +200,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     windows, copies = repeated_windows(docs)
     keyed = _rows(docs)
     whole = copies.groupBy("doc_id").agg(F.lit(True).alias("__copy"))
-    return keyed.join(windows, "doc_id", "left").join(whole, "doc_id", "left").select("doc_id", "text", "starts", F.coalesce("__copy", F.lit(False)).alias("__copy")).mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string")
+    return keyed.join(windows.hint("merge"), "doc_id", "left").join(whole.hint("merge"), "doc_id", "left").select("doc_id", "text", "starts", F.coalesce("__copy", F.lit(False)).alias("__copy")).mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digests(stripped: DataFrame) -> DataFrame:
