@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, exact, language, substring
+from . import bpe, chat, contamination, exact, language, substring, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.strip_repeats(table(spark, sf_dir, "documents")))
 
@@ -42,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE_SQL = {
     "op1_chat_format": r"""

@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tokens of a bounded sample of labelled documents are labelled from the document
-labels: a token of a toxic document is toxic if its word is clearly commoner in
-toxic documents than in others.  A two-state chain with word, affix and
+labels: a token of a toxic document is toxic if its word, or a beginning of the
+word, is clearly commoner in toxic documents than in others.  A two-state chain with word, affix and
 neighbour features is fitted to them; forward-backward marginals of all tokens
 of a whole text give offending spans (code-point offsets) and, through a
 logistic curve fitted on the sample, a document score.
@@ -42,13 +42,29 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+def units(w: str) -> list[str]:
+    """A word and its beginnings: inflected and compounded forms share those."""
+    return [f"w={w}", *(f"p={w[:n]}" for n in (3, 4, 5) if len(w) >= n)]
+
+
 def token_labels(texts: list[list[str]], toxic: list[bool]) -> set[str]:
-    """Words in at least two toxic texts whose rate there is ten times the smoothed rate elsewhere."""
-    inside, outside = Counter(), Counter()
+    """Units clearly commoner in toxic texts.
+
+    Contexts (the two neighbouring words) are counted, each once, so that a
+    group of copies counts little more than one text: at least four, and one for
+    every hundred toxic texts, at twenty times the smoothed rate elsewhere.
+    """
+    inside: dict[str, set] = {}
+    outside: dict[str, set] = {}
     for words, bad in zip(texts, toxic, strict=True):
-        (inside if bad else outside).update(set(words))
+        into = inside if bad else outside
+        padded = ["", *words, ""]
+        for before, w, after in zip(padded, words, padded[2:], strict=False):
+            context = hash((before, after))
+            for u in units(w):
+                into.setdefault(u, set()).add(context)
     n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    return {w for w, n in inside.items() if n >= max(2, 0.01 * n1) and n / n1 >= 10 * (outside[w] + 0.5) / n0}
+    return {u for u, found in inside.items() if len(found) >= max(4, 0.01 * n1) and len(found) / n1 >= 20 * (len(outside.get(u, ())) + 0.5) / n0}
 
 
 class Chain:
@@ -61,7 +77,7 @@ class Chain:
 
     @staticmethod
     def word_features(w: str) -> list[str]:
-        return [f"w={w}", f"p={w[:4]}", f"s={w[-4:]}"]
+        return [*units(w), f"s={w[-3:]}"]
 
     def parts(self, w: str) -> tuple[float, float, float]:
         """What a word adds to its own score, to the next token's and to the one's before."""
@@ -163,7 +179,8 @@ class Model:
         self.constant = None if toxic and 0 < share < 1 else 0.5 * share
         if self.constant is not None:
             return
-        words = token_labels(texts, toxic)
+        known = token_labels(texts, toxic)
+        words = {w for t, y in zip(texts, toxic, strict=True) if y for w in set(t) if not known.isdisjoint(units(w))}
         bad = [i for i, y in enumerate(toxic) if y and words.intersection(texts[i])][:CHAIN_TEXTS]
         good = [i for i, y in enumerate(toxic) if not y][:CHAIN_TEXTS]
         self.chain.fit([texts[i] for i in bad + good], [words] * len(bad) + [set()] * len(good))
