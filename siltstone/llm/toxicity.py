@@ -51,7 +51,7 @@ def token_labels(texts: list[list[str]], toxic: list[bool]) -> set[str]:
     """Units clearly commoner in toxic texts.
 
     Contexts (the two neighbouring words) are counted, each once, so that a
-    group of copies counts little more than one text: at least four, and one for
+    group of copies counts little more than one text: at least four, and two for
     every hundred toxic texts, at twenty times the smoothed rate elsewhere.
     """
     inside: dict[str, set] = {}
@@ -64,7 +64,7 @@ def token_labels(texts: list[list[str]], toxic: list[bool]) -> set[str]:
             for u in units(w):
                 into.setdefault(u, set()).add(context)
     n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    return {u for u, found in inside.items() if len(found) >= max(4, 0.01 * n1) and len(found) / n1 >= 20 * (len(outside.get(u, ())) + 0.5) / n0}
+    return {u for u, found in inside.items() if len(found) >= max(4, 0.02 * n1) and len(found) / n1 >= 20 * (len(outside.get(u, ())) + 0.5) / n0}
 
 
 class Chain:
