@@ -75,7 +75,8 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
     hit = materialise(hits.groupBy("doc_id").agg(F.collect_set("h").alias("__hits")), "contamination-hits")
 
     # The texts with a hit, once; then, around each hit, does the window's i-th minimum equal the item's?
-    near = materialise(texts.join(hit.hint("merge"), "doc_id"), "contamination-texts")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hit.hint("merge"), "doc_id")
+    near = materialise(found.select("doc_id", "__hits", words(F.col("text")).alias("__w")), "contamination-texts")
     at = F.filter(F.transform("__h", lambda h, p: F.struct(p.alias("p"), h.alias("h"))), lambda x: F.array_contains("__hits", x["h"]))
     hashed = near.select("doc_id", "__hits", shingle_hashes(F.col("__w")).alias("__h"))
     places = hashed.select("doc_id", F.explode(at).alias("__x")).select("doc_id", "__x.p", "__x.h")
