@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,7 +46,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siltstone_path = path
+    return out
+
+
+def discard(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete materialised tables that no later plan reads, and let go of the shuffle files of finished jobs."""
+    jvm = spark.sparkContext._jvm
+    for df in done:
+        path = jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def crc_bucket(doc_id: Column | str, n: int) -> Column:

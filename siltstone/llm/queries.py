@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, exact, language, pii, substring, toxicity
+from . import bpe, chat, contamination, exact, language, neardup, pii, substring, toxicity
 from .common import table
 
 
@@ -47,11 +47,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_byte_bpe": op8_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_byte_bpe": op8_byte_bpe, "op9_near_dedup": op9_near_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE_SQL = {
     "op1_chat_format": r"""
