@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, exact, language, neardup, pii, substring, toxicity
+from . import bpe, chat, contamination, exact, language, neardup, pii, substring, toxicity, urls
 from .common import table
 
 
@@ -25,6 +25,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: host/path rules of the url filter.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
@@ -55,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_byte_bpe": op8_byte_bpe, "op9_near_dedup": op9_near_dedup, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op3_url_filter": op3_url_filter, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_byte_bpe": op8_byte_bpe, "op9_near_dedup": op9_near_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE_SQL = {
     "op1_chat_format": r"""
