@@ -1,8 +1,770 @@
-"""Registered queries and their SQL equivalents."""
+"""Registered queries and their SQL equivalents.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Each query applies an operator of the engine to the driver's whole tables.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import text as T
+from siltstone.operators import branches as B
+from siltstone.operators import changes, chunking, lookup, maintenance, ranking, retrieval, temporal
+from siltstone.sources import files as S
+from siltstone.sources import issues
+
+from . import adapters as A
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_BLANKS = r"[\t\n\x0B\f\r ]"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- text and chunks -------------------------------------------------------
+
+
+@query("SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS content_sha256 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\ufeff', ''), '\\r\\n?', chr(10), 'g') AS t FROM documents)")
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    t = T.normalize_content(F.col("text"))
+    return A.read(spark, sf, "documents").select("doc_id", F.length(t).cast("long").alias("n_chars"), T.content_hash(F.col("text")).alias("content_sha256"))
+
+
+@query("SELECT page_id, sha256(regexp_replace(html, '\\r\\n?', chr(10), 'g')) AS hash FROM pages")
+def content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return A.read(spark, sf, "pages").select("page_id", T.content_hash(F.col("html")).alias("hash"))
+
+
+@query(f"WITH {A.FILES} SELECT item_path, CASE WHEN item_path LIKE '%.min.js' THEN NULL WHEN item_path LIKE '%.md' THEN 'markdown' WHEN item_path LIKE '%.ts' THEN 'typescript' ELSE 'python' END AS language FROM files")
+def detect_language(spark: SparkSession, sf: str) -> DataFrame:
+    return A.files(spark, sf).select("item_path", T.language_of(F.col("item_path")).alias("language"))
+
+
+def _chunk_sql(size: int, step: int) -> str:
+    return f"""WITH {A.FILES},
+      parts AS (SELECT *, string_split(content, chr(10)) AS p FROM files),
+      l AS (SELECT * EXCLUDE (p), list_filter(list_transform(p, lambda x, i: CASE WHEN i < len(p) THEN x || chr(10) ELSE x END), lambda x: x <> '') AS l FROM parts),
+      w AS (SELECT *, unnest(range(0, len(l), {step})) AS i0 FROM l),
+      c AS (SELECT *, i0 + 1 AS start_line, i0 + len(l[i0 + 1:i0 + {size}]) AS end_line, regexp_replace(array_to_string(l[i0 + 1:i0 + {size}], ''), '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS chunk FROM w)
+      SELECT item_path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line,
+        sha256(project_id || chr(0) || source_id || chr(0) || item_path || chr(0) || item_url || chr(0) || 'code' || chr(0) || chunk) AS chunk_id FROM c WHERE chunk <> ''"""
+
+
+def _chunks(spark: SparkSession, sf: str, size: int, overlap: int) -> DataFrame:
+    return chunking.stamp(chunking.window_chunks(A.files(spark, sf), size=size, overlap=overlap)).select("item_path", F.col("start_line").cast("long"), F.col("end_line").cast("long"), "chunk_id")
+
+
+@query(_chunk_sql(60, 50))
+def sliding_window_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunks(spark, sf, 60, 10)
+
+
+@query(_chunk_sql(6, 5))
+def window_chunks_small(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunks(spark, sf, 6, 1)
+
+
+@query()
+def capped_window_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    out = chunking.window_chunks(A.files(spark, sf), size=6, overlap=1, max_chars=400)
+    return out.select("item_path", F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.length("chunk").cast("long").alias("n_chars"))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS hash, arg_min(source, doc_id) AS source_id FROM documents GROUP BY text")
+def dedupe_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.read(spark, sf, "documents").select(F.sha2("text", 256).alias("hash"), "doc_id", F.col("source").alias("source_id"))
+    return chunking.first_seen(rows, ["doc_id"], key="hash")
+
+
+@query(f"WITH {A.CHUNKS} SELECT chunk_id, item_path FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE doc_id % 4 = 0)")
+def known_chunk_anti(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = A.whole_chunks(spark, sf)
+    return changes.unknown_chunks(chunks, chunks.filter(F.col("doc_id") % 4 == 0)).select("chunk_id", "item_path")
+
+
+@query(
+    f"""WITH {A.FILES}, p AS (SELECT CASE WHEN doc_id % 9 = 0 THEN '.hidden/' WHEN doc_id % 8 = 0 THEN 'node_modules/' ELSE '' END || item_path AS item_path FROM files)
+    SELECT item_path, CASE WHEN item_path LIKE '%.md' THEN 'markdown' WHEN item_path LIKE '%.ts' THEN 'typescript' ELSE 'python' END AS language FROM p
+    WHERE item_path NOT LIKE '.hidden/%' AND item_path NOT LIKE 'node_modules/%' AND item_path NOT LIKE '%.min.js' AND (item_path NOT LIKE 'docs/src1/%' OR item_path LIKE '%7.md')"""
+)
+def scan_filter_skip(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.when(F.col("doc_id") % 9 == 0, ".hidden/").when(F.col("doc_id") % 8 == 0, "node_modules/").otherwise(""), F.col("item_path"))
+    return S.scan(A.files(spark, sf).select(path.alias("item_path")), S.compile_rules(["docs/src1/**", "!docs/src1/*7.md"])).select("item_path", "language")
+
+
+@query(f"WITH {A.FILES} SELECT language, count(*) AS n_files FROM (SELECT CASE WHEN item_path LIKE '%.min.js' THEN NULL WHEN item_path LIKE '%.md' THEN 'markdown' WHEN item_path LIKE '%.ts' THEN 'typescript' ELSE 'python' END AS language FROM files) GROUP BY 1")
+def language_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.language_histogram(A.files(spark, sf).select(T.language_of(F.col("item_path")).alias("language")))
+
+
+@query(
+    """WITH n AS (SELECT lang AS language, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, language LIMIT 2)
+    SELECT CASE WHEN count(*) = 1 OR max(n) > 1.5 * min(n) THEN arg_max(language, n) ELSE 'mixed' END AS main_language FROM n"""
+)
+def main_language(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.main_language(A.read(spark, sf, "documents").select(F.col("lang").alias("language")))
+
+
+@query("SELECT doc_id, 'code_' || substr(sha256('p1:' || source || ':model:' || (doc_id % 4 * 128)::VARCHAR), 1, 12) AS table_name FROM documents")
+def project_table_name(spark: SparkSession, sf: str) -> DataFrame:
+    return A.read(spark, sf, "documents").select("doc_id", T.table_name(F.lit("p1"), F.col("source"), F.lit("model"), F.col("doc_id") % 4 * 128).alias("table_name"))
+
+
+@query(
+    """WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '*' WHEN 1 THEN 'refs/heads/feat/' || event_type WHEN 2 THEN '_ephemeral/' || event_type ELSE 'team/' || event_type END AS ref FROM events)
+    SELECT event_id, CASE WHEN ref = '*' THEN '_all_' ELSE replace(ref, '/', '__') END AS slug,
+      CASE WHEN ref LIKE '\\_ephemeral/%' ESCAPE '\\' THEN ref ELSE '_ephemeral/' || list_extract(string_split(ref, '/'), -1) END AS label FROM r"""
+)
+def branch_names(spark: SparkSession, sf: str) -> DataFrame:
+    kind, event = F.col("event_id") % 4, F.col("event_type")
+    ref = F.when(kind == 0, "*").when(kind == 1, F.concat(F.lit("refs/heads/feat/"), event)).when(kind == 2, F.concat(F.lit("_ephemeral/"), event)).otherwise(F.concat(F.lit("team/"), event))
+    return A.read(spark, sf, "events").select("event_id", T.branch_slug(ref).alias("slug"), T.ephemeral_label(ref).alias("label"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'issues/' || conv_id ELSE 'issues/' || conv_id || '#note_' || turn END AS new_path
+    FROM conversations"""
+)
+def ticket_paths(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("tickets/"), F.col("conv_id").cast("string"))
+    url = F.when(F.col("turn") > 0, F.concat(F.lit("https://host/i#note_"), F.col("turn").cast("string")))
+    return A.read(spark, sf, "conversations").select("conv_id", "turn", T.ticket_path(path, url).alias("new_path"))
+
+
+@query(f"WITH {A.SYMBOLS} SELECT p_partkey, printf('[%.3f] %s:%d-%d (%s)', p_partkey % 97 / 97.0, item_path, start_line, start_line + 9, language) || ' · ' || symbol_name AS line FROM symbols")
+def result_lines(spark: SparkSession, sf: str) -> DataFrame:
+    s = A.symbols(spark, sf)
+    return s.select("p_partkey", T.result_line(F.col("p_partkey") % 97 / 97.0, F.col("item_path"), F.col("start_line"), F.col("start_line") + 9, F.col("language"), F.col("symbol_name")).alias("line"))
+
+
+# --- knowledge items -------------------------------------------------------
+
+_ISSUES = f"""
+i AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS body FROM conversations),
+head AS (SELECT conv_id, body AS title, conv_id % 2 = 0 AS opened, conv_id % 3 AS n_labels, conv_id % 5 = 0 AS milestone FROM i WHERE turn = 0)"""
+
+
+@query(
+    f"""WITH {_ISSUES}
+    SELECT 'issues/' || conv_id AS item_path, 'issue' AS item_type, '# Issue ' || conv_id || chr(10) || chr(10) || body AS content, 'u' || conv_id % 7 AS author FROM i WHERE turn = 0
+    UNION ALL SELECT 'issues/' || conv_id || '#note_' || turn, 'comment', body, role FROM i JOIN head USING (conv_id) WHERE turn > 0 AND role <> 'system' AND body <> ''"""
+)
+def issue_items(spark: SparkSession, sf: str) -> DataFrame:
+    raw, notes = issues.from_conversations(A.read(spark, sf, "conversations"))
+    return issues.items(raw, notes).select("item_path", "item_type", "content", "author")
+
+
+@query(
+    f"""WITH {_ISSUES} SELECT 'issues/' || conv_id AS item_path, CASE WHEN opened THEN 'open' ELSE 'closed' END AS state,
+      CASE n_labels WHEN 0 THEN '[]' WHEN 1 THEN '["l0"]' ELSE '["l0","l1"]' END AS labels,
+      CASE WHEN milestone THEN '{{"title":"m' || conv_id || '","due_date":null}}' ELSE '' END AS milestone,
+      CASE WHEN conv_id % 4 = 0 THEN 'true' ELSE 'false' END AS confidential FROM head"""
+)
+def issue_metadata_json(spark: SparkSession, sf: str) -> DataFrame:
+    raw, notes = issues.from_conversations(A.read(spark, sf, "conversations"))
+    return issues.items(raw, notes).filter("item_type = 'issue'").select("item_path", "state", "labels", "milestone", "confidential")
+
+
+@query(
+    f"""WITH {_ISSUES} SELECT 'issues/' || conv_id AS item_path, CASE n_labels WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['l0'] ELSE ['l0', 'l1'] END AS labels,
+      CASE WHEN milestone THEN 'm' || conv_id END AS milestone_title, conv_id % 4 = 0 AS confidential FROM head"""
+)
+def parse_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    raw, notes = issues.from_conversations(A.read(spark, sf, "conversations"))
+    parsed = issues.parse_metadata(issues.items(raw, notes).filter("item_type = 'issue'"))
+    return parsed.select("item_path", "labels", F.col("milestone.title").alias("milestone_title"), "confidential")
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def parse_event_props(spark: SparkSession, sf: str) -> DataFrame:
+    return A.read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# --- snapshots and merges --------------------------------------------------
+
+_SNAPSHOTS = """
+o AS (SELECT 'f' || doc_id AS path, sha256(text) AS old_hash FROM documents WHERE doc_id % 10 <> 0),
+n AS (SELECT 'f' || doc_id AS path, sha256(text || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END) AS new_hash FROM documents WHERE doc_id % 7 <> 0)"""
+
+
+def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = A.read(spark, sf, "documents")
+    path = F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path")
+    old = docs.filter(F.col("doc_id") % 10 != 0).select(path, F.sha2("text", 256).alias("hash"))
+    new = docs.filter(F.col("doc_id") % 7 != 0).select(path, F.sha2(F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, "!").otherwise("")), 256).alias("hash"))
+    return old, new
+
+
+_CHANGE = "CASE WHEN old_hash IS NULL THEN 'added' WHEN new_hash IS NULL THEN '{gone}' WHEN old_hash <> new_hash THEN 'changed' ELSE 'same' END AS change"
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT path, old_hash, new_hash, {_CHANGE.format(gone='removed')} FROM o FULL JOIN n USING (path)")
+def snapshot_diff_full(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.snapshot_diff(*_snapshots(spark, sf))
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT path, coalesce(new_hash, old_hash) AS hash FROM o FULL JOIN n USING (path)")
+def snapshot_diff_cursor(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.merged_snapshot(changes.snapshot_diff(*_snapshots(spark, sf), keep_missing=True))
+
+
+@query(f"WITH {A.FILES} SELECT item_path FROM files WHERE regexp_replace(content, '{_BLANKS}+', '', 'g') = '' OR doc_id % 6 = 0")
+def zero_chunk_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    files = A.files(spark, sf)
+    chunks = chunking.window_chunks(files.filter(F.col("doc_id") % 6 != 0))
+    return changes.without_chunks(files.select("item_path"), chunks.select("item_path"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id AS chunk_id, lang, n_chars FROM documents WHERE doc_id % 3 <> 0), s AS (SELECT doc_id AS chunk_id, 'x' || lang AS lang, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 4 = 0)
+    SELECT * FROM t WHERE chunk_id NOT IN (SELECT chunk_id FROM s) UNION ALL SELECT * FROM s"""
+)
+def merge_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    docs = A.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "n_chars")
+    return changes.upsert(docs.filter("chunk_id % 3 <> 0"), docs.filter("chunk_id % 4 = 0").select("chunk_id", F.concat(F.lit("x"), "lang").alias("lang"), (F.col("n_chars") + 1).alias("n_chars")))
+
+
+@query(f"WITH {A.CHUNKS} SELECT chunk_id, source_id FROM chunks WHERE source_id <> 'src3'")
+def delete_predicate(spark: SparkSession, sf: str) -> DataFrame:
+    return B.wipe_source(A.whole_chunks(spark, sf), "p1", "src3").select("chunk_id", "source_id")
+
+
+@query(
+    f"""WITH {A.TAGS}, gone AS (SELECT item_path FROM chunks WHERE doc_id % 10 IN (1, 2)),
+    fresh AS (SELECT project_id, source_id, 'main' AS branch, item_path, sha256(chunk_id) AS chunk_id FROM chunks WHERE doc_id % 10 = 2)
+    SELECT DISTINCT * FROM (SELECT project_id, source_id, branch, item_path, chunk_id FROM tags WHERE item_path NOT IN (SELECT item_path FROM gone) UNION ALL SELECT * FROM fresh)"""
+)
+def apply_file_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = A.whole_chunks(spark, sf)
+    kind = F.col("doc_id") % 10
+    outcomes = chunks.filter(kind.isin(1, 2)).select("item_path", F.when(kind == 1, "removed").otherwise("embedded").alias("outcome"))
+    fresh = chunks.filter(kind == 2).select("project_id", "source_id", F.lit("main").alias("branch"), "item_path", F.sha2("chunk_id", 256).alias("chunk_id"))
+    return changes.apply_files(A.tags(spark, sf), outcomes, fresh)
+
+
+@query(
+    f"""WITH {_SNAPSHOTS}, d AS (SELECT *, {_CHANGE.format(gone='removed')} FROM o FULL JOIN n USING (path)), {A.CHUNKS}
+    SELECT count(*) FILTER (WHERE change <> 'removed') AS scanned, count(*) FILTER (WHERE change IN ('added', 'changed')) AS reindexed, count(*) FILTER (WHERE change = 'removed') AS removed,
+      (SELECT count(*) FROM chunks) AS prepared, (SELECT count(DISTINCT chunk_id) FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE doc_id % 3 = 0)) AS persisted FROM d"""
+)
+def index_run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = A.whole_chunks(spark, sf)
+    return changes.run_summary(changes.snapshot_diff(*_snapshots(spark, sf)), chunks, chunks.filter("doc_id % 3 = 0"))
+
+
+# --- branches --------------------------------------------------------------
+
+
+@query(f"WITH {A.TAGS} SELECT DISTINCT project_id, source_id, branch FROM tags")
+def branch_list(spark: SparkSession, sf: str) -> DataFrame:
+    return B.list_branches(A.tags(spark, sf))
+
+
+@query(f"WITH {A.TAGS} SELECT DISTINCT project_id, source_id, chunk_id FROM tags WHERE branch = 'dev'")
+def branch_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return B.chunks_on(A.tags(spark, sf), "dev")
+
+
+@query(f"WITH {A.TAGS} SELECT DISTINCT project_id, source_id, chunk_id FROM tags")
+def source_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return B.chunks_on(A.tags(spark, sf))
+
+
+@query(f"WITH {A.TAGS} SELECT chunk_id, count(*) AS n_tags FROM tags GROUP BY 1")
+def tags_per_chunk(spark: SparkSession, sf: str) -> DataFrame:
+    return B.tag_counts(A.tags(spark, sf))
+
+
+_NAMES = ("main", "origin/main", "fix/one", "origin/dev", "nowhere")
+
+
+@query(
+    f"""WITH {A.TAGS}, names AS (SELECT unnest({list(_NAMES)}) AS name), b AS (SELECT DISTINCT branch FROM tags)
+    SELECT name, CASE WHEN name IN (SELECT branch FROM b) THEN name
+      WHEN name LIKE 'origin/%' AND substr(name, 8) IN (SELECT branch FROM b) THEN substr(name, 8)
+      WHEN name NOT LIKE 'origin/%' AND 'origin/' || name IN (SELECT branch FROM b) THEN 'origin/' || name END AS resolved FROM names"""
+)
+def branch_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    return B.resolve(spark.createDataFrame([(n,) for n in _NAMES], "name string"), A.tags(spark, sf))
+
+
+_ANNOTATED = "coalesce((SELECT list(branch ORDER BY CASE branch WHEN 'master' THEN 0 WHEN 'main' THEN 1 ELSE 2 END, branch) FROM (SELECT DISTINCT branch FROM tags t WHERE t.chunk_id = c.chunk_id)), []::VARCHAR[])"
+
+
+@query(f"WITH {A.TAGS}, g AS (SELECT chunk_id, list(branch ORDER BY CASE branch WHEN 'master' THEN 0 WHEN 'main' THEN 1 ELSE 2 END, branch) AS b FROM (SELECT DISTINCT chunk_id, branch FROM tags) GROUP BY 1) SELECT item_path, c.chunk_id, coalesce(b, []::VARCHAR[]) AS branches FROM chunks c LEFT JOIN g USING (chunk_id)")
+def branch_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    return B.annotate(A.whole_chunks(spark, sf).select("item_path", "chunk_id"), A.tags(spark, sf))
+
+
+@query(f"WITH {A.TAGS} SELECT DISTINCT project_id, source_id, branch FROM tags WHERE starts_with(branch, '_ephemeral/')")
+def ephemeral_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return B.ephemeral_branches(A.tags(spark, sf))
+
+
+@query(f"WITH {A.TAGS} SELECT branch, count(*) AS n FROM tags WHERE branch <> 'dev' GROUP BY 1")
+def branch_delete(spark: SparkSession, sf: str) -> DataFrame:
+    return B.without_branch(A.tags(spark, sf), "dev").groupBy("branch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {A.TAGS}, q AS (SELECT *, regexp_replace(branch, '^origin/', '') AS logical FROM tags),
+    won AS (SELECT DISTINCT project_id, source_id, logical FROM q WHERE branch LIKE 'origin/%')
+    SELECT project_id, source_id, logical AS branch, item_path, chunk_id FROM q
+    WHERE branch LIKE 'origin/%' OR (project_id, source_id, logical) NOT IN (SELECT project_id, source_id, logical FROM won)"""
+)
+def branch_relabel(spark: SparkSession, sf: str) -> DataFrame:
+    return B.relabel_origin(A.tags(spark, sf))
+
+
+@query(
+    """SELECT user_id, list_sort(list_distinct(list_concat(p, ['main', 'rel']))) AS pinned, list_sort(list_filter(p, lambda b: b <> 'main')) AS unpinned, list_filter(p, lambda b: b = 'main') AS removed
+    FROM (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN ['dev', 'main'] ELSE ['dev'] END AS p FROM (SELECT DISTINCT user_id FROM events))"""
+)
+def pinned_set_ops(spark: SparkSession, sf: str) -> DataFrame:
+    own = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("dev"), F.lit("main"))).otherwise(F.array(F.lit("dev")))
+    sources = A.read(spark, sf, "events").select("user_id").distinct().withColumn("pinned_branches", own)
+    pinned = B.pin(sources, ["main", "rel"]).select("user_id", F.array_sort("pinned_branches").alias("pinned"))
+    return pinned.join(B.unpin(sources, ["main"]).select("user_id", F.array_sort("pinned_branches").alias("unpinned"), "removed"), "user_id")
+
+
+# --- search ----------------------------------------------------------------
+
+_TOP10 = "row_number() OVER (PARTITION BY query_id ORDER BY round(exact, 12) DESC, chunk_id) AS rank"
+
+
+@query(f"WITH {A.COSINE} SELECT query_id, chunk_id, score, rank FROM (SELECT *, {_TOP10} FROM cos) WHERE rank <= 10")
+def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.search(A.vectors(spark, sf), A.vector_queries(spark, sf), 10, 64).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {A.COSINE} SELECT query_id, chunk_id, score, rank FROM (SELECT *, {_TOP10} FROM cos WHERE chunk_id % 3 <> 2) WHERE rank <= 10")
+def cosine_topk_branch_filter(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = A.vectors(spark, sf)
+    on = vectors.filter("chunk_id % 3 <> 2").select("chunk_id")
+    return retrieval.search(vectors.join(on, "chunk_id", "left_semi"), A.vector_queries(spark, sf), 10, 64).withColumn("score", F.round("score", 6))
+
+
+@query(
+    """SELECT label, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk_id) AS rank FROM
+      (SELECT v.label::BIGINT AS label, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)) WHERE rank <= 5"""
+)
+def cosine_per_label_topk(spark: SparkSession, sf: str) -> DataFrame:
+    from siltstone.functions.vectors import cosine
+
+    vectors = A.vectors(spark, sf)
+    one = vectors.filter("chunk_id = 0").select(F.col("vector").alias("__q"))
+    scored = vectors.join(F.broadcast(one)).select("label", "chunk_id", F.round(cosine(F.col("__q"), F.col("vector")), 9).alias("score"))
+    return retrieval.top_k(scored, 5, ["label"])
+
+
+@query()
+def ann_refine_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.search_approximate(A.vectors(spark, sf), A.vector_queries(spark, sf), 10, 64)
+
+
+@query()
+def ann_recall_at_10(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, queries = A.vectors(spark, sf), A.vector_queries(spark, sf)
+    return ranking.recall_of(retrieval.search_approximate(vectors, queries, 10, 64), retrieval.search(vectors, queries, 10, 64))
+
+
+@query(f"WITH {A.BM25} SELECT query_id, chunk_id, score, rank FROM bmr WHERE rank <= 10")
+def bm25_batch_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf), 10)
+
+
+@query(f"WITH {A.BM25} SELECT query_id, chunk_id, score, rank FROM bmr WHERE rank <= 20 AND query_id = 0")
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf).filter("query_id = 0"), 20)
+
+
+@query(
+    f"""WITH dw AS (SELECT doc_id AS chunk_id, unnest({A.WORDS.format('text')}) AS term FROM documents)
+    SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT term, chunk_id, count(*) AS tf FROM dw GROUP BY ALL) GROUP BY 1"""
+)
+def postings_stats(spark: SparkSession, sf: str) -> DataFrame:
+    postings, _ = retrieval.postings(A.text_rows(spark, sf))
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+_HYBRID = f"""{A.COSINE}, {A.BM25},
+vr AS (SELECT query_id // 100 AS query_id, chunk_id, {_TOP10} FROM cos),
+lists AS (SELECT query_id, 0 AS list_no, chunk_id, rank FROM vr WHERE rank <= 50 UNION ALL SELECT query_id, 1, chunk_id, rank FROM bmr WHERE rank <= 50),
+fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no * 1000000 + rank) AS first FROM lists GROUP BY ALL),
+hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM fused)"""
+
+
+def _hybrid_lists(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    dense = retrieval.search(A.vectors(spark, sf), A.vector_queries(spark, sf), k, 64).select((F.col("query_id") / 100).cast("long").alias("query_id"), F.lit(0).alias("list_no"), "chunk_id", "rank")
+    sparse = retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf), k).select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank")
+    return dense.unionByName(sparse)
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, chunk_id, score, rank FROM hy WHERE rank <= 10")
+def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    fused = ranking.reciprocal_rank(_hybrid_lists(spark, sf, 50), ["chunk_id"], ["query_id"])
+    return fused.filter("rank <= 10").select("query_id", "chunk_id", "score", "rank")
+
+
+@query(
+    f"""WITH {A.BM25}, l AS (SELECT query_id % 3 AS list_no, query_id % 3 * 100 + rank AS r, chunk_id % 50 AS item, rank FROM bmr WHERE rank <= 30 AND query_id < 3),
+    f AS (SELECT item, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no * 1000000 + rank) AS first FROM l GROUP BY 1)
+    SELECT item, score, row_number() OVER (ORDER BY score DESC, first, item) AS rank FROM f"""
+)
+def rrf_knowledge_key(spark: SparkSession, sf: str) -> DataFrame:
+    lists = retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf).filter("query_id < 3"), 30)
+    lists = lists.select((F.col("query_id") % 3).alias("list_no"), (F.col("chunk_id") % 50).alias("item"), "rank")
+    return ranking.reciprocal_rank(lists, ["item"]).select("item", "score", "rank")
+
+
+@query(
+    f"""WITH {A.COSINE}, r AS (SELECT label AS list_no, chunk_id, row_number() OVER (PARTITION BY label ORDER BY round(exact, 12) DESC, chunk_id) AS rank FROM cos WHERE query_id = 0),
+    f AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no * 1000000 + rank) AS first FROM r WHERE rank <= 10 GROUP BY 1)
+    SELECT * FROM (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, first, chunk_id) AS rank FROM f) WHERE rank <= 20"""
+)
+def rrf_cross_source(spark: SparkSession, sf: str) -> DataFrame:
+    from siltstone.functions.vectors import cosine
+
+    vectors = A.vectors(spark, sf)
+    one = vectors.filter("chunk_id = 0").select(F.col("vector").alias("__q"))
+    scored = vectors.join(F.broadcast(one)).select("label", "chunk_id", F.round(cosine(F.col("__q"), F.col("vector")), 12).alias("score"))
+    per_source = retrieval.top_k(scored, 10, ["label"]).select(F.col("label").alias("list_no"), "chunk_id", "rank")
+    return ranking.reciprocal_rank(per_source, ["chunk_id"]).filter("rank <= 20").select("chunk_id", "score", "rank")
+
+
+@query(
+    f"""WITH {A.BM25}, c AS (SELECT query_id, chunk_id, rank, (chunk_id * 7919 % 1000) / 1000.0::DOUBLE AS s FROM bmr WHERE rank <= 50),
+    x AS (SELECT *, count(*) OVER p AS n, min(s) OVER p AS lo, max(s) OVER p AS hi FROM c WINDOW p AS (PARTITION BY query_id)),
+    y AS (SELECT query_id, chunk_id, rank, CASE WHEN n > 1 THEN 1 - (rank - 1)::DOUBLE / (n - 1) ELSE 1.0 END AS place, CASE WHEN hi - lo < 1e-10 THEN 1.0 ELSE (s - lo) / (hi - lo) END AS scaled,
+          CASE WHEN rank <= 3 THEN 0.75::DOUBLE WHEN rank >= 11 THEN 0.4::DOUBLE ELSE 0.75::DOUBLE + (rank - 3) / 8.0::DOUBLE * (0.4::DOUBLE - 0.75::DOUBLE) END AS a FROM x),
+    z AS (SELECT query_id, chunk_id, rank, round(a * place + (1 - a) * scaled, 9) AS score FROM y)
+    SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM z) WHERE new_rank <= 10"""
+)
+def blend_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    lists = retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf), ranking.fetch_count(10, rerank=True))
+    scored = lists.select("query_id", "chunk_id", "rank", (F.col("chunk_id") * 7919 % 1000 / 1000.0).alias("rerank"))
+    return ranking.blend(scored, 10, ["query_id"]).select("query_id", "chunk_id", "score", "new_rank")
+
+
+_RELEVANT = f"""rel AS (SELECT DISTINCT item_id AS query_id, doc_id AS chunk_id FROM benchmark, documents WHERE contains(documents.text, benchmark.text))"""
+
+
+def _relevant(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a benchmark item's text: a stated query set against all rows."""
+    items = A.text_queries(spark, sf)
+    return A.text_rows(spark, sf).join(F.broadcast(items), F.contains(F.col("content"), F.col("query"))).select("query_id", "chunk_id").distinct()
+
+
+@query(f"WITH {A.BM25}, {_RELEVANT}, f AS (SELECT query_id, min(rank) AS r FROM bmr JOIN rel USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY 1) SELECT round(avg(coalesce(1.0::DOUBLE / r, 0)), 9) AS mrr, count(*) AS n_queries FROM (SELECT DISTINCT query_id FROM rel) LEFT JOIN f USING (query_id)")
+def mrr_at_10(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.mean_reciprocal_rank(retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf), 10), _relevant(spark, sf))
+
+
+@query(
+    f"""WITH {A.BM25}, {_RELEVANT}, h AS (SELECT query_id, count(*) AS hits FROM bmr JOIN rel USING (query_id, chunk_id) WHERE rank <= 5 GROUP BY 1)
+    SELECT query_id, coalesce(hits, 0)::BIGINT AS hits, n AS relevant, round(coalesce(hits, 0) / n::DOUBLE, 9) AS precision FROM (SELECT query_id, count(*) AS n FROM rel GROUP BY 1) LEFT JOIN h USING (query_id)"""
+)
+def precision_at_5(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.precision_at(retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf), 5), _relevant(spark, sf))
+
+
+_LOOKUP = "SELECT p_partkey, symbol_name, coalesce((SELECT list(branch ORDER BY CASE branch WHEN 'main' THEN 1 ELSE 2 END, branch) FROM tags t WHERE t.chunk_id = f.chunk_id), []::VARCHAR[]) AS branches FROM f"
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("p_partkey", "symbol_name", "branches")
+
+
+@query(f"WITH {A.SYMBOLS}, f AS (SELECT * FROM symbols WHERE symbol_name = 'Brand2.small_ring' ORDER BY language, item_path, start_line, chunk_id LIMIT 50) {_LOOKUP}")
+def lookup_symbol_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(lookup.lookup_symbol(A.symbols(spark, sf), A.symbol_tags(spark, sf), "Brand2.small_ring", match="exact"))
+
+
+@query(f"WITH {A.SYMBOLS}, f AS (SELECT * FROM symbols WHERE symbol_name LIKE '%.red_widget' AND chunk_id IN (SELECT chunk_id FROM tags WHERE branch = 'main') ORDER BY language, item_path, start_line, chunk_id LIMIT 200) {_LOOKUP}")
+def lookup_symbol_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(lookup.lookup_symbol(A.symbols(spark, sf), A.symbol_tags(spark, sf), " red_widget ", branch="main", limit=200))
+
+
+@query(f"WITH {A.SYMBOLS}, f AS (SELECT * FROM symbols WHERE lower(symbol_name) LIKE '%.red_widget' ORDER BY language, item_path, start_line, chunk_id LIMIT 50) {_LOOKUP}")
+def lookup_symbol_ci(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(lookup.lookup_symbol(A.symbols(spark, sf), A.symbol_tags(spark, sf), "RED_Widget", case_sensitive=False))
+
+
+# --- maintenance and jobs --------------------------------------------------
+
+
+@query(f"WITH {A.TAGS} SELECT chunk_id, item_path FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM tags)")
+def orphan_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.orphans(A.whole_chunks(spark, sf), A.tags(spark, sf)).select("chunk_id", "item_path")
+
+
+@query(
+    f"""WITH {A.TAGS}, r AS (SELECT source_id, count(*) AS n_rows, count(*) FILTER (WHERE chunk_id IN (SELECT chunk_id FROM tags)) AS tagged FROM chunks GROUP BY 1)
+    SELECT *, round((n_rows - tagged) / n_rows::DOUBLE, 9) AS ratio, (n_rows - tagged) / n_rows::DOUBLE > 0.15::DOUBLE AS due FROM r"""
+)
+def orphan_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.orphan_ratio(A.whole_chunks(spark, sf), A.tags(spark, sf))
+
+
+@query(f"WITH {A.TAGS}, t AS (SELECT * FROM tags WHERE branch <> 'dev') SELECT source_id, count(*) AS n_left FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM t) GROUP BY 1")
+def gc_effect(spark: SparkSession, sf: str) -> DataFrame:
+    left = maintenance.collect_garbage(A.whole_chunks(spark, sf), B.without_branch(A.tags(spark, sf), "dev"))
+    return left.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_left"))
+
+
+@query(f"WITH {A.TAGS} SELECT source_id, count(*) AS orphans FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM tags) GROUP BY 1")
+def gc_dry_run(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.collect_garbage(A.whole_chunks(spark, sf), A.tags(spark, sf), dry_run=True)
+
+
+@query(f"WITH {A.JOBS} SELECT job_id, project_id, queued_at FROM jobs WHERE status = 'done' ORDER BY queued_at DESC, job_id DESC LIMIT 200")
+def jobs_recent(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.recent_jobs(A.jobs(spark, sf), status="done").select("job_id", "project_id", "queued_at")
+
+
+@query(f"WITH {A.JOBS}, l AS (SELECT *, CASE WHEN status = 'running' THEN started_at ELSE queued_at END AS since FROM jobs WHERE status IN ('running', 'queued')) SELECT job_id, project_id, status, row_number() OVER (PARTITION BY status, project_id ORDER BY since, job_id) AS position FROM l")
+def queue_status(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.queue_status(A.jobs(spark, sf))
+
+
+_NOW = 1706832000000
+
+
+@query(
+    f"""WITH {A.JOBS}, over AS (SELECT * FROM jobs WHERE status IN ('done', 'failed', 'cancelled', 'interrupted')), newest AS (SELECT job_id FROM over ORDER BY finished_at DESC, job_id DESC LIMIT 1000)
+    SELECT job_id, status FROM jobs WHERE job_id NOT IN (SELECT job_id FROM over WHERE finished_at < {_NOW} - 7 * 86400000 AND job_id NOT IN (SELECT job_id FROM newest))"""
+)
+def prune_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.prune_jobs(A.jobs(spark, sf), _NOW).select("job_id", "status")
+
+
+@query(
+    f"""WITH {A.JOBS}, g AS (SELECT * FROM jobs WHERE type = 'gc' AND status IN ('done', 'failed'))
+    SELECT project_id, CASE WHEN arg_max(status, finished_at * 1000000 + job_id) = 'done' THEN max(finished_at) FILTER (WHERE status = 'done') END AS last_gc_at FROM g GROUP BY 1"""
+)
+def last_gc_time(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.last_gc(A.jobs(spark, sf))
+
+
+@query(
+    f"""WITH {A.JOBS}, t AS (SELECT job_id // 8 AS job, job_id % 8 AS task_no, status, CASE WHEN status = 'failed' THEN 'error ' || job_id END AS error FROM jobs)
+    SELECT job AS job_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'cancelled') THEN 'cancelled' ELSE 'done' END AS status, arg_min(error, task_no) FILTER (WHERE error IS NOT NULL) AS error FROM t GROUP BY 1"""
+)
+def job_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    error = F.when(F.col("status") == "failed", F.concat(F.lit("error "), F.col("job_id").cast("string")))
+    tasks = A.jobs(spark, sf).select((F.col("job_id") / 8).cast("long").alias("job_id"), (F.col("job_id") % 8).alias("task_no"), "status", error.alias("error"))
+    return maintenance.job_rollup(tasks)
+
+
+@query(f"WITH {A.JOBS} SELECT job_id, project_id, source_id, mode, branch FROM (SELECT *, row_number() OVER (PARTITION BY project_id, source_id, mode, branch ORDER BY queued_at, job_id) AS n FROM jobs WHERE status = 'queued') WHERE n > 1")
+def duplicate_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.duplicate_jobs(A.jobs(spark, sf))
+
+
+@query(f"WITH {A.JOBS} SELECT job_id, CASE WHEN status IN ('running', 'queued') AND project_id NOT IN ('p1', 'p2') THEN 'cancelled' WHEN status IN ('running', 'queued') THEN 'interrupted' ELSE status END AS status FROM jobs")
+def reconcile_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    known = spark.createDataFrame([("p1",), ("p2",)], "project_id string")
+    return maintenance.reconcile_jobs(A.jobs(spark, sf), known).select("job_id", "status")
+
+
+@query(f"WITH {A.JOBS} SELECT job_id, CASE WHEN type = 'gc' AND status = 'queued' AND project_id = 'p3' THEN 'cancelled' ELSE status END AS status FROM jobs")
+def preempt_gc(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.preempt_gc(A.jobs(spark, sf), "p3").select("job_id", "status")
+
+
+_OLD = """
+old AS (SELECT doc_id, 'p1' AS project_id, source AS source_id, CASE WHEN doc_id % 4 = 0 THEN 'tickets/' || doc_id ELSE 'f' || doc_id % 300 END AS item_path,
+  CASE WHEN doc_id % 8 = 0 THEN 'https://h/i#note_5' ELSE '' END AS item_url, 'code' AS item_type, lang AS language, text AS content,
+  sha256('p1' || chr(0) || source || chr(0) || lang || chr(0) || text) AS chunk_id FROM documents),
+moved AS (SELECT *, CASE WHEN doc_id % 8 = 0 THEN 'issues/' || doc_id || '#note_5' WHEN doc_id % 4 = 0 THEN 'issues/' || doc_id ELSE item_path END AS new_path FROM old),
+renamed AS (SELECT *, sha256(project_id || chr(0) || source_id || chr(0) || new_path || chr(0) || item_url || chr(0) || item_type || chr(0) || content) AS new_id FROM moved)"""
+
+
+def _old_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    number, ident = F.col("doc_id"), F.col("doc_id").cast("string")
+    path = F.when(number % 4 == 0, F.concat(F.lit("tickets/"), ident)).otherwise(F.concat(F.lit("f"), (number % 300).cast("string")))
+    url = F.when(number % 8 == 0, "https://h/i#note_5").otherwise("")
+    rows = A.read(spark, sf, "documents").select("doc_id", F.lit("p1").alias("project_id"), F.col("source").alias("source_id"), path.alias("item_path"), url.alias("item_url"), F.lit("code").alias("item_type"), F.col("lang").alias("language"), F.col("text").alias("content"))
+    return rows.withColumn("chunk_id", T.legacy_chunk_id(*(F.col(c) for c in ("project_id", "source_id", "language", "content"))))
+
+
+@query(f"WITH {_OLD} SELECT DISTINCT new_id AS chunk_id, new_path AS item_path FROM renamed")
+def rehash_migration(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, _ = maintenance.rehash(_old_chunks(spark, sf))
+    return chunks.select("chunk_id", "item_path")
+
+
+@query(
+    f"""WITH {_OLD}, m AS (SELECT chunk_id AS old_id, min(new_id) AS new_id FROM renamed GROUP BY 1), t AS (SELECT chunk_id, 'b' || doc_id % 2 AS branch FROM old UNION ALL SELECT 'x' || doc_id, 'b0' FROM old WHERE doc_id % 50 = 0)
+    SELECT DISTINCT coalesce(new_id, chunk_id) AS chunk_id, branch FROM t LEFT JOIN m ON chunk_id = old_id"""
+)
+def tag_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    old = _old_chunks(spark, sf)
+    _, mapping = maintenance.rehash(old)
+    tags = old.select("chunk_id", F.concat(F.lit("b"), (F.col("doc_id") % 2).cast("string")).alias("branch"))
+    tags = tags.unionByName(old.filter("doc_id % 50 = 0").select(F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit("b0").alias("branch")))
+    return maintenance.rewrite_tags(tags, mapping)
+
+
+@query(
+    """WITH s AS (SELECT source AS source_id, count(*) * 1000 AS n_chunks, min(doc_id) AS d FROM documents GROUP BY 1)
+    SELECT source_id, CASE WHEN d % 4 >= 2 THEN 'skip_current' WHEN d % 3 = 1 THEN 'skip_remote' WHEN d % 5 = 0 THEN 'skip_active' WHEN n_chunks >= 50000 THEN 'await_confirmation' ELSE 'enqueue' END AS decision FROM s"""
+)
+def schema_scan(spark: SparkSession, sf: str) -> DataFrame:
+    by = A.read(spark, sf, "documents").groupBy(F.col("source").alias("source_id")).agg((F.count(F.lit(1)) * 1000).alias("n_chunks"), F.min("doc_id").alias("d"))
+    sources = by.select("source_id", "n_chunks", (F.col("d") % 4).alias("schema_version"), F.when(F.col("d") % 3 == 1, "api").otherwise("local").alias("provider"), (F.col("d") % 5 == 0).alias("active_job"))
+    return maintenance.schema_scan(sources)
+
+
+@query(
+    """WITH s AS (SELECT source AS source_id, min(doc_id) AS d FROM documents GROUP BY 1)
+    SELECT source_id, list_concat(list_concat(CASE WHEN d * 3 > 20 THEN ['bloat'] ELSE []::VARCHAR[] END, CASE WHEN d % 3 < 2 THEN ['needs_migration'] ELSE []::VARCHAR[] END),
+      list_concat(CASE WHEN d % 4 = 1 THEN ['corrupt'] ELSE []::VARCHAR[] END, CASE WHEN d % 2 = 1 THEN ['model_mismatch'] ELSE []::VARCHAR[] END)) AS flags FROM s"""
+)
+def source_flags(spark: SparkSession, sf: str) -> DataFrame:
+    d = A.read(spark, sf, "documents").groupBy(F.col("source").alias("source_id")).agg(F.min("doc_id").alias("d"))
+    return maintenance.source_flags(
+        d.select("source_id", (F.col("d") * 3).alias("versions"), (F.col("d") % 3).alias("scheme"), F.when(F.col("d") % 4 == 1, "schema_unreadable").otherwise("healthy").alias("health"), (F.col("d") % 2).alias("model"), F.lit(0).alias("configured_model"))
+    )
+
+
+@query(
+    """WITH m AS (SELECT 't' || doc_id % 25 AS table_name, doc_id % 10 = 0 AS is_manifest, CASE WHEN doc_id % 100 = 0 THEN 0 ELSE n_chars END AS size, CASE WHEN doc_id % 25 = 3 THEN 128 ELSE 64 END AS dims, doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 97 <> 4) AS there FROM documents)
+    SELECT table_name, CASE WHEN bool_or(is_manifest AND size = 0) THEN 'schema_unreadable' WHEN bool_or(NOT is_manifest AND NOT there) THEN 'manifest_missing_data' WHEN max(dims) <> 64 THEN 'dim_mismatch' ELSE 'healthy' END AS health FROM m GROUP BY 1"""
+)
+def health_probe(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    docs = A.read(spark, sf, "documents")
+    manifest = docs.select(
+        F.concat(F.lit("t"), (d % 25).cast("string")).alias("table_name"), d.alias("path"), (d % 10 == 0).alias("is_manifest"), F.when(d % 100 == 0, 0).otherwise(F.col("n_chars")).alias("size"), F.when(d % 25 == 3, 128).otherwise(64).alias("dims"), F.lit(1).alias("n_rows")
+    )
+    return maintenance.health(manifest, docs.filter(d % 97 != 4).select(d.alias("path")), 64)
+
+
+@query("SELECT count(*) FILTER (WHERE event_id % 4 = 0) AS n_ok, count(*) FILTER (WHERE event_id % 4 = 1) AS n_warn, count(*) FILTER (WHERE event_id % 4 = 2) AS n_fail, count(*) FILTER (WHERE event_id % 4 = 3) AS n_skip FROM events")
+def doctor_summary(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.get(F.array(*map(F.lit, ("ok", "warn", "fail", "skip"))), F.col("event_id") % 4)
+    return maintenance.check_counts(A.read(spark, sf, "events").select(status.alias("status")))
+
+
+@query("SELECT source AS source_id, count(*) * 500 AS tokens FROM documents GROUP BY 1")
+def token_cost(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.token_cost(A.read(spark, sf, "documents").select(F.col("source").alias("source_id")))
+
+
+@query("SELECT n AS seq, 'm' || n AS migration_id FROM (SELECT unnest(range(1, 12)) AS n) WHERE n NOT IN (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id % 3 = 0)")
+def pending_migrations(spark: SparkSession, sf: str) -> DataFrame:
+    ledger = spark.range(1, 12).select(F.col("id").alias("seq"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("migration_id"))
+    applied = A.read(spark, sf, "events").filter("event_type = 'signup' AND user_id % 3 = 0").select(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("migration_id")).distinct()
+    return maintenance.pending_migrations(ledger, applied)
+
+
+# --- events in time --------------------------------------------------------
+
+_SESSIONS = """
+s AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < {gap} * 1000000::BIGINT THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+t AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM s)"""
+
+
+@query(f"WITH {_SESSIONS.format(gap=3600)} SELECT user_id, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n_events FROM t GROUP BY user_id, n")
+def debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return temporal.sessions(A.read(spark, sf, "events"), 3600, ["user_id"])
+
+
+@query(f"WITH {_SESSIONS.format(gap=300)} SELECT user_id, max(ts) + INTERVAL 300 SECOND AS fires_at FROM t GROUP BY user_id, n")
+def idle_trigger(spark: SparkSession, sf: str) -> DataFrame:
+    return temporal.idle_triggers(A.read(spark, sf, "events"), 300, ["user_id"])
+
+
+@query(
+    """WITH RECURSIVE a AS (SELECT event_type AS table_name, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, event_id AS seq, (user_id * 13)::BIGINT AS added, (event_id * 2)::BIGINT AS total, event_id % 211 = 0 AS "full" FROM events),
+    f AS (SELECT table_name, k, seq, added AS pending, "full" OR added >= greatest(1000, floor(total * 0.2)) AS due FROM a WHERE k = 1
+      UNION ALL SELECT a.table_name, a.k, a.seq, p, "full" OR p >= greatest(1000, floor(total * 0.2)) FROM (SELECT a.*, CASE WHEN f.due THEN 0 ELSE f.pending END + a.added AS p FROM f JOIN a ON a.table_name = f.table_name AND a.k = f.k + 1) a)
+    SELECT table_name, seq, pending, due FROM f"""
+)
+def rebuild_cadence(spark: SparkSession, sf: str) -> DataFrame:
+    events = A.read(spark, sf, "events")
+    adds = events.select(F.col("event_type").alias("table_name"), F.col("event_id").alias("seq"), (F.col("user_id") * 13).alias("added"), (F.col("event_id") * 2).alias("total"), (F.col("event_id") % 211 == 0).alias("full"))
+    return temporal.rebuild_marks(adds)
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT user_id FROM events), d AS (SELECT 's' || user_id % 4 AS source_id, 'b' || user_id AS branch, CASE WHEN user_id % 5 <> 0 THEN 'sha' || user_id % 9 END AS sha, CASE WHEN user_id % 3 <> 0 THEN 'sha' || user_id % 2 END AS last, user_id % 2 = 0 AS has FROM b)
+    SELECT source_id, branch, CASE WHEN sha IS NULL THEN 'warn_no_remote' WHEN last IS NULL AND has THEN 'baseline' WHEN last IS NULL THEN 'enqueue' WHEN sha <> last THEN 'enqueue' ELSE 'up_to_date' END AS decision FROM d"""
+)
+def fetch_decision(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.col("user_id")
+    pinned = A.read(spark, sf, "events").select("user_id").distinct().select("user_id", F.concat(F.lit("s"), (u % 4).cast("string")).alias("source_id"), F.concat(F.lit("b"), u.cast("string")).alias("branch"))
+    remotes = pinned.filter(u % 5 != 0).withColumn("sha", F.concat(F.lit("sha"), (u % 9).cast("string")))
+    state = pinned.filter(u % 3 != 0).withColumn("last_indexed_sha", F.concat(F.lit("sha"), (u % 2).cast("string")))
+    return temporal.fetch_decisions(pinned, remotes, state, pinned.filter(u % 2 == 0))
+
+
+@query(
+    """WITH l AS (SELECT event_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t0 FROM events WHERE event_type = 'error'), r AS (SELECT event_id AS sample_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS ts_s FROM events WHERE event_type = 'view'),
+    n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(t0 - ts_s), ts_s) AS k FROM l JOIN r ON abs(t0 - ts_s) <= 600)
+    SELECT l.event_id, sample_id FROM l LEFT JOIN (SELECT * FROM n WHERE k = 1) n USING (event_id)"""
+)
+def nearest_sample(spark: SparkSession, sf: str) -> DataFrame:
+    events = A.read(spark, sf, "events").withColumn("s", A.millis("ts") / 1000.0)
+    left = events.filter("event_type = 'error'").select("event_id", F.col("s").alias("at"))
+    right = events.filter("event_type = 'view'").select(F.col("event_id").alias("sample_id"), F.col("s").alias("ts_s"))
+    return temporal.nearest(left, right, 600.0, "event_id").select("event_id", "sample_id")
+
+
+@query(
+    """WITH p AS (SELECT event_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t0 FROM events WHERE event_type = 'error'), s AS (SELECT event_id AS span_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS a, (epoch_us(ts) // 1000) / 1000.0::DOUBLE + value * 10 AS b FROM events WHERE event_type = 'purchase')
+    SELECT event_id, span_id, a <= t0 AND b >= t0 AS holds FROM p JOIN s ON (a <= t0 AND b >= t0) OR abs(a - t0) <= 120 OR abs(b - t0) <= 120"""
+)
+def active_spans(spark: SparkSession, sf: str) -> DataFrame:
+    events = A.read(spark, sf, "events").withColumn("s", A.millis("ts") / 1000.0)
+    points = events.filter("event_type = 'error'").select("event_id", F.col("s").alias("at"))
+    spans = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("span_id"), F.col("s").alias("start_s"), (F.col("s") + F.col("value") * 10).alias("end_s"))
+    return temporal.near_spans(points, spans, 120.0, "event_id")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS segment, max(value) AS peak, round(sum(value), 6) AS total, count(*) AS n FROM events GROUP BY 1, 2")
+def peak_by_session(spark: SparkSession, sf: str) -> DataFrame:
+    return temporal.peak_by_segment(A.read(spark, sf, "events"), 3600, ["event_type"], "value")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def recent_events(spark: SparkSession, sf: str) -> DataFrame:
+    return A.read(spark, sf, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
+
+
+@query("SELECT event_id, least(30 * pow(2, event_id % 12), 600)::BIGINT AS backoff_s FROM events")
+def poll_backoff(spark: SparkSession, sf: str) -> DataFrame:
+    return A.read(spark, sf, "events").select("event_id", F.least(F.lit(30) * F.pow(F.lit(2), F.col("event_id") % 12), F.lit(600)).cast("long").alias("backoff_s"))
+
+
+@query(
+    """WITH k AS (SELECT DISTINCT event_type AS known FROM events), t AS (SELECT DISTINCT substr(event_type, 1, 4) || 'k' AS typed FROM events),
+    c AS (SELECT typed, known, levenshtein(typed, known) AS d FROM t, k)
+    SELECT typed, arg_min(known, d * 1000 + ascii(known)) AS suggestion FROM c WHERE d <= 3 GROUP BY 1"""
+)
+def name_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    known = A.read(spark, sf, "events").select(F.col("event_type").alias("known")).distinct()
+    typed = known.select(F.concat(F.substring("known", 1, 4), F.lit("k")).alias("typed")).distinct()
+    d = F.levenshtein("typed", "known")
+    near = typed.join(F.broadcast(known), d <= 3)  # the vocabulary of parameter names: a handful
+    return near.groupBy("typed").agg(F.min_by("known", d * 1000 + F.ascii("known")).alias("suggestion"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid search: vector and full-text lists of each query, fused."""
+    return rrf_hybrid(spark, sf)
