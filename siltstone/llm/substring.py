@@ -13,7 +13,8 @@ id; the others are covered whole by it.  Counting is by partial aggregation
 keyed by window hash; joins that bring the smallest id back to the windows have
 one row a hash on one side, so a passage of a third of all documents is split by
 the engine's skew handling.  Level one uses 64-bit hashes (a collision there
-only lets a candidate through), level two 128 bits.
+only lets a candidate through), level two 96 bits: of 10**13 windows no two are
+then likely to meet by chance.
 
 Defined results: a null text has no words; every input row gives one row; rows
 that repeat an id and text give equal rows, and where such texts differ the
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import discard, materialise, small_batches
 
 #: Words of a window, and of the windows of the level before.
 LENGTH, HALF = 13, 7
@@ -120,52 +121,63 @@ def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of thirteen whose anchor survived, of rows that stand for their word sequence."""
-    names = ["doc_id", "w1", "w2", "start"]
+    """The windows of thirteen whose anchor survived; ``later`` if a smaller id has the anchor."""
+    names, types = ["w1", "w2", "doc_id", "start", "later"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+
+    def batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
     for b in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[] for _ in names]
         size = 0
-        for doc_id, text, k1, k2, alive in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
-            words = split(text)
-            if _key(words) != (k1, k2):
-                continue
-            h = word_hashes(words)
-            starts = np.flatnonzero(np.isin(_long(anchors(h)), alive.values.to_numpy()))
-            for column, values in zip(out, (np.full(len(starts), doc_id), _long(window_hashes(h, LENGTH, _B1)[starts]), _long(window_hashes(_mixed(h), LENGTH, _B2)[starts]), starts), strict=True):
+        for doc_id, text, first, later in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            h = word_hashes(split(text))
+            least = _long(anchors(h))
+            behind = np.isin(least, later.values.to_numpy())
+            starts = np.flatnonzero(behind | np.isin(least, first.values.to_numpy()))
+            w2 = (window_hashes(_mixed(h), LENGTH, _B2)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for column, values in zip(out, (_long(window_hashes(h, LENGTH, _B1)[starts]), w2, np.full(len(starts), doc_id), starts.astype(np.int32), behind[starts]), strict=True):
                 column.append(values)
             size += len(starts)
             if size > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=names)
-                out, size = [[], [], [], []], 0
+                yield batch(out)
+                out, size = [[] for _ in names], 0
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=names)
+            yield batch(out)
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(windows, copies).
 
-    windows: doc_id, k1, k2, starts of the windows of thirteen that also start in
-    a document of smaller id, for the row that stands for its word sequence;
-    copies: doc_id, k1, k2 of rows covered whole by a row of smaller id.
+    windows: doc_id, starts of the windows of thirteen that also start in a
+    document of smaller id, for the documents that stand for their word
+    sequence; copies: doc_id of documents covered whole by one of smaller id.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     level1 = materialise(_rows(docs).mapInArrow(_first_level, "doc_id long, k1 long, k2 long, anchors array<long>"), "substring-level1")
     key = ["k1", "k2"]
-    first = level1.groupBy(*key).agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last"), F.count(F.lit(1)).alias("__n"))
-    copies = materialise(level1.select("doc_id", *key).join(first.filter("__first < __last"), key).filter("doc_id > __first").select("doc_id", *key).distinct(), "substring-copies")
-    standing = level1.filter("doc_id is not null").join(copies.hint("merge"), ["doc_id", *key], "left_anti")
-
-    seen = standing.select("doc_id", F.explode("anchors").alias("h"))
-    repeated = materialise(seen.groupBy("h").agg(F.min("doc_id").alias("__a"), F.max("doc_id").alias("__b")).filter("__a < __b").select("h"), "substring-repeated")
-    alive = standing.select("doc_id", *key, F.explode("anchors").alias("h")).join(repeated.hint("merge"), "h").groupBy("doc_id", *key).agg(F.collect_set("h").alias("__alive"))
-    windows = materialise(_rows(docs).join(alive.hint("merge"), "doc_id").select("doc_id", "text", *key, "__alive").mapInArrow(_second_level, "doc_id long, w1 long, w2 long, start long"), "substring-level2")
-
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("__a"), F.max("doc_id").alias("__b")).filter("__a < __b")
-    later = windows.join(least.hint("merge"), ["w1", "w2"]).filter("doc_id > __a").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    return materialise(later, "substring-covered"), copies
-
-
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    first = level1.groupBy(*key).agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last")).filter("__first < __last")
+    copies = materialise(level1.select("doc_id", *key).join(first.hint("merge"), key).filter("doc_id > __first").select("doc_id").distinct(), "substring-copies")
+
+    # An anchor survives if two different word sequences have it.
+    seen = level1.filter("doc_id is not null").select("doc_id", "k1", F.explode("anchors").alias("h"))
+    repeated = seen.groupBy("h").agg(F.min("k1").alias("__a"), F.max("k1").alias("__b"), F.min("doc_id").alias("__first")).filter("__a < __b").select("h", "__first")
+    repeated = materialise(repeated, "substring-repeated")
+    discard(spark)
+    alive = seen.select("doc_id", "h").join(repeated.hint("merge"), "h")
+    per_doc = alive.groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id") == F.col("__first"), F.col("h"))).alias("__own"), F.collect_set(F.when(F.col("doc_id") > F.col("__first"), F.col("h"))).alias("__later"))
+    standing = materialise(per_doc.join(copies.hint("merge"), "doc_id", "left_anti"), "substring-alive")
+    discard(spark, level1, repeated)
+    extended = _rows(docs).join(standing.hint("merge"), "doc_id").select("doc_id", "text", "__own", "__later")
+    windows = materialise(extended.mapInArrow(_second_level, "w1 long, w2 int, doc_id long, start int, later boolean"), "substring-level2")
+    discard(spark, standing)
+
+    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("__a"), F.max("doc_id").alias("__b")).filter("__a < __b").drop("__b")
+    later = windows.filter("later").select("w1", "w2", "doc_id", "start").join(least.hint("merge"), ["w1", "w2"]).filter("doc_id > __a")
+    covered = materialise(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "substring-covered")
+    discard(spark, windows)
+    return covered, copies
 
 
 def _covered(n: int, starts: np.ndarray) -> np.ndarray:
@@ -199,7 +211,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept: each document without the words of its repeated windows."""
     windows, copies = repeated_windows(docs)
     keyed = _rows(docs)
-    whole = copies.groupBy("doc_id").agg(F.lit(True).alias("__copy"))
+    whole = copies.withColumn("__copy", F.lit(True))
     return keyed.join(windows.hint("merge"), "doc_id", "left").join(whole.hint("merge"), "doc_id", "left").select("doc_id", "text", "starts", F.coalesce("__copy", F.lit(False)).alias("__copy")).mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string")
 
 
