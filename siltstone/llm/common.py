@@ -66,20 +66,30 @@ def crc_bucket(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % n
 
 
-def labelled_sample(rows: DataFrame, label: str, per_class: int, max_classes: int, max_chars: int) -> list[tuple[str, str]]:
-    """(text, label) of at most ``per_class`` whole texts for each of the ``max_classes`` commonest labels.
+def choose_ids(ids: DataFrame, per_class: int, max_classes: int) -> DataFrame | None:
+    """At most ``per_class`` ids for each of the ``max_classes`` commonest labels of ``ids`` (doc_id, __label).
 
-    ``rows`` has doc_id, text and the label.  Texts over ``max_chars`` are not
-    candidates.  The choice is by a hash of the id, so it does not depend on
-    partitions; only ids are ranked, and the chosen ones (a bounded number)
-    fetch their texts.
+    The choice is by a hash of the id, so it does not depend on partitions.  Of
+    a class of n ids, those of a hash range that holds about twice as many as
+    are wanted are ranked, so no task ever gets a whole class.
     """
-    usable = rows.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    ids = usable.select("doc_id", F.col(label).alias("__label"), F.xxhash64("doc_id", F.lit(17)).alias("__order"))
-    common = [r[0] for r in ids.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(max_classes).collect()]
-    if not common:
+    order = F.xxhash64("doc_id", F.lit(17))
+    counts = ids.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__label").limit(max_classes).collect()
+    if not counts:
+        return None
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("__label") == r["__label"], min(1.0, (2 * per_class + 200) / r["n"])).otherwise(share)
+    near = ids.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).distinct()
+    rank = F.row_number().over(Window.partitionBy("__label").orderBy(order, "doc_id"))
+    return near.withColumn("__rank", rank).filter(F.col("__rank") <= per_class).drop("__rank")
+
+
+def labelled_sample(rows: DataFrame, label: str, per_class: int, max_classes: int, max_chars: int) -> list[tuple[str, str]]:
+    """(text, label) of a bounded choice of whole texts of at most ``max_chars`` characters; see ``choose_ids``."""
+    usable = rows.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)).withColumnRenamed(label, "__label")
+    chosen = choose_ids(usable.select("doc_id", "__label"), per_class, max_classes)
+    if chosen is None:
         return []
-    rank = F.row_number().over(Window.partitionBy("__label").orderBy("__order", "doc_id"))
-    chosen = ids.filter(F.col("__label").isin(common)).distinct().withColumn("__rank", rank).filter(F.col("__rank") <= per_class).select("doc_id", "__label")
-    found = usable.select("doc_id", "text", F.col(label).alias("__label")).join(F.broadcast(chosen), ["doc_id", "__label"], "left_semi")
+    found = usable.join(F.broadcast(chosen), ["doc_id", "__label"], "left_semi")
     return sorted({(r["text"], r["__label"]) for r in found.select("text", "__label").collect()})

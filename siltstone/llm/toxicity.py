@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, small_batches
+from .common import choose_ids, crc_bucket, small_batches
 
 #: Bound of the training sample: texts per label, characters of a text.
 PER_LABEL, MAX_CHARS = 1500, 20_000
@@ -271,12 +271,14 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     label = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("string").alias("__toxic"))
     label = label.filter((crc_bucket("doc_id", modulus) != held_out) & F.col("__toxic").isin("0", "1"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lengths = rows.select("doc_id", F.length("text").alias("__chars")).join(label, "doc_id").filter(F.col("__chars") <= MAX_CHARS)
-    # Only ids and labels are joined at first; the sample's ids then fetch their texts.
-    order = F.row_number().over(Window.partitionBy("__toxic").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id"))
-    chosen = lengths.select("doc_id", "__toxic").distinct().withColumn("__rank", order).filter(F.col("__rank") <= PER_LABEL).select("doc_id", "__toxic")
-    found = rows.join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= MAX_CHARS)
-    return Model(sorted({(r["text"], r["__toxic"]) for r in found.select("text", "__toxic").collect()}))
+    # Ids and lengths meet the labels; only the chosen ids, a bounded number, fetch texts.
+    short = F.length("text") <= MAX_CHARS
+    ids = rows.filter(short & F.col("doc_id").isNotNull()).select("doc_id").join(label, "doc_id").withColumnRenamed("__toxic", "__label")
+    chosen = choose_ids(ids, PER_LABEL, 2)
+    if chosen is None:
+        return Model([])
+    found = rows.filter(short).join(F.broadcast(chosen), "doc_id")
+    return Model(sorted({(r["text"], r["__label"]) for r in found.select("text", "__label").collect()}))
 
 
 def score(docs: DataFrame, model: Model, modulus: int = 5, held_out: int = 0) -> DataFrame:
