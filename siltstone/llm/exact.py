@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,17 +76,20 @@ def fingerprint(raw: bytes) -> tuple[int, int, int]:
     return out
 
 
+#: Gives (h1, h2, length) of some bytes.
+Hash = Callable[[bytes], tuple[int, int, int]]
+
 _DIGEST = "doc_id long, h1 long, h2 long, n_bytes long, text_sha256 string"
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, hashed: Hash = fingerprint) -> DataFrame:
     """doc_id, h1, h2, n_bytes, text_sha256 of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [normalise(t).encode() for t in b.column(1).to_pylist()]
-            f = [fingerprint(r) for r in raw]
+            f = [hashed(r) for r in raw]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array([x[i] for x in f], pa.int64()) for i in range(3)), pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string())],
                 names=["doc_id", "h1", "h2", "n_bytes", "text_sha256"],
@@ -95,7 +98,7 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DIGEST)
 
 
-def _chunks(members: DataFrame) -> DataFrame:
+def _chunks(members: DataFrame, hashed: Hash) -> DataFrame:
     """One row per compared chunk of a member's text; rows of another text under the same id are passed over."""
     small_batches(members.sparkSession, 64)
 
@@ -105,7 +108,7 @@ def _chunks(members: DataFrame) -> DataFrame:
             size = 0
             for doc_id, text, rep, h1, h2, n in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 norm = normalise(text)
-                if fingerprint(norm.encode()) != (h1, h2, n):
+                if hashed(norm.encode()) != (h1, h2, n):
                     continue
                 for k in range(max(1, -(-len(norm) // COMPARED))):
                     part = norm[k * COMPARED : (k + 1) * COMPARED]
@@ -123,7 +126,7 @@ def _chunks(members: DataFrame) -> DataFrame:
     return members.select("doc_id", "text", "rep", "h1", "h2", "n_bytes").mapInArrow(run, "doc_id long, rep long, h1 long, h2 long, n_bytes long, k long, part string")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hashed: Hash = fingerprint) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
 
     Joins with texts are sort-merge joins at every size.  Only digests are grouped, with partial sums before the shuffle.  Joins that
@@ -133,11 +136,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     (two texts of one fingerprint) is grouped anew by its SHA-256.
     """
     key = ["h1", "h2", "n_bytes"]
-    all_digests = materialise(digests(docs), "exact-digests")
+    all_digests = materialise(digests(docs, hashed), "exact-digests")
     shared = all_digests.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min("doc_id").alias("rep")).filter("__n > 1 and rep is not null").drop("__n")
     members = materialise(all_digests.join(shared.hint("merge"), key).filter("doc_id is not null").select("doc_id", "rep", *key).distinct(), "exact-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("merge"), "doc_id")
-    chunks = materialise(_chunks(texts), "exact-chunks")
+    chunks = materialise(_chunks(texts, hashed), "exact-chunks")
     first = chunks.filter("doc_id = rep").select("rep", *key, "k", F.col("part").alias("rep_part")).dropDuplicates(["rep", *key, "k"])
     unequal = materialise(chunks.filter("doc_id <> rep").join(first, ["rep", *key, "k"], "left").filter("not (part <=> rep_part)").select("doc_id", *key, F.lit(True).alias("__apart")).distinct(), "exact-unequal")
     classed = all_digests.join(unequal, ["doc_id", *key], "left").withColumn("__sub", F.when(F.col("__apart"), F.col("text_sha256")).otherwise(""))
