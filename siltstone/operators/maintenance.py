@@ -168,3 +168,25 @@ def main_language(files: DataFrame) -> DataFrame:
 
 def token_cost(chunks: DataFrame, per_chunk: int = 500) -> DataFrame:
     return chunks.groupBy("source_id").agg((F.count(F.lit(1)) * per_chunk).alias("tokens"))
+
+
+def upgrade_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs of the third store version get the type and result columns of the fourth."""
+    out = jobs if "type" in jobs.columns else jobs.withColumn("type", F.lit("reindex"))
+    return out if "result" in out.columns else out.withColumn("result", F.lit(None).cast("string"))
+
+
+def store_steps(version: int | None) -> list[str]:
+    """What opening a store of an older version asks for, in order."""
+    version = version or 0
+    return (["reset"] if version < 2 else []) + (["upgrade_jobs"] if version < 4 else [])
+
+
+def to_refetch(sources: DataFrame) -> DataFrame:
+    """Knowledge sources whose table is of an older schema: it is recreated, the cursor cleared, the tags wiped."""
+    return sources.filter((F.col("profile") == "text") & (F.coalesce("knowledge_schema_version", F.lit(0)) < SCHEMA_VERSION)).select("project_id", "source_id")
+
+
+def unreferenced(folders: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Index folders (path, bytes) that no kept manifest (path) names."""
+    return folders.join(manifests.select("path"), "path", "left_anti")

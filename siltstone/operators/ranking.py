@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
@@ -68,3 +68,26 @@ def recall_of(found: DataFrame, truth: DataFrame) -> DataFrame:
     hit = truth.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits")).withColumn("__one", F.lit(1))
     all_ = truth.agg(F.count(F.lit(1)).alias("total")).withColumn("__one", F.lit(1))
     return hit.join(all_, "__one").select("hits", "total", F.round(F.col("hits") / F.col("total"), 6).alias("recall"))
+
+
+#: Characters of a passage that a scorer reads.
+PASSAGE_CHARS = 1500
+
+
+def lexical_scores(rows: DataFrame, query: str) -> DataFrame:
+    """chunk_id, rerank: the share of the query's words in the passage's beginning, a deterministic stand-in for a cross-encoder."""
+    from .retrieval import tokens
+
+    asked = F.array_distinct(tokens(F.lit(query)))
+    words = F.array_distinct(tokens(F.substring("content", 1, PASSAGE_CHARS)))
+    share = F.size(F.array_intersect(asked, words)) / F.greatest(F.size(asked), F.lit(1))
+    return rows.select("chunk_id", share.alias("rerank"))
+
+
+def score_of_logits(logits: Column) -> Column:
+    """One logit is the score; of two or more it is the second's softmax; what is not finite counts 0."""
+    top = F.array_max(logits)
+    spread = F.transform(logits, lambda x: F.exp(x - top))
+    soft = F.try_element_at(spread, F.lit(2)) / F.aggregate(spread, F.lit(0.0), lambda s, x: s + x)
+    score = F.when(F.size(logits) == 1, F.try_element_at(logits, F.lit(1))).otherwise(soft)
+    return F.when(score.isNull() | F.isnan(score) | (F.abs(score) == float("inf")), 0.0).otherwise(score)

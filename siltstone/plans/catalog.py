@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import branches as B
-from siltstone.operators import changes, chunking, lookup, maintenance, ranking, retrieval, temporal
+from siltstone.operators import changes, chunking, lookup, maintenance, ranking, retrieval, scheduling, temporal
+from siltstone.sources import discovery, issues
 from siltstone.sources import files as S
-from siltstone.sources import issues
 
 from . import adapters as A
 
@@ -765,6 +765,46 @@ def name_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return near.groupBy("typed").agg(F.min_by("known", d * 1000 + F.ascii("known")).alias("suggestion"))
 
 
+@query(
+    f"""WITH {A.JOBS}, live AS (SELECT * FROM jobs WHERE status = 'running' AND job_id < 12), known AS (SELECT * FROM jobs WHERE project_id NOT IN ('p4', 'p7')), idle AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY queued_at, job_id) AS n FROM known WHERE status = 'queued' AND project_id NOT IN (SELECT project_id FROM live)),
+    line AS (SELECT job_id, row_number() OVER (ORDER BY queued_at, job_id) AS k FROM idle WHERE n = 1)
+    SELECT job_id, CASE WHEN project_id IN ('p4', 'p7') THEN 'fail' WHEN job_id IN (SELECT job_id FROM line WHERE k <= 4 - (SELECT count(*) FROM live)) THEN 'start' ELSE 'wait' END AS decision FROM jobs WHERE status = 'queued'"""
+)
+def admit_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = A.jobs(spark, sf).filter("status <> 'running' OR job_id < 12")
+    return scheduling.admit(jobs, A.jobs(spark, sf).filter("project_id NOT IN ('p4', 'p7')"), 4)
+
+
+@query(
+    """WITH s AS (SELECT user_id AS source_id, 'h' || user_id % 6 AS host, user_id % 2 = 0 AS hot, user_id % 4 AS failures, max(epoch_us(ts) // 1000000) AS last FROM events GROUP BY user_id),
+    d AS (SELECT * FROM s WHERE 1706659200 - last >= CASE WHEN failures > 0 THEN 30 * pow(2, failures - 1) WHEN hot THEN 900 ELSE 3600 END),
+    n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY last, source_id) AS k FROM d) SELECT source_id, host FROM n WHERE k = 1 ORDER BY last, source_id LIMIT 2"""
+)
+def due_polls(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.col("source_id")
+    by = A.read(spark, sf, "events").groupBy(F.col("user_id").alias("source_id")).agg(F.floor(F.max(A.millis("ts")) / 1000).alias("last_poll_at"))
+    return scheduling.due_polls(by.select(u, F.concat(F.lit("h"), (u % 6).cast("string")).alias("host"), (u % 2 == 0).alias("hot"), (u % 4).alias("failures"), "last_poll_at"), 1706659200)
+
+
+@query(
+    """WITH r AS (SELECT source AS root, lang, count(*) AS n FROM documents WHERE lang <> 'es' GROUP BY ALL), t AS (SELECT root, sum(n)::BIGINT AS n_files, max(n) AS a, list_sort(list(n)) AS l, arg_max(CASE lang WHEN 'en' THEN 'markdown' WHEN 'fr' THEN 'typescript' ELSE 'python' END, n * 10 + CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END) AS first FROM r GROUP BY 1)
+    SELECT root, n_files, CASE WHEN len(l) = 1 OR l[-1] > 1.5 * l[-2] THEN first ELSE 'mixed' END AS language FROM t"""
+)
+def discover_repositories(spark: SparkSession, sf: str) -> DataFrame:
+    files = A.files(spark, sf).select(F.regexp_replace("item_path", "^docs/", "").alias("item_path"))
+    heads = files.select(F.concat(F.regexp_extract("item_path", "^([^/]+)/", 1), F.lit("/.git/HEAD")).alias("item_path")).distinct()
+    return discovery.repositories(files.unionByName(heads))
+
+
+@query(
+    f"""WITH q AS (SELECT {A.WORDS.format('text')} AS w FROM benchmark WHERE item_id = 0), d AS (SELECT doc_id AS chunk_id, {A.WORDS.format("substr(text, 1, 1500)")} AS w FROM documents)
+    SELECT chunk_id, round(len(list_intersect(list_distinct(d.w), list_distinct(q.w))) / len(list_distinct(q.w))::DOUBLE, 9) AS rerank FROM d, q"""
+)
+def lexical_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    text = A.text_queries(spark, sf).filter("query_id = 0").first()["query"]
+    return ranking.lexical_scores(A.text_rows(spark, sf), text).withColumn("rerank", F.round("rerank", 9))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search: vector and full-text lists of each query, fused."""
     return rrf_hybrid(spark, sf)
