@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: a batch of long texts must fit beside others in a Python worker.
-ARROW_ROWS = 256
+ARROW_ROWS = 128
 
 _own_dir: str | None = None
 

@@ -101,4 +101,4 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that contain no item; rows with a null id stay."""
     found = materialise(search(docs, items, threshold).select(F.col("doc_id").alias("__id")).distinct(), "contamination-found")
-    return docs.join(found, docs["doc_id"].cast("long") == found["__id"], "left_anti")
+    return docs.join(found.hint("merge"), docs["doc_id"].cast("long") == found["__id"], "left_anti")

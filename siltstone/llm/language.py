@@ -163,12 +163,13 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with a language, ``lang`` being the predicted one; those without a letter go."""
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    text_at, lang_at = names.index("text"), names.index("lang")
 
-    @F.pandas_udf("string")
-    def predicted(texts):
-        import pandas as pd
-
-        return pd.Series([lang for lang, _ in shipped.value.predict([t if isinstance(t, str) else None for t in texts])], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [lang for lang, _ in shipped.value.predict(b.column(text_at).to_pylist())]
+            columns = [pa.array(found, b.column(i).type) if i == lang_at else b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([lang != UNDETERMINED for lang in found], pa.bool_()))
 
-    name = "__lang_pred"
-    return docs.withColumn(name, predicted("text")).filter(F.col(name) != UNDETERMINED).withColumn("lang", F.col(name)).drop(name)
+    return docs.mapInArrow(run, docs.schema)
