@@ -52,26 +52,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFra
         for at in range(0, len(q), 256):
             part = q.iloc[at : at + 256]
             score = np.round(unit(part["vector"]) @ x.T, 12)
-            for row, query in zip(score, part["query_id"], strict=True):
-                # All rows at or over the k-th score, so that ties are decided by id over the whole table.
-                bar = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                best = np.flatnonzero(row >= bar)
-                best = best[np.lexsort((ids[best], -row[best]))][:k]
-                out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[best], "score": row[best]}))
+            # All rows at or over the k-th score, so that ties are decided by id over the whole table.
+            bar = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+            row, column = np.nonzero(score >= bar[:, None])
+            order = np.lexsort((column, -score[row, column], row))
+            row, column = row[order], column[order]
+            first = np.searchsorted(row, np.arange(len(part)))
+            keep = np.arange(len(row)) - first[row] < k
+            row, column = row[keep], column[keep]
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "chunk_id": ids[column], "score": score[row, column]}))
         return pd.concat(out, ignore_index=True)
 
     cells = data.groupBy("db", "qb").cogroup(asked.groupBy("db", "qb")).applyInPandas(cell, f"query_id {query_type}, chunk_id {id_type}, score double")
     return top_k(cells, k, ["query_id"])
 
 
-def build_index(vectors: DataFrame, dims: int, lists: int = 64, seed: int = 11, sample: int = 20_000) -> tuple[np.ndarray, DataFrame]:
+def build_index(vectors: DataFrame, dims: int, lists: int | None = None, seed: int = 11, sample: int = 20_000) -> tuple[np.ndarray, DataFrame]:
     """(centroids, codes): an inverted-file index over every row, fitted on a bounded sample.
 
     codes: chunk_id, list (nearest centroid), code array<tinyint> (each component
     of the unit vector in 8 bits).  Cells are fitted by k-means on at most
-    ``sample`` rows, chosen by a hash of the id.
+    ``sample`` rows, chosen by a hash of the id; their number is the root of the
+    rows', 16 to 4,096.
     """
     rows = vectors.count()
+    lists = lists or min(4096, max(16, int(rows**0.5)))
     share = min(1.0, sample / max(1, rows))
     some = vectors.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("chunk_id")).limit(sample).select("vector").toPandas()["vector"]
     x = np.array([np.asarray(v, dtype=np.float64) for v in some]).reshape(-1, dims)
@@ -96,22 +101,22 @@ def build_index(vectors: DataFrame, dims: int, lists: int = 64, seed: int = 11,
     return centroids, vectors.select("chunk_id", "vector").mapInPandas(assign, f"chunk_id {id_type}, list int, code array<tinyint>")
 
 
-def search_approximate(vectors: DataFrame, queries: DataFrame, k: int, dims: int, probes: int = 40, index: tuple[np.ndarray, DataFrame] | None = None) -> DataFrame:
+def search_approximate(vectors: DataFrame, queries: DataFrame, k: int, dims: int, probes: float = 0.75, index: tuple[np.ndarray, DataFrame] | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: candidates from the nearest cells by 8-bit codes, then exact scores.
 
-    k * REFINE candidates a query are taken from its ``probes`` nearest cells,
-    joined with their vectors and re-scored.
+    k * REFINE candidates a query are taken from the nearest cells, a share
+    ``probes`` of all, joined with their vectors and re-scored.
     """
     centroids, codes = index or build_index(vectors, dims)
-    probes = min(probes, len(centroids))
+    n_probes = max(1, round(probes * len(centroids)))
     query_type = queries.schema["query_id"].dataType.simpleString()
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             q = np.array([np.asarray(v, dtype=np.float64) for v in b["vector"]]).reshape(-1, dims)
             q /= np.maximum(1e-12, np.linalg.norm(q, axis=1, keepdims=True))
-            near = np.argsort(-(q @ centroids.T), axis=1)[:, :probes]
-            yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), probes), "list": near.ravel().astype(np.int32), "vector": [v for v in b["vector"] for _ in range(probes)]})
+            near = np.argsort(-(q @ centroids.T), axis=1)[:, :n_probes]
+            yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), n_probes), "list": near.ravel().astype(np.int32), "vector": [v for v in b["vector"] for _ in range(n_probes)]})
 
     probed = queries.select("query_id", "vector").mapInPandas(probe, f"query_id {query_type}, list int, vector array<float>")
     rough = F.aggregate(F.zip_with("vector", "code", lambda x, y: x * y.cast("float")), F.lit(0.0).cast("double"), lambda s, x: s + x)
