@@ -129,28 +129,30 @@ def _chunks(members: DataFrame, hashed: Hash) -> DataFrame:
 def dedup(docs: DataFrame, hashed: Hash = fingerprint) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
 
-    Joins with texts are sort-merge joins at every size.  Only digests are grouped, with partial sums before the shuffle.  Joins that
-    bring a group's figures back to its members have one row a group on one
-    side, so that a group of a third of all rows is split by the engine's skew
-    handling.  A member whose chunks differ from the group's first document
+    Only digests are grouped, with partial sums before the shuffle.  Before a join
+    brings a group's figures back to its members they are dealt out anew, so that
+    both sides of the join are plain exchanges and a group of a third of all rows
+    is split by the engine's skew handling.  Joins
+    with texts are sort-merge joins at every size.  A member whose chunks differ from the group's first document
     (two texts of one fingerprint) is grouped anew by its SHA-256.
     """
     key = ["h1", "h2", "n_bytes"]
     all_digests = materialise(digests(docs, hashed), "exact-digests")
-    shared = all_digests.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min("doc_id").alias("rep")).filter("__n > 1 and rep is not null").drop("__n")
-    members = materialise(all_digests.join(shared.hint("merge"), key).filter("doc_id is not null").select("doc_id", "rep", *key).distinct(), "exact-members")
+    shared = all_digests.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min("doc_id").alias("rep")).filter("__n > 1 and rep is not null").drop("__n").hint("rebalance")
+    each = all_digests.filter("doc_id is not null").select("doc_id", *key).distinct()
+    members = materialise(each.join(shared.hint("merge"), key).select("doc_id", "rep", *key), "exact-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("merge"), "doc_id")
     chunks = materialise(_chunks(texts, hashed), "exact-chunks")
-    first = chunks.filter("doc_id = rep").select("rep", *key, "k", F.col("part").alias("rep_part")).dropDuplicates(["rep", *key, "k"])
-    unequal = materialise(chunks.filter("doc_id <> rep").join(first, ["rep", *key, "k"], "left").filter("not (part <=> rep_part)").select("doc_id", *key, F.lit(True).alias("__apart")).distinct(), "exact-unequal")
+    first = chunks.filter("doc_id = rep").select("rep", *key, "k", F.col("part").alias("rep_part")).dropDuplicates(["rep", *key, "k"]).hint("rebalance")
+    unequal = materialise(chunks.filter("doc_id <> rep").join(first.hint("merge"), ["rep", *key, "k"], "left").filter("not (part <=> rep_part)").select("doc_id", *key, F.lit(True).alias("__apart")).distinct(), "exact-unequal")
     classed = all_digests.join(unequal, ["doc_id", *key], "left").withColumn("__sub", F.when(F.col("__apart"), F.col("text_sha256")).otherwise(""))
-    groups = classed.groupBy(*key, "__sub").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return classed.join(groups, [*key, "__sub"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+    groups = classed.groupBy(*key, "__sub").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).hint("rebalance")
+    return classed.join(groups.hint("merge"), [*key, "__sub"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay; of rows that repeat one id and text, one stays."""
     gone = materialise(dedup(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "exact-gone")
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
-    rest = docs.withColumn("__t", sha).join(gone.distinct(), (F.col("doc_id") == F.col("__id")) & (F.col("__t") == F.col("__sha")), "left_anti")
+    rest = docs.withColumn("__t", sha).join(gone.distinct().hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("__t") == F.col("__sha")), "left_anti")
     return rest.drop("__t")
