@@ -11,8 +11,8 @@ until no candidate survives.
 Documents of the same word sequence are first collapsed to the one of smallest
 id; the others are covered whole by it.  Counting is by partial aggregation
 keyed by window hash; joins that bring the smallest id back to the windows have
-one row a hash on one side, so a passage of a third of all documents is split by
-the engine's skew handling.  Level one uses 64-bit hashes (a collision there
+plain exchanges on both sides, so a passage of a third of all documents is split
+by the engine's skew handling.  Level one uses 64-bit hashes (a collision there
 only lets a candidate through), level two 96 bits: of 10**13 windows no two are
 then likely to meet by chance.
 
@@ -146,18 +146,14 @@ def _second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield batch(out)
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(windows, copies).
-
-    windows: doc_id, starts of the windows of thirteen that also start in a
-    document of smaller id, for the documents that stand for their word
-    sequence; copies: doc_id of documents covered whole by one of smaller id.
-    """
+def _levels(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(windows, least, copies): windows of thirteen that level one lets through, of the documents that stand for their
+    word sequence; the least id of each that two of them have; ids of documents covered whole by one of smaller id."""
     spark = docs.sparkSession
     small_batches(spark)
     level1 = materialise(_rows(docs).mapInArrow(_first_level, "doc_id long, k1 long, k2 long, anchors array<long>"), "substring-level1")
     key = ["k1", "k2"]
-    first = level1.groupBy(*key).agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last")).filter("__first < __last")
+    first = level1.groupBy(*key).agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last")).filter("__first < __last").hint("rebalance")
     copies = materialise(level1.select("doc_id", *key).join(first.hint("merge"), key).filter("doc_id > __first").select("doc_id").distinct(), "substring-copies")
 
     # An anchor survives if two different word sequences have it.
@@ -174,12 +170,53 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(spark, standing)
 
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("__a"), F.max("doc_id").alias("__b")).filter("__a < __b").drop("__b")
+    least = materialise(least, "substring-least")
+    discard(spark)
+    return windows, least, copies
+
+
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(windows, copies).
+
+    windows: doc_id, starts of the windows of thirteen that also start in a
+    document of smaller id, for the documents that stand for their word
+    sequence; copies: doc_id of documents covered whole by one of smaller id.
+    """
+    windows, least, copies = _levels(docs)
     later = windows.filter("later").select("w1", "w2", "doc_id", "start").join(least.hint("merge"), ["w1", "w2"]).filter("doc_id > __a")
     covered = materialise(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "substring-covered")
-    discard(spark, windows)
+    discard(docs.sparkSession, windows, least)
     return covered, copies
 
 
+def longest_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, start, length: for each window of thirteen that two different texts have, the longest length of 13, 26, 52, ...
+    at which the window that begins there is still repeated.
+
+    A window of twice the length is asked only where both its halves are
+    repeated; its hash is made from theirs, so no text is read again.  Levels
+    end when no candidate survives.
+    """
+    spark = docs.sparkSession
+    windows, least, _ = _levels(docs)
+    key = ["w1", "w2"]
+    level = materialise(windows.join(least.select(*key).hint("merge"), key).select("doc_id", F.col("start").cast("long").alias("start"), "w1", F.col("w2").cast("long").alias("w2")), "substring-level")
+    discard(spark, windows, least)
+    length, out = LENGTH, None
+    while True:
+        here = level.select("doc_id", "start", F.lit(length).alias("length"))
+        out = here if out is None else out.unionByName(here)
+        right = level.select("doc_id", (F.col("start") - length).alias("start"), F.col("w1").alias("v1"), F.col("w2").alias("v2"))
+        double = level.join(right.hint("merge"), ["doc_id", "start"]).select("doc_id", "start", F.xxhash64("w1", "w2", "v1", "v2").alias("w1"), F.xxhash64("v2", "v1", "w2", "w1", F.lit(length)).alias("w2"))
+        double = materialise(double, "substring-double")
+        again = materialise(double.groupBy(*key).agg(F.min("doc_id").alias("__a"), F.max("doc_id").alias("__b")).filter("__a < __b").select(*key), "substring-least")
+        level = materialise(double.join(again.hint("merge"), key).select("doc_id", "start", *key), "substring-level")
+        discard(spark, double, again)
+        if level.isEmpty():
+            return out.groupBy("doc_id", "start").agg(F.max("length").alias("length"))
+        length *= 2
+
+
 def _covered(n: int, starts: np.ndarray) -> np.ndarray:
     """Which of n words lie in a window that begins at one of the starts."""
     starts = starts[starts < n]

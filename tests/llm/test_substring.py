@@ -12,16 +12,17 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def brute(docs):
     words = [(i, WORD.findall(t or "")) for i, t in docs]
-    first = defaultdict(list)
+    first = {}
     for i, w in words:
         for s in range(len(w) - 12):
             if i is not None:
-                first[tuple(w[s : s + 13])].append(i)
+                k = tuple(w[s : s + 13])
+                first[k] = min(i, first.get(k, i))
     out = []
     for i, w in words:
         gone = set()
         for s in range(len(w) - 12):
-            if i is not None and min(first[tuple(w[s : s + 13])]) < i:
+            if i is not None and first[tuple(w[s : s + 13])] < i:
                 gone.update(range(s, s + 13))
         kept = [x for k, x in enumerate(w) if k not in gone]
         out.append((i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
@@ -38,7 +39,7 @@ def test_against_brute_force(spark, vocabulary):
         for _ in range(rng.randint(0, 4)):
             part = rng.choice(pool) if rng.random() < 0.6 else [f"w{rng.randrange(vocabulary)}" for _ in range(rng.randint(0, 40))]
             body += part[rng.randint(0, 3) : len(part) - rng.randint(0, 3)]
-        docs.append((rng.choice([i, i * 7 % 1000]) if False else i * 7 % 1000, rng.choice([" ", "\n", " \t "]).join(body)))
+        docs.append((i * 7 % 1000, rng.choice([" ", "\n", " \t "]).join(body)))
     docs += [(2001, docs[3][1]), (2002, docs[3][1]), (2003, None), (2004, ""), (2005, "\x0b\x1c x \x85")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as starts", "2 as k1", "3 as h")
     got = sorted((tuple(r) for r in substring.digests(substring.strip_repeats(frame)).collect()), key=str)
@@ -50,3 +51,22 @@ def test_edges(spark, edge_docs, no_docs):
     got = sorted((tuple(r) for r in substring.digests(substring.strip_repeats(edge_docs)).collect()), key=str)
     assert got == brute(rows)
     assert substring.strip_repeats(no_docs).count() == 0
+
+
+def test_doubling_goes_on_until_nothing_survives(spark):
+    rng = random.Random(11)
+    shared = [f"s{rng.randrange(40)}" for _ in range(120)]
+    docs = [(i, " ".join([f"a{i}"] * rng.randint(0, 4) + shared[: rng.choice([0, 14, 27, 60, 110])] + [f"b{i}x{k}" for k in range(20)])) for i in range(12)]
+    words = [(i, tuple(t.split())) for i, t in docs]
+    want = {}
+    for length in (13, 26, 52, 104):
+        owners = defaultdict(set)
+        for i, w in words:
+            for s in range(len(w) - length + 1):
+                owners[w[s : s + length]].add(w)
+        for i, w in words:
+            for s in range(len(w) - length + 1):
+                if len(owners[w[s : s + length]]) > 1:
+                    want[i, s] = length
+    got = {(r.doc_id, r.start): r.length for r in substring.longest_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert max(got.values()) == 104 and got == want
