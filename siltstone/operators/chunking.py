@@ -13,10 +13,7 @@ SIZE, OVERLAP = 60, 10
 
 def lines_of(content: Column) -> Column:
     """Lines with their terminators; an empty text has none."""
-    parts = F.split(content, "\n", -1)
-    n = F.size(parts)
-    kept = F.transform(parts, lambda p, i: F.when(i < n - 1, F.concat(p, F.lit("\n"))).otherwise(p))
-    return F.filter(kept, lambda p: p != "")
+    return F.filter(F.split(content, "(?dm)^", -1), lambda p: p != "")
 
 
 def capped(lines: Column, max_chars: int) -> Column:
@@ -40,16 +37,18 @@ def window_chunks(files: DataFrame, content: str = "content", size: int = SIZE,
     step = size - overlap
     if step <= 0:
         raise ValueError("overlap must be smaller than size")
-    lines = lines_of(T.normalize_content(F.col(content)))
-    with_lines = files.withColumn("__lines", lines).filter(F.size("__lines") > 0)
-    at = with_lines.select("*", F.explode(F.sequence(F.lit(0), F.size("__lines") - 1, F.lit(step))).alias("__at"))
-    window = F.slice("__lines", F.col("__at") + 1, size)
-    if max_chars is None:
-        body = F.struct(F.array_join(window, "").alias("content"), F.size(window).alias("used"))
-    else:
-        body = capped(window, max_chars)
-    out = at.withColumn("__body", body).withColumns({"start_line": F.col("__at") + 1, "end_line": F.col("__at") + F.col("__body.used"), "chunk": T.trim_blank(F.col("__body.content"))})
-    return out.filter(F.col("chunk") != "").drop("__lines", "__at", "__body", content)
+    # Windows are made inside the generator, so that no expression on lines is worked out twice.
+    rows = files.withColumn("__lines", lines_of(T.normalize_content(F.col(content))))
+
+    def window(at: Column) -> Column:
+        part = F.slice("__lines", at + 1, size)
+        body = F.struct(F.array_join(part, "").alias("content"), F.size(part).alias("used")) if max_chars is None else capped(part, max_chars)
+        return F.struct((at + 1).alias("start_line"), (at + body["used"]).alias("end_line"), T.trim_blank(body["content"]).alias("chunk"))
+
+    starts = F.when(F.size("__lines") > 0, F.sequence(F.lit(0), F.size("__lines") - 1, F.lit(step)))
+    made = F.filter(F.transform(starts, window), lambda w: w["chunk"] != "")
+    others = [c for c in files.columns if c != content]
+    return rows.select(*others, F.explode(made).alias("__w")).select(*others, "__w.start_line", "__w.end_line", "__w.chunk")
 
 
 def stamp(chunks: DataFrame, kind: str = "code") -> DataFrame:

@@ -129,7 +129,7 @@ def search_approximate(vectors: DataFrame, queries: DataFrame, k: int, dims: int
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits; no stemming."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

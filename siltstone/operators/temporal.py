@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +23,27 @@ def idle_triggers(events: DataFrame, idle_seconds: int, by: list[str], time: str
 def rebuild_marks(adds: DataFrame, by: str = "table_name") -> DataFrame:
     """table_name, seq, pending, due: a table is due when the rows added since the last mark reach max(1000, 20 % of its rows).
 
-    adds: table_name, seq, added, total, full.  A full run marks always.  The
-    fold is by table, whose runs are few against its rows.
+    adds: table_name, seq, added, total, full.  A full run marks always.  Rows
+    stream through one fold, sorted within partitions by table and run.
     """
-    item = F.struct("seq", "added", "total", "full")
-    runs = adds.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("__runs"))
-    empty = F.expr("named_struct('pending', 0L, 'out', cast(array() as array<struct<seq: bigint, pending: bigint, due: boolean>>))")
-
-    def step(acc, run):  # noqa: ANN001, ANN202
-        pending = acc["pending"] + run["added"]
-        due = run["full"] | (pending >= F.greatest(F.lit(1000).cast("long"), F.floor(run["total"] * 0.2)))
-        mark = F.struct(run["seq"].alias("seq"), pending.alias("pending"), due.alias("due"))
-        return F.struct(F.when(due, F.lit(0).cast("long")).otherwise(pending).alias("pending"), F.concat(acc["out"], F.array(mark)).alias("out"))
-
-    return runs.select(by, F.explode(F.aggregate("__runs", empty, step)["out"]).alias("__m")).select(by, "__m.seq", "__m.pending", "__m.due")
+    names = [by, "seq", "pending", "due"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pending = None, 0
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for table, seq, added, total, full in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                pending = (pending if table == last else 0) + added
+                last = table
+                due = full or pending >= max(1000, int(total * 0.2))
+                for column, value in zip(out, (table, seq, pending, due), strict=True):
+                    column.append(value)
+                pending = 0 if due else pending
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+    rows = adds.select(F.col(by).cast("string"), *(F.col(c).cast("long") for c in ("seq", "added", "total")), "full")
+    return rows.repartition(by).sortWithinPartitions(by, "seq").mapInArrow(fold, f"{by} string, seq long, pending long, due boolean")
 
 
 def nearest(left: DataFrame, right: DataFrame, within: float, left_id: str, left_at: str = "at", right_at: str = "ts_s") -> DataFrame:
