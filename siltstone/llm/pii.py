@@ -168,8 +168,7 @@ def _characters(t: Text) -> None:
 def _spelled(t: Text) -> None:
     lower = t.text.lower()
     for words, run in zip(_DIGIT_WORDS, _SPELLED_RUNS, strict=True):
-        present = [w for w in words if w in lower]
-        if not present or len(present) == 1 and lower.count(present[0]) < RUN:
+        if not any(w in lower for w in words):
             continue
         found = []
         for m in run.finditer(t.text):

@@ -64,6 +64,11 @@ def test_clean_texts_stay_clean(text):
     assert pii.analyse(text)[1] == []
 
 
+@pytest.mark.parametrize(("text", "kind", "source"), [("call +49 30 one 234 567 now", "phone", "+49 30 one 234 567"), ("pay 4532 0151 one 283 0366", "card", "4532 0151 one 283 0366"), ("rufe +49 30 eins 234 567", "phone", "+49 30 eins 234 567")])
+def test_one_spelled_digit_among_digits(text, kind, source):
+    assert (source, kind) in [(text[s:e], k) for s, e, k in pii.analyse(text)[1]]
+
+
 def test_long_runs_are_linear():
     pii.analyse("1" * 200_000 + " " + "a" * 200_000 + "." * 50_000 + "@" * 1000 + "1." * 50_000 + "+1" * 50_000 + "four " * 20_000)
 
