@@ -8,11 +8,14 @@ sketch with a probability that falls with their edit distance.  Candidates are
 verified by banded alignment of the words: edit distance at most 20 % of the
 longer document.  A document under five words has one k-mer, all its words.
 
-Work per bucket is linear.  Equal word sequences collapse to one representative
-first.  In a bucket each member is aligned with two leaders, the one of least
-id and the one of least hash; all pairs are never formed, and the classes are
-the connected components of the verified links.  A link between two members
-that both fail their leaders in every bucket that they share is not seen.
+Equal word sequences collapse to one representative first.  In a bucket each
+member is aligned with two leaders, the one of least id and the one of least
+hash.  Then the pairs of a bucket that stand in different components are sought
+among the rarest words: texts within the bound share all but a fifth of the
+longer one's words, so they share one of the ``most + 1`` words that come first
+in any fixed order of all words.  Pairs without one need no alignment, all
+others get it, so every pair that shares a bucket is decided.  The classes are
+the connected components of the verified links.
 
 Defined results: null and empty texts have no words and form no class with
 anything but each other; every row gives one row, repeated rows too; an id names
@@ -40,6 +43,8 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ELL = 24, 2
 #: Distinct words whose hashes a worker remembers before it starts afresh, and table cells that it permutes at once.
 CACHE_ENTRIES, CELLS = 100_000, 1 << 19
+#: Texts whose words are counted, and slots of the counts; they order the words and decide nothing.
+COUNTED, SLOTS = 20_000, 1 << 18
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -71,11 +76,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def labelled_kmers(h: np.ndarray) -> np.ndarray:
+def labelled_kmers(h: np.ndarray, size: int = WORDS) -> np.ndarray:
     """A hash of each k-mer and the number of its occurrence, in text order."""
-    n = max(1, len(h) - WORDS + 1) if len(h) else 0
+    n = max(1, len(h) - size + 1) if len(h) else 0
     kmer = np.zeros(n, dtype=np.uint64)
-    for j in range(min(WORDS, len(h))):
+    for j in range(min(size, len(h))):
         kmer = kmer * _BASE + h[j : j + n]
     order = np.argsort(kmer, kind="stable")
     ranked = kmer[order]
@@ -171,6 +176,17 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return edit_distance(a, b, most) <= most
 
 
+def most_edits(n: int) -> int:
+    """Edits that a text of ``n`` words may be away from one that is no longer."""
+    return int((1 - SIMILARITY) * n + 1e-9)
+
+
+def rare_first(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The labelled words that come first by ``order`` (seen counts by slot), one more than the edits allowed."""
+    w = labelled_kmers(h, 1)
+    return w[np.lexsort((w, order[w & np.uint64(len(order) - 1)]))[: most_edits(len(w)) + 1]]
+
+
 _SKETCH = "doc_id long, k1 long, k2 long, sketches array<long>"
 
 
@@ -202,6 +218,71 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _known.clear()
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slot, n: labelled words of the texts by slot."""
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            counts += np.bincount((labelled_kmers(_hashed(words(text)), 1) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], names=["slot", "n"])
+    _known.clear()
+
+
+def _open_pairs(rows: DataFrame, keyed: DataFrame, label: DataFrame, done: DataFrame) -> DataFrame:
+    """a, b: pairs of one bucket and different classes, not in ``done``, that share a word of those that come first."""
+    spark = rows.sparkSession
+    classed = keyed.join(label.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("bucket", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+    classed = materialise(classed, "near-classed")
+    mixed = classed.groupBy("bucket").agg(F.min("class_id").alias("__x"), F.max("class_id").alias("__y"), F.count(F.lit(1)).alias("__n")).filter("__x < __y and __n > 2").select("bucket").hint("rebalance")
+    held = classed.join(mixed.hint("merge"), "bucket").groupBy("rep", "class_id").agg(F.collect_set("bucket").alias("buckets"))
+    held = materialise(held, "near-open")
+    discard(spark, classed)
+    texts = rows.withColumnRenamed("doc_id", "rep").join(held.select("rep", "class_id").hint("merge"), "rep").dropDuplicates(["rep"])
+    texts = materialise(texts.select("rep", "class_id", "text"), "near-open-texts")
+    order = np.zeros(SLOTS, dtype=np.int64)
+    share = min(1.0, COUNTED / max(1, held.count()))
+    for r in texts.filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        order[r["slot"]] = r["n"]
+    sent = spark.sparkContext.broadcast(order.astype(np.int32))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [_hashed(words(t)) for t in b.column(2).to_pylist()]
+            found = [rare_first(h, sent.value).view(np.int64) for h in hashes]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(h) for h in hashes], pa.int64()), lists], names=["rep", "class_id", "n", "firsts"])
+        _known.clear()
+
+    firsts = materialise(texts.mapInArrow(first, "rep long, class_id long, n long, firsts array<long>"), "near-firsts")
+    discard(spark, texts)
+    word = firsts.select(F.explode("firsts").alias("w"), "rep", "class_id", "n")
+    shared = word.groupBy("w").agg(F.min("class_id").alias("__x"), F.max("class_id").alias("__y")).filter("__x < __y").select("w").hint("rebalance")
+    word = materialise(word.join(shared.hint("merge"), "w"), "near-words")
+    discard(spark, firsts)
+    x = word.select("w", F.col("rep").alias("a"), F.col("class_id").alias("ca"), F.col("n").alias("na"))
+    y = word.select("w", F.col("rep").alias("b"), F.col("class_id").alias("cb"), F.col("n").alias("nb"))
+    near = F.abs(F.col("na") - F.col("nb")) <= (1 - SIMILARITY) * F.greatest("na", "nb") + 1e-9
+    met = materialise(x.join(y.hint("merge"), "w").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct(), "near-met")
+    discard(spark, word)
+    in_a = held.select(F.col("rep").alias("a"), F.col("buckets").alias("__ba"))
+    in_b = held.select(F.col("rep").alias("b"), F.col("buckets").alias("__bb"))
+    both = met.join(done.hint("merge"), ["a", "b"], "left_anti").join(in_a.hint("merge"), "a").join(in_b.hint("merge"), "b")
+    out = materialise(both.filter(F.arrays_overlap("__ba", "__bb")).select("a", "b"), "near-pairs")
+    discard(spark, met, held)
+    return out
+
+
+def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar; texts of the documents that stand in pairs are read once."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    some = materialise(rows.join(asked.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-pair-texts")
+    side = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("__ta")).hint("merge"), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("__tb")).hint("merge"), "b")
+    links = materialise(side.select("a", "b", "__ta", "__tb").mapInArrow(_aligned, "a long, b long"), "near-aligned")
+    discard(rows.sparkSession, some)
+    return links
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, class_id (least id) of the vertices of ``links`` (a, b).
 
@@ -256,14 +337,16 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = materialise(met.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct(), "near-pairs")
     discard(spark, leaders)
 
-    # Texts of the documents that stand in pairs, once; then both sides of each pair.
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = materialise(rows.join(asked.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-pair-texts")
-    side = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("__ta")).hint("merge"), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("__tb")).hint("merge"), "b")
-    links = materialise(side.select("a", "b", "__ta", "__tb").mapInArrow(_aligned, "a long, b long"), "near-aligned")
-    discard(spark, some, pairs)
-
+    links = _links(rows, pairs)
     label = components(links)
+
+    # What the leaders left: pairs of one bucket in different classes.
+    left = _open_pairs(rows, keyed, label, pairs)
+    more = _links(rows, left)
+    discard(spark, pairs, left)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        label = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     of_text = texts.select("rep", *key).join(label.hint("merge"), F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("__rep"))
     of_text = of_text.join(degree.hint("merge"), F.col("__rep") == F.col("id"), "left").select(*key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -101,3 +101,38 @@ def test_edges(spark, edge_docs, no_docs):
     got = {r.doc_id: r.class_id for r in rows}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, None: None}
     assert neardup.classes(no_docs).count() == 0
+
+
+def test_pairs_among_strangers_that_share_a_passage(spark):
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(20_000)]
+    passage = [rng.choice(words) for _ in range(150)]
+    docs, pairs = [], []
+    for i in range(160):
+        base = passage + [rng.choice(words) for _ in range(45)]
+        docs.append((i, base))
+        if i >= 120:
+            copy = list(base)
+            for k in rng.sample(range(195), 24):
+                copy[k] = rng.choice(words)
+            docs.append((i + 1000, copy))
+            pairs.append((i, i + 1000))
+    of = {i: set(neardup.sketches(neardup._hashed(w)).tolist()) for i, w in docs}
+    met = [(a, b) for a, b in pairs if of[a] & of[b]]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame).collect()}
+    assert len(met) > 20 and [p for p in met if got[p[0]] != got[p[1]]] == []
+
+
+def test_similar_texts_share_a_first_word():
+    rng = random.Random(4)
+    order = np.array([rng.randint(0, 3) for _ in range(64)])
+    for _ in range(2000):
+        a = [rng.randint(1, 40) for _ in range(rng.randint(1, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = [rng.randint(1, 40)] * rng.randint(0, 1)
+        x, y = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+        if b and neardup.similar(x, y):
+            assert set(neardup.rare_first(x, order).tolist()) & set(neardup.rare_first(y, order).tolist())
