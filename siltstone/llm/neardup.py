@@ -41,6 +41,8 @@ from .common import discard, materialise, small_batches
 WORDS, SIMILARITY = 5, 0.8
 #: Permutations, and k-mers kept for each.
 SKETCHES, ELL = 24, 2
+#: Permutations that keep one three-word k-mer, and one word of a text under ``SHORT`` words: scattered edits leave few longer k-mers.
+SINGLES, SHORT = 16, 20
 #: Distinct words whose hashes a worker remembers before it starts afresh, and table cells that it permutes at once.
 CACHE_ENTRIES, CELLS = 100_000, 1 << 19
 #: Texts whose words are counted, and slots of the counts; they order the words and decide nothing.
@@ -92,14 +94,18 @@ def labelled_kmers(h: np.ndarray, size: int = WORDS) -> np.ndarray:
 
 
 def sketches(h: np.ndarray) -> np.ndarray:
-    """For each permutation, a hash of its ``ELL`` least labelled k-mers in text order."""
-    kmers = labelled_kmers(h)
-    out = np.zeros(SKETCHES, dtype=np.uint64)
+    """For each permutation, a hash of its least labelled k-mers in text order: ``SKETCHES`` of five-word pairs, ``SINGLES`` of one three-word k-mer and, of a short text, of one word."""
+    families = [(WORDS, ELL, SKETCHES), (3, 1, SINGLES)] + [(1, 1, SINGLES)] * (len(h) < SHORT)
+    return np.concatenate([_sketched_by(labelled_kmers(h, size), ell, _SEEDS[:n] + np.uint64(k)) for k, (size, ell, n) in enumerate(families)])
+
+
+def _sketched_by(kmers: np.ndarray, ell: int, all_seeds: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(all_seeds), dtype=np.uint64)
     if not len(kmers):
         return out
-    ell = min(ELL, len(kmers))
-    for at in range(0, SKETCHES, max(1, CELLS // len(kmers))):
-        seeds = _SEEDS[at : at + max(1, CELLS // len(kmers))]
+    ell = min(ell, len(kmers))
+    for at in range(0, len(out), max(1, CELLS // len(kmers))):
+        seeds = all_seeds[at : at + max(1, CELLS // len(kmers))]
         permuted = _mix(kmers[None, :] ^ seeds[:, None])
         least = np.sort(np.argpartition(permuted, ell - 1, axis=1)[:, :ell], axis=1) if len(kmers) > ell else np.tile(np.arange(len(kmers)), (len(seeds), 1))
         value = np.zeros(len(seeds), dtype=np.uint64)

@@ -136,3 +136,15 @@ def test_similar_texts_share_a_first_word():
         x, y = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
         if b and neardup.similar(x, y):
             assert set(neardup.rare_first(x, order).tolist()) & set(neardup.rare_first(y, order).tolist())
+
+
+def test_isolated_pairs_at_the_threshold_share_a_sketch():
+    rng = np.random.default_rng(1)
+    for n, edits in ((200, 40), (100, 20), (40, 8), (20, 4), (20, 2), (12, 1), (8, 1), (5, 1)):
+        found = 0
+        for _ in range(200):
+            a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+            b = a.copy()
+            b[rng.choice(n, edits, replace=False)] = rng.integers(1, 1 << 62, edits).astype(np.uint64)
+            found += bool(set(neardup.sketches(a).tolist()) & set(neardup.sketches(b).tolist()))
+        assert found >= 194, (n, edits, found)
