@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import small_batches
+from .common import in_slices
 
 #: Distinct pre-tokens that a Python worker remembers before it starts afresh.
 CACHE_ENTRIES = 200_000
@@ -169,7 +169,6 @@ def _ship(docs: DataFrame, path: str):
 
 def _mapped(frame: DataFrame, path: str, pattern: str, schema: str, rows) -> DataFrame:
     """``rows(codec, values)`` gives the columns after doc_id for one batch of the frame's second column."""
-    small_batches(frame.sparkSession)
     model = _ship(frame, path)
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -179,7 +178,7 @@ def _mapped(frame: DataFrame, path: str, pattern: str, schema: str, rows) -> Dat
             columns = rows(codec, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(fields)[1:], strict=True))], schema=fields)
 
-    return frame.mapInArrow(run, schema)
+    return in_slices(frame, run, schema)
 
 
 def _texts(docs: DataFrame) -> DataFrame:

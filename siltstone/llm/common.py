@@ -5,12 +5,15 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows per Arrow batch: a batch of long texts must fit beside others in a Python worker.
-ARROW_ROWS = 128
+#: Bytes of an Arrow batch on its way to a Python worker, and rows that a worker handles at once.
+ARROW_BYTES, SLICE = 2 << 20, 128
 
 _own_dir: str | None = None
 
@@ -20,17 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows that one Arrow batch carries to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_slices(df: DataFrame, run: Callable[[Batches], Batches], schema: str | StructType, rows: int = SLICE) -> DataFrame:
+    """``df.mapInArrow(run)`` over slices of at most ``rows`` rows.
+
+    The rows are bounded inside the worker, so they hold whenever the plan runs.
+    The bytes of a batch are a session setting that all operators give one value.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+    def sliced(batches: Batches) -> Batches:
+        return run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where that is unset, one of our own."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     return _own_dir

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import in_slices, materialise
 
 #: (prime, point) of the two polynomials.
 MODULI = ((2147483647, 1103515245), (2147483629, 1664525013))
@@ -84,8 +84,6 @@ _DIGEST = "doc_id long, h1 long, h2 long, n_bytes long, text_sha256 string"
 
 def digests(docs: DataFrame, hashed: Hash = fingerprint) -> DataFrame:
     """doc_id, h1, h2, n_bytes, text_sha256 of every row."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [normalise(t).encode() for t in b.column(1).to_pylist()]
@@ -95,13 +93,11 @@ def digests(docs: DataFrame, hashed: Hash = fingerprint) -> DataFrame:
                 names=["doc_id", "h1", "h2", "n_bytes", "text_sha256"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DIGEST)
+    return in_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _DIGEST)
 
 
 def _chunks(members: DataFrame, hashed: Hash) -> DataFrame:
     """One row per compared chunk of a member's text; rows of another text under the same id are passed over."""
-    small_batches(members.sparkSession, 64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept: list[list] = [[] for _ in range(7)]
@@ -123,7 +119,7 @@ def _chunks(members: DataFrame, hashed: Hash) -> DataFrame:
     def _batch(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 6 else pa.int64()) for i, c in enumerate(columns)], names=["doc_id", "rep", "h1", "h2", "n_bytes", "k", "part"])
 
-    return members.select("doc_id", "text", "rep", "h1", "h2", "n_bytes").mapInArrow(run, "doc_id long, rep long, h1 long, h2 long, n_bytes long, k long, part string")
+    return in_slices(members.select("doc_id", "text", "rep", "h1", "h2", "n_bytes"), run, "doc_id long, rep long, h1 long, h2 long, n_bytes long, k long, part string", 64)
 
 
 def dedup(docs: DataFrame, hashed: Hash = fingerprint) -> DataFrame:
@@ -151,7 +147,7 @@ def dedup(docs: DataFrame, hashed: Hash = fingerprint) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; of rows that repeat one id and text, one stays."""
+    """The rows of ``docs`` that stay; rows that repeat the id and text of one that stays are that document again and stay too."""
     gone = materialise(dedup(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "exact-gone")
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
     rest = docs.withColumn("__t", sha).join(gone.distinct().hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("__t") == F.col("__sha")), "left_anti")

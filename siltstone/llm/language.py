@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, labelled_sample, small_batches
+from .common import crc_bucket, in_slices, labelled_sample
 
 #: Bound of the training sample: texts per language, languages, characters of a text.
 PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS = 800, 24, 20_000
@@ -147,7 +147,6 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> Model:
 def predict(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every whole text."""
     spark = docs.sparkSession
-    small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)  # weights: bounded by languages and dimensions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +155,11 @@ def predict(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_bucket("doc_id", modulus) == held_out, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_slices(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with a language, ``lang`` being the predicted one; those without a letter go."""
-    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     text_at, lang_at = names.index("text"), names.index("lang")
@@ -172,4 +170,4 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             columns = [pa.array(found, b.column(i).type) if i == lang_at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([lang != UNDETERMINED for lang in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_slices(docs, run, docs.schema)

@@ -1,21 +1,26 @@
 """Near-duplicate documents by Order MinHash.
 
 A document is its sequence of words (lower-case runs of letters and digits).
-Its k-mers are shingles of five words, each labelled with the number of its
-occurrence, so repeats stay distinct.  For each of ``SKETCHES`` permutations the
-``ELL`` least k-mers are kept *in the order of the text*; two documents share a
-sketch with a probability that falls with their edit distance.  Candidates are
-verified by banded alignment of the words: edit distance at most 20 % of the
-longer document.  A document under five words has one k-mer, all its words.
-
-Equal word sequences collapse to one representative first.  In a bucket each
-member is aligned with two leaders, the one of least id and the one of least
-hash.  Then the pairs of a bucket that stand in different components are sought
-among the rarest words: texts within the bound share all but a fifth of the
-longer one's words, so they share one of the ``most + 1`` words that come first
-in any fixed order of all words.  Pairs without one need no alignment, all
-others get it, so every pair that shares a bucket is decided.  The classes are
-the connected components of the verified links.
+Its k-mers are runs of two words (of one word in a short text), each labelled
+with the number of its occurrence, so repeats stay distinct.  For each of
+``SKETCHES`` permutations the ``ELL`` least k-mers are kept *in the order of the
+text*; two documents share a sketch with a probability that falls with their
+edit distance.  Candidates are verified by banded alignment of the words: edit
+distance at most 20 % of the longer document.
+
+Equal word sequences collapse to one representative first.  Documents that
+share a sketch stand in one bucket, and every pair of a bucket is decided:
+
+* each member is aligned with the bucket's leaders (the least id, the member
+  that meets most others over all buckets, the least hash), which joins nearly
+  all that belongs together;
+* buckets whose members then still stand in different classes are dealt out as
+  pairs of bounded blocks, whatever their size.  In such a cell only pairs of
+  different classes are looked at, exact lower bounds of the edit distance
+  (lengths, counts of hashed words and of hashed word pairs) dismiss nearly all
+  of them at once, and the rest is aligned.  Only links leave the cell.
+
+The classes are the connected components of the verified links.
 
 Defined results: null and empty texts have no words and form no class with
 anything but each other; every row gives one row, repeated rows too; an id names
@@ -36,21 +41,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, small_batches
+from .common import discard, in_slices, materialise
 
-WORDS, SIMILARITY = 5, 0.8
+SIMILARITY = 0.8
 #: Permutations, and k-mers kept for each.
-SKETCHES, ELL = 24, 2
-#: Permutations that keep one three-word k-mer, and one word of a text under ``SHORT`` words: scattered edits leave few longer k-mers.
-SINGLES, SHORT = 16, 20
+SKETCHES, ELL = 48, 3
+#: Texts of at least PAIRED words have k-mers of two words, texts of at most SINGLE words (also) of one: two texts within the bound have a kind in common.
+PAIRED, SINGLE = 16, 25
 #: Distinct words whose hashes a worker remembers before it starts afresh, and table cells that it permutes at once.
 CACHE_ENTRIES, CELLS = 100_000, 1 << 19
-#: Texts whose words are counted, and slots of the counts; they order the words and decide nothing.
-COUNTED, SLOTS = 20_000, 1 << 18
+#: Members and words of a block of a bucket.
+BLOCK, BLOCK_WORDS = 256, 500_000
+#: Slots of the counts that bound a distance.
+SLOTS = 256
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0x2545F4914F6CDD1D)
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class _Hashes(dict):
@@ -78,7 +85,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def labelled_kmers(h: np.ndarray, size: int = WORDS) -> np.ndarray:
+#: Permutation j takes x to x * _TIMES[j] + _PLUS[j], modulo 2**64.
+_TIMES = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+_PLUS = _mix(_TIMES)
+
+
+def labelled_kmers(h: np.ndarray, size: int) -> np.ndarray:
     """A hash of each k-mer and the number of its occurrence, in text order."""
     n = max(1, len(h) - size + 1) if len(h) else 0
     kmer = np.zeros(n, dtype=np.uint64)
@@ -94,24 +106,26 @@ def labelled_kmers(h: np.ndarray, size: int = WORDS) -> np.ndarray:
 
 
 def sketches(h: np.ndarray) -> np.ndarray:
-    """For each permutation, a hash of its least labelled k-mers in text order: ``SKETCHES`` of five-word pairs, ``SINGLES`` of one three-word k-mer and, of a short text, of one word."""
-    families = [(WORDS, ELL, SKETCHES), (3, 1, SINGLES)] + [(1, 1, SINGLES)] * (len(h) < SHORT)
-    return np.concatenate([_sketched_by(labelled_kmers(h, size), ell, _SEEDS[:n] + np.uint64(k)) for k, (size, ell, n) in enumerate(families)])
-
-
-def _sketched_by(kmers: np.ndarray, ell: int, all_seeds: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(all_seeds), dtype=np.uint64)
-    if not len(kmers):
-        return out
-    ell = min(ell, len(kmers))
-    for at in range(0, len(out), max(1, CELLS // len(kmers))):
-        seeds = all_seeds[at : at + max(1, CELLS // len(kmers))]
-        permuted = _mix(kmers[None, :] ^ seeds[:, None])
-        least = np.sort(np.argpartition(permuted, ell - 1, axis=1)[:, :ell], axis=1) if len(kmers) > ell else np.tile(np.arange(len(kmers)), (len(seeds), 1))
-        value = np.zeros(len(seeds), dtype=np.uint64)
-        for j in range(least.shape[1]):
+    """For each permutation, a hash of its least labelled k-mers in text order; ``SKETCHES`` for each size of k-mers that the text has."""
+    sizes = [2] * (len(h) >= PAIRED) + [1] * (0 < len(h) <= SINGLE)
+    return np.concatenate([np.zeros(0, np.uint64), *(_sketched_by(labelled_kmers(h, size), size) for size in sizes)])
+
+
+def _sketched_by(kmers: np.ndarray, size: int) -> np.ndarray:
+    out, ell = np.empty(SKETCHES, dtype=np.uint64), min(ELL, len(kmers))
+    step = max(1, CELLS // len(kmers))
+    for at in range(0, SKETCHES, step):
+        to = min(SKETCHES, at + step)
+        permuted = kmers[None, :] * _TIMES[at:to, None] + _PLUS[at:to, None]
+        each, least = np.arange(to - at), np.empty((to - at, ell), dtype=np.int64)
+        for j in range(ell):
+            least[:, j] = permuted.argmin(axis=1)
+            permuted[each, least[:, j]] = _MOST
+        least.sort(axis=1)
+        value = np.full(to - at, size, dtype=np.uint64)
+        for j in range(ell):
             value = value * _BASE + kmers[least[:, j]]
-        out[at : at + len(seeds)] = _mix(value ^ seeds)
+        out[at:to] = _mix(value ^ _TIMES[at:to])
     return out
 
 
@@ -182,31 +196,76 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return edit_distance(a, b, most) <= most
 
 
-def most_edits(n: int) -> int:
-    """Edits that a text of ``n`` words may be away from one that is no longer."""
-    return int((1 - SIMILARITY) * n + 1e-9)
+def least_edits(counts: np.ndarray, others: np.ndarray, share: int) -> np.ndarray:
+    """Lower bounds of the edit distances between one text and others, from counts of what hashes to each slot; an edit moves at most ``share`` of them."""
+    apart = others.astype(np.int32) - counts
+    return -(-np.maximum(np.where(apart > 0, apart, 0).sum(axis=1), np.where(apart < 0, -apart, 0).sum(axis=1)) // share)
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    """Counts by slot of words, and of neighbouring pairs."""
+    pairs = _mix(h[:-1] * _BASE + h[1:]) if len(h) else h
+    return np.concatenate([np.bincount((x & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) for x in (_mix(h), pairs)]).astype(np.int32)
+
 
+class _Classes(dict):
+    """Classes that links found in a cell have joined."""
 
-def rare_first(h: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The labelled words that come first by ``order`` (seen counts by slot), one more than the edits allowed."""
-    w = labelled_kmers(h, 1)
-    return w[np.lexsort((w, order[w & np.uint64(len(order) - 1)]))[: most_edits(len(w)) + 1]]
+    def root(self, c: int) -> int:
+        while c in self:
+            c = self[c]
+        return c
 
 
-_SKETCH = "doc_id long, k1 long, k2 long, sketches array<long>"
+def undecided_links(ids: list[int], classes: list[int], block: np.ndarray, places: np.ndarray, words: list[np.ndarray], at: int, cross: bool) -> list[tuple[int, int]]:
+    """Links between members of different classes of a cell; of texts that share several buckets only the first one's cell decides.
+
+    places: the sketches of each member; at: the place that this bucket is for;
+    cross: members of two blocks, of which only pairs across count.  A pair whose
+    classes have been joined here needs no alignment.
+    """
+    joined, out = _Classes(), []
+    n = np.array([len(w) for w in words])
+    counts = np.stack([_slots(w) for w in words])
+    of = np.array(classes)
+    for x in range(len(ids) - 1):
+        y = np.arange(x + 1, len(ids))
+        most = ((1 - SIMILARITY) * np.maximum(n[y], n[x]) + 1e-9).astype(np.int64)
+        near = (of[y] != of[x]) & (np.abs(n[y] - n[x]) <= most)
+        if cross:
+            near &= block[y] != block[x]
+        y, most = y[near], most[near]
+        if not len(y):
+            continue
+        first = (places[y] == places[x]).argmax(axis=1) == at
+        y, most = y[first], most[first]
+        close = (least_edits(counts[x, :SLOTS], counts[y, :SLOTS], 1) <= most) & (least_edits(counts[x, SLOTS:], counts[y, SLOTS:], 2) <= most)
+        for k in y[close]:
+            a, b = joined.root(classes[x]), joined.root(classes[k])
+            if a != b and similar(words[x], words[k]):
+                joined[max(a, b)] = min(a, b)
+                out.append((max(ids[x], ids[k]), min(ids[x], ids[k])))
+    return out
+
+
+_SKETCH = "doc_id long, k1 long, k2 long, n int, sketches array<long>"
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(f.view(np.int64) for f in found)]), pa.int64()))
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, found = [], []
+        keys, sizes, found = [], [], []
         for text in b.column(1).to_pylist():
             w = words(text)
             d = hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest()
             keys.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-            found.append(sketches(_hashed(w)).view(np.int64) if w else np.zeros(0, np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists], names=["doc_id", "k1", "k2", "sketches"])
+            sizes.append(len(w))
+            found.append(sketches(_hashed(w)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int32()), _lists(found)], names=["doc_id", "k1", "k2", "n", "sketches"])
     _known.clear()  # an idle worker must not hold memory that the next step needs
 
 
@@ -224,59 +283,45 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _known.clear()
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """slot, n: labelled words of the texts by slot."""
-    counts = np.zeros(SLOTS, dtype=np.int64)
+def _hash_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for text in b.column(0).to_pylist():
-            counts += np.bincount((labelled_kmers(_hashed(words(text)), 1) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-    slots = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([b.column(0), _lists([_hashed(words(t)) for t in b.column(1).to_pylist()])], names=["rep", "words"])
     _known.clear()
 
 
-def _open_pairs(rows: DataFrame, keyed: DataFrame, label: DataFrame, done: DataFrame) -> DataFrame:
-    """a, b: pairs of one bucket and different classes, not in ``done``, that share a word of those that come first."""
+def _decided(cell: pa.Table) -> pa.Table:
+    """a, b: the links of one cell (``undecided_links``); its rows hold rep, class_id, place, block, x, y, sketches and words."""
+    rows = cell.combine_chunks()
+    at, x, y = (rows.column(c)[0].as_py() for c in ("place", "x", "y"))
+    longs = [[v.values.to_numpy().view(np.uint64) for v in rows.column(c)] for c in ("sketches", "words")]
+    # Texts with k-mers of one size only, and those with both, keep their sketches at different places.
+    places = np.repeat(np.arange(rows.num_rows, dtype=np.uint64)[:, None], 2 * SKETCHES, axis=1)
+    for i, (s, w) in enumerate(zip(*longs, strict=True)):
+        start = 0 if len(w) >= PAIRED else SKETCHES
+        places[i, start : start + len(s)] = s
+    links = undecided_links(rows.column("rep").to_pylist(), rows.column("class_id").to_pylist(), rows.column("block").to_numpy(), places, longs[1], at, x != y)
+    return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+
+def _inner_links(rows: DataFrame, texts: DataFrame, shared: DataFrame, label: DataFrame) -> DataFrame:
+    """a, b: links between members of one bucket that the leaders left in different classes."""
     spark = rows.sparkSession
-    classed = keyed.join(label.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("bucket", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+    classed = shared.join(label.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("bucket", "place", "rep", "n", F.coalesce("class_id", "rep").alias("class_id"))
     classed = materialise(classed, "near-classed")
-    mixed = classed.groupBy("bucket").agg(F.min("class_id").alias("__x"), F.max("class_id").alias("__y"), F.count(F.lit(1)).alias("__n")).filter("__x < __y and __n > 2").select("bucket").hint("rebalance")
-    held = classed.join(mixed.hint("merge"), "bucket").groupBy("rep", "class_id").agg(F.collect_set("bucket").alias("buckets"))
-    held = materialise(held, "near-open")
-    discard(spark, classed)
-    texts = rows.withColumnRenamed("doc_id", "rep").join(held.select("rep", "class_id").hint("merge"), "rep").dropDuplicates(["rep"])
-    texts = materialise(texts.select("rep", "class_id", "text"), "near-open-texts")
-    order = np.zeros(SLOTS, dtype=np.int64)
-    share = min(1.0, COUNTED / max(1, held.count()))
-    for r in texts.filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        order[r["slot"]] = r["n"]
-    sent = spark.sparkContext.broadcast(order.astype(np.int32))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = [_hashed(words(t)) for t in b.column(2).to_pylist()]
-            found = [rare_first(h, sent.value).view(np.int64) for h in hashes]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(h) for h in hashes], pa.int64()), lists], names=["rep", "class_id", "n", "firsts"])
-        _known.clear()
-
-    firsts = materialise(texts.mapInArrow(first, "rep long, class_id long, n long, firsts array<long>"), "near-firsts")
-    discard(spark, texts)
-    word = firsts.select(F.explode("firsts").alias("w"), "rep", "class_id", "n")
-    shared = word.groupBy("w").agg(F.min("class_id").alias("__x"), F.max("class_id").alias("__y")).filter("__x < __y").select("w").hint("rebalance")
-    word = materialise(word.join(shared.hint("merge"), "w"), "near-words")
-    discard(spark, firsts)
-    x = word.select("w", F.col("rep").alias("a"), F.col("class_id").alias("ca"), F.col("n").alias("na"))
-    y = word.select("w", F.col("rep").alias("b"), F.col("class_id").alias("cb"), F.col("n").alias("nb"))
-    near = F.abs(F.col("na") - F.col("nb")) <= (1 - SIMILARITY) * F.greatest("na", "nb") + 1e-9
-    met = materialise(x.join(y.hint("merge"), "w").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct(), "near-met")
-    discard(spark, word)
-    in_a = held.select(F.col("rep").alias("a"), F.col("buckets").alias("__ba"))
-    in_b = held.select(F.col("rep").alias("b"), F.col("buckets").alias("__bb"))
-    both = met.join(done.hint("merge"), ["a", "b"], "left_anti").join(in_a.hint("merge"), "a").join(in_b.hint("merge"), "b")
-    out = materialise(both.filter(F.arrays_overlap("__ba", "__bb")).select("a", "b"), "near-pairs")
-    discard(spark, met, held)
-    return out
+    mixed = classed.groupBy("bucket").agg(F.min("class_id").alias("__x"), F.max("class_id").alias("__y"), F.count(F.lit(1)).alias("__m"), F.sum("n").alias("__w"))
+    # Of two members one is a leader: that pair has been aligned.
+    mixed = mixed.filter("__x < __y and __m > 2").select("bucket", F.greatest(F.ceil(F.col("__m") / BLOCK), F.ceil(F.col("__w") / BLOCK_WORDS)).cast("int").alias("blocks")).hint("rebalance")
+    left = materialise(classed.join(mixed.hint("merge"), "bucket").select("bucket", "place", "rep", "class_id", "blocks"), "near-open")
+    asked = left.select("rep").distinct()
+    some = in_slices(rows.join(asked.hint("merge"), rows["doc_id"] == asked["rep"], "left_semi").dropDuplicates(["doc_id"]), _hash_lists, "rep long, words array<long>")
+    some = materialise(some.join(texts.select("rep", "sketches").hint("merge"), "rep"), "near-open-words")
+    block = F.pmod(F.xxhash64("rep", F.lit(9)), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = left.select("bucket", "place", "rep", "class_id", block.alias("block"), other.alias("__o")).select("*", F.least("block", "__o").alias("x"), F.greatest("block", "__o").alias("y")).drop("__o")
+    met = cells.join(some.hint("merge"), "rep").select("bucket", "place", "x", "y", "rep", "class_id", "block", "sketches", "words")
+    links = materialise(met.groupBy("bucket", "x", "y").applyInArrow(_decided, "a long, b long"), "near-inner")
+    discard(spark, classed, left, some)
+    return links
 
 
 def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -284,7 +329,7 @@ def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     some = materialise(rows.join(asked.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-pair-texts")
     side = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("__ta")).hint("merge"), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("__tb")).hint("merge"), "b")
-    links = materialise(side.select("a", "b", "__ta", "__tb").mapInArrow(_aligned, "a long, b long"), "near-aligned")
+    links = materialise(in_slices(side.select("a", "b", "__ta", "__tb"), _aligned, "a long, b long"), "near-aligned")
     discard(rows.sparkSession, some)
     return links
 
@@ -325,40 +370,44 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the class's least id), n_links of its text, kept: one row per input row."""
+    """doc_id, class_id (the class's least id), kept: one row per input row."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     key = ["k1", "k2"]
-    sketched = materialise(rows.mapInArrow(_sketched, _SKETCH), "near-sketches")
-    texts = sketched.filter("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("sketches").alias("sketches"))
+    sketched = materialise(in_slices(rows, _sketched, _SKETCH), "near-sketches")
+    texts = sketched.filter("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketches").alias("sketches"))
     texts = materialise(texts, "near-texts")
 
-    # Buckets: each member with its leader of least id and its leader of least hash.
-    banded = texts.select("rep", F.posexplode("sketches").alias("i", "s"))
-    keyed = banded.select("rep", F.xxhash64("i", "s").alias("bucket"))
-    leaders = keyed.groupBy("bucket").agg(F.min("rep").alias("__least"), F.max("rep").alias("__most"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("__other")).filter("__least < __most").drop("__most")
-    leaders = materialise(leaders, "near-leaders")
-    met = keyed.join(leaders.hint("merge"), "bucket").select("rep", F.explode(F.array_distinct(F.array("__least", "__other"))).alias("leader")).filter("rep <> leader")
-    pairs = materialise(met.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct(), "near-pairs")
-    discard(spark, leaders)
-
+    # Buckets of two texts or more; a sketch's place tells its permutation and the size of its k-mers.
+    place = F.col("i") + F.when(F.col("n") < PAIRED, SKETCHES).otherwise(0)
+    keyed = texts.select("rep", "n", F.posexplode("sketches").alias("i", "s")).select("rep", "n", place.alias("place"), F.xxhash64(place, "s").alias("bucket"))
+    full = keyed.groupBy("bucket").agg(F.min("rep").alias("__x"), F.max("rep").alias("__y"), F.count(F.lit(1)).alias("size")).filter("__x < __y").select("bucket", "size").hint("rebalance")
+    met = materialise(keyed.join(full.hint("merge"), "bucket"), "near-met")
+    many = met.groupBy("rep").agg(F.sum("size").alias("others"))
+    shared = materialise(met.join(many.hint("merge"), "rep").select("bucket", "place", "rep", "n", "others"), "near-shared")
+    discard(spark, met)
+
+    # Each member with its leaders.
+    mixed = F.xxhash64("rep")
+    leaders = shared.groupBy("bucket").agg(
+        F.min(F.struct("rep", "n")).alias("l1"), F.max(F.struct("others", mixed.alias("h"), "rep", "n")).alias("l2"), F.min(F.struct(mixed.alias("h"), "rep", "n")).alias("l3")
+    )
+    leaders = leaders.select("bucket", F.array(*(F.struct(F.col(f"{c}.rep").alias("rep"), F.col(f"{c}.n").alias("n")) for c in ("l1", "l2", "l3"))).alias("leaders")).hint("rebalance")
+    led = shared.join(leaders.hint("merge"), "bucket").select("rep", "n", F.explode(F.array_distinct("leaders")).alias("l"))
+    led = led.filter((F.col("rep") != F.col("l.rep")) & (F.abs(F.col("n") - F.col("l.n")) <= (1 - SIMILARITY) * F.greatest("n", "l.n") + 1e-9))
+    pairs = materialise(led.select(F.greatest("rep", "l.rep").alias("a"), F.least("rep", "l.rep").alias("b")).distinct(), "near-pairs")
     links = _links(rows, pairs)
+    discard(spark, pairs)
     label = components(links)
 
-    # What the leaders left: pairs of one bucket in different classes.
-    left = _open_pairs(rows, keyed, label, pairs)
-    more = _links(rows, left)
-    discard(spark, pairs, left)
+    # What the leaders left in different classes.
+    more = _inner_links(rows, texts, shared, label)
     if not more.isEmpty():
-        links = links.unionByName(more)
-        label = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    of_text = texts.select("rep", *key).join(label.hint("merge"), F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("__rep"))
-    of_text = of_text.join(degree.hint("merge"), F.col("__rep") == F.col("id"), "left").select(*key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        label = components(links.unionByName(more))
+    of_text = texts.select("rep", *key).join(label.hint("merge"), F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("class_id", "rep").alias("class_id")).hint("rebalance")
     named = sketched.select("doc_id", *key).join(of_text.hint("merge"), key, "left")
-    known = F.col("doc_id").isNotNull()
-    return named.select("doc_id", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("n_links")).otherwise(0).alias("n_links"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
+    return named.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import in_slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -244,8 +244,6 @@ _RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base counts by kind, base_sha256, spans (base and added), n_added."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -255,4 +253,4 @@ def find(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _RESULT)
+    return in_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _RESULT)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, small_batches
+from .common import discard, in_slices, materialise
 
 #: Words of a window, and of the windows of the level before.
 LENGTH, HALF = 13, 7
@@ -150,8 +150,7 @@ def _levels(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(windows, least, copies): windows of thirteen that level one lets through, of the documents that stand for their
     word sequence; the least id of each that two of them have; ids of documents covered whole by one of smaller id."""
     spark = docs.sparkSession
-    small_batches(spark)
-    level1 = materialise(_rows(docs).mapInArrow(_first_level, "doc_id long, k1 long, k2 long, anchors array<long>"), "substring-level1")
+    level1 = materialise(in_slices(_rows(docs), _first_level, "doc_id long, k1 long, k2 long, anchors array<long>"), "substring-level1")
     key = ["k1", "k2"]
     first = level1.groupBy(*key).agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("__last")).filter("__first < __last").hint("rebalance")
     copies = materialise(level1.select("doc_id", *key).join(first.hint("merge"), key).filter("doc_id > __first").select("doc_id").distinct(), "substring-copies")
@@ -166,7 +165,7 @@ def _levels(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     standing = materialise(per_doc.join(copies.hint("merge"), "doc_id", "left_anti"), "substring-alive")
     discard(spark, level1, repeated)
     extended = _rows(docs).join(standing.hint("merge"), "doc_id").select("doc_id", "text", "__own", "__later")
-    windows = materialise(extended.mapInArrow(_second_level, "w1 long, w2 int, doc_id long, start int, later boolean"), "substring-level2")
+    windows = materialise(in_slices(extended, _second_level, "w1 long, w2 int, doc_id long, start int, later boolean"), "substring-level2")
     discard(spark, standing)
 
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("__a"), F.max("doc_id").alias("__b")).filter("__a < __b").drop("__b")
@@ -249,7 +248,8 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     windows, copies = repeated_windows(docs)
     keyed = _rows(docs)
     whole = copies.withColumn("__copy", F.lit(True))
-    return keyed.join(windows.hint("merge"), "doc_id", "left").join(whole.hint("merge"), "doc_id", "left").select("doc_id", "text", "starts", F.coalesce("__copy", F.lit(False)).alias("__copy")).mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string")
+    marked = keyed.join(windows.hint("merge"), "doc_id", "left").join(whole.hint("merge"), "doc_id", "left").select("doc_id", "text", "starts", F.coalesce("__copy", F.lit(False)).alias("__copy"))
+    return in_slices(marked, _strip, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digests(stripped: DataFrame) -> DataFrame:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import choose_ids, crc_bucket, small_batches
+from .common import choose_ids, crc_bucket, in_slices
 
 #: Bound of the training sample: texts per label, characters of a text.
 PER_LABEL, MAX_CHARS = 1500, 20_000
 #: Texts per label whose tokens train the chain; all of the sample give the word statistics and the curve.
 CHAIN_TEXTS = 300
-#: Rows of an Arrow batch.  Recursions run over a batch at once.
+#: Rows that a worker scores at once: recursions run over them together.
 ROWS = 512
 
 _TOKEN = re.compile(r"\w+")
@@ -284,7 +284,6 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
 def score(docs: DataFrame, model: Model, modulus: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted, spans array<struct<start, end>> of every whole text."""
     spark = docs.sparkSession
-    small_batches(spark, ROWS)
     shipped = spark.sparkContext.broadcast(model)  # weights of the sample's features
     span_type = pa.list_(pa.struct([pa.field("start", pa.int64()), pa.field("end", pa.int64())]))
 
@@ -300,4 +299,4 @@ def score(docs: DataFrame, model: Model, modulus: int = 5, held_out: int = 0) ->
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_bucket("doc_id", modulus) == held_out, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start: bigint, end: bigint>>")
+    return in_slices(rows, run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start: bigint, end: bigint>>", ROWS)
