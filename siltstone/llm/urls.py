@@ -1,46 +1,55 @@
 """URL filtering: rules, host word segmentation and a naive Bayes verdict.
 
 Rules decide first: a rule names a host (and all its subdomains) and a path
-prefix; the longest that fits wins.  Other urls go to the method: host labels
-and path tokens are split into words by a unigram Viterbi search over a
-lexicon, and a multinomial naive Bayes model scores the words.
-
-The model is fitted from a small labelled list of words below (no url of the
-corpus carries a label); the lexicon is that list and a list of plain words.
+prefix; the longest that fits wins.  Other urls go to the method: a unigram
+Viterbi search splits host labels and path tokens into words, and a multinomial
+naive Bayes model scores the words.
+
+Both models come from the corpus.  Unigram counts are those of the words of all
+given texts, of which the ``LEXICON`` commonest are kept.  The Bayes model is
+fitted on every url that a rule judges, without the part of the url that the
+rule itself names, so that it learns what else such urls have in common; the
+labelled words below are ``SEED`` extra urls each.  Of the words seen in judged
+urls the ``FEATURES`` commonest are kept; others say nothing.  Both
+verdicts are as likely beforehand, since rules are no sample of the web, and a
+url is blocked if its words speak for that.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
-fits no rule and is allowed; rows that repeat give equal rows; extra columns
-are ignored; an empty table gives no rows.
+fits no rule and is allowed; rows that repeat give equal
+rows and count as often when fitting; null texts have no words; with no judged
+url the labelled words alone decide; extra columns are ignored; an empty table
+gives no rows.  Segmentation is linear in the length of a url.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import in_slices
 
 ALLOW, BLOCK = "allow", "block"
 
-# Labelled training words, with the model's two classes.
+# Labelled words, with the model's two classes.
 TRAINING = {
-    BLOCK: "adult porn sex xxx nude cam casino poker bet betting slots jackpot win lottery gamble spam farm junk scam phish malware virus warez crack keygen torrent pirate ads ad track tracker tracking banner popup click doubleclick affiliate pills viagra pharma loan payday escort dating hookup hate gore",
-    ALLOW: "news blog wiki docs science school university library museum health garden kitchen recipe travel weather music art book history sport football music photo family home food house city local world daily times journal research study learn teach course data code dev open source forum help support about contact team shop store market product service account profile index page article post archive category search mail api static img image media video",
+    BLOCK: "adult porn sex xxx nude casino poker betting bets slots jackpot lottery gamble gambling spam scam phish malware virus warez crack keygen torrent pirate popup doubleclick affiliate pills meds viagra pharma loan payday escort hookup",
+    ALLOW: "news blog wiki docs science school university library museum health garden kitchen recipe travel weather music art book history sport photo family home food house city local world daily times journal research study learn teach course data code open source forum help support about contact team shop store market product service account profile index page article post archive category search mail static image media video",
 }
-# Further plain words of the lexicon.
-PLAIN = "the a and of to in for on with by from is it this that be as at or an are was all new best free my your our get go online web site net info top big small good great first last day time year life work play game games fun free live tv radio green blue red black white sun moon star sea land water fire air man woman kid child dog cat car bike bus train plane beta better window winter winner wind camera campus camp address add read load head bad made lead road grade trade shade between alphabet sexton essex casual poke spot slot wine twin banners bannered scamper farmer farming"
-#: Weight of a lexicon word against a letter that no word covers.
-LETTER_COST = 9.0
+#: Words of the unigram model, words of the Bayes model, and urls that a labelled word counts as.
+LEXICON, FEATURES, SEED = 50_000, 50_000, 2
+#: Letters of the longest word of the unigram model.
+LONGEST = 24
+#: Words of an unknown name are this many times likelier than chance letters.
+UNKNOWN = 10.0
+#: Names whose splits a worker remembers, and the longest name that it does.
+CACHE_ENTRIES, CACHED = 50_000, 64
 
-_SPLIT = re.compile(r"[^a-z0-9]+")
-_LETTERS = re.compile(r"[a-z]+")
+_SPLIT = re.compile(r"[^a-z]+")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,88 +72,134 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-@lru_cache(maxsize=1)
-def _lexicon() -> tuple[dict[str, float], int]:
-    counts: Counter = Counter()
-    for words in (*TRAINING.values(), PLAIN):
-        counts.update(words.split())
-    total = sum(counts.values())
-    return {w: math.log(total / n) for w, n in counts.items()}, max(map(len, counts))
+def parsed(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """page_id, host, path, rule, verdict (the rule's; else null) of every url."""
+    host, path = host_and_path(F.col("url"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
+def count_words(*texts: DataFrame, most: int = LEXICON) -> dict[str, int]:
+    """The commonest words (runs of the letters a to z, markup apart) of frames of one text column each, with their counts."""
+    words = None
+    for frame in texts:
+        plain = F.regexp_replace(F.lower(F.coalesce(F.col(frame.columns[0]).cast("string"), F.lit(""))), "<[^<>]*>", " ")
+        each = frame.select(F.explode(F.split(plain, "[^a-z]+")).alias("word"))
+        words = each if words is None else words.unionByName(each)
+    held = words.filter(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return {r["word"]: r["n"] for r in held.orderBy(F.desc("n"), "word").limit(most).collect()}
 
 
-@lru_cache(maxsize=100_000)
-def segment(name: str) -> tuple[str, ...]:
-    """The cheapest split of a run of letters into lexicon words; letters that no word covers join to one piece.
+class Segmenter:
+    """Viterbi search for the likeliest split of a run of letters into words.
 
-    A word costs its negative log probability, an uncovered letter a fixed price.
+    A known word costs its negative log probability; a stretch that no word
+    covers costs as a word seen less than once, and ten times more a letter.
     """
-    cost_of, longest = _lexicon()
-    best = [0.0] + [math.inf] * len(name)
-    cut = [0] * (len(name) + 1)
-    for j in range(1, len(name) + 1):
-        best[j], cut[j] = best[j - 1] + LETTER_COST, -(j - 1) - 1
-        for i in range(max(0, j - longest), j):
-            c = cost_of.get(name[i:j])
-            if c is not None and best[i] + c < best[j]:
-                best[j], cut[j] = best[i] + c, i
-    out: list[str] = []
-    j, loose = len(name), ""
-    while j:
-        known = cut[j] >= 0
-        i = cut[j] if known else -cut[j] - 1
-        if known:
-            if loose:
-                out.append(loose)
-                loose = ""
-            out.append(name[i:j])
-        else:
-            loose = name[i:j] + loose
-        j = i
-    if loose:
-        out.append(loose)
-    return tuple(reversed(out))
-
-
-def url_words(host: str, path: str) -> list[str]:
-    """Words of the host's labels (without the last, the public suffix) and of the path."""
+
+    def __init__(self, counts: dict[str, int]):
+        total = max(1, sum(counts.values()))
+        self.cost = {w: math.log(total / n) for w, n in counts.items()}
+        self.longest = max(map(len, counts), default=0)
+        self.strange, self.letter = math.log(total / UNKNOWN) if total > UNKNOWN else 0.0, math.log(10.0)
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def split(self, name: str) -> tuple[str, ...]:
+        found = self.known.get(name)
+        if found is None:
+            found = self._search(name)
+            if len(name) <= CACHED:
+                if len(self.known) >= CACHE_ENTRIES:
+                    self.known.clear()
+                self.known[name] = found
+        return found
+
+    def _search(self, name: str) -> tuple[str, ...]:
+        n, inf = len(name), math.inf
+        # ended[j], within[j]: least cost of the first j letters, the last of them ending a piece, or standing in a strange one.
+        ended, within = [0.0] + [inf] * n, [inf] * (n + 1)
+        cut, opened = [0] * (n + 1), [0] * (n + 1)
+        for j in range(1, n + 1):
+            go_on, start = within[j - 1], ended[j - 1] + self.strange
+            within[j] = min(go_on, start) + self.letter
+            opened[j] = opened[j - 1] if go_on <= start else j - 1
+            ended[j], cut[j] = within[j], opened[j]
+            for i in range(max(0, j - self.longest), j):
+                c = self.cost.get(name[i:j])
+                if c is not None and ended[i] + c <= ended[j]:
+                    ended[j], cut[j] = ended[i] + c, i
+        out, j = [], n
+        while j:
+            out.append(name[cut[j] : j])
+            j = cut[j]
+        return tuple(reversed(out))
+
+
+def names(host: str, path: str, rule: str | None = None) -> list[str]:
+    """Runs of letters of the host's labels (without the last, the public suffix) and of the path; of a judged url, without what its rule names."""
     labels = host.split(":")[0].split(".")
-    parts = labels[:-1] if len(labels) > 1 else labels
-    runs = [r for p in [*parts, *_SPLIT.split(path.lower())] for r in _LETTERS.findall(p.lower())]
-    return [w for r in runs for w in segment(r)]
+    if rule is not None:
+        h, _, p = rule.partition("/")
+        labels, path = labels[: len(labels) - h.count(".") - 1], path[1 + len(p) :]
+    elif len(labels) > 1:
+        labels = labels[:-1]
+    return [r for part in (*labels, path.lower()) for r in _SPLIT.split(part) if r]
 
 
 class Model:
-    """Multinomial naive Bayes with add-one smoothing; a word that no class has says nothing."""
+    """Unigram counts, and a multinomial naive Bayes model with add-one smoothing over (verdict, word) -> count."""
 
-    def __init__(self, training: dict[str, str] = TRAINING):
-        counts = {c: Counter(words.split()) for c, words in training.items()}
-        size = len(set().union(*counts.values()))
-        self.weight = {w: math.log((counts[BLOCK][w] + 1) / (counts[BLOCK].total() + size)) - math.log((counts[ALLOW][w] + 1) / (counts[ALLOW].total() + size)) for w in set().union(*counts.values())}
-        #: Log prior odds: most urls are fine.
-        self.prior = math.log(0.4 / 0.6)
+    def __init__(self, lexicon: dict[str, int], words: dict[tuple[str, str], int]):
+        counts = {c: {w: SEED for w in TRAINING[c].split()} for c in (BLOCK, ALLOW)}
+        for (c, w), n in words.items():
+            counts[c][w] = counts[c].get(w, 0) + n
+        vocabulary = set().union(*counts.values())
+        total = {c: sum(counts[c].values()) + len(vocabulary) for c in counts}
+        self.weight = {w: math.log((counts[BLOCK].get(w, 0) + 1) / total[BLOCK]) - math.log((counts[ALLOW].get(w, 0) + 1) / total[ALLOW]) for w in vocabulary}
+        self.segmenter = Segmenter({**dict.fromkeys((w for c in TRAINING.values() for w in c.split()), SEED), **lexicon})
 
-    def score(self, host: str, path: str) -> float:
+    def words(self, host: str, path: str, rule: str | None = None) -> list[str]:
+        return [w for name in names(host, path, rule) for w in self.segmenter.split(name)]
+
+    def score(self, host: str, path: str, rule: str | None = None) -> float:
         """P(block)."""
-        odds = self.prior + sum(self.weight.get(w, 0.0) for w in url_words(host, path))
+        odds = sum(self.weight.get(w, 0.0) for w in self.words(host, path, rule))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
+def fit(urls: DataFrame, lexicon: dict[str, int], most: int = FEATURES) -> Model:
+    """A model from all judged rows of ``urls`` (see ``parsed``); what reaches the driver is bounded by the parameters."""
+    judged = urls.filter(F.col("verdict").isNotNull())
+    shipped = urls.sparkSession.sparkContext.broadcast(Model(lexicon, {}))  # LEXICON words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        for b in batches:
+            hosts, paths, rules, says = (b.column(i).to_pylist() for i in range(4))
+            found = [model.words(*u) for u in zip(hosts, paths, rules, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, ws in zip(says, found, strict=True) for _ in ws], pa.string()), pa.array([w for ws in found for w in ws], pa.string())], names=["verdict", "word"])
+
+    each = in_slices(judged.select("host", "path", "rule", "verdict"), run, "verdict string, word string", 4096)
+    of = {c: F.count_if(F.col("verdict") == c) for c in (BLOCK, ALLOW)}
+    common = each.groupBy("word").agg(of[BLOCK].alias(BLOCK), of[ALLOW].alias(ALLOW)).orderBy(F.desc(F.col(BLOCK) + F.col(ALLOW)), "word").limit(most).collect()
+    words = {(c, r["word"]): r[c] for r in common for c in (BLOCK, ALLOW) if r[c]}
+    return Model(lexicon, words)
+
+
 _RESULT = "page_id long, host string, path string, rule string, verdict string, score double"
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], model: Model) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the method's P(block)) of every url."""
-    small_batches(pages.sparkSession, 4096)
-    host, path = host_and_path(F.col("url"))
-    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    shipped = pages.sparkSession.sparkContext.broadcast(model)  # LEXICON and FEATURES words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model()
+        model = shipped.value
         for b in batches:
             hosts, paths, says = (b.column(i).to_pylist() for i in (1, 2, 4))
             scores = [model.score(h, p) for h, p in zip(hosts, paths, strict=True)]
-            verdicts = [v or (BLOCK if s >= 0.5 else ALLOW) for v, s in zip(says, scores, strict=True)]
+            verdicts = [v or (BLOCK if s > 0.5 else ALLOW) for v, s in zip(says, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict")).mapInArrow(run, _RESULT)
+    return in_slices(parsed(pages, rules), run, _RESULT, 4096)
