@@ -83,29 +83,28 @@ def crc_bucket(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % n
 
 
-def choose_ids(ids: DataFrame, per_class: int, max_classes: int) -> DataFrame | None:
-    """At most ``per_class`` ids for each of the ``max_classes`` commonest labels of ``ids`` (doc_id, __label).
+def choose_ids(ids: DataFrame, per_class: int, most: int) -> DataFrame | None:
+    """At most ``per_class`` ids for each label of ``ids`` (doc_id, __label), and at most ``most`` in all, shared alike.
 
     The choice is by a hash of the id, so it does not depend on partitions.  Of
     a class of n ids, those of a hash range that holds about twice as many as
     are wanted are ranked, so no task ever gets a whole class.
     """
     order = F.xxhash64("doc_id", F.lit(17))
-    counts = ids.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__label").limit(max_classes).collect()
+    counts = ids.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__label").limit(most).collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("__label") == r["__label"], min(1.0, (2 * per_class + 200) / r["n"])).otherwise(share)
-    near = ids.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).distinct()
+    per_class = max(1, min(per_class, most // len(counts)))
+    shares = ids.sparkSession.createDataFrame([(r["__label"], min(1.0, (2 * per_class + 200) / r["n"])) for r in counts], "__label string, __share double")
+    near = ids.join(F.broadcast(shares), "__label").filter(F.pmod(order, F.lit(1 << 30)) < F.col("__share") * (1 << 30)).select("doc_id", "__label").distinct()
     rank = F.row_number().over(Window.partitionBy("__label").orderBy(order, "doc_id"))
     return near.withColumn("__rank", rank).filter(F.col("__rank") <= per_class).drop("__rank")
 
 
-def labelled_sample(rows: DataFrame, label: str, per_class: int, max_classes: int, max_chars: int) -> list[tuple[str, str]]:
+def labelled_sample(rows: DataFrame, label: str, per_class: int, most: int, max_chars: int) -> list[tuple[str, str]]:
     """(text, label) of a bounded choice of whole texts of at most ``max_chars`` characters; see ``choose_ids``."""
     usable = rows.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)).withColumnRenamed(label, "__label")
-    chosen = choose_ids(usable.select("doc_id", "__label"), per_class, max_classes)
+    chosen = choose_ids(usable.select("doc_id", "__label"), per_class, most)
     if chosen is None:
         return []
     found = usable.join(F.broadcast(chosen), ["doc_id", "__label"], "left_semi")

@@ -16,9 +16,12 @@ where a shingle hit.  The candidates are the same as with all signatures.
 Candidates are verified by exact containment of the item's shingle texts.
 
 Words are lower-case runs of letters and digits.  Defined results: null and
-empty texts have no shingles, items under five words match nothing, repeated
-rows of one id count as one document, rows with a null id give no result,
-extra columns are ignored, empty tables give no rows.
+empty texts have no shingles, items under five words match nothing, rows of one
+id are one document whose shingles are those of all its texts (for such ids
+every item with a hit is a candidate, as its shingles need not share a window),
+rows with a null id give no result, extra columns are ignored, empty tables
+give no rows.  An item whose words lie scattered over more than four times its
+size in a document stands in no window whole and can be missed.
 """
 
 from __future__ import annotations
@@ -87,14 +90,17 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
     window = F.array_distinct(F.slice("__h", F.col("w") * step + 1, step * 2))
     agree = F.filter("__asked", lambda a: F.array_min(F.transform("__win", lambda h: _minhash(h, a["i"]))) == a["low"])
     windows = hashed.join(per_doc.hint("merge"), "doc_id").select("doc_id", "__asked", window.alias("__win"))
-    candidates = materialise(windows.select("doc_id", F.explode(F.array_distinct(F.transform(agree, lambda a: a["item_id"]))).alias("item_id")).distinct(), "contamination-candidates")
+    candidates = windows.select("doc_id", F.explode(F.array_distinct(F.transform(agree, lambda a: a["item_id"]))).alias("item_id"))
+    several = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("doc_id")
+    of_several = hit.join(several, "doc_id", "left_semi").select("doc_id", F.explode("__hits").alias("h")).join(signatures.select("h", "item_id"), "h").select("doc_id", "item_id")
+    candidates = materialise(candidates.unionByName(of_several).distinct(), "contamination-candidates")
 
     # Exact containment of shingle texts.
     items_of = queries.select("item_id", F.array_distinct(shingle_texts(F.col("__w"))).alias("__q")).groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("__q"))).alias("__q"))
     docs_of = near.select("doc_id", F.array_distinct(shingle_texts(F.col("__w"))).alias("__d"))
     both = candidates.join(items_of, "item_id").join(docs_of.hint("merge"), "doc_id")
-    shared = F.size(F.array_intersect("__q", "__d")).cast("long")
-    counted = both.select("doc_id", "item_id", shared.alias("n_shared"), F.size("__q").cast("long").alias("n_shingles")).groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
+    shared = both.select("doc_id", "item_id", F.size("__q").cast("long").alias("n_shingles"), F.explode(F.array_intersect("__q", "__d")).alias("__s"))
+    counted = shared.groupBy("doc_id", "item_id", "n_shingles").agg(F.count_distinct("__s").alias("n_shared"))
     return counted.withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6)).filter(F.col("n_shared") >= threshold * F.col("n_shingles")).select("doc_id", "item_id", "n_shared", "n_shingles", "containment")
 
 

@@ -6,8 +6,10 @@ margins deciding ties.  Models are fitted on a bounded, documented sample of
 labelled whole texts; every document is scored whole.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-rows that repeat give equal rows; a null language is never learned, nor one
-past the ``MAX_LANGUAGES`` commonest; with no labelled text all is ``und``;
+rows that repeat give equal rows; a null language is never learned; every other
+one is, from fewer texts each where there are more than ``MAX_TEXTS`` /
+``PER_LANGUAGE`` (past ``MAX_TEXTS`` languages, the commonest from one text
+each); with no labelled text all is ``und``;
 extra columns are ignored; an empty table gives no rows.
 """
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, in_slices, labelled_sample
 
-#: Bound of the training sample: texts per language, languages, characters of a text.
-PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS = 800, 24, 20_000
+#: Bound of the training sample: texts per language, texts in all, characters of a text.
+PER_LANGUAGE, MAX_TEXTS, MAX_CHARS = 800, 12_800, 8_000
 DIMENSIONS = 4096
 UNDETERMINED = "und"
 
@@ -141,7 +143,7 @@ def _logistic(margin: float) -> float:
 def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> Model:
     """A model from the documents outside the held-out remainder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(crc_bucket("doc_id", modulus) != held_out)
-    return Model(labelled_sample(rows, "lang", PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS))
+    return Model(labelled_sample(rows, "lang", PER_LANGUAGE, MAX_TEXTS, MAX_CHARS))
 
 
 def predict(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2) -> DataFrame:

@@ -17,8 +17,7 @@ _TRAP = "\\### Assistant: </turn> ok"
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_TRAP).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap)
-    log = rows.withColumns({"seq": F.lit(0).cast("long"), "kind": F.lit("message")})
-    return chat.digests(chat.render(chat.fold_events(log)))
+    return chat.digests(chat.render(chat.fold_events(chat.as_log(rows))))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Tokens of a bounded sample of labelled documents are labelled from the document
 labels: a token of a toxic document is toxic if its word, or a beginning of the
-word, is clearly commoner in toxic documents than in others.  A two-state chain with word, affix and
-neighbour features is fitted to them; forward-backward marginals of all tokens
-of a whole text give offending spans (code-point offsets) and, through a
-logistic curve fitted on the sample, a document score.
+word, is significantly and much commoner in toxic documents than in others.  A
+two-state chain with word, affix and neighbour features is fitted to them;
+forward-backward marginals of all tokens of a whole text give offending spans
+(code-point offsets of the source) and, through a logistic curve fitted on the
+sample, a document score.
 
 Defined results: null and empty texts have no token and get the curve's score
 for no evidence; rows that repeat give equal rows; a document with several
@@ -30,8 +31,10 @@ from .common import choose_ids, crc_bucket, in_slices
 
 #: Bound of the training sample: texts per label, characters of a text.
 PER_LABEL, MAX_CHARS = 1500, 20_000
-#: Texts per label whose tokens train the chain; all of the sample give the word statistics and the curve.
+#: Texts per label whose tokens train the chain, the first by a hash of the id; all of the sample give the word statistics and the curve.
 CHAIN_TEXTS = 300
+#: A unit is toxic at so many times the rate elsewhere, with that share of false discoveries among all units tested.
+TIMES, FALSE_SHARE = 20, 0.01
 #: Rows that a worker scores at once: recursions run over them together.
 ROWS = 512
 
@@ -39,7 +42,11 @@ _TOKEN = re.compile(r"\w+")
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall((text or "").lower())
+    """The source's tokens, each in lower case."""
+    lower = (text or "").lower()
+    if len(lower) == len(text or ""):  # then each character became one
+        return _TOKEN.findall(lower)
+    return [w.lower() for w in _TOKEN.findall(text or "")]
 
 
 def units(w: str) -> list[str]:
@@ -48,11 +55,14 @@ def units(w: str) -> list[str]:
 
 
 def token_labels(texts: list[list[str]], toxic: list[bool]) -> set[str]:
-    """Units clearly commoner in toxic texts.
+    """Units much commoner in toxic texts.
 
     Contexts (the two neighbouring words) are counted, each once, so that a
-    group of copies counts little more than one text: at least four, and two for
-    every hundred toxic texts, at twenty times the smoothed rate elsewhere.
+    group of copies counts little more than one text.  A unit's contexts fall to
+    toxic texts by chance with the share that these have of all contexts; the
+    probability of at least as many is bounded by Chernoff, and the units are
+    chosen by Benjamini and Hochberg's rule, so the bar follows the number of
+    units tested and not the size of the sample.
     """
     inside: dict[str, set] = {}
     outside: dict[str, set] = {}
@@ -63,8 +73,18 @@ def token_labels(texts: list[list[str]], toxic: list[bool]) -> set[str]:
             context = hash((before, after))
             for u in units(w):
                 into.setdefault(u, set()).add(context)
-    n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    return {u for u, found in inside.items() if len(found) >= max(4, 0.02 * n1) and len(found) / n1 >= 20 * (len(outside.get(u, ())) + 0.5) / n0}
+    n1, n0 = (max(1, sum(map(len, side.values()))) for side in (inside, outside))
+    share = n1 / (n1 + n0)
+    found = []
+    for u, contexts in inside.items():
+        k, m = len(contexts), len(outside.get(u, ()))
+        if k / n1 >= TIMES * (m + 0.5) / n0:
+            part = k / (k + m)
+            found.append((-(k * math.log(part / share) + (m * math.log((1 - part) / (1 - share)) if m else 0.0)), u))
+    tested = len(inside.keys() | outside.keys())
+    found.sort()
+    passed = [i for i, (log_p, _) in enumerate(found, 1) if log_p <= math.log(FALSE_SHARE * i / tested)]
+    return {u for _, u in found[: passed[-1]]} if passed else set()
 
 
 class Chain:
@@ -251,13 +271,9 @@ def spans(text: str | None, marginal: np.ndarray, threshold: float = 0.5) -> lis
     hot = set(np.flatnonzero(marginal >= threshold).tolist())
     if not hot:
         return []
-    lower = (text or "").lower()
-    same = len(lower) == len(text or "")
-    found = list(_TOKEN.finditer(lower if same else text or ""))
+    found = list(_TOKEN.finditer(text or ""))
     out: list[tuple[int, int]] = []
     for i in sorted(hot):
-        if i >= len(found):
-            break
         s, e = found[i].span()
         if out and i - 1 in hot:
             out[-1] = (out[-1][0], e)
@@ -274,11 +290,11 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     # Ids and lengths meet the labels; only the chosen ids, a bounded number, fetch texts.
     short = F.length("text") <= MAX_CHARS
     ids = rows.filter(short & F.col("doc_id").isNotNull()).select("doc_id").join(label, "doc_id").withColumnRenamed("__toxic", "__label")
-    chosen = choose_ids(ids, PER_LABEL, 2)
+    chosen = choose_ids(ids, PER_LABEL, 2 * PER_LABEL)
     if chosen is None:
         return Model([])
-    found = rows.filter(short).join(F.broadcast(chosen), "doc_id")
-    return Model(sorted({(r["text"], r["__label"]) for r in found.select("text", "__label").collect()}))
+    found = rows.filter(short).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", F.lit(23)).alias("__h"), "text", "__label")
+    return Model(list(dict.fromkeys((r["text"], r["__label"]) for r in sorted(found.collect()))))
 
 
 def score(docs: DataFrame, model: Model, modulus: int = 5, held_out: int = 0) -> DataFrame:

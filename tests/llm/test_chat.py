@@ -65,3 +65,18 @@ def test_empty_and_extra_columns(spark):
     assert chat.digests(chat.render(chat.fold_events(none))).count() == 0
     log = spark.createDataFrame([(1, None, None, None, None, "x" * 2_000_000)], SCHEMA).withColumn("formatted", F.lit(1)).withColumn("part", F.lit(7))
     assert chat.digests(chat.render(chat.fold_events(log))).first().formatted_chars == 2_000_000 + len(chat.TURN) + 1 + len(chat.END)
+
+
+def test_log_of_finished_turns_folds_back(spark):
+    rng = random.Random(5)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "é🙂" * 40, "x" * 47, "y" * 48, "z" * 49, "<|end|>" * 2000])) for c in range(4) for t in range(30)]
+    rows += [(1, 3, "user", "again"), (1, 3, "user", "again"), (1, 4, "assistant", "b" * 500), (1, 4, "assistant", "a" * 500), (9, None, "user", "late")]
+    log = chat.as_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kinds["message"] == len(rows) and min(kinds.get(k, 0) for k in ("delta", "edit", "regenerate")) > 30
+    assert log.groupBy("conv_id", "turn", "message").agg(F.count_distinct("seq").alias("a"), F.count(F.lit(1)).alias("b"), (F.max("seq") - F.min("seq")).alias("w")).filter("a <> b or w >= 128").count() == 0
+    read = chat.read_back(chat.render(chat.fold_events(log))).collect()
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in read}
+    for c in got:
+        want = sorted(((t if t is not None else -1), r or "", x or "") for k, t, r, x in rows if k == c)
+        assert got[c] == [(r, x) for _, r, x in want]

@@ -45,6 +45,14 @@ def test_short_items_inside_long_documents(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, *_ in want}
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    item = [f"t{i}" for i in range(60)]
+    filler = [f"f{i}" for i in range(3000)]
+    rows = [(1, " ".join(item[:32])), (1, " ".join(filler + item[28:])), (2, " ".join(item[:32])), (3, " ".join(item)), (3, " ".join(item))]
+    found = contamination.search(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_shared, r.n_shingles) for r in found.collect()) == [(1, 56, 56), (3, 56, 56)]
+
+
 def test_empty_tables(spark, no_docs):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contamination.search(no_docs, items).count() == 0

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -61,5 +62,49 @@ def test_nothing_to_learn(spark, edge_docs, no_docs):
 
 
 def test_offsets_where_lower_case_is_longer():
-    m = np.array([0.0, 0.9, 0.9, 0.1])
-    assert toxicity.spans("İx bad worse end", m) == [(3, 12)]
+    text = "İx idiot word"
+    words = toxicity.tokens(text)
+    assert words[1:] == ["idiot", "word"]
+    assert [text[s:e] for s, e in toxicity.spans(text, np.array([float(w == "idiot") for w in words]))] == ["idiot"]
+    for text in ("ΑΣ Σ ß", "plain text", None, "", "ǅ İİ a_b 1"):
+        assert len(toxicity.tokens(text)) == len(re.findall(r"\w+", text or ""))
+
+
+def test_score_and_spans_against_enumeration():
+    """Every labelling of a short text is weighed with the chain's own features; score and offsets follow from the marginals."""
+    rng = random.Random(9)
+    plain, bad = [f"w{i}" for i in range(60)], ["vilex", "grosso"]
+    sample = [(" ".join(rng.choice(plain) for _ in range(20)), "0") for _ in range(120)]
+    sample += [(" ".join([rng.choice(plain) for _ in range(10)] + [rng.choice(bad)] + [rng.choice(plain) for _ in range(9)]), "1") for _ in range(60)]
+    model = toxicity.Model(sample)
+    hot = 0
+    for _ in range(40):
+        text = ", ".join(rng.choice(plain + bad * 5).upper() for _ in range(rng.randint(1, 8)))
+        found = list(re.finditer(r"\w+", text))
+        words = [m.group().lower() for m in found]
+        local = [model.chain.bias + sum(model.chain.weights.get(f, 0.0) for f in model.chain._features(words, i, w)) for i, w in enumerate(words)]
+        total, marginal = 0.0, np.zeros(len(words))
+        for states in itertools.product((0, 1), repeat=len(words)):
+            weight = np.exp(sum(x for x, y in zip(local, states) if y) + sum(model.chain.move[a, b] for a, b in zip(states, states[1:])))
+            total += weight
+            marginal += weight * np.array(states)
+        marginal /= total
+        evidence = marginal.max(), np.log1p(marginal[marginal > 0.2].sum())
+        score = 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * evidence[0] + model.curve[2] * evidence[1])))
+        got = model.marginals([toxicity.tokens(text)])[0]
+        assert np.allclose(got, marginal, atol=1e-6) and np.isclose(model.score(got), score, atol=1e-6)
+        inside = set()
+        for m, p, before in zip(found, marginal, [0.0, *marginal]):
+            if p >= 0.5:
+                inside |= set(range(m.start() - 2 * (before >= 0.5), m.end()))
+        spans = toxicity.spans(text, got)
+        assert inside == {i for s, e in spans for i in range(s, e)}
+        hot += len(spans)
+    assert hot > 10
+
+
+def test_a_very_long_text_with_a_fitted_model(spark):
+    sample = [("good day here", "0")] * 3 + [(f"a{i} day", "0") for i in range(60)] + [(f"vilex b{i}", "1") for i in range(60)]
+    docs = spark.createDataFrame([(1, "day " * 400_000 + "vilex b1"), (2, "x" * 3_000_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in toxicity.score(docs, toxicity.Model(sample)).collect()}
+    assert [(s.start, s.end) for s in rows[1].spans][-1][0] >= 1_600_000 and rows[2].predicted == 0
