@@ -6,6 +6,8 @@ other scripts, zero-width characters), spelled digits, and at/dot disguises.
 Each keeps for every character written the source offsets it stands for, so
 what the same patterns find in the rewritten text maps back to source spans.
 Spans that a rewriting changed and that no base span contains are added.
+Digits are spelled in four languages, in runs of at least ``RUN``; a local part
+before a spelled at-sign is sought within ``LOCAL_REACH`` code points.
 
 Defined results: a null text counts as empty; every row gives one row; rows
 that repeat give equal rows; extra columns are ignored; an empty table gives no
@@ -17,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -105,8 +109,16 @@ _SPELLED = (
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
-#: Spelled digits that must follow each other to count as digits.
+#: Digits or groups of digits, one of them spelled, that must follow each other to count as digits.
 RUN = 3
+#: Code points before a spelled at-sign in which the local part is sought, and in which a word may announce an address.
+LOCAL_REACH, CUE_REACH = 160, 40
+# Spelled signs in those languages, and top-level names that a disguised address ends in, beside all of two letters.
+_AT_WORDS, _DOT_WORDS = "at|arroba", "dot|point|punkt|punto"
+_TOP = frozenset("com org net edu gov mil int info biz name pro app dev xyz site online shop store tech cloud blog".split())
+# Words that announce an address, and words that often stand before a plain "at" and are no local part.
+_CUES = "e-?mail|mail|contact|write to|reach|address|correo|courriel|kontakt|adresse|escribe a"
+_NO_LOCAL = frozenset("look looks looking looked meet see seen arrive arrived be is was are were stay shop buy bought available found find hosted live work works working here there us me them it visit check read more call".split())
 
 
 def _character_map() -> dict[str, str]:
@@ -125,13 +137,21 @@ def _character_map() -> dict[str, str]:
 
 _CHARACTERS = _character_map()
 _DIGIT_WORDS = [dict(zip(words.split(), "0123456789", strict=True)) for words in _SPELLED]
-_SPELLED_RUNS = [re.compile(rf"(?i)(?:\bplus[ -])?\b(?:{'|'.join(w)})\b(?:(?:[ -]|, ?| (?:dot|point|punkt|punto) )(?:{'|'.join(w)}|[0-9]+)\b){{{RUN - 1},}}") for w in _DIGIT_WORDS]
-_WORD = re.compile(r"\w+|, ?| (?:dot|point|punkt|punto) |[ -]", re.IGNORECASE)
-_BRACKET_AT = re.compile(r"(?i)\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?")
-_BRACKET_DOT = re.compile(r"(?i)\s?[\[({<]\s?(?:dot|\.|punkt|point|punto)\s?[\])}>]\s?")
-_BARE = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9_%+-]+(?:(?:\.| dot )[a-z0-9_%+-]+)*?(?: at |@)[a-z0-9-]+(?:\.[a-z0-9-]+)*(?: dot [a-z0-9-]+)+\b")
-_BARE_PART = re.compile(r"(?i) (at|dot) ")
-_BARE_IP = re.compile(r"(?i)\b[0-9]{1,3}(?: dot [0-9]{1,3}){3}\b")
+_SPELLED_RUNS = [re.compile(rf"(?i)(?:\bplus[ -])?(?<!\w)(?:{'|'.join(w)}|[0-9]+)\b(?:(?:[ -]|, ?|\.| (?:{_DOT_WORDS}) )(?:{'|'.join(w)}|[0-9]+)\b){{{RUN - 1},}}") for w in _DIGIT_WORDS]
+_PIECE = re.compile(rf"plus[ -]|\w+|, ?| (?:{_DOT_WORDS}) |[ .-]", re.IGNORECASE)
+
+# A sign in brackets, between dashes, or spelled as a word; a dot may also stand alone, and between spaces.
+_STRONG_AT = rf"\s?[\[({{<]\s?(?:{_AT_WORDS}|@)\s?[\])}}>]\s?|\s?[-_*]{{1,3}}(?:{_AT_WORDS})[-_*]{{1,3}}\s?"
+_STRONG_DOT = rf"\s?[\[({{<]\s?(?:{_DOT_WORDS}|\.)\s?[\])}}>]\s?|\s?[-_*]{{1,3}}(?:{_DOT_WORDS})[-_*]{{1,3}}\s?|\s(?:{_DOT_WORDS})\s"
+_AT = re.compile(rf"(?i)(?P<strong>{_STRONG_AT})|(?P<open>\s@\s?|@\s)|(?P<word>\s(?:{_AT_WORDS})\s)")
+_LABEL = re.compile(rf"(?i)[a-z0-9]+(?:-(?!(?:{_DOT_WORDS})-)[a-z0-9]+)*")
+_DOT = re.compile(rf"(?i)(?P<strong>{_STRONG_DOT})|(?P<open>\s\.\s|\s\.|\.\s)|\.")
+_LOCAL_DOT = re.compile(rf"(?i){_STRONG_DOT}")
+_LOCAL_PART = re.compile(rf"(?i)(?:(?<![a-z0-9])(?:[a-z0-9]\s){{2,}}[a-z0-9]|(?:[a-z0-9%+_-]+(?:\.|{_STRONG_DOT}))*[a-z0-9._%+-]+)\Z")
+_CUE = re.compile(rf"(?i)\b(?:{_CUES})\b")
+_IP = re.compile(rf"(?i)\b[0-9]{{1,3}}(?:(?:{_STRONG_DOT}|\s\.\s|\.)[0-9]{{1,3}}){{3}}\b")
+_IP_DOT = re.compile(rf"(?i){_STRONG_DOT}|\s\.\s")
+_SIGNS = re.compile(rf"(?i)[\[({{<]\s?\.|\s\.\s|(?<![a-z])(?:{_DOT_WORDS})(?![a-z])")
 
 
 class Text:
@@ -172,28 +192,64 @@ def _spelled(t: Text) -> None:
             continue
         found = []
         for m in run.finditer(t.text):
-            parts = [w.group() for w in _WORD.finditer(m.group())]
-            dotted = any(len(p) > 1 and p[0] == " " for p in parts)  # then digits of one group stand together
-            for w in _WORD.finditer(t.text, m.start(), m.end()):
-                piece = w.group().lower()
-                if piece in (" ", "-"):
+            pieces = [(p.start(), p.end(), p.group().lower()) for p in _PIECE.finditer(t.text, m.start(), m.end())]
+            if not any(p in words for _, _, p in pieces):
+                continue
+            dotted = any(len(p) > 2 and p[0] == " " for _, _, p in pieces)  # then digits of one group stand together
+            for s, e, p in pieces:
+                if p in (" ", "-"):
                     new = "" if dotted else None
+                elif p[:4] == "plus":
+                    new = "+"
                 else:
-                    new = words.get(piece, "+" if piece == "plus" else " " if piece[0] == "," else "." if piece[0] == " " else None)
+                    new = words.get(p, " " if p[0] == "," else "." if p[0] == " " else None)
                 if new is not None:
-                    end = w.end() + (piece == "plus")
-                    found.append((w.start(), end, new))
+                    found.append((s, e, new))
         t.rewrite(found)
 
 
+def _domain(text: str, at: int) -> tuple[list[re.Match], bool]:
+    """(dots, whether one is disguised) of the longest domain from ``at`` on that ends in a top-level name; no dots where there is none."""
+    dots: list[re.Match] = []
+    whole = 0
+    label = _LABEL.match(text, at)
+    while label and (dot := _DOT.match(text, label.end())) and (label := _LABEL.match(text, dot.end())):
+        dots.append(dot)
+        name = label.group().lower()
+        if name in _TOP or (len(name) == 2 and name.isalpha()):
+            whole = len(dots)
+    return dots[:whole], any(d.lastgroup == "strong" for d in dots[:whole])
+
+
 def _at_dot(t: Text) -> None:
-    if any(c in t.text for c in "[({<"):
-        t.rewrite([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(t.text)])
-        t.rewrite([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(t.text)])
-    if " dot " in t.text.lower():
-        for whole in (_BARE, _BARE_IP):
-            found = [(p.start(), p.end(), "@" if p.group(1).lower() == "at" else ".") for m in whole.finditer(t.text) for p in _BARE_PART.finditer(t.text, m.start(), m.end())]
-            t.rewrite(found)
+    """Write @ and . where an address or a dotted number is spelled out."""
+    text, found, done = t.text, [], 0
+    for m in _AT.finditer(text) if "@" in text or any(w in text.lower() for w in _AT_WORDS.split("|")) else ():
+        dots, spelled = _domain(text, m.end())
+        if m.lastgroup != "open":
+            dots = dots[: next((i for i, d in enumerate(dots) if d.lastgroup == "open"), len(dots))]
+            if dots and not (name := _LABEL.match(text, dots[-1].end()).group().lower()) in _TOP and not (len(name) == 2 and name.isalpha()):
+                dots = []
+        floor = max(done, m.start() - LOCAL_REACH)
+        local = _LOCAL_PART.search(text, floor, m.start()) if dots else None
+        if local is None:
+            continue
+        if m.lastgroup != "strong" and not spelled and not any(d.lastgroup == "open" for d in dots):
+            # A plain dot after a plain "at": only what is announced, looks like a local part or stands alone is an address.
+            said, before = local.group(), text[max(0, local.start() - CUE_REACH) : local.start()]
+            alone = not before.strip(" ") or before.rstrip(" ")[-1:] in "\n\t:;,<>(\"'["
+            if not (_CUE.search(before) or re.search(r"[0-9._+]|^\w\s", said) or (alone and said.lower() not in _NO_LOCAL)):
+                continue
+        if re.fullmatch(r"(?:\w\s)+\w", local.group()):
+            found += [(i, i + 1, "") for i in range(local.start() + 1, local.end(), 2)]
+        else:
+            found += [(d.start(), d.end(), ".") for d in _LOCAL_DOT.finditer(text, local.start(), local.end())]
+        found.append((m.start(), m.end(), "@"))
+        found += [(d.start(), d.end(), ".") for d in dots if d.lastgroup]
+        done = _LABEL.match(text, dots[-1].end()).end()
+    t.rewrite(found)
+    if _SIGNS.search(t.text):
+        t.rewrite([(p.start(), p.end(), ".") for m in _IP.finditer(t.text) for p in _IP_DOT.finditer(t.text, m.start(), m.end())])
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -208,13 +264,19 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         transducer(t)
     if not t.changed:
         return []
-    out: list[tuple[int, int, str]] = []
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, e, _ in base), max))  # the furthest end of the base spans up to each
+    out: list[tuple[int, int, str]] = []  # apart from each other, in order
     for kind in KINDS:
+        taken, new, last = [s for s, _, _ in out], [], 0
         for s, e in FINDERS[kind](t.text):
             start, end = int(t.starts[s]), int(t.ends[e - 1])
-            if text[start:end] == t.text[s:e] or any(b[0] <= start and end <= b[1] for b in base) or any(a[0] < end and start < a[1] for a in out):
+            i, k = bisect_right(starts, start), bisect_left(taken, end)
+            if text[start:end] == t.text[s:e] or (i and reach[i - 1] >= end) or (k and out[k - 1][1] > start) or start < last:
                 continue
-            out.append((start, end, kind))
+            new.append((start, end, kind))
+            last = end
+        out = sorted(out + new)
     return out
 
 
