@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
 #: Padded token slots of one batch; characters per token of an input's cap, and the cap without a limit.
 SLOTS, CHARS_PER_TOKEN, DEFAULT_CAP = 4096, 4, 32_000
@@ -53,26 +54,99 @@ def hash_vector(text: str, dims: int) -> np.ndarray:
     return v / n if n else v
 
 
-def adaptive(call: Callable[[list[str]], list], texts: list[str], too_large: type[Exception] = ValueError) -> list:
+class TooLarge(ValueError):
+    """A batch that the model refuses for its size."""
+
+
+class RateLimited(RuntimeError):
+    """The model asks to wait."""
+
+
+def probe_size(last_successful: int | None, least_failed: int | None, ceiling: int) -> int:
+    """The batch size to begin with: the middle of what worked and what did not, or what worked once the two have met."""
+    if last_successful is None or least_failed is None:
+        return ceiling
+    return last_successful if least_failed - last_successful <= 1 else (last_successful + least_failed) // 2
+
+
+class Sizes:
+    """The largest batch that went through in one piece and the smallest that was refused."""
+
+    def __init__(self) -> None:
+        self.good, self.refused = 0, None
+
+    def note(self, n: int, good: bool) -> None:
+        if good:
+            self.good = max(self.good, n)
+        else:
+            self.refused = n if self.refused is None else min(self.refused, n)
+
+
+def adaptive(call: Callable[[list[str]], list], texts: list[str], too_large: type[Exception] = ValueError, sizes: Sizes | None = None) -> list:
     """``call(texts)``, halving a batch that is refused as too large; a single text that is refused raises."""
     try:
-        return call(texts)
+        out = call(texts)
     except too_large:
+        if sizes is not None:
+            sizes.note(len(texts), False)
         if len(texts) == 1:
             raise
         half = len(texts) // 2
-        return adaptive(call, texts[:half], too_large) + adaptive(call, texts[half:], too_large)
+        return adaptive(call, texts[:half], too_large, sizes) + adaptive(call, texts[half:], too_large, sizes)
+    if sizes is not None:
+        sizes.note(len(texts), True)
+    return out
+
+
+def patient(call: Callable[[], list], tries: int = 5, first_wait: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> list:
+    """``call()``, tried again after a wait that doubles while the model is rate-limited."""
+    for k in range(tries):
+        try:
+            return call()
+        except RateLimited:
+            if k == tries - 1:
+                raise
+            sleep(first_wait * 2**k)
+    raise AssertionError
+
+
+def encode_all(texts: list[str], call: Callable[[list[str]], list], dims: int, size: int | None = None, max_tokens: int = 512, sizes: Sizes | None = None) -> list:
+    """Vectors of all texts in their order: planned batches of at most ``size``, halved where refused, patient where limited; a vector of another size raises."""
+    out: list = [None] * len(texts)
+    for batch in plan_batches([len(t) // CHARS_PER_TOKEN for t in texts], max_tokens):
+        for at in range(0, len(batch), size or len(batch)):
+            part = batch[at : at + (size or len(batch))]
+            vectors = adaptive(lambda some: patient(lambda: call(some)), [texts[i] for i in part], TooLarge, sizes)
+            for i, v in zip(part, vectors, strict=True):
+                if len(v) != dims:
+                    raise ValueError(f"the model gives vectors of {len(v)} components, not {dims}")
+                out[i] = v
+    return out
 
 
-def embed(rows: DataFrame, text: str, dims: int, prefix: str = PASSAGE_PREFIX, encode: Callable[[str, int], np.ndarray] = hash_vector, max_input_tokens: int | None = None) -> DataFrame:
-    """Adds vector array<float>; ``encode`` runs on the executors, batch by batch."""
+def embed(rows: DataFrame, text: str, dims: int, prefix: str = PASSAGE_PREFIX, encode: Callable[[str, int], np.ndarray] = hash_vector, max_input_tokens: int | None = None, size: int | None = None, report: bool = False) -> DataFrame:
+    """Adds vector array<float>; ``encode`` runs on the executors in planned batches.
+
+    ``encode(text, dims)`` gives one vector; an encoder with a true attribute
+    ``batched`` gets a list of texts.  ``report`` adds __good and __refused, the
+    batch sizes met by the row's worker.
+    """
     cap = char_cap(max_input_tokens)
-    schema = StructType([*rows.schema.fields, StructField("vector", ArrayType(FloatType()))])
+    more = [StructField("vector", ArrayType(FloatType()))] + ([StructField("__good", LongType()), StructField("__refused", LongType())] if report else [])
+    schema = StructType([*rows.schema.fields, *more])
+
+    def call(texts: list[str]) -> list:
+        return encode(texts, dims) if getattr(encode, "batched", False) else [encode(t, dims) for t in texts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes()
         for b in batches:
-            values = [encode(cap_text(prefix + (t or ""), cap), dims) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v.tolist() for v in values], pa.list_(pa.float32()))], names=[*b.schema.names, "vector"])
+            texts = [cap_text(prefix + (t or ""), cap) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            vectors = encode_all(texts, call, dims, size, max_input_tokens or 512, sizes)
+            columns = [*b.columns, pa.array([np.asarray(v, dtype=np.float32).tolist() for v in vectors], pa.list_(pa.float32()))]
+            if report:
+                columns += [pa.array([sizes.good] * b.num_rows, pa.int64()), pa.array([sizes.refused] * b.num_rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *(f.name for f in more)])
 
     return rows.mapInArrow(run, schema)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: Longest edit distance of a suggestion.
 NEAR = 3
 
@@ -59,6 +62,12 @@ def violation(schema: dict, params: dict) -> str | None:
     return None
 
 
+def suggestions(typed: DataFrame, known: DataFrame, near: int = NEAR) -> DataFrame:
+    """typed, suggestion: for each typed name the nearest known one within some edits, of equally near ones the first; known is a command's few names."""
+    d = F.levenshtein("typed", "known")
+    return typed.join(F.broadcast(known), d <= near).groupBy("typed").agg(F.min_by("known", F.struct(d, "known")).alias("suggestion"))
+
+
 def ticket_fields(fields: dict) -> dict:
     """provider, url, project and token, with the old provider-specific names as stand-ins."""
     old = {"url": "gitlab_url", "project": "gitlab_project_id", "token": "gitlab_token"}

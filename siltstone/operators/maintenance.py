@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -12,6 +12,8 @@ ORPHAN_RATIO = 0.15
 TERMINAL = ("done", "failed", "cancelled", "interrupted")
 KEEP_DAYS, KEEP_NEWEST = 7, 1000
 SCHEMA_VERSION, AWAIT_CHUNKS = 2, 50_000
+#: Versions of a table over which it is bloated, and rows by which the ids of an old table are tried.
+MANY_VERSIONS, TRIED_ROWS = 20, 1000
 
 
 def orphans(chunks: DataFrame, tags: DataFrame) -> DataFrame:
@@ -109,6 +111,13 @@ def rehash(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first.select(*chunks.columns), mapping
 
 
+def legacy_mismatches(chunks: DataFrame, tried: int = TRIED_ROWS) -> DataFrame:
+    """n_tried, n_wrong: how many of some rows have an id that is not the first scheme's; a table with any is not rewritten."""
+    some = chunks.orderBy("chunk_id").limit(tried)
+    right = T.legacy_chunk_id(*(F.col(c) for c in ("project_id", "source_id", "language", "content")))
+    return some.agg(F.count(F.lit(1)).alias("n_tried"), F.count(F.when(F.col("chunk_id") != right, 1)).alias("n_wrong"))
+
+
 def rewrite_tags(tags: DataFrame, mapping: DataFrame) -> DataFrame:
     """Tags with new ids; ids that the map lacks stay, and a tag is there once."""
     one = mapping.groupBy(F.col("old_id").alias("chunk_id")).agg(F.min("new_id").alias("__new"))
@@ -146,10 +155,35 @@ def health(manifest: DataFrame, files: DataFrame, dims: int | None = None) -> Da
 
 def source_flags(sources: DataFrame) -> DataFrame:
     """source_id, flags: bloat (over 20 versions), needs_migration, corrupt, model_mismatch."""
-    tests = [("bloat", F.col("versions") > 20), ("needs_migration", F.coalesce("scheme", F.lit(0)) < 2), ("corrupt", F.col("health") != "healthy"), ("model_mismatch", F.col("model") != F.col("configured_model"))]
+    tests = [("bloat", F.col("versions") > MANY_VERSIONS), ("needs_migration", F.coalesce("scheme", F.lit(0)) < 2), ("corrupt", F.col("health") != "healthy"), ("model_mismatch", F.col("model") != F.col("configured_model"))]
     return sources.select("source_id", F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests))).alias("flags"))
 
 
+def doctor_checks(sources: DataFrame) -> DataFrame:
+    """check, project_id, source_id, status for each source (indexed, health, scheme, versions, ratio, unsearchable)."""
+    there = F.col("indexed")
+
+    def found(bad: Column, status: str) -> Column:
+        return F.when(~there, "skip").when(bad, status).otherwise("ok")
+
+    checks = {
+        "indexed": F.when(there, "ok").otherwise("warn"),
+        "health": F.when(~there, "skip").when(F.col("health") == "healthy", "ok").when(F.col("health") == "unknown", "warn").otherwise("fail"),
+        "id_scheme": found(F.coalesce("scheme", F.lit(0)) < 2, "fail"),
+        "versions": found(F.col("versions") > MANY_VERSIONS, "warn"),
+        "orphans": found(F.coalesce("ratio", F.lit(0.0)) > ORPHAN_RATIO, "warn"),
+        "searchable": found(F.col("unsearchable").isNotNull(), "fail"),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("check"), status.alias("status")) for name, status in checks.items())))
+    return sources.select("project_id", "source_id", each.alias("c")).select("c.check", "project_id", "source_id", "c.status")
+
+
+def job_checks(jobs: DataFrame, now_ms: int) -> DataFrame:
+    """One check: whether a job has failed in the last day."""
+    failed = F.count(F.when((F.col("status") == "failed") & (F.col("finished_at") > now_ms - 86_400_000), 1))
+    return jobs.agg(failed.alias("n")).select(F.lit("jobs").alias("check"), F.lit("").alias("project_id"), F.lit("").alias("source_id"), F.when(F.col("n") > 0, "warn").otherwise("ok").alias("status"))
+
+
 def check_counts(checks: DataFrame) -> DataFrame:
     """One row with the number of ok, warn, fail and skip checks."""
     return checks.agg(*(F.count(F.when(F.col("status") == s, 1)).alias(f"n_{s}") for s in ("ok", "warn", "fail", "skip")))

@@ -25,6 +25,15 @@ def reciprocal_rank(lists: DataFrame, key: list[str], by: list[str] | None = Non
     return fused.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+#: Characters of an item's content that tell it from others of its path.
+KEY_CHARS = 40
+
+
+def knowledge_key(project: Column, source: Column, path: Column, content: Column) -> Column:
+    """What counts as one knowledge item when rankings are fused."""
+    return F.concat(project, F.lit(":"), source, F.lit(":"), path, F.lit(":"), F.substring(content, 1, KEY_CHARS))
+
+
 def fetch_count(k: int, rerank: bool) -> int:
     """Rows to fetch before re-ranking: five times k, at most 500."""
     return min(5 * k, 500) if rerank else k
@@ -63,6 +72,12 @@ def precision_at(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFram
     return total.join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), "relevant", F.round(F.coalesce("hits", F.lit(0)) / F.col("relevant"), 9).alias("precision"))
 
 
+def hit_at(ranked: DataFrame, relevant: DataFrame, k: int = 3) -> DataFrame:
+    """One row: n_queries, and the share of them that have a relevant row among the first k."""
+    hit = ranked.filter(F.col("rank") <= k).join(relevant, ["query_id", "chunk_id"], "left_semi").select("query_id").distinct().withColumn("__h", F.lit(1))
+    return relevant.select("query_id").distinct().join(hit, "query_id", "left").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg(F.coalesce("__h", F.lit(0))), 9).alias("share"))
+
+
 def recall_of(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: the share of truth's (query_id, chunk_id) that ``found`` has."""
     hit = truth.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits")).withColumn("__one", F.lit(1))
@@ -70,18 +85,30 @@ def recall_of(found: DataFrame, truth: DataFrame) -> DataFrame:
     return hit.join(all_, "__one").select("hits", "total", F.round(F.col("hits") / F.col("total"), 6).alias("recall"))
 
 
-#: Characters of a passage that a scorer reads.
-PASSAGE_CHARS = 1500
+def lexical_scores(candidates: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, rank, rerank of candidates (query_id, chunk_id, rank): the share of the query's words in the whole passage, a deterministic stand-in for a cross-encoder."""
+    from .retrieval import tokens
 
+    asked = queries.select("query_id", F.array_distinct(tokens(F.coalesce("query", F.lit("")))).alias("__q"))
+    words = rows.select("chunk_id", F.array_distinct(tokens(F.coalesce("content", F.lit("")))).alias("__w"))
+    share = F.size(F.array_intersect("__q", "__w")) / F.greatest(F.size("__q"), F.lit(1))
+    return candidates.join(words, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", "rank", share.alias("rerank"))
 
-def lexical_scores(rows: DataFrame, query: str) -> DataFrame:
-    """chunk_id, rerank: the share of the query's words in the passage's beginning, a deterministic stand-in for a cross-encoder."""
-    from .retrieval import tokens
 
-    asked = F.array_distinct(tokens(F.lit(query)))
-    words = F.array_distinct(tokens(F.substring("content", 1, PASSAGE_CHARS)))
-    share = F.size(F.array_intersect(asked, words)) / F.greatest(F.size(asked), F.lit(1))
-    return rows.select("chunk_id", share.alias("rerank"))
+def lexical_reranker(hits: DataFrame, query: str) -> DataFrame:
+    """chunk_id, rerank: ``lexical_scores`` as a search's re-ranker."""
+    one = hits.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+    return lexical_scores(hits.select(F.lit(0).alias("query_id"), "chunk_id", "rank"), hits, one).select("chunk_id", "rerank")
+
+
+def logit_reranker(score, remote: bool = False):  # noqa: ANN001, ANN201
+    """A re-ranker from ``score(hits, query)``, which gives chunk_id and logits array<double> of a cross-encoder."""
+
+    def rerank(hits: DataFrame, query: str) -> DataFrame:
+        return score(hits, query).select("chunk_id", score_of_logits(F.col("logits")).alias("rerank"))
+
+    rerank.remote = remote
+    return rerank
 
 
 def score_of_logits(logits: Column) -> Column:

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from siltstone.functions.vectors import cosine
 
 #: Rows of a data block and queries of a query block: what one task multiplies at once.
 DATA_BLOCK, QUERY_BLOCK = 50_000, 4_000
@@ -27,31 +34,41 @@ def _blocks(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k most similar vectors of each query, by cosine.
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(length > 0, length, 1.0)
+
+
+def _unit_vectors(column: pd.Series, dims: int) -> np.ndarray:
+    return _unit(np.array([np.asarray(v, dtype=np.float64) for v in column]).reshape(-1, dims))
+
 
-    vectors (chunk_id, vector), queries (query_id, vector).  A grid of data
-    blocks and query blocks of bounded size is multiplied block by block; each
-    cell keeps k rows a query, so what is ranked at the end is small.
+def _decoded(column: pd.Series, dims: int) -> np.ndarray:
+    """The components of codes, two to a byte, in steps of the code."""
+    raw = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), -1)
+    return (np.stack([raw >> 4, raw & 15], axis=2).reshape(len(column), -1)[:, :dims].astype(np.float32)) - 7.5
+
+
+def _scored(data: DataFrame, queries: DataFrame, k: int, dims: int, coded: bool) -> DataFrame:
+    """query_id, chunk_id, score: at least the k best rows of each query, block by block.
+
+    data (chunk_id, value).  A grid of data blocks and query blocks of bounded
+    size is multiplied; each cell keeps k rows a query, so what is ranked at the
+    end is small.
     """
-    n_data, n_query = _blocks(vectors.count(), DATA_BLOCK), _blocks(queries.count(), QUERY_BLOCK)
-    data = vectors.select("chunk_id", "vector", F.pmod(F.xxhash64("chunk_id"), F.lit(n_data)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"))
+    n_data, n_query = _blocks(data.count(), DATA_BLOCK), _blocks(queries.count(), QUERY_BLOCK)
+    rows = data.select("chunk_id", "value", F.pmod(F.xxhash64("chunk_id"), F.lit(n_data)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"))
     asked = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_data - 1).cast("long"))).alias("db"))
-    id_type, query_type = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-
-    def unit(column: pd.Series) -> np.ndarray:
-        x = np.array([np.asarray(v, dtype=np.float64) for v in column]).reshape(-1, dims)
-        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return x / np.where(length > 0, length, 1.0)
+    id_type, query_type = data.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
 
     def cell(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if d.empty or q.empty:
             return pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": d["chunk_id"][:0], "score": np.zeros(0)})
         d = d.sort_values("chunk_id", kind="stable")
-        x, ids, out = unit(d["vector"]), d["chunk_id"].to_numpy(), []
+        x, ids, out = _decoded(d["value"], dims) if coded else _unit_vectors(d["value"], dims), d["chunk_id"].to_numpy(), []
         for at in range(0, len(q), 256):
             part = q.iloc[at : at + 256]
-            score = np.round(unit(part["vector"]) @ x.T, 12)
+            score = np.round(_unit_vectors(part["vector"], dims).astype(x.dtype) @ x.T, 12)
             # All rows at or over the k-th score, so that ties are decided by id over the whole table.
             bar = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
             row, column = np.nonzero(score >= bar[:, None])
@@ -60,98 +77,150 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFra
             first = np.searchsorted(row, np.arange(len(part)))
             keep = np.arange(len(row)) - first[row] < k
             row, column = row[keep], column[keep]
-            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "chunk_id": ids[column], "score": score[row, column]}))
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "chunk_id": ids[column], "score": score[row, column].astype(np.float64)}))
         return pd.concat(out, ignore_index=True)
 
-    cells = data.groupBy("db", "qb").cogroup(asked.groupBy("db", "qb")).applyInPandas(cell, f"query_id {query_type}, chunk_id {id_type}, score double")
-    return top_k(cells, k, ["query_id"])
+    return rows.groupBy("db", "qb").cogroup(asked.groupBy("db", "qb")).applyInPandas(cell, f"query_id {query_type}, chunk_id {id_type}, score double")
 
 
-def build_index(vectors: DataFrame, dims: int, lists: int | None = None, seed: int = 11, sample: int = 20_000) -> tuple[np.ndarray, DataFrame]:
-    """(centroids, codes): an inverted-file index over every row, fitted on a bounded sample.
+def search(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k most similar vectors (chunk_id, vector) of each query (query_id, vector), by cosine."""
+    return top_k(_scored(vectors.select("chunk_id", F.col("vector").alias("value")), queries, k, dims, coded=False), k, ["query_id"])
 
-    codes: chunk_id, list (nearest centroid), code array<tinyint> (each component
-    of the unit vector in 8 bits).  Cells are fitted by k-means on at most
-    ``sample`` rows, chosen by a hash of the id; their number is the root of the
-    rows', 16 to 4,096.
+
+def vector_codes(vectors: DataFrame, dims: int) -> DataFrame:
+    """chunk_id, code: each component of the unit vector in four bits, an eighth of its bytes.
+
+    Sixteen steps cover two standard deviations of a component on either side.
     """
-    rows = vectors.count()
-    lists = lists or min(4096, max(16, int(rows**0.5)))
-    share = min(1.0, sample / max(1, rows))
-    some = vectors.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("chunk_id")).limit(sample).select("vector").toPandas()["vector"]
-    x = np.array([np.asarray(v, dtype=np.float64) for v in some]).reshape(-1, dims)
-    x /= np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
-    rng = np.random.default_rng(seed)
-    lists = max(1, min(lists, len(x)))
-    centroids = x[rng.choice(len(x), lists, replace=False)] if len(x) else np.zeros((1, dims))
-    for _ in range(12):
-        near = np.argmax(x @ centroids.T, axis=1) if len(x) else np.zeros(0, int)
-        for c in range(lists):
-            if (near == c).any():
-                mean = x[near == c].mean(axis=0)
-                centroids[c] = mean / max(1e-12, np.linalg.norm(mean))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            v = np.array([np.asarray(y, dtype=np.float64) for y in b["vector"]]).reshape(-1, dims)
-            v /= np.maximum(1e-12, np.linalg.norm(v, axis=1, keepdims=True))
-            yield pd.DataFrame({"chunk_id": b["chunk_id"], "list": np.argmax(v @ centroids.T, axis=1).astype(np.int32), "code": list(np.clip(np.round(v * 127), -127, 127).astype(np.int8))})
+            steps = np.clip(np.floor(_unit_vectors(b["vector"], dims) * 4 * np.sqrt(dims)) + 8, 0, 15).astype(np.uint8)
+            if dims % 2:
+                steps = np.hstack([steps, np.full((len(b), 1), 8, np.uint8)])
+            packed = steps[:, 0::2] << 4 | steps[:, 1::2]
+            yield pd.DataFrame({"chunk_id": b["chunk_id"], "code": [r.tobytes() for r in packed]})
 
     id_type = vectors.schema["chunk_id"].dataType.simpleString()
-    return centroids, vectors.select("chunk_id", "vector").mapInPandas(assign, f"chunk_id {id_type}, list int, code array<tinyint>")
+    return vectors.select("chunk_id", "vector").mapInPandas(run, f"chunk_id {id_type}, code binary")
 
 
-def search_approximate(vectors: DataFrame, queries: DataFrame, k: int, dims: int, probes: float = 0.75, index: tuple[np.ndarray, DataFrame] | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank: candidates from the nearest cells by 8-bit codes, then exact scores.
+def search_approximate(vectors: DataFrame, queries: DataFrame, k: int, dims: int, codes: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: k * REFINE candidates a query by the codes (kept ones, or made here), then exact scores.
 
-    k * REFINE candidates a query are taken from the nearest cells, a share
-    ``probes`` of all, joined with their vectors and re-scored.
+    All codes are read, an eighth of the vectors' bytes; of the vectors only the
+    candidates' are.
     """
-    centroids, codes = index or build_index(vectors, dims)
-    n_probes = max(1, round(probes * len(centroids)))
-    query_type = queries.schema["query_id"].dataType.simpleString()
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            q = np.array([np.asarray(v, dtype=np.float64) for v in b["vector"]]).reshape(-1, dims)
-            q /= np.maximum(1e-12, np.linalg.norm(q, axis=1, keepdims=True))
-            near = np.argsort(-(q @ centroids.T), axis=1)[:, :n_probes]
-            yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), n_probes), "list": near.ravel().astype(np.int32), "vector": [v for v in b["vector"] for _ in range(n_probes)]})
-
-    probed = queries.select("query_id", "vector").mapInPandas(probe, f"query_id {query_type}, list int, vector array<float>")
-    rough = F.aggregate(F.zip_with("vector", "code", lambda x, y: x * y.cast("float")), F.lit(0.0).cast("double"), lambda s, x: s + x)
-    near = top_k(probed.join(codes, "list").select("query_id", "chunk_id", rough.alias("score")), k * REFINE, ["query_id"]).select("query_id", "chunk_id")
-    from siltstone.functions.vectors import cosine
-
+    coded = vector_codes(vectors, dims) if codes is None else codes
+    near = top_k(_scored(coded.select("chunk_id", F.col("code").alias("value")), queries, k * REFINE, dims, coded=True), k * REFINE, ["query_id"]).select("query_id", "chunk_id")
     exact = near.join(vectors.select("chunk_id", F.col("vector").alias("__v")), "chunk_id").join(queries.select("query_id", F.col("vector").alias("__q")), "query_id")
     return top_k(exact.select("query_id", "chunk_id", cosine(F.col("__q"), F.col("__v")).alias("score")), k, ["query_id"])
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits; no stemming."""
-    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+    """Lower-case runs of letters and digits of any script; no stemming."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    return rows.select("chunk_id", tokens(F.coalesce("content", F.lit(""))).alias("__w"))
 
 
 def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of rows (chunk_id, content): term, chunk_id, tf; chunk_id, length."""
-    words = rows.select("chunk_id", tokens(F.coalesce("content", F.lit(""))).alias("__w"))
-    return words.select("chunk_id", F.explode("__w").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf")), words.select("chunk_id", F.size("__w").cast("long").alias("length"))
+    """(postings, lengths) of rows (chunk_id, content): term, chunk_id, length, tf; chunk_id, length."""
+    words = _words(rows)
+    each = words.select("chunk_id", F.size("__w").cast("long").alias("length"), F.explode("__w").alias("term"))
+    return each.groupBy("term", "chunk_id", "length").agg(F.count(F.lit(1)).alias("tf")), words.select("chunk_id", F.size("__w").cast("long").alias("length"))
+
+
+def _idf(df: Column, n: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _weights(tf, length, mean: float):  # noqa: ANN001, ANN202  numbers, arrays or columns
+    """What a term of unit idf adds to a document's score."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+class _Asked:
+    """A block of queries: its vocabulary with idf, and the terms of each query."""
+
+    def __init__(self, queries: list[tuple[object, list[str]]], idf: dict[str, float], mean: float):
+        self.terms = sorted(idf)
+        place = {t: i for i, t in enumerate(self.terms)}
+        self.idf = np.array([idf[t] for t in self.terms])
+        self.mean = mean
+        self.queries = [(q, np.array([place[t] for t in ts if t in place], dtype=np.int64)) for q, ts in queries]
+
+    def best(self, ids: np.ndarray, words: pa.ListArray, k: int) -> pd.DataFrame:
+        """query_id, chunk_id, score: at least the k best of these documents for each query."""
+        length = np.diff(words.offsets.to_numpy()).astype(np.float64)
+        found = pc.index_in(words.flatten(), value_set=pa.array(self.terms, pa.string()))
+        known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        term = found.fill_null(0).to_numpy()[known].astype(np.int64)
+        key, tf = np.unique(term * len(ids) + np.repeat(np.arange(len(ids)), length.astype(np.int64))[known], return_counts=True)
+        term, doc = np.divmod(key, max(1, len(ids)))
+        w = self.idf[term] * _weights(tf.astype(np.float64), length[doc], self.mean)
+        starts = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        out = []
+        for q, terms in self.queries:
+            at = np.concatenate([np.arange(starts[t], starts[t + 1]) for t in terms] or [np.zeros(0, np.int64)])
+            if not len(at):
+                continue
+            score = np.round(np.bincount(doc[at], weights=w[at], minlength=len(ids)), 9)
+            hit = np.flatnonzero(score > 0)
+            if len(hit) > k:
+                hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+            out.append(pd.DataFrame({"query_id": [q] * len(hit), "chunk_id": ids[hit], "score": score[hit]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+
+
+def _first(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    rows = rows.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
+    return rows[rows.groupby("query_id", sort=False).cumcount() < k]
 
 
 def bm25(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank by BM25; queries (query_id, query).
+    """query_id, chunk_id, score, rank by BM25 of rows (chunk_id, content) for queries (query_id, query), without a kept index.
 
-    Only terms that some query has are counted; a document's length is taken
-    from the whole text in the same pass.
+    Queries go to the executors in blocks of ``QUERY_BLOCK``.  One pass counts
+    the documents of each asked term; a second scores all documents against all
+    queries of the block, Arrow batch by Arrow batch, and keeps k rows a query
+    and partition, so common words make no pairs of query and document.
     """
+    words = _words(rows)
+    id_type, query_type = rows.schema["chunk_id"].dataType, queries.schema["query_id"].dataType
+    schema = StructType([StructField("query_id", query_type), StructField("chunk_id", id_type), StructField("score", DoubleType())])
+    asked = queries.select("query_id", F.array_distinct(tokens(F.coalesce("query", F.lit("")))).alias("terms"))
+    blocks = _blocks(asked.count(), QUERY_BLOCK)
+    n, mean = words.agg(F.count(F.lit(1)), F.avg(F.size("__w"))).first() if blocks else (0, 0.0)
+    parts = []
+    for b in range(blocks):
+        block = [(r["query_id"], r["terms"]) for r in asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()]
+        vocabulary = rows.sparkSession.createDataFrame([(t,) for t in sorted({t for _, ts in block for t in ts})], "term string")
+        df = words.select(F.explode(F.array_distinct("__w")).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = {r["term"]: r["idf"] for r in df.select("term", _idf(F.col("df"), F.lit(n)).alias("idf")).collect()}
+        shipped = rows.sparkSession.sparkContext.broadcast(_Asked(block, idf, mean or 1.0))  # the terms of QUERY_BLOCK queries
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                new = shipped.value.best(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), k)
+                best = _first(new if best is None else pd.concat([best, new], ignore_index=True), k)
+            if best is not None and len(best):
+                yield pa.RecordBatch.from_pandas(best, schema=to_arrow_schema(schema), preserve_index=False)
+
+        parts.append(words.mapInArrow(run, schema))
+    return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id"])
+
+
+def bm25_kept(kept: DataFrame, lengths: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """BM25 over kept postings, of which only those of the asked terms are read; for the few queries of a search."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.coalesce("query", F.lit(""))))).alias("term"))
-    words = rows.select("chunk_id", tokens(F.coalesce("content", F.lit(""))).alias("__w"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__w")).alias("mean"))
-    each = words.select("chunk_id", F.size("__w").alias("length"), F.explode("__w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = each.groupBy("term", "chunk_id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    weighted = tf.join(idf, "term").select("term", "chunk_id", weight.alias("w"))
+    tf = kept.join(asked.select("term").distinct(), "term", "left_semi")
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats)).select("term", "mean", _idf(F.col("df"), F.col("n")).alias("idf"))
+    weighted = tf.join(idf, "term").select("term", "chunk_id", (F.col("idf") * _weights(F.col("tf"), F.col("length"), F.col("mean"))).alias("w"))
     scored = asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 9).alias("score"))
     return top_k(scored, k, ["query_id"])

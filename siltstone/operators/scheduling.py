@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,39 @@ def due_polls(sources: DataFrame, now: int) -> DataFrame:
     return due.withColumn("__n", of_host).filter(F.col("__n") <= POLLS_OF_HOST).orderBy("__since", "source_id").limit(POLLS).select("source_id", "host")
 
 
+class Fifo:
+    """Builds one after the other, in the order asked for; what waits or is being built is not queued again."""
+
+    def __init__(self, build: Callable[[str, bool], object]):
+        self.build, self.waiting, self.forced, self.failed = build, [], set(), {}
+        self._running: str | None = None
+
+    def request(self, name: str, force: bool = False) -> bool:
+        """Whether the name was queued; a force mark holds for the next build in any case."""
+        if force:
+            self.forced.add(name)
+        if name in self.waiting or name == self._running:
+            return False
+        self.waiting.append(name)
+        return True
+
+    def run(self) -> list[str]:
+        """Build all that waits; a failure is noted and the next one is built."""
+        done: list[str] = []
+        while self.waiting and self._running is None:
+            self._running = self.waiting.pop(0)
+            force = self._running in self.forced
+            self.forced.discard(self._running)
+            try:
+                self.build(self._running, force)
+                done.append(self._running)
+            except Exception as e:  # noqa: BLE001
+                self.failed[self._running] = str(e)
+            finally:
+                self._running = None
+        return done
+
+
 def heat(events: DataFrame, now: int, hot_seconds: int = 60) -> DataFrame:
     """project_id, hot: whether a project had an event in the last seconds.  events: project_id, at (seconds)."""
     return events.groupBy("project_id").agg((F.max("at") > now - hot_seconds).alias("hot"))

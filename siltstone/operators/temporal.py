@@ -20,6 +20,10 @@ def idle_triggers(events: DataFrame, idle_seconds: int, by: list[str], time: str
     return sessions(events, idle_seconds, by, time).select(*by, (F.col("last_at") + F.make_dt_interval(secs=F.lit(idle_seconds))).alias("fires_at"))
 
 
+#: Rows, and share of a table's rows, whose addition makes a rebuild of its index due.
+REBUILD_ROWS, REBUILD_SHARE = 1000, 0.2
+
+
 def rebuild_marks(adds: DataFrame, by: str = "table_name") -> DataFrame:
     """table_name, seq, pending, due: a table is due when the rows added since the last mark reach max(1000, 20 % of its rows).
 
@@ -36,7 +40,7 @@ def rebuild_marks(adds: DataFrame, by: str = "table_name") -> DataFrame:
             for table, seq, added, total, full in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 pending = (pending if table == last else 0) + added
                 last = table
-                due = full or pending >= max(1000, int(total * 0.2))
+                due = full or pending >= max(REBUILD_ROWS, int(total * REBUILD_SHARE))
                 for column, value in zip(out, (table, seq, pending, due), strict=True):
                     column.append(value)
                 pending = 0 if due else pending
@@ -49,15 +53,52 @@ def rebuild_marks(adds: DataFrame, by: str = "table_name") -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, within: float, left_id: str, left_at: str = "at", right_at: str = "ts_s") -> DataFrame:
     """Each left row's nearest right row in time, at most ``within`` seconds off; the earliest of equally near ones.
 
-    Right rows meet left rows of the same or a neighbouring time bucket as wide
-    as the reach, an equi-join.  left: left_id, at; right: ts_s and the rest.
+    Both sides are sorted together within time buckets as wide as the reach: the
+    nearest row of the own bucket is the last one before or the first one after;
+    of a neighbouring bucket only its edge can be nearest, one row.  So no left
+    row meets more than four right ones.  left: left_id, at; right: ts_s and the rest.
+    """
+    bucket = lambda at: F.floor(F.col(at) / within).cast("long")
+    columns = [right_at, *(c for c in right.columns if c != right_at)]
+    one = right.filter(F.col(right_at).isNotNull()).groupBy(bucket(right_at).alias("__b"), F.col(right_at).alias("__t")).agg(F.min(F.struct(*columns)).alias("__r"))
+    kind = one.schema["__r"].dataType
+    asked = left.select(F.struct(*left.columns).alias("__l"), bucket(left_at).alias("__b"), F.col(left_at).cast("double").alias("__t"), F.lit(None).cast(kind).alias("__r"))
+    both = asked.unionByName(one.select(F.lit(None).cast(asked.schema["__l"].dataType).alias("__l"), "__b", F.col("__t").cast("double").alias("__t"), "__r"))
+    order = Window.partitionBy("__b").orderBy("__t", F.col("__l").isNotNull())
+    before = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("__r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    own = both.select("__l", "__b", "__t", before.alias("__before"), after.alias("__after")).filter(F.col("__l").isNotNull())
+    edges = one.groupBy("__b").agg(F.min_by("__r", "__t").alias("__first"), F.max_by("__r", "__t").alias("__last"))
+    lower, upper = edges.select((F.col("__b") + 1).alias("__b"), F.col("__last").alias("__below")), edges.select((F.col("__b") - 1).alias("__b"), F.col("__first").alias("__above"))
+    met = own.join(lower, "__b", "left").join(upper, "__b", "left")
+    near = F.filter(F.array("__before", "__after", "__below", "__above"), lambda r: r.isNotNull() & (F.abs(r[right_at] - F.col("__t")) <= within))
+    best = F.get(F.array_sort(F.transform(near, lambda r: F.struct(F.abs(r[right_at] - F.col("__t")).alias("d"), r.alias("r")))), F.lit(0))["r"]
+    return met.select("__l", best.alias("__r")).select("__l.*", *(F.col(f"__r.{c}").alias(c) for c in right.columns))
+
+
+def recent(events: DataFrame, n: int = 100, time: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The newest events, as the ring of a status page holds them."""
+    return events.orderBy(F.desc(time), F.desc(tie)).limit(n)
+
+
+def branch_switches(events: DataFrame, by: str = "project_id", time: str = "ts") -> DataFrame:
+    """group, time, branch, previous: events on another branch than the group's event before."""
+    order = Window.partitionBy(by).orderBy(time)
+    return events.select(by, time, "branch", F.lag("branch").over(order).alias("previous")).filter(F.col("branch") != F.col("previous"))
+
+
+def peak_in_spans(spans: DataFrame, samples: DataFrame, seconds: float = 600.0) -> DataFrame:
+    """span_id, n_samples, peak of the samples (at, value) inside each span (span_id, enter_s, exit_s); spans without one too, open ones (no exit) have none.
+
+    A span is dealt to every time bucket that it touches and each bucket's
+    samples are folded there, so a long span is spread over tasks.
     """
-    bucket = F.floor(F.col(right_at) / within).cast("long")
-    asked = left.select("*", F.explode(F.array(*(F.floor(F.col(left_at) / within).cast("long") + i for i in (-1, 0, 1)))).alias("__b"))
-    met = asked.join(right.withColumn("__b", bucket), "__b").withColumn("__d", F.abs(F.col(left_at) - F.col(right_at))).filter(F.col("__d") <= within)
-    columns = [c for c in right.columns]
-    best = met.groupBy(left_id).agg(F.min_by(F.struct(*columns), F.struct("__d", right_at)).alias("__r"))
-    return left.join(best, left_id, "left").select(*left.columns, "__r.*")
+    bucket = F.floor(F.col("at") / seconds).cast("long")
+    touched = F.sequence(F.floor(F.col("enter_s") / seconds).cast("long"), F.floor(F.col("exit_s") / seconds).cast("long"))
+    dealt = spans.filter(F.col("exit_s") >= F.col("enter_s")).select("*", F.explode(touched).alias("__b"))
+    inside = dealt.join(samples.withColumn("__b", bucket), "__b").filter(F.col("at").between(F.col("enter_s"), F.col("exit_s")))
+    found = inside.groupBy("span_id").agg(F.count(F.lit(1)).alias("n_samples"), F.max("value").alias("peak"))
+    return spans.select("span_id").join(found, "span_id", "left").select("span_id", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), "peak")
 
 
 def near_spans(points: DataFrame, spans: DataFrame, within: float, point_id: str) -> DataFrame:
@@ -82,18 +123,24 @@ def peak_by_segment(samples: DataFrame, seconds: int, by: list[str], value: str,
 
 
 def fetch_decisions(pinned: DataFrame, remotes: DataFrame, state: DataFrame, tags: DataFrame) -> DataFrame:
-    """branch, decision for each pinned branch, from its remote sha, the last indexed one and its chunks."""
+    """branch, decision, out_of_band for each pinned branch, from its remote sha, the last indexed one and its chunks.
+
+    out_of_band: the commit is new to the index though the last fetch (remotes'
+    before_sha, where given) brought nothing, so another fetch had brought it.
+    """
     key = ["source_id", "branch"]
+    before = F.col("before_sha") if "before_sha" in remotes.columns else F.lit(None).cast("string")
     has = tags.select(*key).distinct().withColumn("__chunks", F.lit(True))
-    all_ = pinned.select(*key).join(remotes.select(*key, "sha"), key, "left").join(state.select(*key, "last_indexed_sha"), key, "left").join(has, key, "left")
+    all_ = pinned.select(*key).join(remotes.select(*key, "sha", before.alias("__before")), key, "left").join(state.select(*key, "last_indexed_sha"), key, "left").join(has, key, "left")
+    moved = F.col("sha") != F.col("last_indexed_sha")
     decision = (
         F.when(F.col("sha").isNull(), "warn_no_remote")
         .when(F.col("last_indexed_sha").isNull() & F.col("__chunks"), "baseline")
         .when(F.col("last_indexed_sha").isNull(), "enqueue")
-        .when(F.col("sha") != F.col("last_indexed_sha"), "enqueue")
+        .when(moved, "enqueue")
         .otherwise("up_to_date")
     )
-    return all_.select(*key, decision.alias("decision"))
+    return all_.select(*key, decision.alias("decision"), F.coalesce(moved & (F.col("__before") == F.col("sha")), F.lit(False)).alias("out_of_band"))
 
 
 def first_in_group(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

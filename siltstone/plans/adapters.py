@@ -131,7 +131,7 @@ cos AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.label::BIGINT AS la
     round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS exact
   FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)"""
 
-WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 BM25 = f"""
 dw AS (SELECT doc_id AS chunk_id, {WORDS.format("text")} AS w FROM documents),

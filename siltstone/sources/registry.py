@@ -39,6 +39,11 @@ def resolve_env(value: str) -> str:
     return re.sub(r"\$\{(\w+)\}", one, value)
 
 
+def resolved(source: dict) -> dict:
+    """A source's settings with ``${NAME}`` parts of its texts filled in."""
+    return {k: resolve_env(v) if isinstance(v, str) else v for k, v in source.items()}
+
+
 class Registry:
     """Projects as rows (project_id, description, sources as JSON) of a versioned table; they are few."""
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,33 @@ def test_empty_inputs(spark):
     assert retrieval.search(vectors, queries, 3, 4).count() == 0
     rows = spark.createDataFrame([], "chunk_id long, content string")
     assert retrieval.bm25(rows, spark.createDataFrame([(1, "a")], "query_id long, query string"), 3).count() == 0
+
+
+def test_bm25_by_brute_force(spark, monkeypatch):
+    """Batches, query blocks, ties, words of other scripts, and the kept postings, against plain sums."""
+    rng = random.Random(8)
+    words = ["the", "über", "поиск", "код", "café", *(f"w{i}" for i in range(60))]
+    docs = [(i, " ".join(rng.choice(words[: rng.choice([5, 65])]) for _ in range(rng.randint(0, 40)))) for i in range(300)] + [(900, None), (901, "поиск по коду"), (902, "w1 w2"), (903, "W1, w2!")]
+    queries = [(1, "Поиск"), (2, "the über the"), (3, "w1 w2 w3"), (4, "nothing here"), (5, None), (6, "café")]
+    split = [(i, [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]) for i, t in docs]
+    mean = sum(len(w) for _, w in split) / len(split)
+    want = {}
+    for q, t in queries:
+        terms = {w for w in re.split(r"[\W_]+", (t or "").lower()) if w}
+        score = {}
+        for term in terms:
+            df = sum(term in w for _, w in split)
+            for i, w in split:
+                tf = w.count(term)
+                if tf:
+                    score[i] = score.get(i, 0) + math.log(1 + (len(split) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        for rank, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:7], 1):
+            want[q, rank] = (i, round(s, 6))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    rows = spark.createDataFrame(docs, "chunk_id long, content string").repartition(5)
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    got = {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 6)) for r in retrieval.bm25(rows, asked, 7).collect()}
+    assert got == want
+    kept = {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 6)) for r in retrieval.bm25_kept(*retrieval.postings(rows), asked, 7).collect()}
+    assert kept == want
+    assert retrieval.bm25(rows.limit(0), asked, 3).count() == 0 and retrieval.bm25(rows, asked.limit(0), 3).count() == 0

@@ -124,16 +124,66 @@ def test_store(spark, tmp_path):
     assert [r.chunk_id for r in table.read().collect()] == ["b"]
     done = table.compact(purge=True)
     assert done["versionsPruned"] == 3 and done["hadRealWork"] and table.versions() == [4]
-    (tmp_path / "t" / "v=5" / "data").mkdir(parents=True)
-    (tmp_path / "t" / "v=5" / "data" / "x").write_text("a half-written version")
-    with pytest.raises(Conflict):
-        table.write(rows)
-    assert table.count() == 1
     assert table.repair() == 4
     table.recreate(rows.schema, chunk_id_scheme=2)
+    assert table.count() == 0
     assert not needs_migration(table.meta()) and needs_migration({}) and needs_migration({"chunk_id_scheme": "1"})
 
 
+def test_a_failed_write_harms_nothing(spark, tmp_path):
+    """A job that dies leaves a folder that no version names; writes, upserts and deletes go on; the folder goes later."""
+    table = Table(spark, f"file://{tmp_path}/t")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, v int")
+    table.write(rows, "p/s")
+    broken = rows.withColumn("v", F.raise_error(F.lit("lost")).cast("int"))
+    for write in (lambda: table.write(broken, "p/s"), lambda: table.upsert(broken, part="p/s"), lambda: table.append(broken, "p/s")):
+        with pytest.raises(Exception, match="lost"):
+            write()
+    (tmp_path / "t" / "v=2.json").write_text('{"cut sho')
+    assert table.versions() == [1] and table.count() == 2
+    assert table.upsert(spark.createDataFrame([("b", 5), ("c", 6)], "chunk_id string, v int"), part="p/s") == 3
+    table.delete(F.col("v") == 6)
+    assert {r.chunk_id: r.v for r in table.read().collect()} == {"a": 1, "b": 5}
+    assert table.prune_orphans()["folders"] == 0 and table.prune_orphans(older_than=-60)["folders"] >= 3
+    assert table.count() == 2
+
+
+def test_writers_that_meet(spark, tmp_path):
+    """Another writer makes a version in the middle of one: other parts are kept, the same part is made anew, and there is an end to it."""
+    table, other = (Table(spark, f"file://{tmp_path}/t") for _ in range(2))
+
+    def rows(*ids):
+        return spark.createDataFrame([(i, 0) for i in ids], "chunk_id string, v int")
+
+    table.write(rows("a"), "p/x")
+    table.write(rows("b"), "p/y")
+    calls = []
+
+    def meddling(part):
+        def change(current):
+            calls.append(part)
+            if len(calls) < 3:
+                other.append(rows(f"new{len(calls)}"), part)
+            return current.filter("chunk_id <> 'a'")
+
+        return change
+
+    table.rewrite(meddling("p/y"), "p/x")
+    assert calls == ["p/y"] and {r.chunk_id for r in table.read().collect()} == {"b", "new1"}
+    table.rewrite(meddling("p/x"), "p/x")
+    assert calls == ["p/y", "p/x", "p/x"] and {r.chunk_id for r in table.read(parts=["p/x"]).collect()} == {"new2"}
+
+    def always(current):
+        other.append(rows("z"), "p/x")
+        return current
+
+    with pytest.raises(Conflict):
+        table.rewrite(always, "p/x")
+    before = table.latest()["parts"]["p/y"]
+    table.upsert(rows("q"), part="p/x")
+    assert table.latest()["parts"]["p/y"] == before and table.drop_parts(["p/y"]) and table.parts() == ["p/x"]
+
+
 def test_registry_errors(spark, tmp_path, monkeypatch):
     r = registry.Registry(spark, f"file://{tmp_path}/r")
     r.add_project("p", "first")
@@ -184,8 +234,8 @@ def test_engine_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         e.drop_ephemeral("p", "s", "main")
     assert e.drop_ephemeral("p", "s", "_ephemeral/7")["orphans"] == 1
-    assert e.pin_branches("p", "s", ["main", "dev", "main"]) == ["main", "dev"]
-    assert e.unpin_branches("p", "s", ["main"]) == ["dev"]
+    assert e.pin_branches("p", "s", ["main", "dev", "main"])["branches"] == ["main", "dev"]
+    assert e.unpin_branches("p", "s", ["main"]) == {"branches": ["dev"], "removed": ["main"]}
     e.remove_source("p", "s")
     assert e.chunks.count() == 0
 
