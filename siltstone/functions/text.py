@@ -32,6 +32,16 @@ def content_hash(text: Column) -> Column:
     return F.sha2(normalize_content(text), 256)
 
 
+def raw_hash(content: Column) -> Column:
+    """SHA-256 of the bytes as they are."""
+    return F.sha2(content.cast("binary"), 256)
+
+
+def json_long(document: Column, name: str) -> Column:
+    """A whole number of a JSON object's member."""
+    return F.get_json_object(document, f"$.{name}").cast("long")
+
+
 def language_of(path: Column) -> Column:
     """Language by extension; null for unknown extensions and generated files."""
     generated = F.lit(False)

@@ -49,21 +49,27 @@ def _decoded(column: pd.Series, dims: int) -> np.ndarray:
     return (np.stack([raw >> 4, raw & 15], axis=2).reshape(len(column), -1)[:, :dims].astype(np.float32)) - 7.5
 
 
-def _scored(data: DataFrame, queries: DataFrame, k: int, dims: int, coded: bool) -> DataFrame:
-    """query_id, chunk_id, score: at least the k best rows of each query, block by block.
+def _scored(data: DataFrame, queries: DataFrame, k: int, dims: int, coded: bool, by: str | None = None) -> DataFrame:
+    """query_id, chunk_id, score (and ``by``): at least the k best rows of each query (and group), block by block.
 
-    data (chunk_id, value).  A grid of data blocks and query blocks of bounded
+    data (chunk_id, value, by).  A grid of data blocks and query blocks of bounded
     size is multiplied; each cell keeps k rows a query, so what is ranked at the
     end is small.
     """
     n_data, n_query = _blocks(data.count(), DATA_BLOCK), _blocks(queries.count(), QUERY_BLOCK)
-    rows = data.select("chunk_id", "value", F.pmod(F.xxhash64("chunk_id"), F.lit(n_data)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"))
+    group = [] if by is None else [by]
+    rows = data.select("chunk_id", "value", *group, F.pmod(F.xxhash64("chunk_id"), F.lit(n_data)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"))
     asked = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_data - 1).cast("long"))).alias("db"))
     id_type, query_type = data.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
 
     def cell(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if d.empty or q.empty:
-            return pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": d["chunk_id"][:0], "score": np.zeros(0)})
+            return pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": d["chunk_id"][:0], "score": np.zeros(0)} | {c: d[c][:0] for c in group})
+        if by is not None:
+            return pd.concat([best(part, q).assign(**{by: value}) for value, part in d.groupby(by, dropna=False)], ignore_index=True)
+        return best(d, q)
+
+    def best(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("chunk_id", kind="stable")
         x, ids, out = _decoded(d["value"], dims) if coded else _unit_vectors(d["value"], dims), d["chunk_id"].to_numpy(), []
         for at in range(0, len(q), 256):
@@ -80,12 +86,13 @@ def _scored(data: DataFrame, queries: DataFrame, k: int, dims: int, coded: bool)
             out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "chunk_id": ids[column], "score": score[row, column].astype(np.float64)}))
         return pd.concat(out, ignore_index=True)
 
-    return rows.groupBy("db", "qb").cogroup(asked.groupBy("db", "qb")).applyInPandas(cell, f"query_id {query_type}, chunk_id {id_type}, score double")
+    return rows.groupBy("db", "qb").cogroup(asked.groupBy("db", "qb")).applyInPandas(cell, f"query_id {query_type}, chunk_id {id_type}, score double" + "".join(f", {c} {data.schema[c].dataType.simpleString()}" for c in group))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k most similar vectors (chunk_id, vector) of each query (query_id, vector), by cosine."""
-    return top_k(_scored(vectors.select("chunk_id", F.col("vector").alias("value")), queries, k, dims, coded=False), k, ["query_id"])
+def search(vectors: DataFrame, queries: DataFrame, k: int, dims: int, by: str | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k most similar vectors (chunk_id, vector) of each query (query_id, vector), by cosine; of each group ``by`` too."""
+    group = [] if by is None else [by]
+    return top_k(_scored(vectors.select("chunk_id", F.col("vector").alias("value"), *group), queries, k, dims, coded=False, by=by), k, ["query_id", *group])
 
 
 def vector_codes(vectors: DataFrame, dims: int) -> DataFrame:
@@ -224,3 +231,33 @@ def bm25_kept(kept: DataFrame, lengths: DataFrame, queries: DataFrame, k: int) -
     weighted = tf.join(idf, "term").select("term", "chunk_id", (F.col("idf") * _weights(F.col("tf"), F.col("length"), F.col("mean"))).alias("w"))
     scored = asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 9).alias("score"))
     return top_k(scored, k, ["query_id"])
+
+
+#: Words of an anchor, by which texts that may hold a passage are found; passages without a whole word inside that go to every text.
+ANCHOR, LOOSE = 4, 1000
+
+
+def containing(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, chunk_id of rows (chunk_id, content) whose text holds an item's (query_id, query) whole.
+
+    The words inside an item, between its first and last space, stand in such a
+    text as they are, so its first ones (up to ``ANCHOR``) are joined with the
+    runs of as many words of the texts; what meets is compared in full.
+    """
+    pieces = F.split("query", " ")
+    sized = items.filter(F.col("query").isNotNull()).select("query_id", "query", pieces.alias("__p")).withColumn("__n", F.least(F.lit(ANCHOR), F.size("__p") - 2))
+    loose = sized.filter("__n < 1").select("query_id", "query")
+    if loose.limit(LOOSE + 1).count() > LOOSE:
+        raise ValueError(f"more than {LOOSE} items have no word between two spaces")
+    anchors = sized.filter("__n >= 1").select("query_id", "query", "__n", F.xxhash64(F.slice("__p", F.lit(2), F.col("__n"))).alias("__h"))
+    words = rows.filter(F.col("content").isNotNull()).select("chunk_id", F.split("content", " ").alias("__w"))
+
+    def met(n: int) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.size("__w") - (n - 1))
+        runs = words.filter(F.size("__w") >= n + 2).select("chunk_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("__w", i, n))))).alias("__h"))
+        return runs.join(anchors.filter(F.col("__n") == n), "__h").select("chunk_id", "query_id", "query")
+
+    near = reduce(DataFrame.unionByName, map(met, range(1, ANCHOR + 1))).distinct()
+    held = near.join(rows.select("chunk_id", "content"), "chunk_id").filter(F.contains("content", "query")).select("query_id", "chunk_id")
+    every = rows.join(loose, F.contains("content", "query")).select("query_id", "chunk_id")
+    return held.unionByName(every).distinct()

@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import embedding, params
 from siltstone.functions import text as T
+from siltstone.functions.vectors import cosine
 from siltstone.operators import branches as B
 from siltstone.operators import changes, chunking, lookup, maintenance, ranking, retrieval, scheduling, temporal
-from siltstone.sources import discovery, issues
+from siltstone.sources import declarations, discovery, issues
 from siltstone.sources import files as S
 
 from . import adapters as A
@@ -78,12 +81,67 @@ def window_chunks_small(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf, 6, 1)
 
 
-@query()
+@query(
+    f"""WITH {A.FILES}, parts AS (SELECT *, string_split(content, chr(10)) AS p FROM files),
+    l AS (SELECT item_path, list_filter(list_transform(p, lambda x, i: CASE WHEN i < len(p) THEN x || chr(10) ELSE x END), lambda x: x <> '') AS l FROM parts),
+    w AS (SELECT item_path, i0, l[i0 + 1:i0 + 6] AS l FROM (SELECT *, unnest(range(0, len(l), 5)) AS i0 FROM l)),
+    u AS (SELECT *, greatest(1, len(list_filter(range(1, len(l) + 1), lambda i: length(array_to_string(l[1:i], '')) <= 400))) AS used FROM w),
+    c AS (SELECT item_path, i0 + 1 AS start_line, i0 + used AS end_line, regexp_replace(substr(array_to_string(l[1:used], ''), 1, 400), '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS chunk FROM u)
+    SELECT item_path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, length(chunk)::BIGINT AS n_chars FROM c WHERE chunk <> ''"""
+)
 def capped_window_chunks(spark: SparkSession, sf: str) -> DataFrame:
     out = chunking.window_chunks(A.files(spark, sf), size=6, overlap=1, max_chars=400)
     return out.select("item_path", F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.length("chunk").cast("long").alias("n_chars"))
 
 
+@query("SELECT page_id, sha256(html) AS hash FROM pages")
+def raw_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return A.read(spark, sf, "pages").select("page_id", T.raw_hash(F.col("html")).alias("hash"))
+
+
+#: A declaration file for each part, by language.
+_SOURCES = """
+src AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'py' WHEN 1 THEN 'ts' ELSE 'json' END AS e FROM part)"""
+
+
+def _declaration_files(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    python = F.concat(F.lit("import os\n\n\ndef fn_"), k, F.lit("(a):\n    return a\n\n\nclass C"), k, F.lit(":\n    def run(self):\n        return 1\n"))
+    typescript = F.concat(F.lit("export function fn_"), k, F.lit("(a: number) {\n  return a;\n}\nclass C"), k, F.lit(" {\n  run() { return 1; }\n}\n"))
+    plain = F.concat(F.lit('{"k": '), k, F.lit("}\n"))
+    kind = F.col("p_partkey") % 3
+    ext = F.when(kind == 0, "py").when(kind == 1, "ts").otherwise("json")
+    path = F.concat(F.lit("src/"), k, F.lit("."), ext)
+    return A.read(spark, sf, "part").select(path.alias("item_path"), F.when(kind == 0, "python").when(kind == 1, "typescript").otherwise("json").alias("language"), F.when(kind == 0, python).when(kind == 1, typescript).otherwise(plain).alias("content"))
+
+
+@query(
+    f"""WITH {_SOURCES} SELECT 'src/' || k || '.' || e AS item_path, start_line, end_line, replace(symbol, '#', k::VARCHAR) AS symbol_name FROM src, (
+      VALUES ('py', 4, 5, 'fn_#'), ('py', 8, 10, 'C#'), ('py', 9, 10, 'C#.run'), ('ts', 1, 3, 'fn_#'), ('ts', 4, 6, 'C#'), ('ts', 5, 5, 'C#.run'), ('json', 1, 1, '')) v(x, start_line, end_line, symbol) WHERE x = e"""
+)
+def declaration_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return declarations.declaration_chunks(_declaration_files(spark, sf)).select("item_path", "start_line", "end_line", "symbol_name")
+
+
+@query("SELECT doc_id, regexp_extract(substr(coalesce(text, ''), 1, 800), '^(?:\\s*\\S){0,100}\\s*') AS kept FROM documents")
+def truncate_for_model(spark: SparkSession, sf: str) -> DataFrame:
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([embedding.cap_text(t or "", 100) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "kept"])
+
+    return A.read(spark, sf, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, kept string")
+
+
+@query(
+    f"""WITH {A.FILES} SELECT item_path, CASE WHEN item_path LIKE '%.md' THEN 'markdown' WHEN item_path LIKE '%.ts' THEN 'typescript' ELSE 'python' END AS language FROM files
+    WHERE doc_id % 11 <> 0 AND length(content) * 100 <= 1048576 AND item_path NOT LIKE '%.min.js' AND item_path NOT LIKE 'docs/src2/%'"""
+)
+def scan_ref(spark: SparkSession, sf: str) -> DataFrame:
+    mode = F.when(F.col("doc_id") % 11 == 0, "120000").otherwise("100644")
+    versions = A.files(spark, sf).select("item_path", mode.alias("mode"), (F.length("content") * 100).alias("size"), "content")
+    return S.scan_ref(versions, S.compile_rules(["docs/src2/"])).select("item_path", "language")
+
+
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS hash, arg_min(source, doc_id) AS source_id FROM documents GROUP BY text")
 def dedupe_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     rows = A.read(spark, sf, "documents").select(F.sha2("text", 256).alias("hash"), "doc_id", F.col("source").alias("source_id"))
@@ -191,7 +249,26 @@ def parse_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def parse_event_props(spark: SparkSession, sf: str) -> DataFrame:
-    return A.read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return A.read(spark, sf, "events").select("event_id", T.json_long(F.col("props"), "k").alias("k"))
+
+
+@query("SELECT 'issues/' || event_id AS item_path, 'issue' AS item_type, '# E' || event_id || chr(10) || chr(10) || event_type AS content, CASE WHEN user_id % 3 = 0 THEN 'unknown' ELSE 'u' || user_id END AS author FROM events WHERE event_id % 4 <> 0")
+def github_items(spark: SparkSession, sf: str) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    raw = A.read(spark, sf, "events").select(
+        e.alias("number"), F.concat(F.lit("E"), e.cast("string")).alias("title"), F.col("event_type").alias("body"), F.when(u % 3 != 0, F.struct(F.concat(F.lit("u"), u.cast("string")).alias("login"))).alias("user"),
+        F.lit("open").alias("state"), F.lit("2024-01-01T00:00:00Z").alias("updated_at"), F.lit("url").alias("html_url"), F.array().cast("array<struct<name:string>>").alias("labels"),
+        F.lit(None).cast("struct<title:string>").alias("milestone"), F.array().cast("array<struct<login:string>>").alias("assignees"), F.when(e % 4 == 0, "yes").alias("pull_request"),
+    )
+    return issues.items(issues.from_github(raw), spark.createDataFrame([], issues.NOTE)).select("item_path", "item_type", "content", "author")
+
+
+@query("SELECT 'issues/' || event_id AS path, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS hash FROM events WHERE ts > (SELECT date_trunc('second', min(ts)) + INTERVAL 6 HOUR - INTERVAL 60 SECOND FROM events)")
+def issue_cursor_scan(spark: SparkSession, sf: str) -> DataFrame:
+    events = A.read(spark, sf, "events")
+    cursor = events.agg(F.date_format(F.date_trunc("second", F.min("ts").cast("timestamp")) + F.make_dt_interval(hours=F.lit(6)), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("c")).first()["c"]
+    raw = events.select(F.concat(F.lit("issues/"), F.col("event_id").cast("string")).alias("key"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("updated_at"))
+    return issues.updated_map(issues.since(raw, cursor)).select("path", F.concat(F.substring("hash", 1, 19), F.lit("Z")).alias("hash"))
 
 
 # --- snapshots and merges --------------------------------------------------
@@ -358,17 +435,17 @@ def cosine_topk_branch_filter(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.search(vectors.join(on, "chunk_id", "left_semi"), A.vector_queries(spark, sf), 10, 64).withColumn("score", F.round("score", 6))
 
 
-@query(
-    """SELECT label, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk_id) AS rank FROM
-      (SELECT v.label::BIGINT AS label, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)) WHERE rank <= 5"""
-)
+@query(f"WITH {A.COSINE} SELECT query_id, label, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(exact, 12) DESC, chunk_id) AS rank FROM cos) WHERE rank <= 5")
 def cosine_per_label_topk(spark: SparkSession, sf: str) -> DataFrame:
-    from siltstone.functions.vectors import cosine
+    return retrieval.search(A.vectors(spark, sf), A.vector_queries(spark, sf), 5, 64, by="label").select("query_id", "label", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
-    vectors = A.vectors(spark, sf)
-    one = vectors.filter("chunk_id = 0").select(F.col("vector").alias("__q"))
-    scored = vectors.join(F.broadcast(one)).select("label", "chunk_id", F.round(cosine(F.col("__q"), F.col("vector")), 9).alias("score"))
-    return retrieval.top_k(scored, 5, ["label"])
+
+@query(f"WITH {A.COSINE} SELECT query_id, chunk_id, round(exact, 6) AS score FROM cos")
+def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stated query against every row, by the column function."""
+    asked = A.vector_queries(spark, sf).withColumnRenamed("vector", "q")
+    pairs = A.vectors(spark, sf).join(asked, F.col("query_id") % 100 == 0)
+    return pairs.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("score"))
 
 
 @query()
@@ -421,29 +498,26 @@ def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {A.BM25}, l AS (SELECT query_id % 3 AS list_no, query_id % 3 * 100 + rank AS r, chunk_id % 50 AS item, rank FROM bmr WHERE rank <= 30 AND query_id < 3),
-    f AS (SELECT item, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no * 1000000 + rank) AS first FROM l GROUP BY 1)
-    SELECT item, score, row_number() OVER (ORDER BY score DESC, first, item) AS rank FROM f"""
+    f"""WITH {A.BM25}, l AS (SELECT query_id, chunk_id % 3 AS list_no, 'p1:' || source || ':issues/' || chunk_id % 50 || ':' || substr(text, 1, 40) AS item, rank FROM bmr JOIN documents ON doc_id = chunk_id WHERE rank <= 30),
+    f AS (SELECT query_id, item, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no * 1000000 + rank) AS first FROM l GROUP BY ALL)
+    SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, item) AS rank FROM f"""
 )
 def rrf_knowledge_key(spark: SparkSession, sf: str) -> DataFrame:
-    lists = retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf).filter("query_id < 3"), 30)
-    lists = lists.select((F.col("query_id") % 3).alias("list_no"), (F.col("chunk_id") % 50).alias("item"), "rank")
-    return ranking.reciprocal_rank(lists, ["item"]).select("item", "score", "rank")
+    rows = A.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text")
+    path = F.concat(F.lit("issues/"), (F.col("chunk_id") % 50).cast("string"))
+    lists = retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf), 30).join(rows, "chunk_id")
+    lists = lists.select("query_id", (F.col("chunk_id") % 3).alias("list_no"), ranking.knowledge_key(F.lit("p1"), F.col("source"), path, F.col("text")).alias("item"), "rank")
+    return ranking.reciprocal_rank(lists, ["item"], ["query_id"]).select("query_id", "item", "score", "rank")
 
 
 @query(
-    f"""WITH {A.COSINE}, r AS (SELECT label AS list_no, chunk_id, row_number() OVER (PARTITION BY label ORDER BY round(exact, 12) DESC, chunk_id) AS rank FROM cos WHERE query_id = 0),
-    f AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no * 1000000 + rank) AS first FROM r WHERE rank <= 10 GROUP BY 1)
-    SELECT * FROM (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, first, chunk_id) AS rank FROM f) WHERE rank <= 20"""
+    f"""WITH {A.COSINE}, r AS (SELECT query_id, label AS list_no, chunk_id, row_number() OVER (PARTITION BY query_id, label ORDER BY round(exact, 12) DESC, chunk_id) AS rank FROM cos),
+    f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no * 1000000 + rank) AS first FROM r WHERE rank <= 10 GROUP BY ALL)
+    SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM f) WHERE rank <= 20"""
 )
 def rrf_cross_source(spark: SparkSession, sf: str) -> DataFrame:
-    from siltstone.functions.vectors import cosine
-
-    vectors = A.vectors(spark, sf)
-    one = vectors.filter("chunk_id = 0").select(F.col("vector").alias("__q"))
-    scored = vectors.join(F.broadcast(one)).select("label", "chunk_id", F.round(cosine(F.col("__q"), F.col("vector")), 12).alias("score"))
-    per_source = retrieval.top_k(scored, 10, ["label"]).select(F.col("label").alias("list_no"), "chunk_id", "rank")
-    return ranking.reciprocal_rank(per_source, ["chunk_id"]).filter("rank <= 20").select("chunk_id", "score", "rank")
+    per_source = retrieval.search(A.vectors(spark, sf), A.vector_queries(spark, sf), 10, 64, by="label").select("query_id", F.col("label").alias("list_no"), "chunk_id", "rank")
+    return ranking.reciprocal_rank(per_source, ["chunk_id"], ["query_id"]).filter("rank <= 20").select("query_id", "chunk_id", "score", "rank")
 
 
 @query(
@@ -464,9 +538,18 @@ _RELEVANT = f"""rel AS (SELECT DISTINCT item_id AS query_id, doc_id AS chunk_id
 
 
 def _relevant(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a benchmark item's text: a stated query set against all rows."""
-    items = A.text_queries(spark, sf)
-    return A.text_rows(spark, sf).join(F.broadcast(items), F.contains(F.col("content"), F.col("query"))).select("query_id", "chunk_id").distinct()
+    """Documents that hold a benchmark item's text."""
+    return retrieval.containing(A.text_rows(spark, sf), A.text_queries(spark, sf))
+
+
+@query(f"WITH {_RELEVANT} SELECT query_id, chunk_id FROM rel")
+def containing_items(spark: SparkSession, sf: str) -> DataFrame:
+    return _relevant(spark, sf)
+
+
+@query(f"WITH {A.BM25}, {_RELEVANT}, h AS (SELECT DISTINCT query_id FROM bmr JOIN rel USING (query_id, chunk_id) WHERE rank <= 3) SELECT count(*) AS n_queries, round(avg(CASE WHEN query_id IN (SELECT query_id FROM h) THEN 1 ELSE 0 END), 9) AS share FROM (SELECT DISTINCT query_id FROM rel)")
+def hit_at_3(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.hit_at(retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf), 3), _relevant(spark, sf))
 
 
 @query(f"WITH {A.BM25}, {_RELEVANT}, f AS (SELECT query_id, min(rank) AS r FROM bmr JOIN rel USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY 1) SELECT round(avg(coalesce(1.0::DOUBLE / r, 0)), 9) AS mrr, count(*) AS n_queries FROM (SELECT DISTINCT query_id FROM rel) LEFT JOIN f USING (query_id)")
@@ -655,10 +738,57 @@ def health_probe(spark: SparkSession, sf: str) -> DataFrame:
     return maintenance.health(manifest, docs.filter(d % 97 != 4).select(d.alias("path")), 64)
 
 
-@query("SELECT count(*) FILTER (WHERE event_id % 4 = 0) AS n_ok, count(*) FILTER (WHERE event_id % 4 = 1) AS n_warn, count(*) FILTER (WHERE event_id % 4 = 2) AS n_fail, count(*) FILTER (WHERE event_id % 4 = 3) AS n_skip FROM events")
+_CONDITIONS = """
+d AS (SELECT source AS source_id, min(doc_id) AS d, count(*) AS n FROM documents GROUP BY 1),
+cond AS (SELECT 'p1' AS project_id, source_id, d % 5 <> 4 AS indexed, CASE d % 3 WHEN 0 THEN 'healthy' WHEN 1 THEN 'unknown' ELSE 'schema_unreadable' END AS health, d % 4 AS scheme, d * 3 AS versions, d % 7 / 20.0 AS ratio, CASE WHEN d % 2 = 1 THEN 'never' END AS why FROM d),
+checks AS (
+  SELECT 'indexed' AS "check", project_id, source_id, CASE WHEN indexed THEN 'ok' ELSE 'warn' END AS status FROM cond
+  UNION ALL SELECT 'health', project_id, source_id, CASE WHEN NOT indexed THEN 'skip' WHEN health = 'healthy' THEN 'ok' WHEN health = 'unknown' THEN 'warn' ELSE 'fail' END FROM cond
+  UNION ALL SELECT 'id_scheme', project_id, source_id, CASE WHEN NOT indexed THEN 'skip' WHEN scheme < 2 THEN 'fail' ELSE 'ok' END FROM cond
+  UNION ALL SELECT 'versions', project_id, source_id, CASE WHEN NOT indexed THEN 'skip' WHEN versions > 20 THEN 'warn' ELSE 'ok' END FROM cond
+  UNION ALL SELECT 'orphans', project_id, source_id, CASE WHEN NOT indexed THEN 'skip' WHEN ratio > 0.15 THEN 'warn' ELSE 'ok' END FROM cond
+  UNION ALL SELECT 'searchable', project_id, source_id, CASE WHEN NOT indexed THEN 'skip' WHEN why IS NOT NULL THEN 'fail' ELSE 'ok' END FROM cond)"""
+
+
+def _conditions(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("d")
+    by = A.read(spark, sf, "documents").groupBy(F.col("source").alias("source_id")).agg(F.min("doc_id").alias("d"))
+    health = F.get(F.array(*map(F.lit, ("healthy", "unknown", "schema_unreadable"))), (d % 3).cast("int"))
+    return by.select(F.lit("p1").alias("project_id"), "source_id", (d % 5 != 4).alias("indexed"), health.alias("health"), (d % 4).alias("scheme"), (d * 3).alias("versions"), (d % 7 / 20.0).alias("ratio"), F.when(d % 2 == 1, "never").alias("unsearchable"))
+
+
+@query(f'WITH {_CONDITIONS} SELECT "check", project_id, source_id, status FROM checks')
+def doctor_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.doctor_checks(_conditions(spark, sf))
+
+
+@query(f"WITH {_CONDITIONS} SELECT count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'warn') AS n_warn, count(*) FILTER (WHERE status = 'fail') AS n_fail, count(*) FILTER (WHERE status = 'skip') AS n_skip FROM checks")
 def doctor_summary(spark: SparkSession, sf: str) -> DataFrame:
-    status = F.get(F.array(*map(F.lit, ("ok", "warn", "fail", "skip"))), F.col("event_id") % 4)
-    return maintenance.check_counts(A.read(spark, sf, "events").select(status.alias("status")))
+    return maintenance.check_counts(maintenance.doctor_checks(_conditions(spark, sf)))
+
+
+@query(f"WITH {A.JOBS}, late AS (SELECT max(finished_at) AS m FROM jobs) SELECT 'jobs' AS \"check\", '' AS project_id, '' AS source_id, CASE WHEN count(*) FILTER (WHERE status = 'failed' AND finished_at > m - 86400000) > 0 THEN 'warn' ELSE 'ok' END AS status FROM jobs, late")
+def job_checks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.jobs(spark, sf)
+    return maintenance.job_checks(rows, rows.agg(F.max("finished_at")).first()[0])
+
+
+@query(f"WITH {_OLD}, tried AS (SELECT * FROM old ORDER BY chunk_id LIMIT 1000) SELECT count(*) AS n_tried, count(*) FILTER (WHERE chunk_id <> sha256('p1' || chr(0) || source_id || chr(0) || language || chr(0) || content)) AS n_wrong FROM tried")
+def legacy_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.legacy_mismatches(_old_chunks(spark, sf))
+
+
+@query("SELECT 'p1' AS project_id, source AS source_id FROM documents GROUP BY source HAVING min(doc_id) % 2 = 0 AND min(doc_id) % 3 < 2")
+def to_refetch(spark: SparkSession, sf: str) -> DataFrame:
+    d = A.read(spark, sf, "documents").groupBy(F.col("source").alias("source_id")).agg(F.min("doc_id").alias("d"))
+    rows = d.select(F.lit("p1").alias("project_id"), "source_id", F.when(F.col("d") % 2 == 0, "text").otherwise("code").alias("profile"), (F.col("d") % 3).alias("knowledge_schema_version"))
+    return maintenance.to_refetch(rows)
+
+
+@query("SELECT doc_id AS path, n_chars AS bytes FROM documents WHERE doc_id % 3 <> 1")
+def unreferenced_folders(spark: SparkSession, sf: str) -> DataFrame:
+    folders = A.read(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("bytes"))
+    return maintenance.unreferenced(folders, folders.filter("path % 3 = 1"))
 
 
 @query("SELECT source AS source_id, count(*) * 500 AS tokens FROM documents GROUP BY 1")
@@ -704,13 +834,15 @@ def rebuild_cadence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH b AS (SELECT DISTINCT user_id FROM events), d AS (SELECT 's' || user_id % 4 AS source_id, 'b' || user_id AS branch, CASE WHEN user_id % 5 <> 0 THEN 'sha' || user_id % 9 END AS sha, CASE WHEN user_id % 3 <> 0 THEN 'sha' || user_id % 2 END AS last, user_id % 2 = 0 AS has FROM b)
-    SELECT source_id, branch, CASE WHEN sha IS NULL THEN 'warn_no_remote' WHEN last IS NULL AND has THEN 'baseline' WHEN last IS NULL THEN 'enqueue' WHEN sha <> last THEN 'enqueue' ELSE 'up_to_date' END AS decision FROM d"""
+    SELECT source_id, branch, CASE WHEN sha IS NULL THEN 'warn_no_remote' WHEN last IS NULL AND has THEN 'baseline' WHEN last IS NULL THEN 'enqueue' WHEN sha <> last THEN 'enqueue' ELSE 'up_to_date' END AS decision,
+      coalesce(sha <> last AND substr(branch, 2)::BIGINT % 4 = 1, false) AS out_of_band FROM d"""
 )
 def fetch_decision(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("user_id")
     pinned = A.read(spark, sf, "events").select("user_id").distinct().select("user_id", F.concat(F.lit("s"), (u % 4).cast("string")).alias("source_id"), F.concat(F.lit("b"), u.cast("string")).alias("branch"))
     remotes = pinned.filter(u % 5 != 0).withColumn("sha", F.concat(F.lit("sha"), (u % 9).cast("string")))
     state = pinned.filter(u % 3 != 0).withColumn("last_indexed_sha", F.concat(F.lit("sha"), (u % 2).cast("string")))
+    remotes = remotes.withColumn("before_sha", F.when(u % 4 == 1, F.col("sha")))
     return temporal.fetch_decisions(pinned, remotes, state, pinned.filter(u % 2 == 0))
 
 
@@ -744,25 +876,56 @@ def peak_by_session(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def recent_events(spark: SparkSession, sf: str) -> DataFrame:
-    return A.read(spark, sf, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
+    return temporal.recent(A.read(spark, sf, "events").select("event_id", "ts"))
+
+
+@query(
+    """SELECT user_id, ts, branch, previous FROM (SELECT user_id, ts, 'b' || event_id % 3 AS branch, lag('b' || event_id % 3) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events) WHERE branch <> previous"""
+)
+def branch_switches(spark: SparkSession, sf: str) -> DataFrame:
+    events = A.read(spark, sf, "events").select("user_id", "ts", F.concat(F.lit("b"), (F.col("event_id") % 3).cast("string")).alias("branch"))
+    return temporal.branch_switches(events, by="user_id")
+
+
+@query(
+    """WITH s AS (SELECT event_id AS span_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS a, CASE WHEN event_id % 7 <> 0 THEN (epoch_us(ts) // 1000) / 1000.0::DOUBLE + value * 20 END AS b FROM events WHERE event_type = 'purchase'),
+    m AS (SELECT (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t0, value FROM events WHERE event_type = 'view')
+    SELECT span_id, count(value) AS n_samples, max(value) AS peak FROM s LEFT JOIN m ON t0 BETWEEN a AND b GROUP BY span_id"""
+)
+def peak_in_spans(spark: SparkSession, sf: str) -> DataFrame:
+    events = A.read(spark, sf, "events").withColumn("s", A.millis("ts") / 1000.0)
+    spans = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("span_id"), F.col("s").alias("enter_s"), F.when(F.col("event_id") % 7 != 0, F.col("s") + F.col("value") * 20).alias("exit_s"))
+    return temporal.peak_in_spans(spans, events.filter("event_type = 'view'").select(F.col("s").alias("at"), "value"))
+
+
+@query("SELECT 'p' || user_id AS project_id, max(epoch_us(ts) // 1000000) > (SELECT max(epoch_us(ts) // 1000000) - 3600 FROM events) AS hot FROM events GROUP BY user_id")
+def project_heat(spark: SparkSession, sf: str) -> DataFrame:
+    events = A.read(spark, sf, "events").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project_id"), F.floor(A.millis("ts") / 1000).alias("at"))
+    return scheduling.heat(events, events.agg(F.max("at")).first()[0], 3600)
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT user_id % 3 AS a, user_id % 11 AS b, event_id % 13 AS c FROM events) SELECT a || '.' || b || '.' || c AS version, row_number() OVER (ORDER BY a, b, c) AS place FROM v"""
+)
+def semver_order(spark: SparkSession, sf: str) -> DataFrame:
+    u, e = F.col("user_id"), F.col("event_id")
+    versions = A.read(spark, sf, "events").select(F.concat_ws(".", (u % 3).cast("string"), (u % 11).cast("string"), (e % 13).cast("string")).alias("version")).distinct()
+    return versions.withColumn("place", F.row_number().over(Window.orderBy(T.semver_key(F.col("version")))))  # the few versions there are
 
 
 @query("SELECT event_id, least(30 * pow(2, event_id % 12), 600)::BIGINT AS backoff_s FROM events")
 def poll_backoff(spark: SparkSession, sf: str) -> DataFrame:
-    return A.read(spark, sf, "events").select("event_id", F.least(F.lit(30) * F.pow(F.lit(2), F.col("event_id") % 12), F.lit(600)).cast("long").alias("backoff_s"))
+    return A.read(spark, sf, "events").select("event_id", scheduling.backoff_seconds(F.col("event_id") % 12 + 1).alias("backoff_s"))
 
 
 @query(
     """WITH k AS (SELECT DISTINCT event_type AS known FROM events), t AS (SELECT DISTINCT substr(event_type, 1, 4) || 'k' AS typed FROM events),
     c AS (SELECT typed, known, levenshtein(typed, known) AS d FROM t, k)
-    SELECT typed, arg_min(known, d * 1000 + ascii(known)) AS suggestion FROM c WHERE d <= 3 GROUP BY 1"""
+    SELECT typed, arg_min(known, (d, known)) AS suggestion FROM c WHERE d <= 3 GROUP BY 1"""
 )
 def name_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     known = A.read(spark, sf, "events").select(F.col("event_type").alias("known")).distinct()
-    typed = known.select(F.concat(F.substring("known", 1, 4), F.lit("k")).alias("typed")).distinct()
-    d = F.levenshtein("typed", "known")
-    near = typed.join(F.broadcast(known), d <= 3)  # the vocabulary of parameter names: a handful
-    return near.groupBy("typed").agg(F.min_by("known", d * 1000 + F.ascii("known")).alias("suggestion"))
+    return params.suggestions(known.select(F.concat(F.substring("known", 1, 4), F.lit("k")).alias("typed")).distinct(), known)
 
 
 @query(
@@ -797,12 +960,12 @@ def discover_repositories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH q AS (SELECT {A.WORDS.format('text')} AS w FROM benchmark WHERE item_id = 0), d AS (SELECT doc_id AS chunk_id, {A.WORDS.format("substr(text, 1, 1500)")} AS w FROM documents)
-    SELECT chunk_id, round(len(list_intersect(list_distinct(d.w), list_distinct(q.w))) / len(list_distinct(q.w))::DOUBLE, 9) AS rerank FROM d, q"""
+    f"""WITH {A.BM25}, q AS (SELECT item_id AS query_id, list_distinct({A.WORDS.format('text')}) AS q FROM benchmark)
+    SELECT query_id, chunk_id, rank, round(len(list_intersect(list_distinct(w), q)) / greatest(len(q), 1)::DOUBLE, 9) AS rerank FROM bmr JOIN dw USING (chunk_id) JOIN q USING (query_id) WHERE rank <= 50"""
 )
 def lexical_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    text = A.text_queries(spark, sf).filter("query_id = 0").first()["query"]
-    return ranking.lexical_scores(A.text_rows(spark, sf), text).withColumn("rerank", F.round("rerank", 9))
+    candidates = retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf), ranking.fetch_count(10, rerank=True))
+    return ranking.lexical_scores(candidates, A.text_rows(spark, sf), A.text_queries(spark, sf)).withColumn("rerank", F.round("rerank", 9))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,6 +21,11 @@ def since(raw: DataFrame, cursor: str | None) -> DataFrame:
     return raw.filter(F.to_timestamp("updated_at") > F.to_timestamp(F.lit(cursor)) - F.make_dt_interval(secs=F.lit(OVERLAP_SECONDS)))
 
 
+def updated_map(raw: DataFrame) -> DataFrame:
+    """path, hash: the time of an issue's last change stands for its content, as a snapshot to compare."""
+    return raw.select(F.col("key").alias("path"), F.col("updated_at").alias("hash"))
+
+
 def from_gitlab(raw: DataFrame) -> DataFrame:
     """Issues as the first provider has them (iid, author.username, milestone, ...)."""
     return raw.select(
