@@ -43,6 +43,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.strip_repeats(table(spark, sf_dir, "documents")))
 
 
+def repeat_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each repeated window of ``op5_substring_dedup`` goes on being repeated: its levels doubled until none survives."""
+    return substring.longest_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs))
@@ -64,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op3_url_filter": op3_url_filter, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_byte_bpe": op8_byte_bpe, "op9_near_dedup": op9_near_dedup, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_decontaminate": op2_decontaminate, "op3_url_filter": op3_url_filter, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_byte_bpe": op8_byte_bpe, "op9_near_dedup": op9_near_dedup, "op10_exact_dedup": op10_exact_dedup, "repeat_lengths": repeat_lengths}
 
 ORACLE_SQL = {
     "op1_chat_format": r"""
