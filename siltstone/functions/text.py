@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: All white space that a trim strips: Unicode spaces, line ends and the byte-order mark.
 _BLANK = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
+#: The same characters for ``str.strip``.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # File extension and its language.
 _LANGUAGES = """
 c c, cpp cpp, cs csharp, css css, go go, h c, hpp cpp, html html, java java, js javascript, json json, jsx javascript, kt kotlin, md markdown,

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 
 
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for tables of a query: below spark.checkpoint.dir, or in local mode, where that is unset, below one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not named and not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="siltstone-"))
+    return f"{named or _own[0]}/{spark.sparkContext.applicationId}/tables-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

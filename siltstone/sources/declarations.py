@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siltstone.functions.text import BLANKS
+
 SIZE, OVERLAP = 60, 10
 
 
@@ -113,8 +116,10 @@ def _braces(source: str, language: str) -> list[Declaration]:
     code = _NOISE.sub(_blank, source)
     out: list[Declaration] = []
 
+    starts = [0, *(m.end() for m in re.finditer("\n", code))]
+
     def line(i: int) -> int:
-        return code.count("\n", 0, i) + 1
+        return bisect_right(starts, i)
 
     def walk(start: int, end: int, parent: str, inside: bool) -> None:
         i = start
@@ -185,8 +190,13 @@ def vue_script(source: str) -> tuple[str, int] | None:
     return (m.group(1), source.count("\n", 0, m.start(1))) if m else None
 
 
+def lines_of(source: str) -> list[str]:
+    """Lines with their line feeds, as ``chunking.lines_of`` has them."""
+    return re.findall(r"[^\n]*\n|[^\n]+", source)
+
+
 def windows(lines: list[str], offset: int, max_chars: int | None) -> Iterator[tuple[int, int, str]]:
-    """(start, end, text) of line windows; one over ``max_chars`` keeps the leading lines that fit, at least one, cut."""
+    """(start, end, text) of line windows, as ``chunking.window_chunks`` makes them; one over ``max_chars`` keeps the leading lines that fit, at least one, cut."""
     for at in range(0, len(lines), SIZE - OVERLAP):
         part = lines[at : at + SIZE]
         if max_chars is not None:
@@ -196,7 +206,7 @@ def windows(lines: list[str], offset: int, max_chars: int | None) -> Iterator[tu
                     break
                 used, chars = used + 1, chars + len(text)
             part = part[:used]
-        text = "".join(part)[: max_chars or None].strip().strip("﻿")
+        text = "".join(part)[: max_chars or None].strip(BLANKS)
         if text:
             yield offset + at + 1, offset + at + len(part), text
 
@@ -213,11 +223,11 @@ def chunk_source(source: str, language: str, max_chars: int | None = None) -> li
         language = "typescript"
     else:
         found = declarations(source, language)
-    lines = source.splitlines(keepends=True)
+    lines = lines_of(source)
     out: list[tuple[int, int, str, str]] = []
     for d in found:
         body = lines[d.start - 1 : d.end]
-        text = "".join(body).strip()
+        text = "".join(body).strip(BLANKS)
         if len(body) <= SIZE and (max_chars is None or len(text) <= max_chars):
             if text:
                 out.append((offset + d.start, offset + d.end, d.name, text))
