@@ -84,6 +84,8 @@ class Jobs:
         else:
             rolled = maintenance.job_rollup(self.spark.createDataFrame([(t["job_id"], t["task_no"], t["status"], t["error"]) for t in tasks], "job_id long, task_no int, status string, error string")).first()
             state, error = rolled["status"], rolled["error"]
+            if state == "done" and any(t["status"] == "interrupted" for t in tasks):
+                state = "interrupted"
         current = next((t["project_id"] for t in tasks if t["status"] == "running"), None)
         return {"job_id": job_id, "status": state, "tasks": tasks, "current_project": current, "error": error}
 

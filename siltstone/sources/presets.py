@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 
 from pyspark.sql import SparkSession
 
 from siltstone.functions.embedding import needs_new_vectors
-from siltstone.operators.store import Table
+from siltstone.operators.store import Document
 
 from .registry import resolve_env
 
@@ -37,22 +36,16 @@ _VARIABLE = re.compile(r"\$\{([A-Za-z_]\w*)\}")
 
 
 class Presets:
-    """Rows (kind, name, value as JSON) of presets and assignments; they are few."""
+    """Presets and assignments, which are few: a versioned document."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.table = spark, Table(spark, root)
+        self.document = Document(spark, root)
 
     def _load(self) -> dict[str, dict[str, dict]]:
-        out: dict[str, dict[str, dict]] = {"preset": {}, "slot": {}}
-        rows = self.table.read()
-        for r in [] if rows is None else rows.collect():
-            out[r["kind"]][r["name"]] = json.loads(r["value"])
-        return out
+        return {"preset": {}, "slot": {}} | self.document.load()
 
     def _save(self, state: dict[str, dict[str, dict]]) -> None:
-        rows = [(kind, name, json.dumps(value)) for kind, of in state.items() for name, value in of.items()]
-        self.table.write(self.spark.createDataFrame(rows, "kind string, name string, value string").coalesce(1))
-        self.table.tidy()
+        self.document.save(state)
 
     def configured(self) -> bool:
         return bool(self._load()["slot"])

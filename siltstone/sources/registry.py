@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.operators.store import Table
+from siltstone.operators.store import Document
 
 Reader = Callable[[SparkSession, dict], DataFrame]
 _READERS: dict[str, Reader] = {}
@@ -45,19 +44,16 @@ def resolved(source: dict) -> dict:
 
 
 class Registry:
-    """Projects as rows (project_id, description, sources as JSON) of a versioned table; they are few."""
+    """Projects and their sources, which are few: a versioned document."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.table = spark, Table(spark, root)
+        self.document = Document(spark, root)
 
     def _load(self) -> dict[str, dict]:
-        rows = self.table.read()
-        return {} if rows is None else {r["project_id"]: {"id": r["project_id"], "description": r["description"], "sources": json.loads(r["sources"])} for r in rows.collect()}
+        return self.document.load()
 
     def _save(self, projects: dict[str, dict]) -> None:
-        rows = [(p["id"], p.get("description", ""), json.dumps(p["sources"])) for p in projects.values()]
-        self.table.write(self.spark.createDataFrame(rows, "project_id string, description string, sources string").coalesce(1))
-        self.table.compact(keep_seconds=0, purge=True)
+        self.document.save(projects)
 
     def list_projects(self) -> list[dict]:
         return sorted(self._load().values(), key=lambda p: p["id"])
