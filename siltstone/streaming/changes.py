@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from siltstone.operators.store import Table
+
 #: Seconds of quiet after which changes are flushed, hot and cold; of git events; until a project is idle; of heat after activity.
 DEBOUNCE_SECONDS, COLD_FACTOR, GIT_SECONDS, IDLE_SECONDS, HOT_SECONDS = 1.5, 5, 0.3, 300, 60
 #: How late an event may come.
@@ -81,3 +86,55 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     """Process what is there and stop; ``each`` gets every micro-batch and may be called again for one after a failure."""
     q = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def into_table(stream: DataFrame, table: Table, checkpoint: str, name: str, part: str = "", key: str | None = None) -> None:
+    """Add a stream's micro-batches to a part of a table (merged on ``key`` where one is given) and stop when all that is there was read.
+
+    The manifest that takes a batch in also names it, so a batch that is handed
+    over again after a failure is added once.
+    """
+    mark = f"stream:{name}"
+
+    def each(rows: DataFrame, batch: int) -> None:
+        if batch <= (table.latest() or {}).get(mark, -1):
+            return
+        if key is None:
+            table.append(rows, part, **{mark: batch})
+        else:
+            table.upsert(rows, key, part, **{mark: batch})
+        table.tidy()
+
+    run_available(stream, checkpoint, each)
+
+
+class EventLog:
+    """Job and change events as JSON lines in files by time; the oldest files go when there are too many."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str = "ts long, level string, event string, project_id string, detail string", keep_files: int = 100):
+        self.spark, self.root, self.schema, self.keep_files = spark, root.rstrip("/"), schema, keep_files
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _files(self) -> list[str]:
+        at = self._jvm.org.apache.hadoop.fs.Path(self.root)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(at) if f.getPath().getName().endswith(".json")) if self._fs.exists(at) else []
+
+    def write(self, events: list[dict]) -> None:
+        """One new file; a reader never sees part of a line, and a stream over the folder gets each file once."""
+        name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        hidden, shown = (self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}") for n in (f"_{name}", f"{name}.json"))
+        out = self._fs.create(hidden, False)
+        try:
+            out.write(bytearray("".join(json.dumps(e, ensure_ascii=False) + "\n" for e in events).encode()))
+        finally:
+            out.close()
+        self._fs.rename(hidden, shown)
+        for old in self._files()[: -self.keep_files]:
+            self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{old}"), False)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).json(self.root) if self._files() else self.spark.createDataFrame([], self.schema)
+
+    def stream(self) -> DataFrame:
+        return read_events(self.spark, self.root, self.schema, "json")

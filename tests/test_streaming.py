@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siltstone.operators import temporal
+from siltstone.operators.store import Table
 from siltstone.streaming import changes
 
 
@@ -45,3 +46,22 @@ def test_branch_switches(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/e")
     got = collect_stream(changes.branch_switches(changes.read_events(spark, f"{tmp_path}/e", rows.schema)), tmp_path)
     assert [(r[2], r[3]) for r in got] == [("b", "a"), ("a", "b")]
+
+
+def test_event_log_streams_into_a_table_once(spark, tmp_path):
+    log = changes.EventLog(spark, f"file://{tmp_path}/log", keep_files=3)
+    assert log.read().count() == 0
+    for i in range(5):
+        log.write([{"ts": i, "level": "info", "event": "job", "project_id": f"p{i % 2}", "detail": "é\n"}])
+    assert sorted(r.ts for r in log.read().collect()) == [2, 3, 4]
+    table = Table(spark, f"file://{tmp_path}/t")
+    changes.into_table(log.stream(), table, f"{tmp_path}/c", "events")
+    assert sorted(r.ts for r in table.read().collect()) == [2, 3, 4]
+    log.write([{"ts": 9, "level": "warn", "event": "gc", "project_id": "p0", "detail": ""}])
+    changes.into_table(log.stream(), table, f"{tmp_path}/c", "events")
+    assert sorted(r.ts for r in table.read().collect()) == [2, 3, 4, 9]
+    changes.into_table(log.stream(), table, f"{tmp_path}/fresh", "events")  # a lost checkpoint hands batches over again
+    assert table.count() == 4
+    latest = Table(spark, f"file://{tmp_path}/latest")
+    changes.into_table(log.stream(), latest, f"{tmp_path}/k", "latest", key="project_id")
+    assert {r.project_id: r.ts for r in latest.read().collect()} == {"p1": 3, "p0": 9}
