@@ -151,7 +151,8 @@ _LOCAL_PART = re.compile(rf"(?i)(?:(?<![a-z0-9])(?:[a-z0-9]\s){{2,}}[a-z0-9]|(?:
 _CUE = re.compile(rf"(?i)\b(?:{_CUES})\b")
 _IP = re.compile(rf"(?i)\b[0-9]{{1,3}}(?:(?:{_STRONG_DOT}|\s\.\s|\.)[0-9]{{1,3}}){{3}}\b")
 _IP_DOT = re.compile(rf"(?i){_STRONG_DOT}|\s\.\s")
-_SIGNS = re.compile(rf"(?i)[\[({{<]\s?\.|\s\.\s|(?<![a-z])(?:{_DOT_WORDS})(?![a-z])")
+_SPACED_DOT = re.compile(r"[\[({<]\s?\.|\s\.\s")
+_TOKEN = re.compile(r"\w+")
 
 
 class Text:
@@ -186,9 +187,9 @@ def _characters(t: Text) -> None:
 
 
 def _spelled(t: Text) -> None:
-    lower = t.text.lower()
+    present = set(_TOKEN.findall(t.text.lower()))  # a spelled digit of a run is a token of its own
     for words, run in zip(_DIGIT_WORDS, _SPELLED_RUNS, strict=True):
-        if not any(w in lower for w in words):
+        if present.isdisjoint(words):
             continue
         found = []
         for m in run.finditer(t.text):
@@ -221,10 +222,21 @@ def _domain(text: str, at: int) -> tuple[list[re.Match], bool]:
     return dots[:whole], any(d.lastgroup == "strong" for d in dots[:whole])
 
 
+def _may_spell(text: str) -> tuple[bool, bool]:
+    """Whether a text has what a disguised address needs, and what a dotted number with a disguised dot does."""
+    lower = text.lower()
+    present = set(_TOKEN.findall(lower))
+    at, dot = (not present.isdisjoint(words) or any(f"_{w}_" in lower for w in words) for words in (_AT_WORDS.split("|"), _DOT_WORDS.split("|")))
+    plain = any(part[:1].isalnum() for part in lower.split(".")[1:])
+    sign = " . " in text or any(f"{c}{s}." in text for c in "[({<" for s in ("", " "))
+    return "@" in text or (at and (dot or plain or sign)), dot or sign or bool(_SPACED_DOT.search(text) if "." in text else None)
+
+
 def _at_dot(t: Text) -> None:
     """Write @ and . where an address or a dotted number is spelled out."""
     text, found, done = t.text, [], 0
-    for m in _AT.finditer(text) if "@" in text or any(w in text.lower() for w in _AT_WORDS.split("|")) else ():
+    address, number = _may_spell(text)
+    for m in _AT.finditer(text) if address else ():
         dots, spelled = _domain(text, m.end())
         if m.lastgroup != "open":
             dots = dots[: next((i for i, d in enumerate(dots) if d.lastgroup == "open"), len(dots))]
@@ -248,7 +260,7 @@ def _at_dot(t: Text) -> None:
         found += [(d.start(), d.end(), ".") for d in dots if d.lastgroup]
         done = _LABEL.match(text, dots[-1].end()).end()
     t.rewrite(found)
-    if _SIGNS.search(t.text):
+    if number:
         t.rewrite([(p.start(), p.end(), ".") for m in _IP.finditer(t.text) for p in _IP_DOT.finditer(t.text, m.start(), m.end())])
 
 
