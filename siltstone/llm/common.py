@@ -109,3 +109,23 @@ def labelled_sample(rows: DataFrame, label: str, per_class: int, most: int, max_
         return []
     found = usable.join(F.broadcast(chosen), ["doc_id", "__label"], "left_semi")
     return sorted({(r["text"], r["__label"]) for r in found.select("text", "__label").collect()})
+
+
+def commonest(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """At most ``most`` rows of ``counts`` with the greatest ``n``; counts are read more than once, so they should be materialised.
+
+    What is near in ``n`` stands in one class; the classes, at most a thousand,
+    are added up from the greatest, so neither a sort of all rows is made nor do
+    the partitions' greatest rows meet on the driver.  Of the class that does not
+    fit whole a share is taken by a hash of the row.
+    """
+    level = F.floor(F.log2(F.col(n)) * 16)
+    total, least, share, low = 0, None, 0.0, 0
+    for r in counts.groupBy(level.alias("k")).agg(F.count(F.lit(1)).alias("c"), F.min(n).alias("low")).orderBy(F.desc("k")).collect():
+        if total + r["c"] > most:
+            share, low = 0.95 * (most - total) / r["c"], r["low"]
+            break
+        total, least = total + r["c"], r["low"]
+    whole = F.lit(False) if least is None else F.col(n) >= least
+    part = (F.col(n) >= low) & (F.pmod(F.xxhash64(*counts.columns), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return counts.filter(whole | part if share else whole).limit(most)

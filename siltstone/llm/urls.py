@@ -6,7 +6,7 @@ Viterbi search splits host labels and path tokens into words, and a multinomial
 naive Bayes model scores the words.
 
 Both models come from the corpus.  Unigram counts are those of the words of all
-given texts, of which the ``LEXICON`` commonest are kept.  The Bayes model is
+given texts, of which about the ``LEXICON`` commonest are kept.  The Bayes model is
 fitted on every url that a rule judges, without the part of the url that the
 rule itself names, so that it learns what else such urls have in common; the
 labelled words below are ``SEED`` extra urls each.  Of the words seen in judged
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices
+from .common import commonest, in_slices, materialise
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -87,8 +87,8 @@ def count_words(*texts: DataFrame, most: int = LEXICON) -> dict[str, int]:
         plain = F.regexp_replace(F.lower(F.coalesce(F.col(frame.columns[0]).cast("string"), F.lit(""))), "<[^<>]*>", " ")
         each = frame.select(F.explode(F.split(plain, "[^a-z]+")).alias("word"))
         words = each if words is None else words.unionByName(each)
-    held = words.filter(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r["word"]: r["n"] for r in held.orderBy(F.desc("n"), "word").limit(most).collect()}
+    held = materialise(words.filter(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "url-words")
+    return {r["word"]: r["n"] for r in commonest(held, most).collect()}
 
 
 class Segmenter:
@@ -182,8 +182,8 @@ def fit(urls: DataFrame, lexicon: dict[str, int], most: int = FEATURES) -> Model
 
     each = in_slices(judged.select("host", "path", "rule", "verdict"), run, "verdict string, word string", 4096)
     of = {c: F.count_if(F.col("verdict") == c) for c in (BLOCK, ALLOW)}
-    common = each.groupBy("word").agg(of[BLOCK].alias(BLOCK), of[ALLOW].alias(ALLOW)).orderBy(F.desc(F.col(BLOCK) + F.col(ALLOW)), "word").limit(most).collect()
-    words = {(c, r["word"]): r[c] for r in common for c in (BLOCK, ALLOW) if r[c]}
+    counts = materialise(each.groupBy("word").agg(of[BLOCK].alias(BLOCK), of[ALLOW].alias(ALLOW), F.count(F.lit(1)).alias("n")), "url-judged-words")
+    words = {(c, r["word"]): r[c] for r in commonest(counts, most).collect() for c in (BLOCK, ALLOW) if r[c]}
     return Model(lexicon, words)
 
 

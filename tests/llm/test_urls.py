@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import queries, urls
+from siltstone.llm import common, queries, urls
 from siltstone.llm.queries import URL_RULES
 
 PLAIN = urls.Model({"best": 9, "online": 7, "the": 50, "cat": 3, "an": 20}, {})
@@ -76,6 +76,16 @@ def test_counts_of_words(spark):
     assert urls.count_words(texts, texts.select("text"), most=1) == {"cat": 6}
 
 
+def test_the_commonest_are_taken_by_classes(spark):
+    rows = spark.createDataFrame([(f"w{i}", 1000 // (i + 1)) for i in range(400)], "word string, n long")
+    for most in (1, 7, 60, 400, 1000):
+        got = sorted((r.n for r in common.commonest(rows, most).collect()), reverse=True)
+        assert 0.6 * min(most, 400) <= len(got) <= most
+        fits = [1000 // (i + 1) for i in range(len(got))]
+        assert got[: len(got) // 3] == fits[: len(got) // 3]
+    assert common.commonest(rows.limit(0), 5).count() == 0
+
+
 def bayes(rows, lexicon, asked):
     """Verdicts of the method for ``asked`` urls, from the judged ones of ``rows``; counts, sums and logarithms written out plainly."""
     split = urls.Model(lexicon, {}).segmenter.split
