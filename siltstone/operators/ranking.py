@@ -15,7 +15,8 @@ def reciprocal_rank(lists: DataFrame, key: list[str], by: list[str] | None = Non
 
     A row's score is the sum of 1 / (k + rank) over its places, repeats within a
     list too; equal scores keep the order of first appearance.  Adds score,
-    first_list, first_rank and rank.
+    first_list, first_rank and rank.  Without ``by`` all rows are ranked in one
+    task: for the few hits of one search.
     """
     by = by or []
     place = F.struct("list_no", "rank")

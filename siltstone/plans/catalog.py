@@ -910,7 +910,7 @@ def project_heat(spark: SparkSession, sf: str) -> DataFrame:
 def semver_order(spark: SparkSession, sf: str) -> DataFrame:
     u, e = F.col("user_id"), F.col("event_id")
     versions = A.read(spark, sf, "events").select(F.concat_ws(".", (u % 3).cast("string"), (u % 11).cast("string"), (e % 13).cast("string")).alias("version")).distinct()
-    return versions.withColumn("place", F.row_number().over(Window.orderBy(T.semver_key(F.col("version")))))  # the few versions there are
+    return versions.withColumn("place", F.row_number().over(Window.orderBy(T.semver_key(F.col("version")))).cast("long"))  # the few versions there are
 
 
 @query("SELECT event_id, least(30 * pow(2, event_id % 12), 600)::BIGINT AS backoff_s FROM events")

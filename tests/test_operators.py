@@ -11,6 +11,7 @@ from siltstone.functions import embedding
 from siltstone.functions import text as T
 from siltstone.functions.vectors import cosine
 from siltstone.operators import branches, changes, chunking, lookup, maintenance, ranking, retrieval, temporal
+from siltstone.sources import declarations
 
 
 def one(spark, column):
@@ -67,6 +68,15 @@ def test_window_chunks(spark, cap):
         assert sorted(got.get(i, [])) == brute_windows(t.splitlines(keepends=True), 6, 2, cap), t
 
 
+def test_windows_of_the_worker_equal_those_of_the_engine(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "\n", " ", "\u00a0", "\u2028", "\x0b", "b\n", "word\n" * 30]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    files = spark.createDataFrame(list(enumerate(texts)), "k int, content string")
+    for cap in (None, 90):
+        got = sorted((r.k, r.start_line, r.end_line, r.chunk) for r in chunking.window_chunks(files, max_chars=cap).collect())
+        assert got == sorted((k, s, e, t) for k, text in enumerate(texts) for s, e, t in declarations.windows(declarations.lines_of(text), 0, cap))
+
+
 def test_windows_have_no_early_stop(spark):
     rows = spark.createDataFrame([("\n".join(f"l{i}" for i in range(55)),)], "content string")
     assert sorted((r.start_line, r.end_line) for r in chunking.window_chunks(rows).collect()) == [(1, 55), (51, 55)]
