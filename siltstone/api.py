@@ -240,7 +240,8 @@ class Engine:
         if not found:
             raise LookupError("NO_CODE_SOURCES" if profile == "code" else "NO_KNOWLEDGE_SOURCES")
         table = self.chunks if profile == "code" else self.knowledge
-        health = self.health().get("code" if profile == "code" else "knowledge", "healthy")
+        name = "code" if profile == "code" else "knowledge"
+        health = self.health(name)[name]
         for s in found:
             where = {"project_id": project, "source_id": s["id"]}
             if _part(project, s["id"]) not in table.parts():
@@ -678,10 +679,12 @@ class Engine:
         self.jobs.reconcile(self._projects())
         return steps
 
-    def health(self) -> dict[str, str]:
-        """State of each table's current version; a store that cannot be listed is looked at once more, then ``unknown``."""
+    def health(self, only: str | None = None) -> dict[str, str]:
+        """State of each (or one) table's current version; a store that cannot be listed is looked at once more, then ``unknown``."""
         out = {}
         for name, table in (("code", self.chunks), ("knowledge", self.knowledge)):
+            if only not in (None, name):
+                continue
             for last in (False, True):
                 try:
                     row = maintenance.health(*table.manifest_rows(name), self.dims).first() if table._numbers() else None
@@ -695,7 +698,7 @@ class Engine:
 
     def repair(self) -> dict[str, int | None]:
         """Go back to the newest version that can be read, where the current one cannot."""
-        return {name: table.repair() for name, table in (("code", self.chunks), ("knowledge", self.knowledge)) if self.health()[name] not in ("healthy", "unknown")}
+        return {name: table.repair() for name, table in (("code", self.chunks), ("knowledge", self.knowledge)) if self.health(name)[name] not in ("healthy", "unknown")}
 
     def _conditions(self) -> DataFrame:
         """What the doctor looks at, a row for each source."""
