@@ -30,8 +30,9 @@ URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "a
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    lexicon = urls.count_words(table(spark, sf_dir, "documents").select("text"), pages.select("html"), pages.select("url"))
-    return urls.judge(pages, URL_RULES, urls.fit(urls.parsed(pages, URL_RULES), lexicon))
+    docs = table(spark, sf_dir, "documents")
+    lexicon = urls.count_words(docs.select("text"), pages.select("html"), pages.select("url"))
+    return urls.judge(pages, URL_RULES, urls.fit(urls.parsed(pages, URL_RULES), lexicon, URL_RULES, docs, table(spark, sf_dir, "labels")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
