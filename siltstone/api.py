@@ -14,7 +14,8 @@ from siltstone.functions import embedding, params
 from siltstone.functions import text as T
 from siltstone.operators import branches, changes, chunking, jobs, lookup, maintenance, ranking, retrieval, scheduling, temporal
 from siltstone.operators.store import Table, needs_migration
-from siltstone.sources import declarations, files, issues, presets, registry, repository
+from siltstone.sources import declarations, files, issues, presets, registry, repository, tracker
+from siltstone.streaming import changes as streams
 
 CHUNKS = "chunk_id string, project_id string, source_id string, item_path string, content string, start_line int, end_line int, language string, symbol_name string, vector array<float>"
 ITEMS = ["chunk_id", "project_id", "source_id", "item_path", "item_url", "item_type", "author", "timestamp", "content", "state", "labels", "assignees", "milestone", "confidential"]
@@ -45,8 +46,20 @@ def _read_code(spark: SparkSession, source: dict) -> DataFrame:
     return files.read_tree(spark, source["root"], files.compile_rules([*own, *source.get("ignore", [])]))
 
 
+#: Settings of a ticket source that its tracker's reader takes.
+_TRACKER = ("provider", "base_url", "token", "fetch", "cursor", "until")
+
+
+def _tracker(reader, spark: SparkSession, source: dict) -> DataFrame:  # noqa: ANN001  spark.read or spark.readStream
+    spark.dataSource.register(tracker.IssueSource)
+    own = {k: source[k] for k in _TRACKER if source.get(k)}
+    return reader.format("issues").options(project=source["project_id"], **own).load()
+
+
 def _read_issues(spark: SparkSession, source: dict) -> DataFrame:
-    """Items of issues and notes kept as JSON lines in the engine's own shape."""
+    """Items of a provider's tracker, or of issues and notes kept as JSON lines in the engine's own shape."""
+    if source.get("provider"):
+        return issues.tracker_items(_tracker(spark.read, spark, source).persist(), source["provider"])
     raw = issues.since(spark.read.schema(issues.ISSUE).json(source["issues"]), source.get("cursor"))
     return issues.items(raw, spark.read.schema(issues.NOTE).json(source["notes"]))
 
@@ -223,6 +236,18 @@ class Engine:
         self._finish(project, source, part, n, full, {"last_indexed": started, "knowledge_schema_version": ID_SCHEME, "cursor": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(started / 1000))})
         return {"scanned": n, "reindexed": n, "removed": 0, "prepared": n, "persisted": n}
 
+    def follow_source(self, project: str, source: str, checkpoint: str) -> None:
+        """Index what a tracker's project says since the stream's offset; a batch that is handed over again replaces its issues' rows once more."""
+        own = self._source(project, source)
+        settings = registry.resolved(own) | {"cursor": None}
+
+        def each(rows: DataFrame, batch: int) -> None:
+            held = rows.persist()
+            self._index_knowledge(project, source, issues.tracker_items(held, settings.get("provider", "gitlab")), False)
+            held.unpersist()
+
+        streams.run_available(_tracker(self.spark.readStream, self.spark, settings), checkpoint, each)
+
     def create_vector_index(self, project: str, source: str, force: bool = False) -> bool:
         """Keep the codes of a source's vectors; not for few rows, nor again where there are some, unless forced."""
         part = _part(project, source)

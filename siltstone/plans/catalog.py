@@ -16,8 +16,10 @@ from siltstone.functions import text as T
 from siltstone.functions.vectors import cosine
 from siltstone.operators import branches as B
 from siltstone.operators import changes, chunking, lookup, maintenance, ranking, retrieval, scheduling, temporal
-from siltstone.sources import declarations, discovery, issues
+from siltstone.operators.store import Table
+from siltstone.sources import declarations, discovery, issues, tracker
 from siltstone.sources import files as S
+from siltstone.streaming import changes as streams
 
 from . import adapters as A
 
@@ -226,6 +228,40 @@ def issue_items(spark: SparkSession, sf: str) -> DataFrame:
     return issues.items(raw, notes).select("item_path", "item_type", "content", "author")
 
 
+def _kept_pages(spark: SparkSession, sf: str) -> str:
+    """The conversations as pages of two projects of a tracker, ten issues a page, notes within."""
+    raw, notes = issues.from_conversations(A.read(spark, sf, "conversations"))
+    user = lambda c: F.struct(F.col(c).alias("username"))
+    said = notes.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct(F.col("note").cast("long").alias("id"), "body", user("author").alias("author"), "system")).alias("notes"))
+    rows = raw.join(said, F.col("key") == F.col("__key"), "left").withColumn("notes", F.coalesce("notes", F.array().cast(said.schema["notes"].dataType)))
+    project = F.concat(F.lit("projects/"), (F.col("number") % 2).cast("string"), F.lit("/issues"))
+    page = F.floor(F.col("number") / 20).cast("int") + 1
+    shape = F.to_json(F.struct(F.col("number").alias("iid"), "title", "description", user("author").alias("author"), "updated_at", F.col("url").alias("web_url"), "state", "labels", "milestone", "confidential", "notes"))
+    root = A.scratch(spark)
+    tracker.save_pages(rows.select(project.alias("path"), page.alias("page"), shape.alias("row")), root)
+    return root
+
+
+@query(
+    f"""WITH {_ISSUES}
+    SELECT 'issues/' || conv_id AS item_path, 'https://host/issues/' || conv_id AS item_url, 'issue' AS item_type, '# Issue ' || conv_id || chr(10) || chr(10) || body AS content, 'u' || conv_id % 7 AS author, conv_id % 4 = 0 AS confidential FROM i WHERE turn = 0
+    UNION ALL SELECT 'issues/' || conv_id || '#note_' || turn, 'https://host/issues/' || conv_id || '#note_' || turn, 'comment', body, role, conv_id % 4 = 0 FROM i JOIN head USING (conv_id) WHERE turn > 0 AND role <> 'system' AND body <> ''"""
+)
+def tracker_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Two projects of a tracker: one read as a batch, the other as a stream into a table, twice from the start."""
+    spark.dataSource.register(tracker.IssueSource)
+    root = _kept_pages(spark, sf)
+    options = {"provider": "saved", "base_url": root, "until": "2024-01-02T00:00:00Z"}
+    batch = issues.tracker_items(spark.read.format("issues").options(project="0", **options).load())
+    table = Table(spark, A.scratch(spark))
+    for k in range(2):
+        stream = spark.readStream.format("issues").options(project="1", **options).load()
+        streams.run_available(stream, f"{root}-offsets/{k}", lambda rows, _: table.upsert(issues.tracker_items(rows), "item_path"))
+    streamed = table.read()
+    every = batch if streamed is None else batch.unionByName(streamed)
+    return every.select("item_path", "item_url", "item_type", "content", "author", (F.col("confidential") == "true").alias("confidential"))
+
+
 @query(
     f"""WITH {_ISSUES} SELECT 'issues/' || conv_id AS item_path, CASE WHEN opened THEN 'open' ELSE 'closed' END AS state,
       CASE n_labels WHEN 0 THEN '[]' WHEN 1 THEN '["l0"]' ELSE '["l0","l1"]' END AS labels,

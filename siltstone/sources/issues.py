@@ -62,6 +62,41 @@ def from_github(raw: DataFrame) -> DataFrame:
     )
 
 
+# What is read of the providers' issues and notes.
+GITLAB_ISSUE = "iid long, title string, description string, author struct<username: string>, updated_at string, web_url string, state string, labels array<string>, milestone struct<title: string, due_date: string>, assignees array<struct<username: string>>, confidential boolean"
+GITLAB_NOTE = "id long, body string, author struct<username: string>, created_at string, system boolean"
+GITHUB_ISSUE = "number long, title string, body string, user struct<login: string>, updated_at string, html_url string, state string, labels array<struct<name: string>>, milestone struct<title: string>, assignees array<struct<login: string>>, pull_request struct<url: string>"
+GITHUB_NOTE = "id long, body string, user struct<login: string>, created_at string"
+
+
+def from_tracker(rows: DataFrame, provider: str = "gitlab") -> tuple[DataFrame, DataFrame]:
+    """(issues, notes) of one project's rows of the tracker source; a row that was read twice counts once."""
+    github = provider == "github"
+
+    def bodies(kind: str, schema: str, *keys: str) -> DataFrame:
+        parsed = rows.filter(F.col("kind") == kind).select("number", F.from_json("body", schema).alias("b"))
+        return parsed.select(F.col("number").alias("__number"), "b.*").dropDuplicates(list(keys))
+
+    raw = bodies("issue", GITHUB_ISSUE if github else GITLAB_ISSUE, "__number").drop("__number")
+    said = bodies("note", GITHUB_NOTE if github else GITLAB_NOTE, "__number", "id")
+    notes = said.select(
+        F.concat(F.lit("issues/"), F.col("__number").cast("string")).alias("key"),
+        F.col("id").cast("string").alias("note"),
+        "body",
+        (F.coalesce("user.login", F.lit("unknown")) if github else F.col("author.username")).alias("author"),
+        F.nullif("created_at", F.lit("")).alias("created_at"),
+        (F.lit(False) if github else F.col("system")).alias("system"),
+    )
+    return (from_github if github else from_gitlab)(raw), notes
+
+
+def tracker_items(rows: DataFrame, provider: str = "gitlab") -> DataFrame:
+    """Knowledge items of one project's rows of the tracker source."""
+    if provider == "github":
+        return items(*from_tracker(rows, provider), note_suffix="comment_", anchor="issuecomment-")
+    return items(*from_tracker(rows, provider))
+
+
 def from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The driver's conversations as (issues, notes): turn 0 opens an issue, later turns are its notes, system ones system notes."""
     conv = F.col("conv_id")
@@ -85,11 +120,12 @@ def from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw, notes
 
 
-def items(raw: DataFrame, notes: DataFrame, note_suffix: str = "note_") -> DataFrame:
+def items(raw: DataFrame, notes: DataFrame, note_suffix: str = "note_", anchor: str | None = None) -> DataFrame:
     """Knowledge items: one for each issue's body and one for each note that is neither blank nor a system note.
 
     A note has its own author and time (the issue's where it has none) and the
-    issue's metadata.  Metadata are strings: JSON lists and objects, true/false,
+    issue's metadata; its url ends in ``anchor`` (the suffix of its path where none
+is given) and its id.  Metadata are strings: JSON lists and objects, true/false,
     empty where absent.
     """
     blank = F.coalesce(F.col("description"), F.lit(""))
@@ -110,7 +146,7 @@ def items(raw: DataFrame, notes: DataFrame, note_suffix: str = "note_") -> DataF
     said = notes.filter(~F.coalesce("system", F.lit(False)) & (T.trim_blank(F.coalesce("body", F.lit(""))) != ""))
     comments = said.join(head, F.col("key") == F.col("__key")).select(
         F.concat("key", F.lit(f"#{note_suffix}"), "note").alias("item_path"),
-        F.concat("__url", F.lit(f"#{note_suffix}"), "note").alias("item_url"),
+        F.concat("__url", F.lit(f"#{anchor or note_suffix}"), "note").alias("item_url"),
         F.lit("comment").alias("item_type"),
         "author",
         F.coalesce("created_at", "updated_at").alias("timestamp"),

@@ -1,26 +1,44 @@
-"""An issue tracker as a Python data source: pages, retries and a cursor on the executors.
+"""An issue tracker as a Python data source, batch and streaming: pages, retries and cursors on the executors.
 
 ``spark.dataSource.register(IssueSource)``, then
-``spark.read.format("issues").option("fetch", "module:function").option("project", "7").load()``.
-``fetch(url_path, page, since, token)`` returns (status, headers, rows) of one page; it
-does the network part and is named by module, so executors import it themselves.
+``spark.read.format("issues").option("provider", "gitlab").option("base_url", ...).option("project", "7").load()``,
+or ``spark.readStream`` alike.  Rows are (project, kind, number, updated_at, body): an
+issue or a note as the provider's JSON; ``issues.from_tracker`` reads them.
+
+One partition reads one page of one project's issues with their notes, where
+the provider says how many pages there are; else a project is one partition.  A
+stream's offset is, for each project, the time up to which it was read; a batch
+asks for what changed after the offset before less the overlap, up to the new one,
+so a batch that is run again gives the same rows as long as the tracker does, and
+an edit made while a batch runs belongs to the next.  Sinks merge on the issue.
+
+``fetch(path, page, since, token)`` returns (status, headers, rows) of one page; it
+does the network part and is named as ``module:function`` or by the provider.
 """
 
 from __future__ import annotations
 
 import importlib
 import json
+import re
 import time
-from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
-from pathlib import Path
+import urllib.error
+import urllib.parse
+import urllib.request
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow.fs
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .issues import OVERLAP_SECONDS
 
-PAGE, TRIES = 100, 3
-Fetch = Callable[[str, int, str | None, str], tuple[int, dict, list[dict]]]
+#: Rows of a page, tries of a page, seconds between issues whose notes are asked for one by one.
+PAGE, TRIES, PAUSE = 100, 3, 0.05
+Headers = dict[str, str]
+Fetch = Callable[[str, int, str | None, str], tuple[int, Headers, list[dict]]]
 
 
 class Refused(RuntimeError):
@@ -51,57 +69,198 @@ def since_of(cursor: str | None) -> str | None:
     return (datetime.fromisoformat(cursor.replace("Z", "+00:00")) - timedelta(seconds=OVERLAP_SECONDS)).isoformat()
 
 
+def total_pages(headers: Headers) -> int | None:
+    """How many pages there are, by either provider's header; None where neither says."""
+    if str(headers.get("x-total-pages", "")).isdigit():
+        return int(headers["x-total-pages"])
+    last = re.search(r'[?&]page=(\d+)[^>]*>;\s*rel="last"', headers.get("link", ""))
+    return int(last[1]) if last else None
+
+
+def one_page(fetch: Fetch, path: str, page: int, since: str | None, token: str, sleep: Callable[[float], None] = time.sleep) -> tuple[Headers, list[dict]] | None:
+    """Headers and rows of a page, tried again after failures; None for a missing resource."""
+    for attempt in range(1, TRIES + 2):
+        status, headers, rows = fetch(path, page, since, token)
+        if status == 200:
+            return headers, rows
+        wait = wait_seconds(status, headers, attempt, time.time())
+        if wait is None:
+            return None
+        if attempt > TRIES:
+            break
+        sleep(wait)
+    raise RuntimeError(f"{path}: status {status} after {TRIES} retries")
+
+
 def pages(fetch: Fetch, path: str, since: str | None, token: str, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
-    """Rows of all pages, until a short one; a missing resource has none."""
+    """Rows of all pages: as many as the provider says, else until a short one; a missing resource has none."""
     page = 1
-    while True:
-        for attempt in range(1, TRIES + 2):
-            status, headers, rows = fetch(path, page, since, token)
-            if status == 200:
-                break
-            wait = wait_seconds(status, headers, attempt, time.time())
-            if wait is None:
-                return
-            if attempt > TRIES:
-                raise RuntimeError(f"{path}: status {status} after {TRIES} retries")
-            sleep(wait)
+    while (found := one_page(fetch, path, page, since, token, sleep)) is not None:
+        headers, rows = found
         yield from rows
-        if len(rows) < PAGE:
+        known = total_pages(headers)
+        if page >= known if known is not None else len(rows) < PAGE:
             return
         page += 1
 
 
-def saved_pages(path: str, page: int, since: str | None, token: str) -> tuple[int, dict, list[dict]]:
-    """A ``fetch`` for pages saved as ``<token>/<path>/<page>.json``; the workers must see that folder."""
-    file = Path(token) / path / f"{page}.json"
-    rows = json.loads(file.read_text()) if file.exists() else []
-    return 200, {}, [r for r in rows if since is None or datetime.fromisoformat(r["updated_at"].replace("Z", "+00:00")) > datetime.fromisoformat(since)]
+def _get(url: str, headers: Headers) -> tuple[int, Headers, list[dict]]:
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=60) as r:  # noqa: S310  the source's own url
+            return r.status, {k.lower(): v for k, v in r.headers.items()}, json.load(r)
+    except urllib.error.HTTPError as e:
+        return e.code, {k.lower(): v for k, v in e.headers.items()}, []
+    except urllib.error.URLError:
+        return 599, {}, []
+
+
+def gitlab_pages(path: str, page: int, since: str | None, token: str) -> tuple[int, Headers, list[dict]]:
+    asked = {"per_page": PAGE, "page": page, "order_by": "created_at", "sort": "asc"} | ({"state": "all"} if path.endswith("/issues") else {}) | ({"updated_after": since} if since else {})
+    return _get(f"{path}?{urllib.parse.urlencode(asked)}", {"PRIVATE-TOKEN": token})
+
+
+def github_pages(path: str, page: int, since: str | None, token: str) -> tuple[int, Headers, list[dict]]:
+    asked = {"per_page": PAGE, "page": page} | ({"state": "all", "sort": "created", "direction": "asc"} if path.endswith("/issues") else {}) | ({"since": since} if since else {})
+    return _get(f"{path}?{urllib.parse.urlencode(asked)}", {"Authorization": f"Bearer {token}", "Accept": "application/vnd.github+json"})
+
+
+def save_pages(rows: DataFrame, root: str) -> None:
+    """Keep rows (path, page, row as JSON) as pages that ``saved_pages`` serves."""
+    rows.select("path", "page", "row").repartition("path", "page").write.partitionBy("path", "page").text(root)
+
+
+def saved_pages(path: str, page: int, since: str | None, token: str) -> tuple[int, Headers, list[dict]]:
+    """A ``fetch`` for pages kept by ``save_pages`` in a folder (``base_url``) that all workers see; notes stand in their issue."""
+    root, _, name = path.partition("#")
+    files, at = pyarrow.fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pyarrow.fs.LocalFileSystem(), root)
+    folder = f"{at}/path={urllib.parse.quote(name, safe='')}"
+    there = files.get_file_info(pyarrow.fs.FileSelector(folder, recursive=True, allow_not_found=True))
+    numbers = [int(f.base_name[5:]) for f in there if f.base_name.startswith("page=")]
+    if not numbers:
+        return 404, {}, []
+    rows = []
+    for f in there:
+        if f.is_file and f.path.startswith(f"{folder}/page={page}/") and f.base_name.startswith("part-"):
+            with files.open_input_stream(f.path) as stream:
+                rows += [json.loads(line) for line in stream.read().decode().splitlines()]
+    return 200, {"x-total-pages": str(max(numbers)), "x-total": ""}, [r for r in rows if since is None or moment(r["updated_at"]) > moment(since)]
+
+
+def moment(text: str) -> datetime:
+    return datetime.fromisoformat(text.replace("Z", "+00:00"))
+
+
+# What each provider calls things.  The number of an issue, its resources below the base, its pages' reader.
+PROVIDERS = {
+    "gitlab": {"number": "iid", "issues": "/api/v4/projects/{project}/issues", "fetch": f"{__name__}:gitlab_pages", "notes": "/notes"},
+    "github": {"number": "number", "issues": "/repos/{project}/issues", "fetch": f"{__name__}:github_pages", "notes": "/comments"},
+    "saved": {"number": "iid", "issues": "#projects/{project}/issues", "fetch": f"{__name__}:saved_pages", "notes": "/notes"},
+}
+
 
+@dataclass
+class Page(InputPartition):
+    """A page of a project's issues (all of them where ``pages`` is None), changed after ``since`` and not after ``until``; ``total`` is what the list had when the pages were dealt."""
+
+    project: str
+    page: int
+    pages: int | None
+    total: str
+    since: str | None
+    until: str | None
+
+
+class _Tracker:
+    """What the batch and the streaming reader share."""
 
-class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = options
+        self.options = dict(options)
+        self.provider = PROVIDERS[self.options.get("provider", "gitlab")]
+        self.projects = [p.strip() for p in self.options["project"].split(",")]
+
+    def _fetch(self) -> Fetch:
+        module, _, name = self.options.get("fetch", self.provider["fetch"]).partition(":")
+        return getattr(importlib.import_module(module), name)
+
+    def _path(self, project: str) -> str:
+        safe = "/" if "repos" in self.provider["issues"] else ""
+        return self.options.get("base_url", "").rstrip("/") + self.provider["issues"].format(project=urllib.parse.quote(project, safe=safe))
+
+    def plan(self, project: str, since: str | None, until: str | None) -> list[Page]:
+        found = one_page(self._fetch(), self._path(project), 1, since, self.options.get("token", ""))
+        headers = found[0] if found else {"x-total-pages": "1"}  # of what is missing a page is asked for and is empty
+        known = total_pages(headers)
+        if known is None:
+            return [Page(project, 1, None, "", since, until)]
+        return [Page(project, k, known, headers.get("x-total", ""), since, until) for k in range(1, max(1, known) + 1)]
+
+    def _rows(self, p: Page) -> Iterator[dict]:
+        """A page's issues; where the list has grown or shrunk meanwhile, those of as many neighbours as rows can have moved to."""
+        fetch, path, token = self._fetch(), self._path(p.project), self.options.get("token", "")
+        if p.pages is None:
+            yield from pages(fetch, path, p.since, token)
+            return
+        found = one_page(fetch, path, p.page, p.since, token)
+        if found is None:
+            return
+        headers, rows = found
+        yield from rows
+        now = headers.get("x-total", "")
+        reach = -(-abs(int(now) - int(p.total)) // PAGE) if now.isdigit() and p.total.isdigit() else abs((total_pages(headers) or p.pages) - p.pages)
+        for k in range(max(1, p.page - reach), p.page + reach + 1):
+            if k != p.page and (found := one_page(fetch, path, k, p.since, token)) is not None:
+                yield from found[1]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        fetch, path, token = self._fetch(), self._path(partition.project), self.options.get("token", "")
+        last = partition.until and moment(partition.until)
+        for issue in self._rows(partition):
+            if issue.get("pull_request") is not None or last and moment(issue["updated_at"]) > last:
+                continue
+            number, changed = int(issue[self.provider["number"]]), issue["updated_at"]
+            notes = issue.pop("notes", None)
+            if notes is None:
+                notes = list(pages(fetch, f"{path}/{number}{self.provider['notes']}", None, token))
+                time.sleep(PAUSE)
+            yield partition.project, "issue", number, changed, json.dumps(issue)
+            for note in notes:
+                yield partition.project, "note", number, changed, json.dumps(note)
+
+
+class _Reader(_Tracker, DataSourceReader):
+    def partitions(self) -> Sequence[Page]:
+        return [p for project in self.projects for p in self.plan(project, since_of(self.options.get("cursor")), self.options.get("until"))]
+
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.options["project"].split(",")]
+class _StreamReader(_Tracker, DataSourceStreamReader):
+    """Offsets are {project: time up to which it was read}; nothing is kept outside the query's checkpoint."""
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        module, _, name = self.options["fetch"].partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        path = f"projects/{partition.value}/issues"
-        for row in pages(fetch, path, since_of(self.options.get("cursor")), self.options.get("token", "")):
-            yield partition.value, json.dumps(row)
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {p: self.options.get("cursor", "") for p in self.projects}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        now = self.options.get("until") or datetime.now(UTC).isoformat(timespec="seconds")
+        return dict.fromkeys(self.projects, now)
+
+    def partitions(self, start: dict, end: dict) -> Sequence[Page]:
+        return [p for project in self.projects for p in self.plan(project, since_of(start.get(project) or None), end[project])]
+
+    def commit(self, end: dict) -> None:
+        """The checkpoint holds the offset; the tracker need not know."""
 
 
 class IssueSource(DataSource):
-    """project, issue (JSON) of each issue, one partition for each project."""
+    """project, kind (issue or note), number, updated_at, body (the provider's JSON)."""
 
     @classmethod
     def name(cls) -> str:
         return "issues"
 
     def schema(self) -> str:
-        return "project string, issue string"
+        return "project string, kind string, number long, updated_at string, body string"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(dict(self.options))
+        return _Reader(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
+        return _StreamReader(self.options)

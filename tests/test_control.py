@@ -74,16 +74,6 @@ def test_tracker_pages_and_retries():
     assert tracker.since_of("2024-01-01T00:01:00Z") == "2024-01-01T00:00:00+00:00" and tracker.since_of(None) is None
 
 
-def test_tracker_as_a_data_source(spark, tmp_path):
-    for project, stamps in (("7", ("2024-01-01T00:00:30Z", "2023-01-01T00:00:00Z")), ("8", ("2024-02-01T00:00:00Z",))):
-        folder = tmp_path / "projects" / project / "issues"
-        folder.mkdir(parents=True)
-        (folder / "1.json").write_text(json.dumps([{"iid": k, "updated_at": s} for k, s in enumerate(stamps)]))
-    spark.dataSource.register(tracker.IssueSource)
-    rows = spark.read.format("issues").option("fetch", "siltstone.sources.tracker:saved_pages").option("project", "7,8").option("token", str(tmp_path)).option("cursor", "2024-01-01T00:01:00Z").load()
-    assert sorted((r.project, json.loads(r.issue)["iid"]) for r in rows.collect()) == [("7", 0), ("8", 0)]
-
-
 def test_discovery(spark):
     paths = ["a/.git/HEAD", "a/x.py", "a/y.py", "a/z.ts", "a/sub/.git/HEAD", "a/sub/q.go", "b/c/.git", "b/c/m.md", "node_modules/k/.git/HEAD", "d/e/f/g/.git/HEAD", "h/t.py"]
     rows = spark.createDataFrame([(p,) for p in paths], "item_path string")
