@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import embedding, params
 from siltstone.functions import text as T
-from siltstone.operators import branches, changes, chunking, jobs, lookup, maintenance, ranking, retrieval, scheduling, temporal
+from siltstone.operators import branches, cells, changes, chunking, jobs, lookup, maintenance, ranking, retrieval, scheduling, temporal
 from siltstone.operators.store import Table, needs_migration
 from siltstone.sources import declarations, files, issues, presets, registry, repository, tracker
 from siltstone.streaming import changes as streams
@@ -80,12 +80,13 @@ class Engine:
         self.registry = registry.Registry(spark, f"{self.root}/projects")
         self.presets = presets.Presets(spark, f"{self.root}/presets")
         self.jobs = jobs.Jobs(spark, f"{self.root}/jobs")
-        names = ("code", "knowledge", "branch_tags", "hashes", "branch_state", "terms", "lengths", "codes", "batch_state", "ignores", "store")
+        names = ("code", "knowledge", "branch_tags", "hashes", "branch_state", "terms", "lengths", "codes", "cells", "batch_state", "ignores", "store")
         self.tables = {name: Table(spark, f"{self.root}/{name}") for name in names}
-        self.chunks, self.knowledge, self.tags, self.hashes, self.state, self.terms, self.lengths, self.codes, self.batches, self.ignores, self.store = self.tables.values()
+        self.chunks, self.knowledge, self.tags, self.hashes, self.state, self.terms, self.lengths, self.codes, self.cells, self.batches, self.ignores, self.store = self.tables.values()
         self.backfill = scheduling.Fifo(lambda part, force: self.create_vector_index(*part.split("/", 1), force=force))
         #: Rows added to each part since its vector index was last asked for.
         self.added: dict[str, int] = {}
+        self._models: dict[str, tuple[tuple[str, ...], cells.Cells]] = {}
 
     def _or_empty(self, table: Table, schema: str, parts: list[str] | None = None) -> DataFrame:
         rows = table.read(parts=parts)
@@ -252,11 +253,22 @@ class Engine:
         """Keep the codes of a source's vectors; not for few rows, nor again where there are some, unless forced."""
         part = _part(project, source)
         rows = next((r for t in (self.chunks, self.knowledge) if part in t.parts() and (r := t.read(parts=[part])) is not None), None)
-        if rows is None or (not force and part in self.codes.parts()) or rows.count() < retrieval.INDEX_ROWS:
+        if rows is None or (not force and part in self.cells.parts()) or rows.count() < retrieval.INDEX_ROWS:
             return False
-        self.codes.write(retrieval.vector_codes(rows, self.dims), part)
+        model = cells.fit(rows, self.dims)
+        self.codes.write(cells.laid_out(cells.codes(rows, model)), part)
+        self.cells.write(cells.model_rows(self.spark, model).coalesce(1), part)
         return True
 
+    def _cells(self, part: str) -> cells.Cells | None:
+        """The model of a part's vector index, held until another is written; None where there is none."""
+        folders = tuple((self.cells.latest() or {"parts": {}})["parts"].get(part, ()))
+        if not folders or part not in self.codes.parts():
+            return None
+        if self._models.get(part, (None,))[0] != folders:
+            self._models[part] = (folders, cells.model_of(self.cells.read(parts=[part])))
+        return self._models[part][1]
+
     # --- searching ---
 
     def _searchable(self, project: str, profile: str, wanted: list[str] | None) -> list[dict]:
@@ -281,11 +293,12 @@ class Engine:
         """chunk_id, score, rank of one source: cosine and BM25 lists fused; cosine alone where the text list is empty or cannot be had."""
         asked = embedding.embed(self.spark.createDataFrame([(0, query)], "query_id long, query string"), "query", self.dims, embedding.QUERY_PREFIX, self.encode)
         ids = rows.select("chunk_id")
-        if not self.exact and part in self.codes.parts():
-            codes = self.codes.read(parts=[part])
-            late = rows.join(codes.select("chunk_id"), "chunk_id", "left_anti")  # added since the codes were made
-            codes = codes.join(ids, "chunk_id", "left_semi").unionByName(retrieval.vector_codes(late, self.dims))
-            dense = retrieval.search_approximate(rows, asked, k, self.dims, codes)
+        model = None if self.exact else self._cells(part)
+        if model is not None:
+            coded = self.codes.read(parts=[part])
+            late = rows.join(coded.select("chunk_id"), "chunk_id", "left_anti")  # added since the codes were made
+            coded = coded.join(ids, "chunk_id", "left_semi").unionByName(cells.codes(late, model))
+            dense = cells.search(rows, coded, model, asked, k)
         else:
             dense = retrieval.search(rows, asked, k, self.dims)
         dense = dense.select("chunk_id", "score", "rank")
@@ -672,7 +685,7 @@ class Engine:
         n = mapping.count()
         self.tags.rewrite(lambda tags: maintenance.rewrite_tags(tags, mapping), part)
         self.chunks.write(new.select(*rows.columns), part, chunk_id_scheme=ID_SCHEME, migrating=None)
-        for table in (self.terms, self.lengths, self.codes):
+        for table in (self.terms, self.lengths, self.codes, self.cells):
             table.drop_parts([part])
         mapping.unpersist()
         return {"migrated": n}

@@ -134,6 +134,20 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).filter(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
 
 
+#: Copies of each vector in ``jittered``, and a copy's components in SQL.
+COPIES = 50
+JITTER_SQL = "list_transform(embedding, lambda e, c: (e::DOUBLE + 0.05 * (((vec_id * 31 + (c - 1) * 17 + j * 101 + (c - 1) * j * 7) % 97) / 97.0::DOUBLE - 0.5))::FLOAT::DOUBLE)"
+
+
+def jittered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors, queries): ``COPIES`` slightly moved copies of every vector, and those of them whose id is divisible by 500."""
+    j = F.col("j")
+    moved = F.transform("embedding", lambda e, c: (e.cast("double") + 0.05 * (((F.col("vec_id") * 31 + c * 17 + j * 101 + c * j * 7) % 97) / 97.0 - 0.5)).cast("float"))
+    rows = read(spark, sf, "embeddings").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    vectors = rows.select((F.col("vec_id") * COPIES + j).alias("chunk_id"), moved.alias("vector"))
+    return vectors, vectors.filter(F.col("chunk_id") % 500 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
+
+
 def text_queries(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

@@ -15,7 +15,7 @@ from siltstone.functions import embedding, params
 from siltstone.functions import text as T
 from siltstone.functions.vectors import cosine
 from siltstone.operators import branches as B
-from siltstone.operators import changes, chunking, lookup, maintenance, ranking, retrieval, scheduling, temporal
+from siltstone.operators import cells, changes, chunking, lookup, maintenance, ranking, retrieval, scheduling, temporal
 from siltstone.operators.store import Table
 from siltstone.sources import declarations, discovery, issues, tracker
 from siltstone.sources import files as S
@@ -495,6 +495,29 @@ def ann_recall_at_10(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.recall_of(retrieval.search_approximate(vectors, queries, 10, 64), retrieval.search(vectors, queries, 10, 64))
 
 
+@query(
+    f"""WITH j AS (SELECT vec_id * {A.COPIES} + j AS id, {A.JITTER_SQL} AS v FROM embeddings, range({A.COPIES}) t(j)),
+    c AS (SELECT q.id AS query_id, d.id AS chunk_id, list_cosine_similarity(q.v, d.v) AS s FROM j d, (SELECT * FROM j WHERE id % 500 = 0) q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, chunk_id) AS rank FROM c)
+    SELECT query_id, chunk_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10"""
+)
+def ann_cells_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest by the index of cells, of jittered copies of every vector; SQL finds them among all."""
+    vectors, queries = A.jittered(spark, sf)
+    model = cells.fit(vectors, 64)
+    return cells.search(vectors, cells.codes(vectors, model), model, queries, 10).withColumn("score", F.round("score", 6))
+
+
+@query()
+def ann_cells_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """recall and the share of codes read, of the index of cells against the exact search."""
+    vectors, queries = A.jittered(spark, sf)
+    model = cells.fit(vectors, 64)
+    coded = cells.codes(vectors, model)
+    recall = ranking.recall_of(cells.search(vectors, coded, model, queries, 10), retrieval.search(vectors, queries, 10, 64))
+    return recall.crossJoin(F.broadcast(cells.share_read(coded, queries, model)))
+
+
 @query(f"WITH {A.BM25} SELECT query_id, chunk_id, score, rank FROM bmr WHERE rank <= 10")
 def bm25_batch_queries(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf), 10)
