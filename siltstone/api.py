@@ -407,10 +407,11 @@ class Engine:
 
     def remove_source(self, project: str, source: str) -> None:
         """Forget a source with all its rows."""
-        self.registry.remove_source(project, source)
+        self._source(project, source)
         for table in self.tables.values():
             table.drop_parts([_part(project, source)])
         self.set_private_ignore(project, source, "", check=False)
+        self.registry.remove_source(project, source)  # last, so that what a failure leaves can still be named
 
     def remove_project(self, project: str) -> None:
         """Forget a project: its live jobs are cancelled, the rows of all its sources go."""

@@ -228,6 +228,22 @@ def issue_items(spark: SparkSession, sf: str) -> DataFrame:
     return issues.items(raw, notes).select("item_path", "item_type", "content", "author")
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id % 20 AS slot, ['a.py', '__init__.py', '_private.ts', '.hidden.py', 'b.md', 'yarn.lock', 'c.bin', '_app.tsx'][doc_id % 8 + 1] AS name, doc_id, coalesce(text, '') AS text FROM documents),
+    f AS (SELECT ['src', '_lib', 'pkg/__tests__', 'node_modules/x', '.github/workflows', 'build/out', '.venv', 'deep/er/_est', 'vendor/keep', 'top'][slot % 10 + 1] || '/' || doc_id || '/' || name AS item_path, name, slot % 10 AS folder, text FROM d)
+    SELECT item_path, sha256(regexp_replace(regexp_replace(text, '^\ufeff', ''), '\r\n?', chr(10), 'g')) AS hash FROM f
+    WHERE name NOT IN ('yarn.lock', 'c.bin') AND folder NOT IN (3, 5, 6)"""
+)
+def read_tree_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as files of a tree with hidden and skipped names, two of its skipped folders forced; read again as a source is."""
+    name = F.get(F.array(*map(F.lit, ("a.py", "__init__.py", "_private.ts", ".hidden.py", "b.md", "yarn.lock", "c.bin", "_app.tsx"))), F.col("doc_id") % 8)
+    folder = F.get(F.array(*map(F.lit, ("src", "_lib", "pkg/__tests__", "node_modules/x", ".github/workflows", "build/out", ".venv", "deep/er/_est", "vendor/keep", "top"))), F.col("doc_id") % 20 % 10)
+    docs = A.read(spark, sf, "documents").select(F.concat_ws("/", folder, F.col("doc_id").cast("string"), name).alias("item_path"), F.coalesce("text", F.lit("")).alias("text"))
+    root = A.scratch(spark)
+    S.write_files(docs, root)
+    return S.read_tree(spark, root, S.compile_rules(["!.github/", "!vendor/keep", "*.lock", "*.bin"])).select("item_path", "hash")
+
+
 def _kept_pages(spark: SparkSession, sf: str) -> str:
     """The conversations as pages of two projects of a tracker, ten issues a page, notes within."""
     raw, notes = issues.from_conversations(A.read(spark, sf, "conversations"))

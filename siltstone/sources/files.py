@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 
 # Folders that a scan does not enter, besides those that begin with a dot.
-SKIPPED_FOLDERS = """
-Dommel TestResults __pycache__ android artifacts bin build coverage dist electron fastlane ios node_modules obj packages publish target vendor venv ~ExternalLibraries
-""".split()
+SKIPPED_FOLDERS = (
+    "Dommel",
+    "TestResults",
+    "__pycache__",
+    "android",
+    "artifacts",
+    "bin",
+    "build",
+    "coverage",
+    "dist",
+    "electron",
+    "fastlane",
+    "ios",
+    "node_modules",
+    "obj",
+    "packages",
+    "publish",
+    "target",
+    "vendor",
+    "venv",
+    "~ExternalLibraries",
+)
 SKIPPED_FOLDER_PREFIX = "Intra.Old."
 # Lock files.
-LOCK_FILES = "Gemfile.lock Pipfile.lock composer.lock go.sum package-lock.json pnpm-lock.yaml poetry.lock yarn.lock".split()
+LOCK_FILES = (
+    "Gemfile.lock",
+    "Pipfile.lock",
+    "composer.lock",
+    "go.sum",
+    "package-lock.json",
+    "pnpm-lock.yaml",
+    "poetry.lock",
+    "yarn.lock",
+)
 
 #: Larger files of a branch snapshot are passed over.
 MAX_REF_BYTES = 1 << 20
@@ -112,6 +144,10 @@ def may_hold_forced(folder: str, rules: list[Rule]) -> bool:
     return False
 
 
+def skipped_folder(name: str) -> bool:
+    return name.startswith(".") or name in SKIPPED_FOLDERS or name.startswith(SKIPPED_FOLDER_PREFIX)
+
+
 def in_skipped_folder(path: Column) -> Column:
     folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
     return F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED_FOLDERS) | d.startswith(SKIPPED_FOLDER_PREFIX))
@@ -136,10 +172,108 @@ def scan_ref(versions: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     return versions.filter(~F.col("mode").isin(*LINK_MODES) & (F.col("size") <= MAX_REF_BYTES) & T.language_of(path).isNotNull() & ~ignored(path, rules or [])).withColumn("language", T.language_of(path))
 
 
+#: Folders that the driver lists before tasks walk the rest, paths that a task reads, and bytes over which a file is not read.
+SPREAD, SLICE_FILES, MAX_FILE_BYTES = 256, 500, 64 << 20
+
+
+def store_of(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """(file system, path) of a path or address that pyarrow opens (local disks, HDFS, S3, GCS)."""
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    if "://" not in root:
+        return pyarrow.fs.LocalFileSystem(), root.rstrip("/")
+    fs, at = pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", root))
+    return fs, at.rstrip("/")
+
+
+def _level(fs: pyarrow.fs.FileSystem, base: str, folder: str, rules: list[Rule] | None) -> tuple[list[tuple[str, int]], list[str]]:
+    """(files with sizes, folders to enter) right below a folder, by their paths below ``base``.  Links are passed over; without rules every folder is entered."""
+    found, folders = [], []
+    for f in fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True)):
+        name = f"{folder}/{f.base_name}".lstrip("/")
+        if isinstance(fs, pyarrow.fs.LocalFileSystem) and os.path.islink(f.path):
+            continue
+        if f.type == pyarrow.fs.FileType.File:
+            found.append((name, f.size))
+        elif f.type == pyarrow.fs.FileType.Directory and (rules is None or not skipped_folder(f.base_name) or may_hold_forced(name, rules)):
+            folders.append(name)
+    return found, folders
+
+
+def list_tree(spark: SparkSession, root: str, rules: list[Rule] | None = None) -> DataFrame:
+    """item_path, size of the files below ``root``, whatever their names; no contents are read.
+
+    With rules, skipped folders are not entered unless one may force something in
+    them.  The driver lists the first levels; once there are ``SPREAD`` folders,
+    tasks walk them.  Spark's own file index is no use here: it passes over names
+    that begin with ``_`` or ``.``.
+    """
+    fs, base = store_of(root)
+    rows: list[tuple[str, int]] = []
+    folders = [""]
+    while folders and len(folders) < SPREAD:
+        below: list[str] = []
+        for folder in folders:
+            found, inside = _level(fs, base, folder, rules)
+            rows += found
+            below += inside
+        folders = below
+    near = spark.createDataFrame(rows, "item_path string, size long")
+    if not folders:
+        return near
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = store_of(root)
+        for b in batches:
+            left = b.column(0).to_pylist()
+            while left:
+                found, inside = _level(fs, base, left.pop(), rules)
+                left += inside
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], names=["item_path", "size"])
+
+    far = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 4 * SPREAD)).mapInArrow(walk, "item_path string, size long")
+    return near.unionByName(far)
+
+
+def read_files(listed: DataFrame, root: str, most_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """``listed`` (item_path, size, ...) with the files' contents as text; a file that is gone meanwhile, or over ``most_bytes``, goes."""
+    names = listed.columns
+    at = names.index("item_path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = store_of(root)
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                texts = []
+                for path in part.column(at).to_pylist():
+                    try:
+                        with fs.open_input_stream(f"{base}/{path}") as stream:
+                            texts.append(stream.read().decode("utf-8", "replace"))
+                    except FileNotFoundError:
+                        texts.append(None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "content"])
+
+    small = listed.filter(F.col("size") <= most_bytes).persist()
+    tasks = max(1, -(-small.count() // SLICE_FILES))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema)
+    return small.repartition(tasks).mapInArrow(run, f"{schema}, content string").filter("content is not null")
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Write rows (item_path, text) as files below ``root``; a task that runs again writes the same files."""
+
+    def put(part: Iterator) -> None:
+        fs, base = store_of(root)
+        for r in part:
+            fs.create_dir(f"{base}/{r['item_path']}".rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(f"{base}/{r['item_path']}") as out:
+                out.write(r["text"].encode())
+
+    rows.foreachPartition(put)
+
+
 def read_tree(spark: SparkSession, root: str, rules: list[Rule] | None = None) -> DataFrame:
-    """item_path, content, hash, language of a file tree that Spark can read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
-    rows = raw.select(path.alias("item_path"), F.decode("content", "UTF-8").alias("content"))
-    return scan(rows, rules).withColumn("hash", T.content_hash(F.col("content")))
+    """item_path, content, hash, language of the files of a tree that are to be indexed; no others are read."""
+    kept = scan(list_tree(spark, root, rules or []), rules)
+    return read_files(kept, root).select("item_path", "content", T.content_hash(F.col("content")).alias("hash"), "language")

@@ -35,6 +35,9 @@ DEFAULTS = {
 _VARIABLE = re.compile(r"\$\{([A-Za-z_]\w*)\}")
 
 
+_EMPTY: dict[str, dict] = {"preset": {}, "slot": {}}
+
+
 class Presets:
     """Presets and assignments, which are few: a versioned document."""
 
@@ -42,10 +45,19 @@ class Presets:
         self.document = Document(spark, root)
 
     def _load(self) -> dict[str, dict[str, dict]]:
-        return {"preset": {}, "slot": {}} | self.document.load()
+        return _EMPTY | self.document.load()
+
+    def _set(self, kind: str, name: str, value: dict | None, new: bool = False) -> None:
+        """Set (or, with None, forget) one preset or slot in the newest version."""
+
+        def save(state: dict[str, dict[str, dict]]) -> dict[str, dict[str, dict]]:
+            state = _EMPTY | state
+            if new and name in state[kind]:
+                raise ValueError(f"{kind} exists: {name}")
+            rest = {k: v for k, v in state[kind].items() if k != name}
+            return state | {kind: rest if value is None else rest | {name: value}}
 
-    def _save(self, state: dict[str, dict[str, dict]]) -> None:
-        self.document.save(state)
+        self.document.save(save)
 
     def configured(self) -> bool:
         return bool(self._load()["slot"])
@@ -65,9 +77,8 @@ class Presets:
         if provider != CUSTOM and provider not in CATALOG:
             raise ValueError(f"unknown provider: {provider}")
         own = {"provider": provider, "model": model or DEFAULTS.get(provider, {}).get(slot, "")} | {k: v for k, v in fields.items() if v is not None}
-        state["preset"][name] = own
         self.check(own, name)
-        self._save(state)
+        self._set("preset", name, own, new=True)
         return own
 
     @staticmethod
@@ -111,17 +122,12 @@ class Presets:
             raise ValueError(f"unknown slot: {slot}")
         state = self._load()
         if slot == "rerank":
-            if name == "none":
-                state["slot"].pop(slot, None)
-            elif name not in state["preset"]:
+            if name != "none" and name not in state["preset"]:
                 raise KeyError(f"unknown preset: {name}")
-            else:
-                state["slot"][slot] = {"preset": name}
-            self._save(state)
+            self._set("slot", slot, None if name == "none" else {"preset": name})
             return {"ok": True, "requires_reindex": False}
         new = self.resolve(name, slot)
-        state["slot"][slot] = {"preset": name}
-        self._save(state)
+        self._set("slot", slot, {"preset": name})
         return {"ok": True, "requires_reindex": any(needs_new_vectors(old, new) for old in indexed)}
 
     def unsearchable(self, profile: str) -> str | None:

@@ -43,8 +43,14 @@ def resolved(source: dict) -> dict:
     return {k: resolve_env(v) if isinstance(v, str) else v for k, v in source.items()}
 
 
+def _known(found: dict[str, dict], name: str, what: str) -> dict:
+    if name not in found:
+        raise KeyError(f"unknown {what}: {name}")
+    return found[name]
+
+
 class Registry:
-    """Projects and their sources, which are few: a versioned document."""
+    """Projects and their sources, which are few: a versioned document.  Every update is made of the newest version, so none undoes another's."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.document = Document(spark, root)
@@ -52,67 +58,61 @@ class Registry:
     def _load(self) -> dict[str, dict]:
         return self.document.load()
 
-    def _save(self, projects: dict[str, dict]) -> None:
-        self.document.save(projects)
-
     def list_projects(self) -> list[dict]:
         return sorted(self._load().values(), key=lambda p: p["id"])
 
     def get(self, project: str) -> dict:
-        found = self._load()
-        if project not in found:
-            raise KeyError(f"unknown project: {project}")
-        return found[project]
+        return _known(self._load(), project, "project")
+
+    def _update(self, project: str, change: Callable[[dict], dict | None]) -> dict:
+        """Replace a project by what ``change`` makes of it; None forgets it."""
+
+        def save(projects: dict[str, dict]) -> dict[str, dict]:
+            new = change(_known(projects, project, "project"))
+            return {k: v for k, v in projects.items() if k != project} | ({project: new} if new else {})
+
+        return self.document.save(save).get(project, {})
 
     def add_project(self, project: str, description: str = "") -> None:
-        projects = self._load()
-        if project in projects:
-            raise ValueError(f"project exists: {project}")
-        projects[project] = {"id": project, "description": description, "sources": []}
-        self._save(projects)
+        def save(projects: dict[str, dict]) -> dict[str, dict]:
+            if project in projects:
+                raise ValueError(f"project exists: {project}")
+            return projects | {project: {"id": project, "description": description, "sources": []}}
+
+        self.document.save(save)
 
     def update_project(self, project: str, description: str) -> dict:
-        projects = self._load()
-        self.get(project)
-        projects[project]["description"] = description
-        self._save(projects)
-        return projects[project]
+        return self._update(project, lambda p: p | {"description": description})
 
     def remove_project(self, project: str) -> None:
-        projects = self._load()
-        self.get(project)
-        del projects[project]
-        self._save(projects)
+        self._update(project, lambda p: None)
 
     def add_source(self, project: str, source: dict) -> dict:
         """A source has id, type and the settings of its reader."""
         reader_of(source["type"])
-        projects = self._load()
-        self.get(project)
-        if any(s["id"] == source["id"] for s in projects[project]["sources"]):
-            raise ValueError(f"source exists: {source['id']}")
         own = {"pinned_branches": [], "last_indexed": None} | source | {"profile": _PROFILE[source["type"]]}
-        projects[project]["sources"].append(own)
-        self._save(projects)
+
+        def add(p: dict) -> dict:
+            if any(s["id"] == own["id"] for s in p["sources"]):
+                raise ValueError(f"source exists: {own['id']}")
+            return p | {"sources": [*p["sources"], own]}
+
+        self._update(project, add)
         return own
 
     def update_source(self, project: str, source: str, fields: dict) -> dict:
-        projects = self._load()
-        for s in self.get(project)["sources"] and projects[project]["sources"]:
-            if s["id"] == source:
-                s.update(fields)
-                self._save(projects)
-                return s
-        raise KeyError(f"unknown source: {source}")
+        def set_fields(p: dict) -> dict:
+            _known({s["id"]: s for s in p["sources"]}, source, "source")
+            return p | {"sources": [s | fields if s["id"] == source else s for s in p["sources"]]}
+
+        return next(s for s in self._update(project, set_fields)["sources"] if s["id"] == source)
 
     def remove_source(self, project: str, source: str) -> None:
-        projects = self._load()
-        self.get(project)
-        kept = [s for s in projects[project]["sources"] if s["id"] != source]
-        if len(kept) == len(projects[project]["sources"]):
-            raise KeyError(f"unknown source: {source}")
-        projects[project]["sources"] = kept
-        self._save(projects)
+        def remove(p: dict) -> dict:
+            _known({s["id"]: s for s in p["sources"]}, source, "source")
+            return p | {"sources": [s for s in p["sources"] if s["id"] != source]}
+
+        self._update(project, remove)
 
     def list_sources(self, project: str | None = None, profile: str | None = None) -> list[dict]:
         out = [s | {"project_id": p["id"]} for p in self.list_projects() if project in (None, p["id"]) for s in p["sources"]]
