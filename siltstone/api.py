@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import embedding, params
 from siltstone.functions import text as T
-from siltstone.operators import branches, cells, changes, chunking, jobs, lookup, maintenance, ranking, retrieval, scheduling, temporal
+from siltstone.operators import blocks, branches, cells, changes, chunking, jobs, lookup, maintenance, ranking, retrieval, scheduling, temporal
 from siltstone.operators.store import Table, needs_migration
-from siltstone.sources import declarations, files, issues, presets, registry, repository, tracker
+from siltstone.sources import declarations, files, gitobjects, issues, presets, registry, repository, tracker
 from siltstone.streaming import changes as streams
 
 CHUNKS = "chunk_id string, project_id string, source_id string, item_path string, content string, start_line int, end_line int, language string, symbol_name string, vector array<float>"
@@ -42,8 +42,10 @@ class IndexProblem(RuntimeError):
 
 
 def _read_code(spark: SparkSession, source: dict) -> DataFrame:
+    """Files of the working tree, or of the ref that ``source`` names."""
     own = [line for name in IGNORE_FILES for line in (repository._text(spark, f"{source['root'].rstrip('/')}/{name}") or "").splitlines()]
-    return files.read_tree(spark, source["root"], files.compile_rules([*own, *source.get("ignore", [])]))
+    rules = files.compile_rules([*own, *source.get("ignore", [])])
+    return gitobjects.read_ref(spark, source["root"], source["ref"], rules) if source.get("ref") else files.read_tree(spark, source["root"], rules)
 
 
 #: Settings of a ticket source that its tracker's reader takes.
@@ -106,25 +108,32 @@ class Engine:
     # --- indexing ---
 
     def index_source(self, project: str, source_id: str, branch: str | None = None, full: bool = False, items: DataFrame | None = None, flush_files: int | None = None) -> dict:
-        """Index what changed of a source on a branch (code: the checked-out one by default).
+        """Index what changed of a source on a branch (code: the checked-out one by default; others are read from the repository's objects).
 
         ``items`` replaces the reader's rows.  With ``flush_files`` the changed
         files are indexed in runs of about so many, each of which is kept when a
         later one fails.  Chunks are written before tags, and those before hashes.
         """
         source = self._source(project, source_id)
-        if items is None:
-            items = registry.reader_of(source["type"])(self.spark, registry.resolved(source) | {"ignore": [*source.get("ignore", []), *(self.get_private_ignore(project, source_id)["content"] or "").splitlines()]} if source["profile"] == "code" else registry.resolved(source))
         if source["profile"] != "code":
-            return self._index_knowledge(project, source_id, items, full)
+            return self._index_knowledge(project, source_id, registry.reader_of(source["type"])(self.spark, registry.resolved(source)) if items is None else items, full)
         root = source.get("root", "")
-        branch = branch or (repository.head_branch(self.spark, root) if root else ANY)
+        head = repository.head_branch(self.spark, root) if root else ANY
+        branch = branch or head
+        if items is None:
+            items = self._files(project, source_id, None if head in (ANY, branch) else branch)
         done = self._index_code(project, source_id, branch, items, full, flush_files)
         sha = repository.commit_of(self.spark, root, branch) if root and branch != ANY else None
         if sha is not None:
             self.set_last_indexed_sha(project, source_id, branch, sha)
         return done
 
+    def _files(self, project: str, source_id: str, ref: str | None) -> DataFrame:
+        """A code source's files: its working tree, or a ref's, which need not be checked out."""
+        source = self._source(project, source_id)
+        private = (self.get_private_ignore(project, source_id)["content"] or "").splitlines()
+        return registry.reader_of(source["type"])(self.spark, registry.resolved(source) | {"ignore": [*source.get("ignore", []), *private], "ref": ref})
+
     def _embedded(self, rows: DataFrame, project: str, source: str) -> DataFrame:
         """Rows with vectors (and __good, __refused), held; the batch sizes that went through are remembered for the source."""
         key = f"{project}:{source}:{getattr(self.encode, '__name__', 'encoder')}"
@@ -140,10 +149,15 @@ class Engine:
     def _index_text(self, rows: DataFrame, part: str) -> None:
         """Keep the postings of rows that the text index lacks, sorted by term so that a search reads few row groups."""
         new = changes.unknown_chunks(rows, self._or_empty(self.lengths, "chunk_id string, length long", [part]))
-        kept, lengths = retrieval.postings(new)
-        self.terms.append(kept.sortWithinPartitions("term"), part)
+        kept, lengths = blocks.text_blocks(new)
+        self.terms.append(blocks.laid_out(kept), part)
         self.lengths.append(lengths, part)
 
+    def _drop_postings(self, gone: DataFrame, part: str) -> None:
+        """Forget chunks (chunk_id) in a part's text index."""
+        self.terms.rewrite(lambda current: blocks.laid_out(blocks.without(current, gone)), part)
+        self.lengths.delete_ids(gone, parts=[part])
+
     def _index_code(self, project: str, source: str, branch: str, items: DataFrame, full: bool, flush_files: int | None) -> dict:
         part = _part(project, source)
         items = items.withColumn("hash", T.content_hash(F.col("content")))
@@ -226,8 +240,7 @@ class Engine:
         current = self.knowledge.read(parts=[part])
         stale = None if current is None else (current if full else current.join(named, issue == F.col("__i"), "left_semi")).select("chunk_id")
         if stale is not None:
-            for table in (self.terms, self.lengths):
-                table.delete_ids(stale.persist(), parts=[part])
+            self._drop_postings(stale.persist(), part)
         keep = {"knowledge_schema_version": ID_SCHEME, "dims": self.dims}
         done = None if full else self.knowledge.rewrite(lambda rows: rows.join(named, issue == F.col("__i"), "left_anti").unionByName(new), part, **keep)
         if done is None:
@@ -308,8 +321,11 @@ class Engine:
             kept, lengths = self.terms.read(parts=[part]), self.lengths.read(parts=[part])
             if kept is None or part not in self.terms.parts():
                 sparse = retrieval.bm25(rows, asked, k)
-            else:
-                sparse = retrieval.bm25_kept(kept.join(ids, "chunk_id", "left_semi"), lengths.join(ids, "chunk_id", "left_semi"), asked, k)
+            elif ids.count() == lengths.count():
+                sparse = blocks.search(kept, lengths, asked, k)
+            else:  # the statistics are those of the rows searched, so the postings of others go first
+                terms = kept.join(asked.select(F.explode(retrieval.tokens(F.col("query"))).alias("term")).distinct(), "term", "left_semi")
+                sparse = retrieval.bm25_kept(blocks.flat(terms).join(ids, "chunk_id", "left_semi"), lengths.join(ids, "chunk_id", "left_semi"), asked, k)
             sparse = sparse.select("chunk_id", "rank").persist()
             if sparse.isEmpty():
                 return dense
@@ -517,9 +533,10 @@ class Engine:
         for table in (self.tags, self.hashes, self.state):
             table.delete(F.col("branch") == branch, parts=[_part(project, source)])
 
-    def index_ephemeral(self, project: str, source: str, ref: str, items: DataFrame, label: str | None = None) -> dict:
-        """Index a ref's files under a label of the ephemeral prefix."""
+    def index_ephemeral(self, project: str, source: str, ref: str, items: DataFrame | None = None, label: str | None = None) -> dict:
+        """Index a ref's files (or ``items``) under a label of the ephemeral prefix."""
         started = time.time()
+        items = self._files(project, source, ref) if items is None else items
         label = self.spark.range(1).select(T.ephemeral_label(F.lit(label or ref)).alias("l")).first()["l"]
         done = self.index_source(project, source, label, items=items)
         return {"label": label, "chunks_new": done["prepared"], "chunks_reused": done["prepared"] - done["persisted"], "duration_ms": int((time.time() - started) * 1000)} | done
@@ -645,8 +662,8 @@ class Engine:
             lost = maintenance.orphans(self.chunks.read(parts=[p]), own).select("chunk_id").persist()
             lost.count()
             self.chunks.rewrite(lambda current, own=own: maintenance.collect_garbage(current, own), p)
-            for table in (self.terms, self.lengths, self.codes):
-                table.delete_ids(lost, parts=[p])
+            self._drop_postings(lost, p)
+            self.codes.delete_ids(lost, parts=[p])
             lost.unpersist()
         for table in self.tables.values():
             done = table.compact(purge=purge)
@@ -807,6 +824,7 @@ COMMANDS: dict[str, tuple[str, dict]] = {
     "cancel_reindex": ("cancel_reindex", _schema("job_id", "source_id", job_id=_NUMBER)),
     "list_jobs": ("list_jobs", _schema("", "status project kind")),
     "queue_status": ("queue_status", _schema("", "project")),
+    "index_ephemeral": ("index_ephemeral", _schema("project source ref", "label")),
     "drop_ephemeral": ("drop_ephemeral", _schema("project source label")),
     "gc": ("gc", _schema("", "project source dry_run purge", dry_run=_FLAG, purge=_FLAG)),
     "list_branches": ("list_branches", _schema("project source")),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.files import store_of
+
 from siltstone.functions import text as T
 
 
@@ -172,3 +177,52 @@ qw AS (SELECT item_id AS query_id, unnest(list_distinct({WORDS.format("text")}))
 bm AS (SELECT query_id, chunk_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
        FROM qw JOIN tf USING (term) JOIN idf USING (term) GROUP BY ALL),
 bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm)"""
+
+
+def _put_objects(rows: DataFrame, root: str) -> None:
+    """Write rows (kind, body) as a repository's loose objects."""
+
+    def put(part: Iterator) -> None:
+        fs, base = store_of(root)
+        for r in part:
+            raw = f"{r['kind']} {len(r['body'])}\0".encode() + bytes(r["body"])
+            name = hashlib.sha1(raw, usedforsecurity=False).hexdigest()
+            fs.create_dir(f"{base}/.git/objects/{name[:2]}", recursive=True)
+            with fs.open_output_stream(f"{base}/.git/objects/{name[:2]}/{name[2:]}") as out:
+                out.write(zlib.compress(raw, 1))
+
+    rows.foreachPartition(put)
+
+
+def _object(kind: str, body: Column) -> Column:
+    """The hash of an object."""
+    return F.sha1(F.concat(F.concat(F.lit(f"{kind} "), F.octet_length(body).cast("string")).cast("binary"), F.lit(bytearray(1)), body))
+
+
+def repository(spark: SparkSession, sf: str) -> str:
+    """documents as files of branch ``rel`` of a repository, a hundred to a folder, of which nothing is checked out; every eleventh is a link."""
+    root, doc = scratch(spark), F.col("doc_id")
+    ext = F.get(F.array(*map(F.lit, ("py", "md", "ts", "bin"))), doc % 4)
+    blobs = read(spark, sf, "documents").select(
+        F.concat(F.lit("a"), F.floor(doc / 10_000).cast("string")).alias("p0"),
+        F.concat(F.lit("d"), F.floor(doc / 100).cast("string")).alias("p1"),
+        F.concat(F.lit("f"), doc.cast("string"), F.lit("."), ext).alias("name"),
+        F.when(doc % 11 == 0, "120000").otherwise("100644").alias("mode"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("body"),
+    )
+    _put_objects(blobs.select(F.lit("blob").alias("kind"), "body"), root)
+    level = blobs.select("p0", "p1", "name", "mode", _object("blob", F.col("body")).alias("sha"))
+    for by in (["p0", "p1"], ["p0"], []):
+        entry = F.concat(F.hex(F.concat("mode", F.lit(" "), "name").cast("binary")), F.lit("00"), F.upper("sha"))
+        held = F.sort_array(F.collect_list(F.struct("name", entry.alias("e"))))
+        trees = level.groupBy(*by).agg(F.unhex(F.array_join(F.transform(held, lambda x: x["e"]), "")).alias("body"))
+        _put_objects(trees.select(F.lit("tree").alias("kind"), "body"), root)
+        level = trees.select(*by[:-1], *([F.col(by[-1]).alias("name")] if by else []), F.lit("40000").alias("mode"), _object("tree", F.col("body")).alias("sha"))
+    commit = f"tree {level.first()['sha']}\nauthor a <a> 0 +0000\ncommitter a <a> 0 +0000\n\nall\n".encode()
+    _put_objects(spark.createDataFrame([("commit", bytearray(commit))], "kind string, body binary"), root)
+    fs, base = store_of(root)
+    for name, text in (("HEAD", "ref: refs/heads/main"), ("refs/heads/rel", hashlib.sha1(f"commit {len(commit)}\0".encode() + commit, usedforsecurity=False).hexdigest())):
+        fs.create_dir(f"{base}/.git/{name}".rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(f"{base}/.git/{name}") as out:
+            out.write(f"{text}\n".encode())
+    return root

@@ -15,9 +15,9 @@ from siltstone.functions import embedding, params
 from siltstone.functions import text as T
 from siltstone.functions.vectors import cosine
 from siltstone.operators import branches as B
-from siltstone.operators import cells, changes, chunking, lookup, maintenance, ranking, retrieval, scheduling, temporal
+from siltstone.operators import blocks, cells, changes, chunking, lookup, maintenance, ranking, retrieval, scheduling, temporal
 from siltstone.operators.store import Table
-from siltstone.sources import declarations, discovery, issues, tracker
+from siltstone.sources import declarations, discovery, gitobjects, issues, tracker
 from siltstone.sources import files as S
 from siltstone.streaming import changes as streams
 
@@ -244,6 +244,15 @@ def read_tree_files(spark: SparkSession, sf: str) -> DataFrame:
     return S.read_tree(spark, root, S.compile_rules(["!.github/", "!vendor/keep", "*.lock", "*.bin"])).select("item_path", "hash")
 
 
+@query(
+    """WITH f AS (SELECT 'a' || doc_id // 10000 || '/d' || doc_id // 100 || '/f' || doc_id || '.' || ['py', 'md', 'ts', 'bin'][doc_id % 4 + 1] AS item_path, ['python', 'markdown', 'typescript', NULL][doc_id % 4 + 1] AS language, doc_id, coalesce(text, '') AS text FROM documents)
+    SELECT item_path, language, sha256(regexp_replace(regexp_replace(text, '^\ufeff', ''), '\r\n?', chr(10), 'g')) AS hash FROM f WHERE doc_id % 4 <> 3 AND doc_id % 11 <> 0 AND strlen(text) <= 1048576"""
+)
+def read_ref_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as files of a branch that is not checked out, read from the repository's objects."""
+    return gitobjects.read_ref(spark, A.repository(spark, sf), "rel").select("item_path", "language", "hash")
+
+
 def _kept_pages(spark: SparkSession, sf: str) -> str:
     """The conversations as pages of two projects of a tracker, ten issues a page, notes within."""
     raw, notes = issues.from_conversations(A.read(spark, sf, "conversations"))
@@ -539,6 +548,27 @@ def bm25_batch_queries(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf), 10)
 
 
+def _kept_blocks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The text index of the documents as it is kept: written, and read again."""
+    kept, lengths = blocks.text_blocks(A.text_rows(spark, sf))
+    root = A.scratch(spark)
+    blocks.laid_out(kept).write.parquet(f"{root}/terms")
+    lengths.write.parquet(f"{root}/lengths")
+    return spark.read.parquet(f"{root}/terms"), spark.read.parquet(f"{root}/lengths")
+
+
+@query(f"WITH {A.BM25} SELECT query_id, chunk_id, score, rank FROM bmr WHERE rank <= 10")
+def bm25_kept_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """All benchmark items asked of the kept index in blocks."""
+    return blocks.search(*_kept_blocks(spark, sf), A.text_queries(spark, sf), 10)
+
+
+@query()
+def bm25_blocks_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the blocks of the asked terms, how many a search of all benchmark items scores."""
+    return blocks.blocks_read(*_kept_blocks(spark, sf), A.text_queries(spark, sf), 10)
+
+
 @query(f"WITH {A.BM25} SELECT query_id, chunk_id, score, rank FROM bmr WHERE rank <= 20 AND query_id = 0")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bm25(A.text_rows(spark, sf), A.text_queries(spark, sf).filter("query_id = 0"), 20)

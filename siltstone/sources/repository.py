@@ -45,6 +45,25 @@ def head_branch(spark: SparkSession, root: str) -> str:
     return head[:12] if _SHA.fullmatch(head) else ANY
 
 
+def _lookup(spark: SparkSession, folders: list[str], name: str) -> str | None:
+    """What a full ref name stands for, loose or packed."""
+    for at in folders:
+        sha = _text(spark, f"{at}/{name}")
+        if sha and _SHA.fullmatch(sha):
+            return sha
+        for line in (_text(spark, f"{at}/packed-refs") or "").splitlines():
+            if line.endswith(f" {name}") and _SHA.fullmatch(line.split()[0]):
+                return line.split()[0]
+    return None
+
+
+def ref_of(spark: SparkSession, root: str, name: str) -> str | None:
+    """The object that a full ref name (refs/...) stands for; None where it is unknown."""
+    folder = _git_folder(spark, root)
+    shared = _text(spark, f"{folder}/commondir")
+    return _lookup(spark, [folder, *([f"{folder}/{shared}"] if shared else [])], name)
+
+
 def commit_of(spark: SparkSession, root: str, branch: str) -> str | None:
     """The commit that a branch (or origin/branch) points to, loose or packed; None where it is unknown."""
     folder = _git_folder(spark, root)
@@ -52,12 +71,8 @@ def commit_of(spark: SparkSession, root: str, branch: str) -> str | None:
     folders = [folder, *([f"{folder}/{shared}"] if shared else [])]
     names = [f"refs/remotes/{branch}", f"refs/heads/{branch}"] if branch.startswith("origin/") else [f"refs/heads/{branch}", f"refs/remotes/origin/{branch}"]
     for name in names:
-        for at in folders:
-            sha = _text(spark, f"{at}/{name}")
-            if sha and _SHA.fullmatch(sha):
-                return sha
-            for line in (_text(spark, f"{at}/packed-refs") or "").splitlines():
-                if line.endswith(f" {name}") and _SHA.fullmatch(line.split()[0]):
-                    return line.split()[0]
+        sha = _lookup(spark, folders, name)
+        if sha is not None:
+            return sha
     head = _text(spark, f"{folder}/HEAD") or ""
     return head if _SHA.fullmatch(head) and head[:12] == branch else None
