@@ -2,63 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Longest edit distance of a suggestion.
 NEAR = 3
+#: Python types of each kind of value; true and false are no numbers.
+KINDS = {"boolean": (bool,), "number": (int, float), "string": (str,), "array": (list,), "object": (dict,)}
+
+
+def _kind(value: object) -> str:
+    return next((k for k, types in KINDS.items() if isinstance(value, types)), type(value).__name__)
 
 
-def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+def edits(a: str, b: str) -> int:
+    """Insertions, deletions and replacements between two short names."""
+
+    @cache
+    def rest(i: int, j: int) -> int:
+        if i == len(a) or j == len(b):
+            return len(a) - i + len(b) - j
+        return rest(i + 1, j + 1) if a[i] == b[j] else 1 + min(rest(i + 1, j), rest(i, j + 1), rest(i + 1, j + 1))
+
+    return rest(0, 0)
 
 
 def suggest(unknown: str, known: list[str]) -> str | None:
-    """A known name that begins with the unknown one or the other way round, else the nearest within three edits."""
-    for k in known:
-        if k.startswith(unknown) or unknown.startswith(k):
-            return k
-    best = min(known, key=lambda k: edit_distance(unknown, k), default=None)
-    return best if best is not None and edit_distance(unknown, best) <= NEAR else None
+    """A known name that begins with the unknown one or the other way round, else the nearest within ``NEAR`` edits; of several the first."""
+    rated = [(0 if k.startswith(unknown) or unknown.startswith(k) else edits(unknown, k), i, k) for i, k in enumerate(known)]
+    distance, _, name = min(rated, default=(NEAR + 1, 0, None))
+    return name if distance <= NEAR else None
+
+
+class _Given(NamedTuple):
+    """One parameter as it was sent, with what its schema says."""
+
+    name: str
+    value: object
+    rule: dict | None
+    required: bool
+    known: list[str]
+
+    @property
+    def odd_items(self) -> list[str]:
+        """Kinds of the items that are of another kind than the schema's."""
+        want = self.rule.get("items", {}).get("type")
+        return [_kind(v) for v in self.value if want and _kind(v) != want] if isinstance(self.value, list) else []
+
+
+def _hint(g: _Given) -> str:
+    near = suggest(g.name, g.known)
+    return f", did you mean '{near}'?" if near else ""
 
 
-def kind_of(value: object) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, int | float):
-        return "number"
-    return {str: "string", list: "array", dict: "object"}.get(type(value), type(value).__name__)
+#: What can be wrong: its stage (a lower one is told first), when it holds, and what is said.
+CHECKS: list[tuple[int, Callable[[_Given], bool], Callable[[_Given], str]]] = [
+    (0, lambda g: g.rule is None, lambda g: f"unknown parameter '{g.name}'{_hint(g)}"),
+    (1, lambda g: g.required and g.value is None, lambda g: f"missing parameter '{g.name}'"),
+    (2, lambda g: _kind(g.value) != g.rule.get("type", _kind(g.value)), lambda g: f"'{g.name}' must be of type {g.rule['type']}, not {_kind(g.value)}"),
+    (2, lambda g: isinstance(g.value, str) and g.value not in g.rule.get("enum", [g.value]), lambda g: f"'{g.name}' must be one of {', '.join(g.rule['enum'])}, not '{g.value}'"),
+    (2, lambda g: bool(g.odd_items), lambda g: f"items of '{g.name}' must be of type {g.rule['items']['type']}, not {g.odd_items[0]}"),
+]
 
 
 def violation(schema: dict, params: dict) -> str | None:
-    """The first thing wrong: an unknown name, a missing one, then type, choice and item type of each; None if all is well."""
-    properties = schema.get("properties", {})
-    for name in params:
-        if name not in properties:
-            near = suggest(name, list(properties))
-            return f"unknown parameter '{name}'" + (f", did you mean '{near}'?" if near else "")
-    for name in schema.get("required", []):
-        if params.get(name) is None:
-            return f"missing parameter '{name}'"
-    for name, value in params.items():
-        if value is None:
-            continue
-        rule = properties[name]
-        if "type" in rule and kind_of(value) != rule["type"]:
-            return f"'{name}' must be of type {rule['type']}, not {kind_of(value)}"
-        if "enum" in rule and isinstance(value, str) and value not in rule["enum"]:
-            return f"'{name}' must be one of {', '.join(rule['enum'])}, not '{value}'"
-        if rule.get("type") == "array" and "items" in rule:
-            for item in value:
-                if kind_of(item) != rule["items"]["type"]:
-                    return f"items of '{name}' must be of type {rule['items']['type']}, not {kind_of(item)}"
+    """The first thing wrong by stage, then in the order of the parameters; None if all is well."""
+    rules, needed = schema.get("properties", {}), schema.get("required", [])
+    given = [_Given(n, params.get(n), rules.get(n), n in needed, list(rules)) for n in dict.fromkeys([*params, *needed])]
+    for stage in range(3):
+        for g in given:
+            if stage < 2 or g.value is not None:
+                for at, wrong, say in CHECKS:
+                    if at == stage and wrong(g):
+                        return say(g)
     return None
 
 

@@ -12,11 +12,35 @@ _BLANK = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202
 BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # File extension and its language.
-_LANGUAGES = """
-c c, cpp cpp, cs csharp, css css, go go, h c, hpp cpp, html html, java java, js javascript, json json, jsx javascript, kt kotlin, md markdown,
-php php, py python, rb ruby, rs rust, scss scss, sh bash, swift swift, toml toml, ts typescript, tsx tsx, vue vue, yaml yaml, yml yaml
-"""
-LANGUAGES = dict(pair.split() for pair in _LANGUAGES.split(","))
+LANGUAGES = {
+    "c": "c",
+    "cpp": "cpp",
+    "cs": "csharp",
+    "css": "css",
+    "go": "go",
+    "h": "c",
+    "hpp": "cpp",
+    "html": "html",
+    "java": "java",
+    "js": "javascript",
+    "json": "json",
+    "jsx": "javascript",
+    "kt": "kotlin",
+    "md": "markdown",
+    "php": "php",
+    "py": "python",
+    "rb": "ruby",
+    "rs": "rust",
+    "scss": "scss",
+    "sh": "bash",
+    "swift": "swift",
+    "toml": "toml",
+    "ts": "typescript",
+    "tsx": "tsx",
+    "vue": "vue",
+    "yaml": "yaml",
+    "yml": "yaml",
+}
 # Endings of generated files, which have no language.
 GENERATED = (".min.js", ".min.css", ".g.cs", ".designer.cs", ".Designer.cs", ".generated.cs")
 

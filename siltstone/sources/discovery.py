@@ -11,7 +11,15 @@ from .files import SKIPPED_FOLDERS
 
 DEPTH = 3
 # Folders in which no repository is looked for.
-PASSED_OVER = "__pycache__ build dist node_modules target vendor venv".split()
+PASSED_OVER = (
+    "__pycache__",
+    "build",
+    "dist",
+    "node_modules",
+    "target",
+    "vendor",
+    "venv",
+)
 
 
 def repositories(listing: DataFrame, depth: int = DEPTH) -> DataFrame:
