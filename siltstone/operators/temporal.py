@@ -20,6 +20,40 @@ def idle_triggers(events: DataFrame, idle_seconds: int, by: list[str], time: str
     return sessions(events, idle_seconds, by, time).select(*by, (F.col("last_at") + F.make_dt_interval(secs=F.lit(idle_seconds))).alias("fires_at"))
 
 
+#: Milliseconds without an event after which changes are flushed, times that for a cold project, of heat after an event, and until a project is idle.
+QUIET_MS, COLD_FACTOR, HOT_MS, IDLE_MS = 1500, 5, 60_000, 300_000
+
+
+def activity_timers(events: DataFrame, by: str, at: str = "at", quiet: int = QUIET_MS, factor: int = COLD_FACTOR, hot: int = HOT_MS, idle: int = IDLE_MS) -> DataFrame:
+    """group, kind (hot, cold, flush, idle), at, n_events, first_at of events at milliseconds ``at``; see ``streaming.timers`` for what they mean.
+
+    Events are dealt to time buckets of the longest reach, so a busy project is
+    many tasks: only the nearest event of the neighbouring bucket can matter.
+    Flushes are numbered by sums within buckets and over the buckets' totals.
+    """
+    reach = max(quiet * factor, hot, idle)
+    ours = [by, "__b"]
+    rows = events.groupBy(by, F.col(at).cast("long").alias("at")).agg(F.count(F.lit(1)).alias("n")).withColumn("__b", F.floor(F.col("at") / reach).cast("long"))
+    order = Window.partitionBy(*ours).orderBy("at")
+    edges = rows.groupBy(*ours).agg(F.min("at").alias("__first"), F.max("at").alias("__last"))
+    earlier, later = edges.select(by, (F.col("__b") + 1).alias("__b"), F.col("__last").alias("__before")), edges.select(by, (F.col("__b") - 1).alias("__b"), F.col("__first").alias("__after"))
+    near = rows.join(earlier, ours, "left").join(later, ours, "left")
+    near = near.withColumn("__before", F.coalesce(F.lag("at").over(order), "__before")).withColumn("__after", F.coalesce(F.lead("at").over(order), "__after"))
+    warm = F.coalesce(F.col("at") < F.col("__before") + hot, F.lit(False))
+    alone = lambda due: F.col("__after").isNull() | (F.col("__after") >= due)
+    near = near.withColumn("__warm", warm).withColumn("__due", F.col("at") + F.when(F.col("__warm") | (F.col("n") > 1), quiet).otherwise(quiet * factor))
+    near = near.withColumn("__ends", alone(F.col("__due")).cast("long"))
+    near = near.withColumn("__no", F.sum("__ends").over(order) - F.col("__ends"))
+    totals = near.groupBy(*ours).agg(F.sum("__ends").alias("__t"))
+    start = totals.select(*ours, (F.sum("__t").over(Window.partitionBy(by).orderBy("__b")) - F.col("__t")).alias("__start"))
+    flushes = near.join(start, ours).groupBy(by, (F.col("__start") + F.col("__no")).alias("__f")).agg(F.max_by("__due", "at").alias("at"), F.sum("n").alias("n_events"), F.min("at").alias("first_at"))
+    said = lambda rows, kind, when: rows.select(by, F.lit(kind).alias("kind"), when.alias("at"), F.lit(None).cast("long").alias("n_events"), F.lit(None).cast("long").alias("first_at"))
+    out = flushes.select(by, F.lit("flush").alias("kind"), "at", "n_events", "first_at").unionByName(said(near.filter(~F.col("__warm")), "hot", F.col("at")))
+    for kind, wait in (("cold", hot), ("idle", idle)):
+        out = out.unionByName(said(near.filter(alone(F.col("at") + wait)), kind, F.col("at") + wait))
+    return out
+
+
 #: Rows, and share of a table's rows, whose addition makes a rebuild of its index due.
 REBUILD_ROWS, REBUILD_SHARE = 1000, 0.2
 

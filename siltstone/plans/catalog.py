@@ -992,6 +992,22 @@ def branch_switches(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.branch_switches(events, by="user_id")
 
 
+@query(
+    """WITH e AS (SELECT 'p' || user_id % 5 AS project_id, epoch_us(ts) // 1000 AS "at", count(*) AS n FROM events GROUP BY ALL),
+    w AS (SELECT *, lag("at") OVER (PARTITION BY project_id ORDER BY "at") AS b, lead("at") OVER (PARTITION BY project_id ORDER BY "at") AS a FROM e),
+    d AS (SELECT *, coalesce("at" < b + 600000, false) AS warm, "at" + CASE WHEN coalesce("at" < b + 600000, false) OR n > 1 THEN 60000 ELSE 300000 END AS due FROM w),
+    f AS (SELECT *, coalesce(sum((a IS NULL OR a >= due)::INT) OVER (PARTITION BY project_id ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM d)
+    SELECT project_id, 'flush' AS kind, arg_max(due, "at") AS "at", sum(n)::BIGINT AS n_events, min("at") AS first_at FROM f GROUP BY project_id, no
+    UNION ALL SELECT project_id, 'hot', "at", NULL, NULL FROM d WHERE NOT warm
+    UNION ALL SELECT project_id, 'cold', "at" + 600000, NULL, NULL FROM d WHERE a IS NULL OR a >= "at" + 600000
+    UNION ALL SELECT project_id, 'idle', "at" + 1200000, NULL, NULL FROM d WHERE a IS NULL OR a >= "at" + 1200000"""
+)
+def activity_timers(spark: SparkSession, sf: str) -> DataFrame:
+    """Flushes, heat and idleness of five projects whose changes are the events, in minutes instead of seconds."""
+    events = A.read(spark, sf, "events").select(F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("project_id"), A.millis("ts").alias("at"))
+    return temporal.activity_timers(events, "project_id", "at", 60_000, 5, 600_000, 1_200_000)
+
+
 @query(
     """WITH s AS (SELECT event_id AS span_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS a, CASE WHEN event_id % 7 <> 0 THEN (epoch_us(ts) // 1000) / 1000.0::DOUBLE + value * 20 END AS b FROM events WHERE event_type = 'purchase'),
     m AS (SELECT (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t0, value FROM events WHERE event_type = 'view')
