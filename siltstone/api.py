@@ -82,9 +82,9 @@ class Engine:
         self.registry = registry.Registry(spark, f"{self.root}/projects")
         self.presets = presets.Presets(spark, f"{self.root}/presets")
         self.jobs = jobs.Jobs(spark, f"{self.root}/jobs")
-        names = ("code", "knowledge", "branch_tags", "hashes", "branch_state", "terms", "lengths", "codes", "cells", "batch_state", "ignores", "store")
+        names = ("code", "knowledge", "branch_tags", "hashes", "branch_state", "terms", "lengths", "codes", "cells", "symbols", "batch_state", "ignores", "store")
         self.tables = {name: Table(spark, f"{self.root}/{name}") for name in names}
-        self.chunks, self.knowledge, self.tags, self.hashes, self.state, self.terms, self.lengths, self.codes, self.cells, self.batches, self.ignores, self.store = self.tables.values()
+        self.chunks, self.knowledge, self.tags, self.hashes, self.state, self.terms, self.lengths, self.codes, self.cells, self.symbols, self.batches, self.ignores, self.store = self.tables.values()
         self.backfill = scheduling.Fifo(lambda part, force: self.create_vector_index(*part.split("/", 1), force=force))
         #: Rows added to each part since its vector index was last asked for.
         self.added: dict[str, int] = {}
@@ -153,6 +153,14 @@ class Engine:
         self.terms.append(blocks.laid_out(kept), part)
         self.lengths.append(lengths, part)
 
+    def _index_symbols(self, new: DataFrame, part: str, full: bool) -> None:
+        """Keep the symbols of rows that are about to be added; of all rows in a full run, or where the part has no symbol index yet."""
+        if part in self.symbols.parts() and not full:
+            self.symbols.append(lookup.symbol_index(new), part)
+        else:
+            both = [df.select("chunk_id", "symbol_name") for df in (self._or_empty(self.chunks, CHUNKS, [part]), new)]
+            self.symbols.write(lookup.symbol_index(both[0].unionByName(both[1]).distinct()), part)
+
     def _drop_postings(self, gone: DataFrame, part: str) -> None:
         """Forget chunks (chunk_id) in a part's text index."""
         self.terms.rewrite(lambda current: blocks.laid_out(blocks.without(current, gone)), part)
@@ -185,8 +193,10 @@ class Engine:
             total["persisted"] += n_new
             if n_new:
                 keep = {"chunk_id_scheme": ID_SCHEME, "dims": self.dims}
-                self.chunks.upsert(new, part=part, **keep) if full else self.chunks.append(new, part, **keep)
+                # Chunks come last: a later run passes over those that are there, so their indexes must be.
                 self._index_text(new, part)
+                self._index_symbols(new, part, full)
+                self.chunks.upsert(new, part=part, **keep) if full else self.chunks.append(new, part, **keep)
             fresh = made.select("project_id", "source_id", F.lit(branch).alias("branch"), "item_path", "chunk_id", "start_line", "end_line")
             gone = some.select(F.col("path").alias("item_path"))
 
@@ -407,7 +417,9 @@ class Engine:
 
     def lookup_symbol(self, project: str, name: str, source: str | None = None, **options) -> DataFrame:
         parts = [_part(project, s["id"]) for s in self.registry.list_sources(project, "code") if source in (None, s["id"])]
-        return lookup.lookup_symbol(self._or_empty(self.chunks, CHUNKS, parts), self._or_empty(self.tags, TAGS, parts), name, **options)
+        parts = [p for p in parts if p in self.chunks.parts()]
+        index = self.symbols.read(parts=parts) if parts and set(parts) <= set(self.symbols.parts()) else None
+        return lookup.lookup_symbol(self._or_empty(self.chunks, CHUNKS, parts), self._or_empty(self.tags, TAGS, parts), name, index=index, **options)
 
     # --- projects and sources ---
 
@@ -663,7 +675,8 @@ class Engine:
             lost.count()
             self.chunks.rewrite(lambda current, own=own: maintenance.collect_garbage(current, own), p)
             self._drop_postings(lost, p)
-            self.codes.delete_ids(lost, parts=[p])
+            for table in (self.codes, self.symbols):
+                table.delete_ids(lost, parts=[p])
             lost.unpersist()
         for table in self.tables.values():
             done = table.compact(purge=purge)
@@ -703,7 +716,7 @@ class Engine:
         n = mapping.count()
         self.tags.rewrite(lambda tags: maintenance.rewrite_tags(tags, mapping), part)
         self.chunks.write(new.select(*rows.columns), part, chunk_id_scheme=ID_SCHEME, migrating=None)
-        for table in (self.terms, self.lengths, self.codes, self.cells):
+        for table in (self.terms, self.lengths, self.codes, self.cells, self.symbols):
             table.drop_parts([part])
         mapping.unpersist()
         return {"migrated": n}

@@ -687,6 +687,14 @@ def lookup_symbol_suffix(spark: SparkSession, sf: str) -> DataFrame:
     return _found(lookup.lookup_symbol(A.symbols(spark, sf), A.symbol_tags(spark, sf), " red_widget ", branch="main", limit=200))
 
 
+@query(f"WITH {A.SYMBOLS}, f AS (SELECT * FROM symbols WHERE symbol_name LIKE '%.re_%widget' ORDER BY language, item_path, start_line, chunk_id LIMIT 50) {_LOOKUP}")
+def lookup_symbol_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """A suffix with wildcards, by the kept index of symbols read backwards."""
+    root = A.scratch(spark)
+    lookup.symbol_index(A.symbols(spark, sf)).write.parquet(root)
+    return _found(lookup.lookup_symbol(A.symbols(spark, sf), A.symbol_tags(spark, sf), "re_%widget", index=spark.read.parquet(root)))
+
+
 @query(f"WITH {A.SYMBOLS}, f AS (SELECT * FROM symbols WHERE lower(symbol_name) LIKE '%.red_widget' ORDER BY language, item_path, start_line, chunk_id LIMIT 50) {_LOOKUP}")
 def lookup_symbol_ci(spark: SparkSession, sf: str) -> DataFrame:
     return _found(lookup.lookup_symbol(A.symbols(spark, sf), A.symbol_tags(spark, sf), "RED_Widget", case_sensitive=False))
