@@ -244,6 +244,21 @@ def read_tree_files(spark: SparkSession, sf: str) -> DataFrame:
     return S.read_tree(spark, root, S.compile_rules(["!.github/", "!vendor/keep", "*.lock", "*.bin"])).select("item_path", "hash")
 
 
+@query(
+    """WITH r AS (SELECT i, CASE i % 4 WHEN 0 THEN 'f' || i * 7 || '.*' WHEN 1 THEN '/d' || i WHEN 2 THEN '*' || i || '.md' ELSE 'd' || i // 2 || '/x' END AS body, i % 5 = 4 AS negated FROM range(2000) t(i)),
+    p AS (SELECT doc_id, 'd' || doc_id % 700 AS folder, CASE WHEN doc_id % 3 = 0 THEN 'x/' ELSE '' END AS mid, 'f' || doc_id AS stem, CASE WHEN doc_id % 2 = 0 THEN 'md' ELSE 'py' END AS ext FROM documents),
+    m AS (SELECT doc_id, arg_max(NOT negated, i) AS last FROM p JOIN r ON CASE i % 4 WHEN 0 THEN stem = 'f' || i * 7 WHEN 1 THEN folder = 'd' || i WHEN 2 THEN ext = 'md' AND stem LIKE '%' || i ELSE mid = 'x/' AND folder = 'd' || i // 2 END GROUP BY doc_id)
+    SELECT folder || '/' || mid || stem || '.' || ext AS item_path, coalesce(last, false) AS ignored FROM p LEFT JOIN m USING (doc_id)"""
+)
+def ignore_many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Two thousand ordered rules, every fifth a negation, on a path for each document."""
+    kinds = (lambda i: f"f{i * 7}.*", lambda i: f"/d{i}", lambda i: f"*{i}.md", lambda i: f"d{i // 2}/x")
+    rules = S.compile_rules([("!" if i % 5 == 4 else "") + kinds[i % 4](i) for i in range(2000)])
+    doc = F.col("doc_id")
+    path = F.concat(F.lit("d"), (doc % 700).cast("string"), F.lit("/"), F.when(doc % 3 == 0, "x/").otherwise(""), F.lit("f"), doc.cast("string"), F.when(doc % 2 == 0, ".md").otherwise(".py"))
+    return A.read(spark, sf, "documents").select(path.alias("item_path")).withColumn("ignored", S.ignored(F.col("item_path"), rules))
+
+
 @query(
     """WITH f AS (SELECT 'a' || doc_id // 10000 || '/d' || doc_id // 100 || '/f' || doc_id || '.' || ['py', 'md', 'ts', 'bin'][doc_id % 4 + 1] AS item_path, ['python', 'markdown', 'typescript', NULL][doc_id % 4 + 1] AS language, doc_id, coalesce(text, '') AS text FROM documents)
     SELECT item_path, language, sha256(regexp_replace(regexp_replace(text, '^\ufeff', ''), '\r\n?', chr(10), 'g')) AS hash FROM f WHERE doc_id % 4 <> 3 AND doc_id % 11 <> 0 AND strlen(text) <= 1048576"""

@@ -7,7 +7,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,8 +120,48 @@ def count_rules(text: str) -> int:
     return sum(1 for line in text.splitlines() if line.strip() and not line.strip().startswith("#"))
 
 
+#: Rules up to which a column expression is built; beyond, Arrow batches go through automata of so many rules each.
+FEW_RULES, RULES_EACH = 40, 200
+
+
+class Matcher:
+    """Ordered rules as few automata: neighbouring rules of one sign are one alternation, and the last rule that fits wins."""
+
+    def __init__(self, rules: list[Rule]):
+        groups: list[tuple[bool, list[str]]] = []
+        for rule in rules:
+            if not groups or groups[-1][0] != rule.negated or len(groups[-1][1]) == RULES_EACH:
+                groups.append((rule.negated, []))
+            groups[-1][1].append(rule.regex)
+        self.groups = [(negated, "|".join(f"(?:{r})" for r in regexes)) for negated, regexes in reversed(groups)]
+
+    def ignored(self, paths: pa.Array) -> np.ndarray:
+        """Whether the last rule that fits ignores each path; each automaton sees the paths that no later rule decided."""
+        out = np.zeros(len(paths), dtype=bool)
+        left = np.arange(len(paths))
+        for negated, regex in self.groups:
+            if not len(left):
+                break
+            fits = pc.fill_null(pc.match_substring_regex(paths.take(pa.array(left)), regex), False).to_numpy(zero_copy_only=False)
+            out[left[fits]] = not negated
+            left = left[~fits]
+        return out
+
+
+def _by_automata(path: Column, rules: list[Rule]) -> Column:
+    matcher = Matcher(rules)
+
+    @F.pandas_udf("boolean")
+    def run(paths: pd.Series) -> pd.Series:
+        return pd.Series(matcher.ignored(pa.array(paths, pa.string())))
+
+    return run(path)
+
+
 def ignored(path: Column, rules: list[Rule]) -> Column:
     """Whether the last rule that fits ignores the path."""
+    if len(rules) > FEW_RULES:
+        return _by_automata(path, rules)
     out = F.lit(False)
     for rule in rules:
         out = F.when(path.rlike(rule.regex), F.lit(not rule.negated)).otherwise(out)
@@ -127,11 +170,8 @@ def ignored(path: Column, rules: list[Rule]) -> Column:
 
 def forced(path: Column, rules: list[Rule]) -> Column:
     """Whether a ``!`` rule fits: such a path is scanned although its folder is skipped."""
-    out = F.lit(False)
-    for rule in rules:
-        if rule.negated:
-            out = out | path.rlike(rule.regex)
-    return out
+    forcing = [Rule(r.pattern, r.regex, False) for r in rules if r.negated]
+    return ignored(path, forcing)
 
 
 def may_hold_forced(folder: str, rules: list[Rule]) -> bool:
