@@ -249,6 +249,8 @@ def list_tree(spark: SparkSession, root: str, rules: list[Rule] | None = None) -
     that begin with ``_`` or ``.``.
     """
     fs, base = store_of(root)
+    if fs.get_file_info(base).type != pyarrow.fs.FileType.Directory:  # an empty listing would empty the source's index
+        raise FileNotFoundError(root)
     rows: list[tuple[str, int]] = []
     folders = [""]
     while folders and len(folders) < SPREAD:

@@ -32,6 +32,8 @@ def test_a_tree_loses_no_file(spark, tmp_path, monkeypatch):
         listed = {r.item_path for r in files.list_tree(spark, root, rules).collect()}
         assert "node_modules/big.js" not in listed and ".github/w.yml" in listed
         assert len(files.list_tree(spark, root).collect()) == 13
+    with pytest.raises(FileNotFoundError):
+        files.read_tree(spark, f"{root}/nowhere")
 
 
 def test_a_paused_writer_loses_no_commit(spark, tmp_path, monkeypatch):
