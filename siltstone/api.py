@@ -684,12 +684,18 @@ class Engine:
             table.prune_orphans()
         return out
 
-    def auto_gc(self) -> list[dict]:
-        """Queue a collection for each source with too many orphans, unless its project was collected a short while ago."""
+    def gc_when_idle(self, events: DataFrame, since: int, until: int) -> list[dict]:
+        """``auto_gc`` for the projects that became idle after ``since`` and up to ``until`` (milliseconds), by their events (project_id, at)."""
+        idle = temporal.activity_timers(events, "project_id").filter((F.col("kind") == "idle") & (F.col("at") > since) & (F.col("at") <= until))
+        known = [p["id"] for p in self.registry.list_projects()]
+        return self.auto_gc([r["project_id"] for r in idle.filter(F.col("project_id").isin(known)).select("project_id").distinct().collect()])
+
+    def auto_gc(self, projects: list[str] | None = None) -> list[dict]:
+        """Queue a collection for each source (of some projects) with too many orphans, unless its project was collected a short while ago."""
         last = {r["project_id"]: r["last_gc_at"] for r in maintenance.last_gc(self.jobs.rows()).collect()}
         out = []
         for p in self.registry.list_projects():
-            if jobs.now_ms() - (last.get(p["id"]) or 0) < QUIET_SECONDS * 1000:
+            if projects is not None and p["id"] not in projects or jobs.now_ms() - (last.get(p["id"]) or 0) < QUIET_SECONDS * 1000:
                 continue
             parts = [_part(p["id"], s["id"]) for s in p["sources"] if s["profile"] == "code"]
             for r in maintenance.orphan_ratio(self._or_empty(self.chunks, CHUNKS, parts), self._or_empty(self.tags, TAGS, parts)).filter("due").orderBy("source_id").collect():

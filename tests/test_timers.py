@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from siltstone.api import Engine
 from siltstone.operators import temporal
 from siltstone.streaming import changes, timers
 
@@ -69,3 +70,15 @@ def test_stream_against_the_fold(spark, tmp_path):
         assert sorted((r for r in got if r[0] != "end"), key=str) == fold(events, *SETTINGS)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_an_idle_project_is_collected(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/i", dims=8)
+    e.registry.add_project("p")
+    e.registry.add_source("p", {"id": "s", "type": "code", "root": ""})
+    for word in ("one", "two"):
+        e.index_source("p", "s", "main", items=spark.createDataFrame([("a.py", f"def {word}():\n    pass\n", "python")], "item_path string, content string, language string"))
+    events = spark.createDataFrame([("p", 1_000), ("p", 200_000), ("other", 5_000)], "project_id string, at long")
+    assert e.gc_when_idle(events, 0, 499_999) == []  # the second event set the timer back
+    assert len(e.gc_when_idle(events, 499_999, 500_000)) == 1 and e.gc_when_idle(events, 500_000, 900_000) == []
+    assert e.run_jobs()[0]["status"] == "done" and e.chunks.count() == 1
