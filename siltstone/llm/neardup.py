@@ -23,10 +23,10 @@ share a sketch stand in one bucket, and every pair of a bucket is decided:
 The classes are the connected components of the verified links.
 
 Defined results: null and empty texts have no words and form no class with
-anything but each other; every row gives one row, repeated rows too; an id names
-one text (of rows that give it several, links are sought for one of them); a row
-with a null id is a class of its own (class_id null); extra columns are ignored; an
-empty table gives no rows.
+anything but each other; every row gives one row, repeated rows too; where rows of
+one id have different texts each text has links and a class of its own, so these
+rows can differ in class_id; a row with a null id is a class of its own (class_id
+null); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -248,7 +248,7 @@ def undecided_links(ids: list[int], classes: list[int], block: np.ndarray, place
     return out
 
 
-_SKETCH = "doc_id long, k1 long, k2 long, n int, sketches array<long>"
+_SKETCH = "doc_id long, t long, k1 long, k2 long, n int, sketches array<long>"
 
 
 def _lists(found: list[np.ndarray]) -> pa.Array:
@@ -265,7 +265,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
             sizes.append(len(w))
             found.append(sketches(_hashed(w)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int32()), _lists(found)], names=["doc_id", "k1", "k2", "n", "sketches"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int32()), _lists(found)], names=["doc_id", "t", "k1", "k2", "n", "sketches"])
     _known.clear()  # an idle worker must not hold memory that the next step needs
 
 
@@ -303,6 +303,12 @@ def _decided(cell: pa.Table) -> pa.Table:
     return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
 
+def _texts_of(rows: DataFrame, texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """rep, text: one row for each of the asked representatives; a text is found by its row's id and hash."""
+    named = texts.select("rep", F.col("doc").alias("doc_id"), "t").join(asked.hint("merge"), "rep", "left_semi")
+    return rows.join(named.hint("merge"), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("rep", "text")
+
+
 def _inner_links(rows: DataFrame, texts: DataFrame, shared: DataFrame, label: DataFrame) -> DataFrame:
     """a, b: links between members of one bucket that the leaders left in different classes."""
     spark = rows.sparkSession
@@ -313,7 +319,7 @@ def _inner_links(rows: DataFrame, texts: DataFrame, shared: DataFrame, label: Da
     mixed = mixed.filter("__x < __y and __m > 2").select("bucket", F.greatest(F.ceil(F.col("__m") / BLOCK), F.ceil(F.col("__w") / BLOCK_WORDS)).cast("int").alias("blocks")).hint("rebalance")
     left = materialise(classed.join(mixed.hint("merge"), "bucket").select("bucket", "place", "rep", "class_id", "blocks"), "near-open")
     asked = left.select("rep").distinct()
-    some = in_slices(rows.join(asked.hint("merge"), rows["doc_id"] == asked["rep"], "left_semi").dropDuplicates(["doc_id"]), _hash_lists, "rep long, words array<long>")
+    some = in_slices(_texts_of(rows, texts, asked), _hash_lists, "rep long, words array<long>")
     some = materialise(some.join(texts.select("rep", "sketches").hint("merge"), "rep"), "near-open-words")
     block = F.pmod(F.xxhash64("rep", F.lit(9)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -324,11 +330,11 @@ def _inner_links(rows: DataFrame, texts: DataFrame, shared: DataFrame, label: Da
     return links
 
 
-def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; texts of the documents that stand in pairs are read once."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = materialise(rows.join(asked.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-pair-texts")
-    side = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("__ta")).hint("merge"), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("__tb")).hint("merge"), "b")
+def _links(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar; texts of the representatives that stand in pairs are read once."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    some = materialise(_texts_of(rows, texts, asked), "near-pair-texts")
+    side = pairs.join(some.select(F.col("rep").alias("a"), F.col("text").alias("__ta")).hint("merge"), "a").join(some.select(F.col("rep").alias("b"), F.col("text").alias("__tb")).hint("merge"), "b")
     links = materialise(in_slices(side.select("a", "b", "__ta", "__tb"), _aligned, "a long, b long"), "near-aligned")
     discard(rows.sparkSession, some)
     return links
@@ -369,14 +375,30 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _least_ids(label: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, class_id: each class named by the least document id among its texts' instead of its least representative."""
+    ids = materialise(label.join(texts.select(F.col("rep").alias("id"), "doc").hint("merge"), "id"), "near-classes")
+    least = materialise(ids.groupBy("class_id").agg(F.min("doc").alias("least")), "near-least")
+    return ids.join(least, "class_id").select("id", F.col("least").alias("class_id"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the class's least id), kept: one row per input row."""
+    return _classed(docs).drop("t")
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """``classes`` with the hash of the row's text, t."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     key = ["k1", "k2"]
     sketched = materialise(in_slices(rows, _sketched, _SKETCH), "near-sketches")
-    texts = sketched.filter("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketches").alias("sketches"))
-    texts = materialise(texts, "near-texts")
+    first = F.min(F.struct("doc_id", "t"))
+    texts = sketched.filter("doc_id is not null").groupBy(*key).agg(first.alias("f"), F.min("n").alias("n"), F.min("sketches").alias("sketches"))
+    texts = materialise(texts.select(*key, F.col("f.doc_id").alias("doc"), F.col("f.t").alias("t"), "n", "sketches"), "near-texts")
+    # A text is represented by its least document; texts that would share one, by a hash of their own.
+    twins = materialise(texts.groupBy("doc").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("doc", F.lit(True).alias("__twin")), "near-twins")
+    texts = texts.join(twins, "doc", "left").withColumn("rep", F.when(F.col("__twin"), F.xxhash64(*key)).otherwise(F.col("doc"))).drop("__twin")
 
     # Buckets of two texts or more; a sketch's place tells its permutation and the size of its k-mers.
     place = F.col("i") + F.when(F.col("n") < PAIRED, SKETCHES).otherwise(0)
@@ -396,7 +418,7 @@ def classes(docs: DataFrame) -> DataFrame:
     led = shared.join(leaders.hint("merge"), "bucket").select("rep", "n", F.explode(F.array_distinct("leaders")).alias("l"))
     led = led.filter((F.col("rep") != F.col("l.rep")) & (F.abs(F.col("n") - F.col("l.n")) <= (1 - SIMILARITY) * F.greatest("n", "l.n") + 1e-9))
     pairs = materialise(led.select(F.greatest("rep", "l.rep").alias("a"), F.least("rep", "l.rep").alias("b")).distinct(), "near-pairs")
-    links = _links(rows, pairs)
+    links = _links(rows, texts, pairs)
     discard(spark, pairs)
     label = components(links)
 
@@ -404,13 +426,14 @@ def classes(docs: DataFrame) -> DataFrame:
     more = _inner_links(rows, texts, shared, label)
     if not more.isEmpty():
         label = components(links.unionByName(more))
-    of_text = texts.select("rep", *key).join(label.hint("merge"), F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("class_id", "rep").alias("class_id")).hint("rebalance")
-    named = sketched.select("doc_id", *key).join(of_text.hint("merge"), key, "left")
+    label = _least_ids(label, texts)
+    of_text = texts.select("rep", "doc", *key).join(label.hint("merge"), F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("class_id", "doc").alias("class_id")).hint("rebalance")
+    named = sketched.select("doc_id", "t", *key).join(of_text.hint("merge"), key, "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return named.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    return named.select("doc_id", "t", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the row of least id."""
-    gone = materialise(classes(docs).filter("not kept").select(F.col("doc_id").alias("__id")).distinct(), "near-gone")
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["__id"], "left_anti")
+    """The rows of ``docs`` that stay: of each class the row of least id; of rows of one id with different texts each by its own class."""
+    gone = materialise(_classed(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct(), "near-gone")
+    return docs.join(gone.hint("merge"), (docs["doc_id"].cast("long") == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__t"]), "left_anti")

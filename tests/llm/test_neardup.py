@@ -104,6 +104,19 @@ def test_edges(spark, edge_docs, no_docs):
     assert neardup.classes(no_docs).count() == 0
 
 
+def test_ids_with_several_texts_lose_no_link(spark):
+    rng = random.Random(11)
+    a, b, c = ([f"{k}{rng.randint(0, 10**6)}" for _ in range(80)] for k in "abc")
+    change = lambda w, at: " ".join([*w[:at], "changed", *w[at + 1 :]])
+    # Ids 1 and 6 each have two texts; text a's copy under id 6 must not be taken for id 6's other text.
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, change(a, 9)), (3, change(b, 40)), (6, " ".join(a)), (6, " ".join(c)), (7, change(c, 70)), (8, change(c, 3)), (9, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = {(r["doc_id"], r["text"]) for r in neardup.keep_one(docs).collect()}
+    assert stay == {rows[i] for i in (0, 1, 5, 8)}
+    got = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in neardup.classes(docs).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (6, 1, False), (6, 6, True), (7, 6, False), (8, 6, False), (9, 9, True)]
+
+
 def test_pairs_among_strangers_that_share_a_passage(spark):
     rng = random.Random(3)
     words = [f"v{i}" for i in range(20_000)]
