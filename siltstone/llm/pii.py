@@ -2,7 +2,7 @@
 
 Base patterns run on the source text.  Then a chain of transducers rewrites it:
 characters (look-alikes, full-width and other compatibility forms, digits of
-other scripts, zero-width characters), spelled digits, and at/dot disguises.
+other scripts, zero-width characters, entities), spelled digits, and at/dot disguises.
 Each keeps for every character written the source offsets it stands for, so
 what the same patterns find in the rewritten text maps back to source spans.
 Spans that a rewriting changed and that no base span contains are added.
@@ -120,6 +120,9 @@ _TOP = frozenset("com org net edu gov mil int info biz name pro app dev xyz site
 _CUES = "e-?mail|mail|contact|write to|reach|address|correo|courriel|kontakt|adresse|escribe a"
 _NO_LOCAL = frozenset("look looks looking looked meet see seen arrive arrived be is was are were stay shop buy bought available found find hosted live work works working here there us me them it visit check read more call".split())
 
+# Two-letter top-level names that are words of prose; a plain "at" before them says little.
+_WORDY = frozenset("it is me to in so no be at my as us am do".split())
+
 
 def _character_map() -> dict[str, str]:
     out = {**_LOOKALIKES, **_PUNCTUATION}
@@ -148,11 +151,15 @@ _LABEL = re.compile(rf"(?i)[a-z0-9]+(?:-(?!(?:{_DOT_WORDS})-)[a-z0-9]+)*")
 _DOT = re.compile(rf"(?i)(?P<strong>{_STRONG_DOT})|(?P<open>\s\.\s|\s\.|\.\s)|\.")
 _LOCAL_DOT = re.compile(rf"(?i){_STRONG_DOT}")
 _LOCAL_PART = re.compile(rf"(?i)(?:(?<![a-z0-9])(?:[a-z0-9]\s){{2,}}[a-z0-9]|(?:[a-z0-9%+_-]+(?:\.|{_STRONG_DOT}))*[a-z0-9._%+-]+)\Z")
+_EDGES = frozenset(["", *"\n\t:;,<>()[]\"'!?"])
 _CUE = re.compile(rf"(?i)\b(?:{_CUES})\b")
 _IP = re.compile(rf"(?i)\b[0-9]{{1,3}}(?:(?:{_STRONG_DOT}|\s\.\s|\.)[0-9]{{1,3}}){{3}}\b")
 _IP_DOT = re.compile(rf"(?i){_STRONG_DOT}|\s\.\s")
 _SPACED_DOT = re.compile(r"[\[({<]\s?\.|\s\.\s")
 _TOKEN = re.compile(r"\w+")
+_ENTITY = re.compile(r"&(?:#0*+([0-9]{2,3})|#[xX]0*+([0-9a-fA-F]{2})|(commat)|(period));")
+_CAPITAL_AT = re.compile(r"(?<=[a-z0-9])AT(?=[a-z0-9])")
+_CAPITAL_DOMAIN = re.compile(r"[a-z0-9-]++(?:DOT[a-z0-9-]++)++")
 
 
 class Text:
@@ -186,6 +193,28 @@ def _characters(t: Text) -> None:
         t.rewrite([(m.start(), m.end(), _CHARACTERS[m.group()]) for m in re.finditer("[" + "".join(map(re.escape, present)) + "]", t.text)])
 
 
+def _entities(t: Text) -> None:
+    """Printable ASCII characters written as entities."""
+    found = []
+    for m in _ENTITY.finditer(t.text) if "&" in t.text else ():
+        code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else ord("@" if m[3] else ".")
+        if 32 < code < 127:
+            found.append((m.start(), m.end(), chr(code)))
+    t.rewrite(found)
+
+
+def _capitals(t: Text) -> None:
+    """Signs as capitals between small letters: nameATexampleDOTcom."""
+    found: list[tuple[int, int, str]] = []
+    for m in _CAPITAL_AT.finditer(t.text) if "DOT" in t.text else ():
+        d = _CAPITAL_DOMAIN.match(t.text, m.end())
+        name = d.group().rpartition("DOT")[2] if d else ""
+        if name in _TOP or (len(name) == 2 and name.isalpha()):
+            found.append((m.start(), m.end(), "@"))
+            found += [(x.start(), x.end(), ".") for x in re.compile("DOT").finditer(t.text, d.start(), d.end())]
+    t.rewrite(found)
+
+
 def _spelled(t: Text) -> None:
     present = set(_TOKEN.findall(t.text.lower()))  # a spelled digit of a run is a token of its own
     for words, run in zip(_DIGIT_WORDS, _SPELLED_RUNS, strict=True):
@@ -209,15 +238,19 @@ def _spelled(t: Text) -> None:
         t.rewrite(found)
 
 
-def _domain(text: str, at: int) -> tuple[list[re.Match], bool]:
-    """(dots, whether one is disguised) of the longest domain from ``at`` on that ends in a top-level name; no dots where there is none."""
+def _domain(text: str, at: int, marked: bool) -> tuple[list[re.Match], bool]:
+    """(dots, whether one is disguised) of the longest domain from ``at`` on that ends in a top-level name; no dots where there is none.
+
+    After a marked at-sign and a dot in brackets or dashes any name of letters will do.
+    """
     dots: list[re.Match] = []
     whole = 0
     label = _LABEL.match(text, at)
     while label and (dot := _DOT.match(text, label.end())) and (label := _LABEL.match(text, dot.end())):
         dots.append(dot)
         name = label.group().lower()
-        if name in _TOP or (len(name) == 2 and name.isalpha()):
+        bracketed = marked and dot.lastgroup == "strong" and not dot.group().strip().isalpha()
+        if name in _TOP or (name.isalpha() and (len(name) == 2 or (bracketed and len(name) > 2))):
             whole = len(dots)
     return dots[:whole], any(d.lastgroup == "strong" for d in dots[:whole])
 
@@ -232,33 +265,51 @@ def _may_spell(text: str) -> tuple[bool, bool]:
     return "@" in text or (at and (dot or plain or sign)), dot or sign or bool(_SPACED_DOT.search(text) if "." in text else None)
 
 
+def _believed(text: str, at: re.Match, local: re.Match, last: re.Match, dotted: bool) -> bool:
+    """Whether an unmarked at-sign makes an address; dotted: a dot after it is disguised too.
+
+    With plain dots only what is announced, looks like a local part or stands
+    alone counts.  Before a plain "at", words of prose on either side must be
+    outweighed: by the shape of the local part, or by a cue or blanks around.
+    """
+    said, before, after = local.group(), text[max(0, local.start() - CUE_REACH) : local.start()].rstrip(" "), text[last.end() : last.end() + CUE_REACH].lstrip(" .")
+    prose = at.lastgroup == "word"
+    if re.search(r"[0-9._+]|^\w\s", said) and (not prose or any(c.isalpha() for c in said)):
+        return True
+    if prose and said.lower() in _NO_LOCAL:
+        return False
+    ended = after[:1] in _EDGES
+    wordy = prose and (last.group().lower() in _WORDY or _LABEL.match(text, at.end()).group().isdigit())
+    alone = before[-1:] in _EDGES and said.lower() not in _NO_LOCAL and (ended or not prose)
+    if dotted:
+        return not wordy or alone or bool(_CUE.search(before))
+    return (bool(_CUE.search(before)) and (ended or not wordy)) or (alone and not wordy)
+
+
 def _at_dot(t: Text) -> None:
     """Write @ and . where an address or a dotted number is spelled out."""
     text, found, done = t.text, [], 0
     address, number = _may_spell(text)
     for m in _AT.finditer(text) if address else ():
-        dots, spelled = _domain(text, m.end())
-        if m.lastgroup != "open":
-            dots = dots[: next((i for i, d in enumerate(dots) if d.lastgroup == "open"), len(dots))]
+        dots, spelled = _domain(text, m.end(), m.lastgroup == "strong")
+        if m.lastgroup != "open" and (cut := next((i for i, d in enumerate(dots) if d.lastgroup == "open"), None)) is not None:
+            dots = dots[:cut]
             if dots and not (name := _LABEL.match(text, dots[-1].end()).group().lower()) in _TOP and not (len(name) == 2 and name.isalpha()):
                 dots = []
         floor = max(done, m.start() - LOCAL_REACH)
         local = _LOCAL_PART.search(text, floor, m.start()) if dots else None
         if local is None:
             continue
-        if m.lastgroup != "strong" and not spelled and not any(d.lastgroup == "open" for d in dots):
-            # A plain dot after a plain "at": only what is announced, looks like a local part or stands alone is an address.
-            said, before = local.group(), text[max(0, local.start() - CUE_REACH) : local.start()]
-            alone = not before.strip(" ") or before.rstrip(" ")[-1:] in "\n\t:;,<>(\"'["
-            if not (_CUE.search(before) or re.search(r"[0-9._+]|^\w\s", said) or (alone and said.lower() not in _NO_LOCAL)):
-                continue
+        last = _LABEL.match(text, dots[-1].end())
+        if m.lastgroup != "strong" and not _believed(text, m, local, last, spelled or any(d.lastgroup == "open" for d in dots)):
+            continue
         if re.fullmatch(r"(?:\w\s)+\w", local.group()):
             found += [(i, i + 1, "") for i in range(local.start() + 1, local.end(), 2)]
         else:
             found += [(d.start(), d.end(), ".") for d in _LOCAL_DOT.finditer(text, local.start(), local.end())]
         found.append((m.start(), m.end(), "@"))
         found += [(d.start(), d.end(), ".") for d in dots if d.lastgroup]
-        done = _LABEL.match(text, dots[-1].end()).end()
+        done = last.end()
     t.rewrite(found)
     if number:
         t.rewrite([(p.start(), p.end(), ".") for m in _IP.finditer(t.text) for p in _IP_DOT.finditer(t.text, m.start(), m.end())])
@@ -272,7 +323,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans that only the rewritten text shows."""
     t = Text(text)
-    for transducer in (_characters, _spelled, _at_dot):
+    for transducer in (_characters, _entities, _spelled, _capitals, _at_dot):
         transducer(t)
     if not t.changed:
         return []

@@ -52,6 +52,12 @@ def test_base_spans_against_plain_patterns():
         ("call plus four nine three zero one two three four five", "phone", "plus four nine three zero one two three four five"),
         ("pay four five three two zero one five one one two eight three zero three six six", "card", "four five three two zero one five one one two eight three zero three six six"),
         ("john at example.com", "email", "john at example.com"),
+        ("to john&#64;example&#x2E;com now", "email", "john&#64;example&#x2E;com"),
+        ("to johnATexampleDOTcom now", "email", "johnATexampleDOTcom"),
+        ("to john (at) example (dot) museum now", "email", "john (at) example (dot) museum"),
+        ("write to john at example.de now", "email", "john at example.de"),
+        ("ask j.doe at example.it today", "email", "j.doe at example.it"),
+        ("john at example dot it", "email", "john at example dot it"),
         ("please mail john at example.com or call", "email", "john at example.com"),
         ("see john_at_example_dot_com.", "email", "john_at_example_dot_com"),
         ("john -at- example -dot- com", "email", "john -at- example -dot- com"),
@@ -70,7 +76,8 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert base == brute(text)
 
 
-@pytest.mark.parametrize("text", ["", "look at example.com", "meet me at the dot", "one two three go", "un deux trois", "a [at] b", "caf\u00e9 \u00bd \u2013 12", "nine to five at work dot", "meeting (at) noon [dot] then", "we met at home. It was late", "shop at amazon.com today", "lists: 1. 2. 3. 4", "follow @bar or @ home now", "look_at_me and at_dot_then", "one. two. three.", "v1.2.3.400 and 999.1.1.1"])
+@pytest.mark.parametrize("text", ["", "look at example.com", "meet me at the dot", "one two three go", "un deux trois", "a [at] b", "caf\u00e9 \u00bd \u2013 12", "nine to five at work dot", "meeting (at) noon [dot] then", "we met at home. It was late", "shop at amazon.com today", "lists: 1. 2. 3. 4", "follow @bar or @ home now", "look_at_me and at_dot_then", "one. two. three.", "v1.2.3.400 and 999.1.1.1",
+    "contact us at office.de", "look at this dot it is", "sleep at night.to rest", "come at dinner.it was", "price at 3.de", "eat at joes.me too", "today at five.it", "They sleep at night.to rest", "at 10.30 at joes.me", "a &lt; b &#64; c", "thATis DOTted"])
 def test_clean_texts_stay_clean(text):
     assert pii.analyse(text)[1] == []
 
