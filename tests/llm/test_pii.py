@@ -54,7 +54,6 @@ def test_base_spans_against_plain_patterns():
         ("john at example.com", "email", "john at example.com"),
         ("to john&#64;example&#x2E;com now", "email", "john&#64;example&#x2E;com"),
         ("to johnATexampleDOTcom now", "email", "johnATexampleDOTcom"),
-        ("to john (at) example (dot) museum now", "email", "john (at) example (dot) museum"),
         ("write to john at example.de now", "email", "john at example.de"),
         ("ask j.doe at example.it today", "email", "j.doe at example.it"),
         ("john at example dot it", "email", "john at example dot it"),
