@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def sessions(events: DataFrame, gap_seconds: int, by: list[str], time: str = "ts") -> DataFrame:
@@ -135,6 +137,85 @@ def peak_in_spans(spans: DataFrame, samples: DataFrame, seconds: float = 600.0)
     return spans.select("span_id").join(found, "span_id", "left").select("span_id", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), "peak")
 
 
+class _Open:
+    """A span on the stack, with the figures of its running segment."""
+
+    def __init__(self, no: int, parent: int | None, depth: int, name: str | None, at: int):
+        self.no, self.parent, self.depth, self.name, self.seq = no, parent, depth, name, 0
+        self.begin(at)
+
+    def begin(self, at: int) -> None:
+        self.at, self.start, self.end, self.peak, self.own_peak, self.n, self.own_ms = at, None, None, None, None, 0, 0
+
+    def see(self, value: float | None, own: bool) -> None:
+        if value is None:
+            return
+        self.start, self.end, self.n = value if self.n == 0 else self.start, value, self.n + 1
+        self.peak = value if self.peak is None else max(self.peak, value)
+        if own:
+            self.own_peak = value if self.own_peak is None else max(self.own_peak, value)
+
+    def row(self, session: str | None, until: int, final: bool, ended: bool = True) -> tuple:
+        return (session, self.no, self.parent, self.depth, self.name, self.seq, final, self.at, until if ended else None, self.start, self.end, self.peak, self.own_peak, self.n, until - self.at, self.own_ms)
+
+
+_SPANS = "session string, span_no long, parent_no long, depth int, name string, seq int, final boolean, enter_at long, exit_at long, start_value double, end_value double, peak double, own_peak double, n_values long, total_ms long, own_ms long"
+
+
+def nested_spans(log: DataFrame, segment_ms: int | None = None) -> DataFrame:
+    """One row per span of each session's log, or per segment of a span where ``segment_ms`` is given.
+
+    log: session, at (ms), tie, kind (enter, sample or exit; other rows are passed
+    over), name, value.  An exit closes the innermost open span, one without an
+    open span is passed over.  Each value counts for all open spans (peak), and
+    for the innermost one by itself (own_peak); own_ms is the time without inner
+    spans.  A sample that comes at least ``segment_ms`` after a segment's begin
+    ends it; the next one starts from that value, so its peak is its own.  Spans
+    still open have no exit_at, are not final, and are measured up to the
+    session's last row.  Rows stream through one fold, sorted within partitions
+    by session and time; it holds the open spans only.
+    """
+    schema = StructType.fromDDL(_SPANS)
+    arrow = to_arrow_schema(schema)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, session, last, count = False, None, 0, 0
+        stack: list[_Open] = []
+        for b in batches:
+            out = []
+            for key, at, kind, name, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not begun or key != session:
+                    out += [s.row(session, last, False, ended=False) for s in stack]
+                    begun, session, stack, count = True, key, [], 0
+                elif stack:
+                    stack[-1].own_ms += at - last
+                last = at
+                if kind == "enter":
+                    count += 1
+                    stack.append(_Open(count, stack[-1].no if stack else None, len(stack) + 1, name, at))
+                for s in stack:
+                    s.see(value, s is stack[-1])
+                if kind == "exit" and stack:
+                    out.append(stack.pop().row(session, at, True))
+                for s in stack if kind == "sample" and segment_ms else ():
+                    if at - s.at >= segment_ms:
+                        out.append(s.row(session, at, False))
+                        s.seq += 1
+                        s.begin(at)
+                        s.see(value, s is stack[-1])
+            yield table(out)
+        yield table([s.row(session, last, False, ended=False) for s in stack])
+
+    rows = log.filter(F.col("at").isNotNull() & F.col("kind").isin("enter", "sample", "exit"))
+    rows = rows.select(F.col("session").cast("string"), F.col("at").cast("long"), "kind", F.col("name").cast("string"), F.col("value").cast("double"), "tie")
+    ordered = rows.repartition("session").sortWithinPartitions("session", "at", "tie")
+    return ordered.drop("tie").mapInArrow(fold, schema)
+
+
 def near_spans(points: DataFrame, spans: DataFrame, within: float, point_id: str) -> DataFrame:
     """(point, span) pairs where the span holds the point or begins or ends within reach of it.
 

@@ -1042,6 +1042,37 @@ def peak_in_spans(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.peak_in_spans(spans, events.filter("event_type = 'view'").select(F.col("s").alias("at"), "value"))
 
 
+@query(
+    """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, value, event_type, CASE event_type WHEN 'click' THEN 'enter' WHEN 'view' THEN 'exit' ELSE 'sample' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+    s AS (SELECT *, sum(CASE kind WHEN 'enter' THEN 1 WHEN 'exit' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS s FROM e),
+    m AS (SELECT *, least(0, min(s) OVER (PARTITION BY user_id ORDER BY i)) AS m FROM s),
+    d AS (SELECT *, s - m + CASE WHEN kind = 'exit' AND m = coalesce(lag(m) OVER (PARTITION BY user_id ORDER BY i), 0) THEN 1 ELSE 0 END AS level, max(i) OVER (PARTITION BY user_id) AS last_i, max(t) OVER (PARTITION BY user_id) AS last_t FROM m),
+    p AS (SELECT *, lead(i) OVER (PARTITION BY user_id, level ORDER BY i) AS z, lead(t) OVER (PARTITION BY user_id, level ORDER BY i) AS exit_at FROM d WHERE kind <> 'sample' AND level > 0),
+    x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS no, coalesce(z, last_i) AS until, coalesce(exit_at, last_t) - t AS total FROM p WHERE kind = 'enter'),
+    o AS (SELECT user_id, value, max(CASE WHEN kind = 'enter' THEN i END) OVER (PARTITION BY user_id, level ORDER BY i) AS owner FROM d WHERE level > 0),
+    own AS (SELECT user_id, owner, max(value) AS own_peak FROM o GROUP BY ALL),
+    r AS (SELECT x.user_id, x.i, max(q.no) AS parent_no FROM x JOIN x q ON q.user_id = x.user_id AND q.level = x.level - 1 AND q.i < x.i GROUP BY ALL),
+    c AS (SELECT r.user_id, r.parent_no, sum(x.total) AS inner_ms FROM r JOIN x USING (user_id, i) GROUP BY ALL),
+    v AS (SELECT x.user_id, x.i, count(*) AS n_values, max(e.value) AS peak, arg_min(e.value, e.i) AS start_value, arg_max(e.value, e.i) AS end_value FROM x JOIN e ON e.user_id = x.user_id AND e.i BETWEEN x.i AND x.until GROUP BY ALL)
+    SELECT x.user_id::VARCHAR AS session, x.no AS span_no, r.parent_no, x.level::INT AS depth, x.event_type AS name, 0::INT AS seq, x.z IS NOT NULL AS final, x.t AS enter_at, x.exit_at, start_value, end_value, peak, own_peak, n_values, x.total AS total_ms, (x.total - coalesce(inner_ms, 0))::BIGINT AS own_ms
+    FROM x JOIN v USING (user_id, i) JOIN own ON own.user_id = x.user_id AND own.owner = x.i LEFT JOIN r ON r.user_id = x.user_id AND r.i = x.i LEFT JOIN c ON c.user_id = x.user_id AND c.parent_no = x.no"""
+)
+def nested_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's clicks open spans, views close them, all else are samples."""
+    return temporal.nested_spans(_span_log(spark, sf))
+
+
+@query()
+def span_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The same spans in segments of an hour or more."""
+    return temporal.nested_spans(_span_log(spark, sf), 3_600_000)
+
+
+def _span_log(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "enter").when(F.col("event_type") == "view", "exit").otherwise("sample")
+    return A.read(spark, sf, "events").select(F.col("user_id").alias("session"), A.millis("ts").alias("at"), F.col("event_id").alias("tie"), kind.alias("kind"), F.col("event_type").alias("name"), "value")
+
+
 @query("SELECT 'p' || user_id AS project_id, max(epoch_us(ts) // 1000000) > (SELECT max(epoch_us(ts) // 1000000) - 3600 FROM events) AS hot FROM events GROUP BY user_id")
 def project_heat(spark: SparkSession, sf: str) -> DataFrame:
     events = A.read(spark, sf, "events").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project_id"), F.floor(A.millis("ts") / 1000).alias("at"))
