@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, Struc
 
 #: Padded token slots of one batch; characters per token of an input's cap, and the cap without a limit.
 SLOTS, CHARS_PER_TOKEN, DEFAULT_CAP = 4096, 4, 32_000
+#: Lists of texts that may wait for an unfilled batch.
+WAITING = 8
 QUERY_PREFIX, PASSAGE_PREFIX = "query: ", "passage: "
 
 
@@ -124,9 +127,34 @@ def encode_all(texts: list[str], call: Callable[[list[str]], list], dims: int, s
     return out
 
 
+def encode_stream(lists: Iterator[list[str]], call: Callable[[list[str]], list], dims: int, size: int | None = None, max_tokens: int = 512, sizes: Sizes | None = None) -> Iterator[list]:
+    """The vectors of each list, in order; a batch that a list leaves unfilled is filled from the next ones."""
+    waiting: deque[list] = deque()
+    held: list[tuple[list, int, str]] = []
+
+    def encode(some: list[tuple[list, int, str]]) -> None:
+        for (out, i, _), v in zip(some, encode_all([t for _, _, t in some], call, dims, size, max_tokens, sizes), strict=True):
+            out[i] = v
+
+    for texts in lists:
+        waiting.append([None] * len(texts))
+        held += [(waiting[-1], i, t) for i, t in enumerate(texts)]
+        plan = plan_batches([len(t) // CHARS_PER_TOKEN for _, _, t in held], max_tokens)
+        filled = plan if len(waiting) > WAITING else plan[:-1]
+        encode([held[i] for batch in filled for i in batch])
+        held = [held[i] for batch in plan[len(filled) :] for i in batch]
+        blocked = {id(out) for out, _, _ in held}
+        while waiting and id(waiting[0]) not in blocked:
+            yield waiting.popleft()
+    encode(held)
+    yield from waiting
+
+
 def embed(rows: DataFrame, text: str, dims: int, prefix: str = PASSAGE_PREFIX, encode: Callable[[str, int], np.ndarray] = hash_vector, max_input_tokens: int | None = None, size: int | None = None, report: bool = False) -> DataFrame:
     """Adds vector array<float>; ``encode`` runs on the executors in planned batches.
 
+    Rows are sorted by length within their partition, and batches are filled
+    across Arrow batches, so texts of like length are padded together.
     ``encode(text, dims)`` gives one vector; an encoder with a true attribute
     ``batched`` gets a list of texts.  ``report`` adds __good and __refused, the
     batch sizes met by the row's worker.
@@ -139,16 +167,21 @@ def embed(rows: DataFrame, text: str, dims: int, prefix: str = PASSAGE_PREFIX, e
         return encode(texts, dims) if getattr(encode, "batched", False) else [encode(t, dims) for t in texts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes()
-        for b in batches:
-            texts = [cap_text(prefix + (t or ""), cap) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            vectors = encode_all(texts, call, dims, size, max_input_tokens or 512, sizes)
+        sizes, read = Sizes(), deque()
+
+        def texts() -> Iterator[list[str]]:
+            for b in batches:
+                read.append(b)
+                yield [cap_text(prefix + (t or ""), cap) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+
+        for vectors in encode_stream(texts(), call, dims, size, max_input_tokens or 512, sizes):
+            b = read.popleft()
             columns = [*b.columns, pa.array([np.asarray(v, dtype=np.float32).tolist() for v in vectors], pa.list_(pa.float32()))]
             if report:
                 columns += [pa.array([sizes.good] * b.num_rows, pa.int64()), pa.array([sizes.refused] * b.num_rows, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *(f.name for f in more)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.sortWithinPartitions(F.length(text)).mapInArrow(run, schema)
 
 
 def needs_new_vectors(old: dict, new: dict) -> bool:

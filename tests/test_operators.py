@@ -195,6 +195,42 @@ def test_nearest_sample_ties_and_reach(spark):
     assert near == {("A", 1), ("C", 2), ("D", 1)}
 
 
+def test_batches_are_filled_across_lists():
+    rng = random.Random(4)
+    texts = sorted(("x" * rng.randint(0, 900) for _ in range(400)), key=len)
+    lists = [texts[i : i + 7] for i in range(0, len(texts), 7)] + [[]]
+
+    def padded(run):
+        """(vectors, calls, padded slots) of a run."""
+        calls = []
+        call = lambda some: calls.append(some) or [[float(len(t))] for t in some]
+        vectors = run(call)
+        slots = [len(c) * max(min(512, len(t) // 4 + 2) for t in c) for c in calls]
+        assert max(slots) <= embedding.SLOTS
+        return vectors, len(calls), sum(slots)
+
+    whole, n_calls, slots = padded(lambda call: list(embedding.encode_stream(iter(lists), call, 1)))
+    apart, more_calls, _ = padded(lambda call: [embedding.encode_all(t, call, 1) for t in lists])
+    assert whole == apart == [[[float(len(t))] for t in some] for some in lists]
+    assert n_calls < more_calls / 2
+    # Texts as they come, in no order, take more padding; their vectors are the same and none waits without bound.
+    rng.shuffle(texts)
+    mixed = [texts[i : i + 7] for i in range(0, len(texts), 7)]
+    got, _, loose = padded(lambda call: list(embedding.encode_stream(iter(mixed), call, 1)))
+    assert got == [[[float(len(t))] for t in some] for some in mixed] and slots < loose
+
+
+def test_vectors_do_not_depend_on_arrow_batches(spark):
+    rows = spark.createDataFrame([(i, "word " * (i * 37 % 91)) for i in range(300)] + [(300, None)], "id long, body string").repartition(2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    for n in ("10000", "5"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        found.append(sorted((r.id, tuple(r.vector)) for r in embedding.embed(rows, "body", 8).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1] and len(found[0]) == 301
+
+
 def test_plan_batches_and_caps():
     lengths = [500, 3, 10, 510, 600, 1]
     plan = embedding.plan_batches(lengths)
