@@ -72,3 +72,20 @@ def test_engine_searches_by_cells(spark, tmp_path, monkeypatch):
     e.index_source("p", "s", "main", items=spark.createDataFrame(files, schema))
     assert e.search_code("p", "quite another thing", 1).first().item_path == "late.md"
     assert len(asked) == 2 and asked[0] is asked[1]
+
+
+@pytest.mark.parametrize("dims", [2, 10])
+def test_whole_search_gives_the_exact_rows_with_ties(spark, dims, monkeypatch):
+    """Many equal vectors, of which the codes' candidates hold only some; one probe finds few of a query's neighbours."""
+    monkeypatch.setattr(cells, "DATA_BLOCK", 50)
+    monkeypatch.setattr(cells.Cells, "probes", 1)
+    rng = np.random.default_rng(dims)
+    x = np.vstack([rng.normal(size=(500, dims)), np.repeat(rng.normal(size=(3, dims)), 200, axis=0), np.zeros((2, dims))]).astype(np.float32)
+    vectors = frame(spark, x[rng.permutation(len(x))])
+    queries = vectors.filter("chunk_id % 20 = 7").selectExpr("chunk_id as query_id", "vector")
+    model = cells.fit(vectors, dims, cells=24)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id) for r in df.collect())
+    want = rows(retrieval.search(vectors, queries, 7, dims))
+    coded = cells.codes(vectors, model)
+    assert rows(cells.search_whole(vectors, coded, model, queries, 7)) == want
+    assert rows(cells.search(vectors, coded, model, queries, 7)) != want
