@@ -89,3 +89,16 @@ def test_whole_search_gives_the_exact_rows_with_ties(spark, dims, monkeypatch):
     coded = cells.codes(vectors, model)
     assert rows(cells.search_whole(vectors, coded, model, queries, 7)) == want
     assert rows(cells.search(vectors, coded, model, queries, 7)) != want
+
+
+def test_engine_with_an_index_ranks_ties_by_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "INDEX_ROWS", 50)
+    e = Engine(spark, f"file://{tmp_path}/i", dims=2, hybrid=False, encode=lambda text, dims: np.array([len(text) % 5, 100.0], dtype=np.float32))
+    e.registry.add_project("p")
+    e.registry.add_source("p", {"id": "s", "type": "code", "root": ""})
+    files = [(f"f{i}.md", "x" * (i % 40 + 1) + f" {i:04}", "markdown") for i in range(3000)]  # six hundred of each length modulo five
+    e.index_source("p", "s", "main", items=spark.createDataFrame(files, "item_path string, content string, language string"), full=True)
+    assert e.cells.parts() == ["p/s"]
+    found = [r.item_path for r in e.search_code("p", "abc", 3).collect()]
+    e.exact = True
+    assert found == [r.item_path for r in e.search_code("p", "abc", 3).collect()]
