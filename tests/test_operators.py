@@ -287,3 +287,15 @@ def test_bm25_by_brute_force(spark, monkeypatch):
     kept = {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 6)) for r in retrieval.bm25_kept(*retrieval.postings(rows), asked, 7).collect()}
     assert kept == want
     assert retrieval.bm25(rows.limit(0), asked, 3).count() == 0 and retrieval.bm25(rows, asked.limit(0), 3).count() == 0
+
+
+def test_all_pairs_in_parts_and_packed(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PACKED", 7)
+    monkeypatch.setattr(retrieval, "PAIRS", 20)
+    rows = spark.createDataFrame([(i, [float(i % 7) - 3, float(i % 5), 0.0 if i % 35 == 3 else i % 3 - 1.0]) for i in range(60)], "chunk_id long, vector array<float>")
+    asked = rows.filter("chunk_id % 4 = 0").selectExpr("chunk_id as query_id", "vector")
+    got = retrieval.similarities(rows, asked, 3)
+    q = asked.withColumnRenamed("vector", "q")
+    want = rows.join(q).select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("score"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "zip_with" not in got._jdf.queryExecution().executedPlan().toString()  # no walk over the components of every pair
