@@ -141,3 +141,30 @@ def test_engine_reads_and_follows_a_tracker(spark, gitlab, tmp_path):
     rows = {r.item_path: r.content for r in e.knowledge.read(parts=["p/stream"]).collect()}
     assert len(rows) == 12 and rows["issues/4"] == "# T4\n\nmended" and rows["issues/3"] == "# T3\n\nbody 3"
     assert e.search_knowledge("p", "mended", 1, source="stream").first().item_path == "issues/4"
+
+
+def test_a_saved_page_lists_only_its_own_folder(spark, tmp_path, monkeypatch):
+    import pyarrow.fs
+
+    root = f"file://{tmp_path}/pages"
+    rows = [("projects/7/issues", k // 10 + 1, '{"iid": %d, "updated_at": "2024-01-01T00:00:00Z"}' % k) for k in range(200)]
+    tracker.save_pages(spark.createDataFrame(rows, "path string, page int, row string"), root)
+    real, seen = pyarrow.fs.FileSystem.from_uri, []
+
+    class Counted:
+        def __init__(self, files):
+            self.files = files
+
+        def get_file_info(self, selector):
+            found = self.files.get_file_info(selector)
+            seen.append(len(found))
+            return found
+
+        def open_input_stream(self, path):
+            return self.files.open_input_stream(path)
+
+    monkeypatch.setattr(tracker.pyarrow.fs, "FileSystem", type("F", (), {"from_uri": staticmethod(lambda uri: (Counted(real(uri)[0]), real(uri)[1]))}))
+    status, headers, found = tracker.saved_pages(f"{root}#projects/7/issues", 3, None, "")
+    assert status == 200 and tracker.total_pages(headers) == 20 and sorted(r["iid"] for r in found) == list(range(20, 30))
+    assert sum(seen) < 10, seen
+    assert tracker.saved_pages(f"{root}#projects/8/issues", 1, None, "")[0] == 404
