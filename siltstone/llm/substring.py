@@ -146,9 +146,9 @@ def _second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield batch(out)
 
 
-def _levels(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(windows, least, copies): windows of thirteen that level one lets through, of the documents that stand for their
-    word sequence; the least id of each that two of them have; ids of documents covered whole by one of smaller id."""
+def _extended(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(extended, standing, copies): the documents that stand for their word sequence with the anchors that level one lets
+    through, and the written table that they are read from; ids of documents covered whole by one of smaller id."""
     spark = docs.sparkSession
     level1 = materialise(in_slices(_rows(docs), _first_level, "doc_id long, k1 long, k2 long, anchors array<long>"), "substring-level1")
     key = ["k1", "k2"]
@@ -165,6 +165,14 @@ def _levels(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     standing = materialise(per_doc.join(copies.hint("merge"), "doc_id", "left_anti"), "substring-alive")
     discard(spark, level1, repeated)
     extended = _rows(docs).join(standing.hint("merge"), "doc_id").select("doc_id", "text", "__own", "__later")
+    return extended, standing, copies
+
+
+def _levels(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(windows, least, copies): windows of thirteen that level one lets through, of the documents that stand for their
+    word sequence; the least id of each that two of them have; ids of documents covered whole by one of smaller id."""
+    spark = docs.sparkSession
+    extended, standing, copies = _extended(docs)
     windows = materialise(in_slices(extended, _second_level, "w1 long, w2 int, doc_id long, start int, later boolean"), "substring-level2")
     discard(spark, standing)
 
@@ -188,32 +196,102 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return covered, copies
 
 
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of thirteen whose anchor survived, of a document in one row."""
+    for b in batches:
+        out: list[list[np.ndarray]] = [[], [], []]
+        for text, first, later in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            h = word_hashes(split(text))
+            least = _long(anchors(h))
+            starts = np.flatnonzero(np.isin(least, later.values.to_numpy()) | np.isin(least, first.values.to_numpy()))
+            w2 = window_hashes(_mixed(h), LENGTH, _B2)[starts] >> np.uint64(32)
+            for column, values in zip(out, (starts.astype(np.uint64), window_hashes(h, LENGTH, _B1)[starts], w2), strict=True):
+                column.append(values)
+        starts, w1, w2 = map(_lists, out)
+        yield pa.RecordBatch.from_arrays([b.column(0), starts.cast(pa.list_(pa.int32())), w1, w2], names=["doc_id", "starts", "w1", "w2"])
+
+
+def doubled(starts: np.ndarray, w1: np.ndarray, w2: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(length, places among ``starts``, w1, w2) of the windows of 13, 26, 52, ... words of which all parts of thirteen are
+    given; a window's hash is made from its halves', w1 from their w1 alone."""
+    length, place = LENGTH, np.arange(len(starts))
+    while len(place):
+        yield length, place, w1, w2
+        here = starts[place]
+        at = np.minimum(np.searchsorted(here, here + length), len(here) - 1)
+        left = np.flatnonzero(here[at] == here + length)
+        right = at[left]
+        a, b = w1[left], w1[right]
+        if w2 is not None:
+            w2 = _mixed(a * _B2 + _mixed(b ^ _MIX) + w2[left] * _B1 + w2[right] * _MIX) >> np.uint64(32)
+        w1 = _mixed(_mixed(a) * _B1 + b + np.uint64(length))
+        place, length = place[left], 2 * length
+
+
+def _values(cell: pa.ListScalar, kind: type) -> np.ndarray:
+    return cell.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+
+
+def _all_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of every length: w1, w2, doc_id; each once for a document and length."""
+    for b in batches:
+        out: list[list[np.ndarray]] = [[], [], []]
+        size = 0
+        for i, doc_id in enumerate(b.column(0).to_pylist()):
+            w1, w2 = (_values(b.column(c)[i], np.int64).view(np.uint64) for c in (2, 3))
+            for _, _, x, y in doubled(_values(b.column(1)[i], np.int64), w1, w2):
+                one = np.unique(x, return_index=True)[1]
+                for column, values in zip(out, (_long(x[one]), y[one].astype(np.uint32).view(np.int32), np.full(len(one), doc_id)), strict=True):
+                    column.append(values)
+                size += len(one)
+                if size > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["w1", "w2", "doc_id"])
+                    out, size = [[], [], []], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["w1", "w2", "doc_id"])
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, start, length from a document's texts (starts, w1) and the w1 of the windows that no other document has."""
+    for b in batches:
+        for doc_id, texts, alone in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            gone = _values(alone, np.int64).view(np.uint64) if alone.is_valid else np.zeros(0, np.uint64)
+            starts, lengths = [], []
+            for text in texts:
+                own = _values(text["starts"], np.int64)
+                longest = np.zeros(len(own), np.int32)
+                for length, place, w1, _ in doubled(own, _values(text["w1"], np.int64).view(np.uint64), None):
+                    longest[place[~np.isin(w1, gone)]] = length
+                starts.append(own[longest > 0])
+                lengths.append(longest[longest > 0])
+            start, length = np.concatenate(starts), np.concatenate(lengths)
+            if len(starts) > 1:  # texts of one id: the longest at each place
+                order = np.lexsort((-length, start))
+                first = np.unique(start[order], return_index=True)[1]
+                start, length = start[order][first], length[order][first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), doc_id)), pa.array(start), pa.array(length)], names=["doc_id", "start", "length"])
+
+
 def longest_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, start, length: for each window of thirteen that two different texts have, the longest length of 13, 26, 52, ...
     at which the window that begins there is still repeated.
 
-    A window of twice the length is asked only where both its halves are
-    repeated; its hash is made from theirs, so no text is read again.  Levels
-    end when no candidate survives.
+    A window of twice the length is asked only where both its halves passed level
+    one; its hash is made from theirs, so no text is read again.  A part of a
+    repeated window is repeated, so all lengths are asked in one exchange, and as
+    most windows are repeated, only those that no other document has go back to
+    theirs.  In one document windows are told apart by 64 bits.
     """
     spark = docs.sparkSession
-    windows, least, _ = _levels(docs)
-    key = ["w1", "w2"]
-    level = materialise(windows.join(least.select(*key).hint("merge"), key).select("doc_id", F.col("start").cast("long").alias("start"), "w1", F.col("w2").cast("long").alias("w2")), "substring-level")
-    discard(spark, windows, least)
-    length, out = LENGTH, None
-    while True:
-        here = level.select("doc_id", "start", F.lit(length).alias("length"))
-        out = here if out is None else out.unionByName(here)
-        right = level.select("doc_id", (F.col("start") - length).alias("start"), F.col("w1").alias("v1"), F.col("w2").alias("v2"))
-        double = level.join(right.hint("merge"), ["doc_id", "start"]).select("doc_id", "start", F.xxhash64("w1", "w2", "v1", "v2").alias("w1"), F.xxhash64("v2", "v1", "w2", "w1", F.lit(length)).alias("w2"))
-        double = materialise(double, "substring-double")
-        again = materialise(double.groupBy(*key).agg(F.min("doc_id").alias("__a"), F.max("doc_id").alias("__b")).filter("__a < __b").select(*key), "substring-least")
-        level = materialise(double.join(again.hint("merge"), key).select("doc_id", "start", *key), "substring-level")
-        discard(spark, double, again)
-        if level.isEmpty():
-            return out.groupBy("doc_id", "start").agg(F.max("length").alias("length"))
-        length *= 2
+    extended, standing, _ = _extended(docs)
+    rows = materialise(in_slices(extended, _starts, "doc_id long, starts array<int>, w1 array<long>, w2 array<long>"), "substring-starts")
+    discard(spark, standing)
+    seen = in_slices(rows, _all_levels, "w1 long, w2 int, doc_id long").groupBy("w1", "w2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("__b"))
+    alone = materialise(seen.filter("doc_id = __b").select("doc_id", "w1"), "substring-alone")
+    discard(spark)
+    alone = alone.groupBy("doc_id").agg(F.collect_list("w1").alias("alone"))
+    texts = rows.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "w1")).alias("texts"))
+    return in_slices(texts.join(alone.hint("merge"), "doc_id", "left").select("doc_id", "texts", "alone"), _longest, "doc_id long, start long, length int")
 
 
 def _covered(n: int, starts: np.ndarray) -> np.ndarray:

@@ -70,3 +70,24 @@ def test_doubling_goes_on_until_nothing_survives(spark):
                     want[i, s] = length
     got = {(r.doc_id, r.start): r.length for r in substring.longest_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert max(got.values()) == 104 and got == want
+
+
+def test_long_repeats_write_no_more_tables_than_short_ones(spark, monkeypatch):
+    """All lengths are asked in one exchange: tables and shuffles do not grow with the longest repeat."""
+    written = []
+    write = substring.materialise
+    monkeypatch.setattr(substring, "materialise", lambda df, name: written.append(name) or write(df, name))
+    counts = []
+    for n in (14, 300):
+        shared = " ".join(f"s{k}" for k in range(n))
+        written.clear()
+        got = substring.longest_repeats(spark.createDataFrame([(1, shared), (2, shared + " x")], "doc_id long, text string")).collect()
+        counts.append((len(written), max(r.length for r in got)))
+    assert counts[0][0] == counts[1][0] and (counts[0][1], counts[1][1]) == (13, 208)
+
+
+def test_halves_of_two_texts_of_one_id_make_no_window(spark):
+    p, q, x = ([f"{c}{k}" for k in range(13)] for c in "pqx")
+    docs = [(1, " ".join(p + x)), (1, " ".join(x[::-1] + q)), (2, " ".join(p + q))]
+    got = {(r.doc_id, r.start): r.length for r in substring.longest_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, 0): 13, (1, 13): 13, (2, 0): 13, (2, 13): 13}
