@@ -102,3 +102,44 @@ def test_engine_with_an_index_ranks_ties_by_id(spark, tmp_path, monkeypatch):
     found = [r.item_path for r in e.search_code("p", "abc", 3).collect()]
     e.exact = True
     assert found == [r.item_path for r in e.search_code("p", "abc", 3).collect()]
+
+
+def test_exact_search_passes_over_groups_of_near_copies():
+    """Near copies of any order are held in groups, of which only those are scored that can reach a query's bar; the rows stay."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 64))
+    x = np.vstack([np.repeat(base, 50, axis=0) + 0.1 * rng.normal(size=(2000, 64)), rng.normal(size=(30, 64)), np.zeros((3, 64))])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    q = retrieval._unit(x[::20].astype(np.float64))
+    plain, grouped = (retrieval._Rows(np.arange(len(x)), x, False) for _ in range(2))
+    grouped.group()
+    assert len(grouped.loose) + len(grouped.leaders) < len(x) / 3
+    bar = np.sort(np.round(q @ plain.exact.T, 12), axis=1)[:, -10]
+    some = np.where(np.arange(len(q)) % 5 == 0, -np.inf, bar)  # of some no bar is known
+    want, got = (sorted(zip(*(c.tolist() for c in rows.pairs(q, b, 10)), strict=True)) for rows, b in ((plain, bar), (grouped, bar)))
+    assert [p[:2] for p in want] == [p[:2] for p in got] and np.allclose([p[2] for p in want], [p[2] for p in got], atol=1e-11)
+    best = []
+    for rows, b in ((plain, some), (grouped, some)):
+        held = retrieval._Best(None, b.copy())
+        held.add(rows, q, 10)
+        order = np.lexsort((held.held[1], -held.held[2], held.held[0]))
+        best.append([held.held[i][order].tolist() for i in (0, 1)])
+    assert best[0] == best[1] and len(best[0][0]) == 10 * len(q)
+
+
+def test_found_rows_change_no_row_of_the_exact_search(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.repeat(rng.normal(size=(30, 8)), 40, axis=0) + 0.05 * rng.normal(size=(1200, 8)), np.repeat(rng.normal(size=(1, 8)), 90, axis=0), np.zeros((2, 8))]).astype(np.float32)
+    vectors = frame(spark, x[rng.permutation(len(x))])
+    queries = vectors.filter("chunk_id % 20 = 7").selectExpr("chunk_id as query_id", "vector")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+    want = rows(retrieval.search(vectors, queries, 7, 8))
+    found = retrieval.search(vectors.filter("chunk_id % 3 < 2"), queries.filter("query_id % 40 = 7"), 7, 8)
+    assert len(want) == 7 * queries.count() and rows(retrieval.search(vectors, queries, 7, 8, found=found)) == want
+
+
+def test_a_block_of_the_exact_search_is_no_group_of_one_key(spark):
+    """Blocks are packed where the rows are: no whole group of rows with lists for its vectors reaches a worker."""
+    vectors = frame(spark, np.eye(4))
+    found = retrieval.search(vectors, vectors.selectExpr("chunk_id as query_id", "vector"), 2, 4)
+    assert "CoGroups" not in found._jdf.queryExecution().executedPlan().toString()
