@@ -143,3 +143,18 @@ def test_a_block_of_the_exact_search_is_no_group_of_one_key(spark):
     vectors = frame(spark, np.eye(4))
     found = retrieval.search(vectors, vectors.selectExpr("chunk_id as query_id", "vector"), 2, 4)
     assert "CoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_memory_of_the_exact_search_is_bounded():
+    """Blocks of any number of queries, and equal rows that all reach the bar, are looked at in parts."""
+    import tracemalloc
+
+    x = np.vstack([np.random.default_rng(1).normal(size=(4000, 64)), np.ones((200, 64))]).astype(np.float32)
+    q = retrieval._unit(np.vstack([x[:2000], np.ones((1000, 64))]).astype(np.float64))
+    tracemalloc.start()
+    rows = retrieval._Rows(np.arange(len(x)), x, False)
+    held = retrieval._Best(None, np.full(len(q), -np.inf))
+    held.add(rows, q, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(held.held[0]) == 10 * len(q) and peak < 150e6, peak
